@@ -16,8 +16,7 @@ from docaudit.llm.storage import blocks, materialize
 from docaudit.llm.textops import Words, chunked
 
 CAPACITY, GROUPS, PIECES_PER_SHARD = 2048, 32, 1 << 16
-KNOWN_WORDS, TRIES = 1 << 19, 32
-SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
+KNOWN_WORDS, TRIES = 1 << 21, 32
 
 
 @cache
@@ -27,8 +26,28 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+# Digits and ASCII punctuation without those that contractions and special tokens are made of.
+_OTHER = np.zeros(256, bool)
+_OTHER[[c for c in range(33, 127) if not chr(c).isalpha() and chr(c) not in "'<|>"]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def letter_cuts(data: np.ndarray) -> np.ndarray:
+    """Where the vocabulary's pre-tokeniser always parts: between a Latin letter and a digit or punctuation mark.
+
+    The byte after a cut is ASCII, so no combining mark is cut from what it follows.
+    """
+    letter = _LETTER[data]
+    if len(data) > 1:
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    other, cut = _OTHER[data], np.zeros(len(data), bool)
+    cut[1:] = letter[:-1] & other[1:] | other[:-1] & _LETTER[data[1:]]
+    return cut
+
+
 class WordIds:
-    """Ids of words between white space, kept by hash in a worker; the vocabulary's pre-tokeniser never joins over white space.
+    """Ids of words by hash, kept in a worker in sorted arrays of at most KNOWN_WORDS.
 
     New words are encoded in one call, parted by a special token; words that hold one themselves are encoded alone.
     """
@@ -38,57 +57,56 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.begins, self.lengths, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
-    def add(self, hashes: list[int], words: list[bytes]) -> None:
-        lengths, parts = [], []
-        odd = [any(s in w for s in SPECIAL) for w in words]
-        plain = [w.decode("utf-8", "replace") for w, o in zip(words, odd, strict=True) if not o]
+    def encoded(self, words: list[bytes]) -> list[np.ndarray]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        odd = {i for i, w in enumerate(words) if b"<|" in w}
         mark = self.encoder.token_to_id("<|endoftext|>")
-        ids = np.array(self.encoder.encode("<|endoftext|>".join(plain), add_special_tokens=False).ids if plain else [], np.int64)
+        plain = [t for i, t in enumerate(texts) if i not in odd]
+        ids = np.array(self.encoder.encode("<|endoftext|>".join(plain), add_special_tokens=False).ids if plain else [], np.uint32)
         cuts = np.flatnonzero(ids == mark)
-        bounds = np.concatenate([[-1], cuts, [len(ids)]])
-        pieces = iter(zip(bounds[:-1] + 1, bounds[1:], strict=True))
-        for w, o in zip(words, odd, strict=True):
-            if o:
-                own = np.array(self.encoder.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int64)
-            else:
-                a, b = next(pieces)
-                own = ids[a:b]
-            lengths.append(len(own))
-            parts.append(own)
-        for i, h in enumerate(hashes, len(self.place)):
-            self.place[h] = i
-        self.lengths = np.concatenate([self.lengths, np.array(lengths, np.int64)])
-        self.ids = np.concatenate([self.ids, *parts]).astype(np.uint32)
+        pieces = iter([ids[a:b] for a, b in zip([0, *(cuts + 1)], [*cuts, len(ids)], strict=True)])
+        return [np.array(self.encoder.encode(t, add_special_tokens=False).ids, np.uint32) if i in odd else next(pieces) for i, t in enumerate(texts)]
 
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each word."""
         unique, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
-        if len(self.place) > KNOWN_WORDS:
+        if len(self.keys) > KNOWN_WORDS:
             self.clear()
-        keys = unique.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.place]
-        if new:
+        at = np.searchsorted(self.keys, unique)
+        new = np.ones(len(unique), bool)
+        inner = at < len(self.keys)
+        new[inner] = self.keys[at[inner]] != unique[inner]
+        if new.any():
             data = words.data.tobytes()
-            self.add([keys[i] for i in new], [data[words.starts[j] : words.ends[j]] for j in first[new]])
-        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[back]
-        begins = np.concatenate([[0], np.cumsum(self.lengths)])[at]
-        lengths = self.lengths[at]
+            own = self.encoded([data[words.starts[j] : words.ends[j]] for j in first[new]])
+            lengths = np.array([len(x) for x in own], np.int32)
+            self.begins = np.insert(self.begins, at[new], len(self.ids) + np.cumsum(lengths) - lengths)
+            self.lengths = np.insert(self.lengths, at[new], lengths)
+            self.keys = np.insert(self.keys, at[new], unique[new])
+            self.ids = np.concatenate([self.ids, *own])
+            at = np.searchsorted(self.keys, unique)
+        begins, lengths = self.begins[at][back], self.lengths[at][back].astype(np.int64)
         ends = np.cumsum(lengths)
         where = np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
         return self.ids[where], lengths
 
 
+@cache
+def known_words(path: str) -> WordIds:
+    """One store a worker, which later tasks go on using."""
+    return WordIds(path)
+
+
 def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: whole texts as ids and a closing 0, cut only where longer than capacity."""
     schema = f"{id_col} {dict(docs.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(path)
+        known = known_words(path)
         for batch in chunked(batches, text):
-            words = Words(batch.column(1), lower=False)
+            words = Words(batch.column(1), lower=False, cuts=letter_cuts)
             ids, lengths = known.encode(words)
             bounds = np.concatenate([[0], np.cumsum(lengths)])[words.bounds]
             rows, pieces, starts, sizes, crcs = [], [], [], [], []

@@ -72,9 +72,12 @@ def chunked(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int
 
 
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of a column: hashes (A-Z lower-cased if asked), the row of each, and rows' word ranges."""
+    """Words `[^\\x20\\x09-\\x0D]+` of a column: hashes (A-Z lower-cased if asked), the row of each, and rows' word ranges.
 
-    def __init__(self, column: pa.Array, lower: bool = True):
+    cuts, a function of the bytes, may part words further.
+    """
+
+    def __init__(self, column: pa.Array, lower: bool = True, cuts=None):
         data, offsets = raw(column)
         self.rows, n = len(offsets) - 1, len(data)
         inside = ~SPACE[data]
@@ -83,6 +86,10 @@ class Words:
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1] | edge[1:n]
         last[:-1] &= ~inside[1:] | edge[1:n]
+        if cuts is not None and n:  # further bounds: cuts(data) says where a word ends before a byte
+            cut = cuts(data)
+            first |= cut & inside
+            last[:-1] |= cut[1:] & inside[:-1]
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum((_LOWERED_BYTE if lower else _BYTE)[data] * powers(_BASE, n)[:n], out=prefix[1:])
