@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import langid, neardup, packing, secrets, topk, warc
+from docaudit.llm import langid, lm, neardup, packing, secrets, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.katz_scores(table(spark, sf_dir, "documents"), langid.fold("doc_id", 7) == 2)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = warc.archive_directory(spark)
     index = warc.write_archives(table(spark, sf_dir, "pages"), at)
