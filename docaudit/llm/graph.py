@@ -41,4 +41,4 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = mark
     labels = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return labels.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    return materialize(labels.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct(), "labels")

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.llm.graph import components
-from docaudit.llm.storage import materialize
+from docaudit.llm.storage import blocks, materialize
 from docaudit.llm.textops import Words, chunked, distinct_by_row, mix, shingles
 
-ROWS, BITS, LOSS, SIGMAS, BLOCK = 4, 4, 1e-9, 6.5, 1024
+ROWS, BITS, LOSS, SIGMAS, BLOCK = 4, 4, 1e-9, 6.5, 256
 _NIBBLES = np.uint64(0x1111111111111111)
 
 
@@ -97,74 +97,119 @@ def sketch(docs: DataFrame, size: int, threshold: float, id_col: str, text: str)
 def likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs (u, v) those whose sizes allow the similarity and whose estimate does not rule it out."""
     n, least = bands_for(num / den) * ROWS, least_estimate(num / den, bands_for(num / den) * ROWS)
-    side = lambda c: classes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sig").alias(f"s_{c}"), F.col("id").alias(f"id_{c}"))
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sig").alias(f"s_{c}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v").filter(F.least("n_u", "n_v") * den >= F.greatest("n_u", "n_v") * num)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("s_u", "s_v"))
-                yield batch.filter(pa.array(estimate(a, b, n) >= least)).select(["u", "v", "id_u", "id_v"])
+                yield batch.filter(pa.array(estimate(a, b, n) >= least)).select(["u", "v"])
 
-    id_type = dict(classes.dtypes)["id"]
-    return both.mapInArrow(run, f"u binary, v binary, id_u {id_type}, id_v {id_type}")
+    return both.mapInArrow(run, "u binary, v binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int, id_col: str, text: str) -> DataFrame:
-    """Of pairs (u, v, id_u, id_v) those whose full sets have den * intersection >= num * union.
+def spread(members: DataFrame, per_group: int) -> DataFrame:
+    """Deals members (key, node, m of the key) to tasks: columns group, key, i, j.
 
-    Texts come by an equi-join on the id of a class's document; a text whose set is not the class's (an id that several rows
-    have) is passed over.
+    A key of at most BLOCK members is whole in one group, with other keys, about per_group rows in all. A greater one is cut into
+    parts by a hash of the node, and every two parts meet in a group of their own.
     """
-    wanted = pairs.select(F.col("id_u").alias("id")).unionByName(pairs.select(F.col("id_v").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(wanted, "id")
-    texts = materialize(texts, "texts")
-    side = lambda c: texts.select(F.col("id").alias(f"id_{c}"), F.col("text").alias(f"t_{c}"))
-    both = pairs.join(side("u"), "id_u").join(side("v"), "id_v").select("u", "v", "t_u", "t_v")
+    total = members.count()
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = members.withColumn("p", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.withColumn("i", F.least("p", "o")).withColumn("j", F.greatest("p", "o"))
+    return dealt.withColumn("group", F.when(F.col("m") <= BLOCK, F.pmod(F.xxhash64("key"), F.lit(blocks(total, per_group)))).otherwise(F.xxhash64("key", "i", "j"))).drop("p", "o")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunked(chunked(batches, "t_u"), "t_v"):
-            keep = np.ones(batch.num_rows, bool)
-            sets = []
-            for node, t in (("u", "t_u"), ("v", "t_v")):
-                hashes, bounds = distinct_by_row(*shingles(Words(batch.column(t)), size), batch.num_rows)
-                keep &= np.array([d.tobytes() == n for d, n in zip(digest(hashes, bounds), batch.column(node).to_pylist(), strict=True)], bool)
-                sets.append((hashes, bounds))
-            (a, x), (b, y) = sets
-            for r in np.flatnonzero(keep):
-                s, t = a[x[r] : x[r + 1]], b[y[r] : y[r + 1]]
-                common = len(s) + len(t) - len(np.union1d(s, t))
-                keep[r] = den * common >= num * (len(s) + len(t) - common)
-            yield batch.filter(pa.array(keep)).select(["u", "v"])
-
-    return both.mapInArrow(run, "u binary, v binary").distinct()
-
-
-def cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (u, v) of members (key, node, label, n_shingles, sig, m) of a bucket with different labels that the estimate allows.
-
-    A bucket is compared in blocks: its m members are dealt over ceil(m / BLOCK) parts and every two parts meet in a task of
-    their own. Signatures are compared by bit counts there; only likely pairs leave it.
+
+def forest(n: int, linked) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph on 0..n-1 in which linked(x, others) says which of others x is linked with.
+
+    A member that is reached is not compared with other members that are, so a dense group costs little more than its size.
     """
+    waiting, edges = np.arange(n), []
+    while len(waiting):
+        queue, waiting = [int(waiting[0])], waiting[1:]
+        while queue and len(waiting):
+            x = queue.pop()
+            hit = linked(x, waiting)
+            queue += waiting[hit].tolist()
+            edges += [(x, y) for y in waiting[hit].tolist()]
+            waiting = waiting[~hit]
+    return edges
+
+
+def by_key(group: pd.DataFrame):
+    """Positions of each (key, i, j) of a group."""
+    return group.groupby(["key", "i", "j"], sort=False).indices.values()
+
+
+def likely_edges(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): a forest, in each block of a bucket, of the pairs that sizes and estimate allow; equal labels count as linked."""
     n, least = bands_for(num / den) * ROWS, least_estimate(num / den, bands_for(num / den) * ROWS)
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    dealt = members.withColumn("p", own).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.withColumn("i", F.least("p", "o")).withColumn("j", F.greatest("p", "o"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        node, label, size = group["node"].to_numpy(), pd.factorize(group["label"])[0], group["n_shingles"].to_numpy()
+        node, size, label = group["node"].to_numpy(), group["n_shingles"].to_numpy(), pd.factorize(group["label"])[0]
         sig = np.frombuffer(b"".join(group["sig"]), np.uint64).reshape(len(group), -1)
-        us, vs = [], []
-        for r in range(len(group) - 1):
-            ok = (label[r + 1 :] != label[r]) & (np.minimum(size[r + 1 :], size[r]) * den >= np.maximum(size[r + 1 :], size[r]) * num)
-            at = r + 1 + np.flatnonzero(ok)
-            at = at[estimate(sig[at], sig[r], n) >= least] if len(at) else at
-            us += [min(node[r], node[s]) for s in at]
-            vs += [max(node[r], node[s]) for s in at]
-        return pd.DataFrame({"u": us, "v": vs})
+        out = []
+        for at in by_key(group):
+            s, z, q = size[at], sig[at], label[at]
+
+            def linked(x, others, s=s, z=z, q=q):
+                fits = np.minimum(s[others], s[x]) * den >= np.maximum(s[others], s[x]) * num
+                return (q[others] == q[x]) | (fits & (estimate(z[others], z[x], n) >= least))
+
+            out += [(node[at[x]], node[at[y]]) for x, y in forest(len(at), linked) if q[x] != q[y]]
+        return pd.DataFrame(out, columns=["u", "v"])
+
+    return spread(members, 4096).groupBy("group").applyInPandas(run, "u binary, v binary")
+
+
+def with_sets(members: DataFrame, docs: DataFrame, size: int, id_col: str, text: str) -> DataFrame:
+    """members (key, node, id, m, sig) with the full set of each node, from its document's text.
+
+    Texts come by an equi-join on the id; a text whose set is not the node's (an id that several rows have) is passed over.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(members, "id").select("key", "m", "node", "sig", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunked(batches):
+            hashes, bounds = distinct_by_row(*shingles(Words(batch.column("text")), size), batch.num_rows)
+            own = np.array([d.tobytes() == n for d, n in zip(digest(hashes, bounds), batch.column("node").to_pylist(), strict=True)], bool)
+            sets = pa.array([hashes[bounds[r] : bounds[r + 1]].tobytes() for r in range(len(own))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], sets], names=["key", "m", "node", "sig", "set"]).filter(pa.array(own))
+
+    return texts.mapInArrow(run, "key binary, m long, node binary, sig binary, set binary").dropDuplicates(["node"])
+
+
+def verified_edges(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): a forest, in each block of a likely cluster, of the pairs whose full sets have den * intersection >= num * union."""
+    n, least = bands_for(num / den) * ROWS, least_estimate(num / den, bands_for(num / den) * ROWS)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        node = group["node"].to_numpy()
+        sig = np.frombuffer(b"".join(group["sig"]), np.uint64).reshape(len(group), -1)
+        sets = [np.frombuffer(x, np.uint64) for x in group["set"]]
+        size = np.array([len(x) for x in sets])
+        out = []
+        for at in by_key(group):
+            s, z, own = size[at], sig[at], [sets[i] for i in at]
+
+            def linked(x, others, s=s, z=z, own=own):
+                hit = (np.minimum(s[others], s[x]) * den >= np.maximum(s[others], s[x]) * num) & (estimate(z[others], z[x], n) >= least)
+                test = np.flatnonzero(hit)
+                if len(test):
+                    all_ = np.concatenate([own[others[t]] for t in test])
+                    place = np.minimum(np.searchsorted(own[x], all_), len(own[x]) - 1)
+                    starts = np.cumsum(s[others[test]]) - s[others[test]]
+                    common = np.add.reduceat(own[x][place] == all_, starts, dtype=np.int64)
+                    hit[test] = den * common >= num * (s[others[test]] + s[x] - common)
+                return hit
+
+            out += [(node[at[x]], node[at[y]]) for x, y in forest(len(at), linked)]
+        return pd.DataFrame(out, columns=["u", "v"])
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "u binary, v binary").distinct()
+    return spread(members, 256).groupBy("group").applyInPandas(run, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,28 +218,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     Two texts are linked if their sets of distinct `size`-word shingles (A-Z lower-cased) have a Jaccard similarity of num/den or
     more; a text with fewer words is one shingle; null texts and texts without words are linked with nothing. Rows with equal
     sets become one class first, so copies cost nothing further. Classes meet in buckets of ROWS minima; the number of bands
-    keeps the chance to miss a pair at the threshold at LOSS. Within a bucket every class is held against the commonest class
-    only; components follow; then only buckets whose members still lie in different components have their pairs across
-    components compared, in blocks. Pairs pass the collision-corrected estimate from packed low bits (SIGMAS standard
-    deviations below the threshold) and are confirmed on full sets. Null ids count as no id: such a row takes its class's least id.
-    Repeated rows are in one class; an empty table gives no rows; other columns are ignored.
+    keeps the chance to miss a pair at the threshold at LOSS. Likely pairs are those that the collision-corrected estimate from
+    packed low bits does not rule out (SIGMAS standard deviations below the threshold): each class against its bucket's
+    commonest first, then, in buckets that this leaves in several components, all across components, in blocks. The components
+    of likely pairs are then searched on full sets, again in blocks. Both searches yield spanning forests, never all pairs of
+    a group, and compare a member only with those not reached yet. Null ids count as no id: such a row takes its class's
+    least id. Repeated rows are in one class; an empty table gives no rows; other columns are ignored.
     """
     rows = materialize(sketch(docs, size, num / den, id_col, text), "sketch")
     classes = materialize(
         rows.filter("node is not null").groupBy("node").agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("n_shingles", "sig", "bands")).alias("x")).select("node", "id", "copies", "x.*"), "classes"
     )
     entries = classes.select("node", "copies", F.explode("bands").alias("key"))
-    buckets = materialize(entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("copies", "node")).alias("rep")).filter("m > 1").select("key", "m", F.col("rep.node").alias("rep")), "buckets")
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("copies", "node")).alias("rep")).filter("m > 1").select("key", "m", F.col("rep.node").alias("rep"))
     members = materialize(entries.join(buckets, "key").select("key", "node", "m", "rep"), "members")
     stars = members.filter(F.col("node") != F.col("rep")).select(F.least("node", "rep").alias("u"), F.greatest("node", "rep").alias("v")).distinct()
-    first = materialize(verified(materialize(likely(stars, classes, num, den), "pairs"), docs, size, num, den, id_col, text), "links")
-    labels = materialize(components(first), "labels")
-    labelled = members.filter("m > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    near = materialize(likely(stars, classes, num, den), "likely")
+    labels = components(near)
+    labelled = members.filter("m > 2").select("key", "node", "m").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
-    crossed = cross_pairs(labelled.join(open_keys, "key").join(classes.select("node", "n_shingles", "sig"), "node"), num, den)
-    tested = crossed.join(stars, ["u", "v"], "left_anti")
-    second = verified(materialize(likely(tested, classes, num, den), "pairs"), docs, size, num, den, id_col, text)
-    final = materialize(components(first.unionByName(second)), "labels")
+    across = materialize(labelled.join(open_keys, "key").join(classes.select("node", "n_shingles", "sig"), "node"), "open")
+    clusters = components(near.unionByName(likely_edges(across, num, den)))
+    sized = clusters.join(clusters.groupBy("label").agg(F.count(F.lit(1)).alias("m")), "label").withColumnRenamed("label", "key")
+    full = materialize(with_sets(sized.join(classes.select("node", "id", "sig"), "node"), docs, size, id_col, text), "sets")
+    final = components(verified_edges(full, num, den))
     least = final.join(classes, "node").groupBy("label").agg(F.min("id").alias("component"))
     of_node = classes.select("node", "id").join(final.join(least, "label").select("node", "component"), "node", "left").select("node", F.coalesce("component", "id").alias("component"))
     out = rows.select(id_col, "n_shingles", "node").join(of_node, "node", "left").withColumn("component_id", F.coalesce("component", id_col))
