@@ -16,7 +16,7 @@ from docaudit.llm.storage import blocks, materialize, shuffle_partitions
 from docaudit.llm.textops import Words, chunked, mix
 
 #: Good-Turing counts up to K are discounted. Words of the whole vocabulary that are broadcast at most; entries of a partition.
-K, MAX_WORDS, PER_PARTITION, FLUSH_WORDS = 5, 1 << 24, 1 << 21, 1 << 21
+K, MAX_WORDS, PER_PARTITION, FLUSH_WORDS = 5, 1 << 24, 1 << 20, 1 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -108,30 +108,25 @@ class Vocabulary:
         both = [unsqueeze(x) for x in parts]
         self.keys = np.concatenate([x[0] for x in both]) if both else np.zeros(0, np.uint64)
         counts = np.concatenate([x[1] for x in both]) if both else np.zeros(0, np.int64)
-        order = np.argsort(-counts, kind="stable")
+        del both
+        order = np.argsort(-counts, kind="stable").astype(np.uint32)
         self.ids = np.empty(len(order), np.uint32)
         self.ids[order] = np.arange(len(order), dtype=np.uint32)
-        self.counts = np.append(counts[order], 0)
-        self.unknown = len(order)
-        self.p = np.where(self.counts <= K, d[np.minimum(self.counts, K)], 1) * self.counts / (total + 1)
-        self.p[-1] = 1 - self.p[:-1].sum()
+        self.counts = np.append(counts[order], 0).astype(np.uint32 if total < 1 << 32 else np.int64)
+        self.unknown, self.d, self.total = len(order), d, total
+        rare = np.bincount(np.minimum(counts, K + 1), minlength=K + 2)[: K + 1]
+        self.mass = 1 - (float(counts[counts > K].sum()) + rare @ (d * np.arange(K + 1))) / (total + 1)
+
+    def p(self, word: np.ndarray) -> np.ndarray:
+        """Probabilities of ids."""
+        c = self.counts[word].astype(np.int64)
+        return np.where(word == self.unknown, self.mass, np.where(c <= K, self.d[np.minimum(c, K)], 1) * c / (self.total + 1))
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, hashes), max(0, len(self.keys) - 1))
         return np.where(self.keys[at] == hashes, self.ids[at], np.uint32(self.unknown)) if len(self.keys) else np.zeros(len(hashes), np.uint32)
 
 
-_kept: dict[int, Vocabulary] = {}
-
-
-def opened(key: int, broadcast) -> Vocabulary:
-    """The broadcast vocabulary, unpacked once a worker."""
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = Vocabulary(*broadcast.value)
-    return _kept[key]
-
-
 def sums(values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(index, values, n)
 
@@ -160,22 +155,22 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "
     if n_words > max_words:
         return katz_scores_joined(docs, held_out, id_col, text)
     parts = [bytes(r.data) for r in table.orderBy("p").select("data").collect()]
-    shared, name = spark.sparkContext.broadcast((parts, discounts(seen), total)), id(table)
+    shared = spark.sparkContext.broadcast(Vocabulary(parts, discounts(seen), total))
     del parts
     n_parts = max(shuffle_partitions(spark), blocks(total, PER_PARTITION))
     hot_count = max(1, total // (4 * n_parts))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, task = opened(name, shared), TaskContext.get().partitionId()
+        vocabulary, task = shared.value, TaskContext.get().partitionId()
         end = vocabulary(np.array([END]))[0]
-        for i, batch in enumerate(chunked(batches, limit=1 << 23)):
+        for i, batch in enumerate(chunked(batches)):
             words, chunk = Words(batch.column(1)), (task << 32) | i
             unique, back = np.unique(words.hashes, return_inverse=True)
             ids = vocabulary(unique)[back].astype(np.uint32)
             w, h = np.insert(ids, words.bounds[1:], end), np.insert(ids, words.bounds[:-1], end)
             n_tokens = np.diff(words.bounds) + 1
             row = np.repeat(np.arange(words.rows, dtype=np.uint32), n_tokens)
-            count = vocabulary.counts[w]
+            count = vocabulary.counts[w].astype(np.int64)
             base = sums(np.log10((count + 1) / (total + n_words + 1)), row, words.rows)
             held = np.array(batch.column(2).to_pylist(), bool)
             meta = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_tokens, pa.int64()), pa.array(sums(count > 0, row, words.rows).astype(np.int64)), pa.array(base)], names=["id", "held", "n", "known", "base"])
@@ -202,7 +197,7 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "
             for chunk, data in zip(group["chunk"].to_pylist(), group["data"].to_pylist(), strict=True):
                 emit("rows", chunk, data=data)
         else:
-            vocabulary = opened(name, shared)
+            vocabulary = shared.value
             chunks = group["chunk"].to_pylist()
             keys, tags = [], []
             for i, data in enumerate(group["data"].to_pylist()):
@@ -219,7 +214,7 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "
             h, w = (types >> np.uint64(32)).astype(np.int64), (types & np.uint64(0xFFFFFFFF)).astype(np.int64)
             known = c > 0
             heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            stats = np.stack([np.add.reduceat(known & (c == r), heads, dtype=np.int64) for r in range(1, K + 1)] + [np.add.reduceat(np.where(c > K, c, 0), heads), np.add.reduceat(np.where(known, vocabulary.p[w], 0), heads), vocabulary.counts[h[heads]]], axis=1).astype(float)
+            stats = np.stack([np.add.reduceat(known & (c == r), heads, dtype=np.int64) for r in range(1, K + 1)] + [np.add.reduceat(np.where(c > K, c, 0), heads), np.add.reduceat(np.where(known, vocabulary.p(w), 0), heads), vocabulary.counts[h[heads]]], axis=1).astype(float)
             emit("seen", stats=[float((c == r).sum()) for r in range(K + 2)])
             hot = vocabulary.counts[h[heads]] > hot_count
             for i in np.flatnonzero(hot):
@@ -228,7 +223,7 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "
             per = np.repeat(np.arange(len(starts)), length)
             del key
             row, chunk_at, entry_c = ((tag & np.uint64(0xFFFFFFFF)) >> np.uint64(1)).astype(np.int64), (tag >> np.uint64(32)).astype(np.int64), c[per]
-            log = np.where(known, np.log10(np.maximum(c, 1) / (vocabulary.counts[h] + 1)), np.log10(vocabulary.p[w]))[per]
+            log = np.where(known, np.log10(np.maximum(c, 1) / (vocabulary.counts[h].astype(np.int64) + 1)), np.log10(vocabulary.p(w)))[per]
             by_chunk = np.argsort(chunk_at, kind="stable")
             cuts = np.searchsorted(chunk_at[by_chunk], np.arange(len(chunks) + 1))
             for i, chunk in enumerate(chunks):
@@ -244,6 +239,7 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "
         return pa.table([pa.array(x, t) for x, t in zip(out.values(), types_, strict=True)], names=list(out))
 
     counted = materialize(rows.mapInArrow(stream, STREAM).groupBy("p").applyInArrow(count, PARTS), "bigrams")
+    shared.destroy()  # what follows needs no words
     got = counted.filter("kind = 'seen'").agg(*(F.sum(F.col("stats")[r]) for r in range(K + 2))).first()
     d = discounts(np.array([x or 0 for x in got]))
     hot = {r.h: np.array(r[1:]) for r in counted.filter("kind = 'hot'").groupBy("h").agg(*(F.sum(F.col("stats")[i]) for i in range(K + 2)), F.max(F.col("stats")[K + 2])).collect()}
