@@ -16,7 +16,9 @@ from docaudit.llm.graph import components
 from docaudit.llm.storage import blocks, materialize
 from docaudit.llm.textops import Words, chunked, distinct_by_row, mix, shingles
 
-ROWS, BITS, LOSS, SIGMAS, BLOCK = 4, 4, 1e-9, 6.5, 256
+ROWS, BITS, LOSS, SIGMAS = 4, 4, 1e-9, 6.5
+#: Members of a block where signatures meet (some 100 bytes each), and where full sets do.
+SIGNATURES, SETS = 2048, 256
 _NIBBLES = np.uint64(0x1111111111111111)
 
 
@@ -109,17 +111,17 @@ def likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
     return both.mapInArrow(run, "u binary, v binary")
 
 
-def spread(members: DataFrame, per_group: int) -> DataFrame:
+def spread(members: DataFrame, block: int, per_group: int) -> DataFrame:
     """Deals members (key, node, m of the key) to tasks: columns group, key, i, j.
 
-    A key of at most BLOCK members is whole in one group, with other keys, about per_group rows in all. A greater one is cut into
+    A key of at most `block` members is whole in one group, with other keys, about per_group rows in all. A greater one is cut into
     parts by a hash of the node, and every two parts meet in a group of their own.
     """
     total = members.count()
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    parts = F.ceil(F.col("m") / block).cast("int")
     dealt = members.withColumn("p", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.withColumn("i", F.least("p", "o")).withColumn("j", F.greatest("p", "o"))
-    return dealt.withColumn("group", F.when(F.col("m") <= BLOCK, F.pmod(F.xxhash64("key"), F.lit(blocks(total, per_group)))).otherwise(F.xxhash64("key", "i", "j"))).drop("p", "o")
+    return dealt.withColumn("group", F.when(F.col("m") <= block, F.pmod(F.xxhash64("key"), F.lit(blocks(total, per_group)))).otherwise(F.xxhash64("key", "i", "j"))).drop("p", "o")
 
 
 def forest(n: int, linked) -> list[tuple[int, int]]:
@@ -162,7 +164,7 @@ def likely_edges(members: DataFrame, num: int, den: int) -> DataFrame:
             out += [(node[at[x]], node[at[y]]) for x, y in forest(len(at), linked) if q[x] != q[y]]
         return pd.DataFrame(out, columns=["u", "v"])
 
-    return spread(members, 4096).groupBy("group").applyInPandas(run, "u binary, v binary")
+    return spread(members, SIGNATURES, 4096).groupBy("group").applyInPandas(run, "u binary, v binary")
 
 
 def with_sets(members: DataFrame, docs: DataFrame, size: int, id_col: str, text: str) -> DataFrame:
@@ -209,7 +211,7 @@ def verified_edges(members: DataFrame, num: int, den: int) -> DataFrame:
             out += [(node[at[x]], node[at[y]]) for x, y in forest(len(at), linked)]
         return pd.DataFrame(out, columns=["u", "v"])
 
-    return spread(members, 256).groupBy("group").applyInPandas(run, "u binary, v binary")
+    return spread(members, SETS, 256).groupBy("group").applyInPandas(run, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
