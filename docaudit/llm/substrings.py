@@ -22,7 +22,7 @@ from docaudit.llm.lm import squeeze, unsqueeze
 from docaudit.llm.storage import blocks, materialize, shuffle_partitions
 from docaudit.llm.textops import _BASE, _BASE_INVERSE, _BYTE, chunked, mix, powers, raw
 
-GRAM, CHUNK, BYTES_PER_PARTITION = 50, 1 << 21, 1 << 24
+GRAM, CHUNK, BYTES_PER_PARTITION = 50, 1 << 20, 1 << 24
 NONE, MARK = 0xFF, 0xFE  # bytes that no UTF-8 text has
 _NO_ID = -(1 << 63)
 
@@ -47,25 +47,28 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.
         return {"row": empty, "lo": empty, "count": empty, "off": empty, "g": empty.view(np.uint64), "nb": empty.view(np.uint64)}
     prefix = prefix_hashes(data)
     grams = mix((prefix[GRAM:] - prefix[:-GRAM]) * powers(_BASE_INVERSE, n)[: n - GRAM + 1])
-    least, place, reach = grams.copy(), np.arange(len(grams), dtype=np.int64), 1
+    del prefix
+    least, place, reach = grams, np.arange(len(grams), dtype=np.int32), 1
     while reach < width:  # leftmost minimum over doubling widths, the last step overlapping
         step = min(reach, width - reach)
         other = least[step:] < least[: len(least) - step]
         place = np.where(other, place[step:], place[: len(place) - step])
-        least = np.where(other, least[step:], least[: len(least) - step])
+        least = np.minimum(least[step:], least[: len(least) - step])
         reach += step
+    del least, other
     valid = np.zeros(n + 1, np.int64)
     full = sizes >= length
     np.add.at(valid, offsets[:-1][full], 1)
     np.add.at(valid, offsets[1:][full] - length + 1, -1)
-    at = np.flatnonzero(np.cumsum(valid)[: len(place)] > 0)
-    own = place[at]
+    at = np.flatnonzero(np.cumsum(valid)[: len(place)] > 0).astype(np.int64)
+    own = place[at].astype(np.int64)
+    del place
     new = np.concatenate([[True], (own[1:] != own[:-1]) | (np.diff(at) != 1)]) if len(at) else np.zeros(0, bool)
     new[1:] |= np.isin(at[1:], offsets[1:-1])
     first = np.flatnonzero(new)
     lo, count, p = at[first], np.diff(np.append(first, len(at))), own[first]
     row = np.searchsorted(offsets, lo, "right") - 1
-    return {"row": row, "lo": lo - offsets[row], "count": count, "off": p - lo, "g": grams[p], "nb": range_hashes(prefix, lo, lo + count - 1 + length)}
+    return {"row": row, "lo": lo - offsets[row], "count": count, "off": p - lo, "g": grams[p], "nb": range_hashes(prefix_hashes(data), lo, lo + count - 1 + length)}
 
 
 def range_min(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
