@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import langid, lines, lm, neardup, packing, secrets, substrings, topk, warc
+from docaudit.llm import decontaminate, langid, lines, lm, neardup, packing, secrets, substrings, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.katz_scores(table(spark, sf_dir, "documents"), langid.fold("doc_id", 7) == 2)
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = warc.archive_directory(spark)
     index = warc.write_archives(table(spark, sf_dir, "pages"), at)

@@ -74,13 +74,13 @@ def chunked(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of a column: hashes (A-Z lower-cased if asked), the row of each, and rows' word ranges.
 
-    cuts, a function of the bytes, may part words further.
+    cuts, a function of the bytes, may part words further; space says which bytes part them.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = True, cuts=None):
+    def __init__(self, column: pa.Array, lower: bool = True, cuts=None, space: np.ndarray = SPACE):
         data, offsets = raw(column)
         self.rows, n = len(offsets) - 1, len(data)
-        inside = ~SPACE[data]
+        inside = ~space[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         first, last = inside.copy(), inside.copy()
