@@ -123,11 +123,12 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     texts get the label of the nearest centroid; rejected says that it is too far to be trusted, where the distance allowed grows
     as a text has fewer than FULL_GRAMS distinct n-grams.
     """
+    own_text = text if text in keep else "__text"
     schema = ", ".join([f"`{c}` {dict(docs.dtypes)[c]}" for c in keep] + ["lang_pred string, score double, rejected boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunked(batches, "__text"):
-            column = batch.column(len(keep))
+        for batch in chunked(batches, own_text):
+            column = batch.column(own_text)
             data, offsets = raw(column)
             ascii_letter = np.concatenate([[0], np.cumsum((LOWER[data] >= 97) & (LOWER[data] <= 122))])
             lettered = np.diff(ascii_letter[offsets]) > 0
@@ -143,9 +144,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
                 scores = np.where(lettered, np.clip(near[np.arange(len(best)), best].astype(float), 0, 1), 0.0)
                 names = [model.languages[i] if ok else "und" for i, ok in zip(own, lettered, strict=True)]
                 far = ~lettered | (scores < model.least[own] * trust)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.bool_())], names=[*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.bool_())], names=[*keep, "lang_pred", "score", "rejected"])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if text in keep else [F.col(text).alias("__text")])).mapInArrow(run, schema)
 
 
 def fold(id_col: str, folds: int) -> Column:

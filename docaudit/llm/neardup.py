@@ -9,7 +9,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.llm.graph import components
@@ -72,9 +72,9 @@ def least_estimate(threshold: float, n: int) -> float:
 
 
 def sketch(docs: DataFrame, size: int, threshold: float, id_col: str, text: str) -> DataFrame:
-    """id, n_shingles, node (digest of the set), sig, bands; narrow. Sets are of whole texts; empty ones have no node."""
+    """id, th (hash of the text), n_shingles, node (digest of the set), sig, bands; narrow. Sets are of whole texts; empty ones have no node."""
     bands = bands_for(threshold)
-    schema = f"{id_col} {dict(docs.dtypes)[id_col]}, n_shingles long, node binary, sig binary, bands array<long>"
+    schema = f"{id_col} {dict(docs.dtypes)[id_col]}, th long, n_shingles long, node binary, sig binary, bands array<long>"
     places = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,9 +91,9 @@ def sketch(docs: DataFrame, size: int, threshold: float, id_col: str, text: str)
                 ids, low, key = digest(hashes, bounds)[full], packed(minima), key.view(np.int64)
                 for i, at in enumerate(full):
                     nodes[at], sig[at], keys[at] = ids[i].tobytes(), low[i].tobytes(), key[i]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=[id_col, "n_shingles", "node", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=[id_col, "th", "n_shingles", "node", "sig", "bands"])
 
-    return docs.select(id_col, text).mapInArrow(run, schema)
+    return docs.select(id_col, text, F.xxhash64(text).alias("th")).mapInArrow(run, schema)
 
 
 def likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -215,7 +215,7 @@ def verified_edges(members: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (least id that is reachable) and kept (the id is its component's) of every row.
+    """id, th (hash of the text), n_shingles, component_id (least id that is reachable) and kept (the id is its component's) of every row.
 
     Two texts are linked if their sets of distinct `size`-word shingles (A-Z lower-cased) have a Jaccard similarity of num/den or
     more; a text with fewer words is one shingle; null texts and texts without words are linked with nothing. Rows with equal
@@ -246,5 +246,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     final = components(verified_edges(full, num, den))
     least = final.join(classes, "node").groupBy("label").agg(F.min("id").alias("component"))
     of_node = classes.select("node", "id").join(final.join(least, "label").select("node", "component"), "node", "left").select("node", F.coalesce("component", "id").alias("component"))
-    out = rows.select(id_col, "n_shingles", "node").join(of_node, "node", "left").withColumn("component_id", F.coalesce("component", id_col))
-    return out.select(id_col, "n_shingles", "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"))
+    out = rows.select(id_col, "th", "n_shingles", "node").join(of_node, "node", "left").withColumn("component_id", F.coalesce("component", id_col))
+    return out.select(id_col, "th", "n_shingles", "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that near_duplicates keeps, one of each component; of rows equal in id and text one stays."""
+    gone = near_duplicates(docs, size, num, den, id_col, text).filter(~F.col("kept")).select(F.col(id_col).alias("__id"), F.col("th").alias("__th")).distinct()
+    keyed = docs.withColumn("__own", F.xxhash64(text))
+    left = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left_anti")
+    first = F.row_number().over(Window.partitionBy(id_col, "__own").orderBy(F.lit(1)))
+    return left.withColumn("__n", first).filter("__n = 1").drop("__own", "__n")

@@ -34,7 +34,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, num=85, den=100)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, num=85, den=100).drop("th")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
