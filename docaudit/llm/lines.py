@@ -24,16 +24,19 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
     of a line that is up to `edits` shorter or as long.
 
     Segment i can have moved by at most i places if all edits so far lie before it and by edits - i from the other end, so only
-    those places are probed (with d, the difference in length, on the right).
+    those places are probed (with d, the difference in length, on the right). All lie within lines of least_chars or more.
     """
     k, keys = edits + 1, []
     for d in range(edits + 1):
         for i in range(k):
             start, size = segment(length - d, i, k)
             for shift in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1):
-                at = start + shift
-                keys.append(F.when((at >= 1) & (at + size - 1 <= length) & (size > 0), F.xxhash64(F.lit(i), length - d, line.substr(at, size))))
-    return F.array_compact(F.array(*keys))
+                keys.append(F.xxhash64(F.lit(i), length - d, line.substr(start + shift, size)))
+    return F.array(*keys)
+
+
+def least_chars(edits: int) -> int:
+    return (edits + 1) * (edits + 2)
 
 
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
@@ -44,43 +47,40 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """
     width = 2 * edits + 1
     full = (1 << width) - 1
-    x, y = F.split(a, ""), F.split(b, "")
     band = lambda c: c.bitwiseAND(F.lit(full))
     flip = lambda c: band(F.bitwise_not(c))
     word = lambda n: F.lit(n).cast("long")
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  f of a value that is computed once
+
+    def of_characters(c: Column) -> Column:
+        x, y = c["x"], c["y"]
+
+        def column(state: Column, j: Column) -> Column:
+            def matched(pm: Column) -> Column:
+                vp, vn = state["vp"], state["vn"]
+                return once(band((pm.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(pm).bitwiseOR(vn), lambda d0: moved(d0, vp, vn))
+
+            def moved(d0: Column, vp: Column, vn: Column) -> Column:
+                hp, hn, down = vn.bitwiseOR(flip(d0.bitwiseOR(vp))), d0.bitwiseAND(vp), F.shiftrightunsigned(d0, 1)
+                return F.struct(
+                    band(hn.bitwiseOR(flip(down.bitwiseOR(hp)))).alias("vp"),
+                    down.bitwiseAND(hp).alias("vn"),
+                    (state["score"] + (d0.bitwiseAND(F.lit(1 << (width - 1))) == 0).cast("int")).alias("score"),
+                )
+
+            own, match = F.get(y, j - 1), word(0)
+            for d in range(width):
+                match = match + F.when(F.get(x, j - edits + d - 1) == own, word(1 << d)).otherwise(word(0))
+            return once(match, matched)
+
+        first = F.struct(word(full & ~((1 << edits) - 1)).alias("vp"), word(0).alias("vn"), F.lit(edits).alias("score"))
+        past = F.size(x) - F.size(y) + edits  # bits of rows past the end of a
+        mask = word(1 << (width - 1)) - F.call_function("shiftleft", word(1), past)
+        last = lambda s: s["score"] - F.bit_count(s["vp"].bitwiseAND(mask)) + F.bit_count(s["vn"].bitwiseAND(mask))
+        return once(F.aggregate(F.sequence(F.lit(1), F.size(y)), first, column), last)
 
-    def step(state: Column, j: Column) -> Column:
-        own = F.get(y, j - 1)
-        match = word(0)
-        for d in range(width):
-            match = match + F.when(F.get(x, j - edits + d - 1) == own, word(1 << d)).otherwise(word(0))
-        return F.struct(state["vp"].alias("vp"), state["vn"].alias("vn"), state["score"].alias("score"), match.alias("pm"))
-
-    def columns(state: Column, j: Column) -> Column:
-        s = step(state, j)
-        pm, vp, vn = s["pm"], state["vp"], state["vn"]
-        d0 = band((pm.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(pm).bitwiseOR(vn)
-        return F.struct(vp.alias("vp"), vn.alias("vn"), state["score"].alias("score"), d0.alias("d0"))
-
-    def merge(state: Column, j: Column) -> Column:
-        # d0 is named once through a one-element array, so that it is computed once
-        def finish(c: Column) -> Column:
-            d0, vp, vn = c["d0"], c["vp"], c["vn"]
-            hp, hn, down = vn.bitwiseOR(flip(d0.bitwiseOR(vp))), d0.bitwiseAND(vp), F.shiftrightunsigned(d0, 1)
-            return F.struct(
-                band(hn.bitwiseOR(flip(down.bitwiseOR(hp)))).alias("vp"),
-                down.bitwiseAND(hp).alias("vn"),
-                (c["score"] + (d0.bitwiseAND(F.lit(1 << (width - 1))) == 0).cast("int")).alias("score"),
-            )
-
-        return F.get(F.transform(F.array(columns(state, j)), finish), F.lit(0))
-
-    first = F.struct(word(full & ~((1 << edits) - 1)).alias("vp"), word(0).alias("vn"), F.lit(edits).alias("score"))
-    past = F.size(x) - F.size(y) + edits  # bits of rows past the end of a
-    mask = word(1 << (width - 1)) - F.call_function("shiftleft", word(1), past)
-    last = F.aggregate(F.sequence(F.lit(1), F.size(y)), first, merge, lambda s: s)
-    distance = F.get(F.transform(F.array(last), lambda s: s["score"] - F.bit_count(s["vp"].bitwiseAND(mask)) + F.bit_count(s["vn"].bitwiseAND(mask))), F.lit(0))
-    return F.when(F.abs(F.size(x) - F.size(y)) > edits, F.lit(edits + 1)).otherwise(distance)
+    far = F.abs(F.char_length(a) - F.char_length(b)) > edits
+    return F.when(far, F.lit(edits + 1)).otherwise(once(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")), of_characters))
 
 
 def line_classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,11 +95,14 @@ def line_classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_C
     that leaves several components under a key, against the lines of other components, within the join itself, so that
     only confirmed links leave it.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
-    length = F.char_length("line")
-    lines = rows.filter(length >= min_chars).withColumn("h", F.xxhash64("line"))
+    if min_chars < least_chars(edits):
+        raise ValueError(f"min_chars must be {least_chars(edits)} or more for {edits} edits")
+    whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.split(F.col(text), "\n", -1).alias("parts"))
+    rows = whole.select("id", "th", F.posexplode_outer("parts").alias("line_no", "line")).withColumn("chars", F.char_length("line"))
+    lines = rows.filter(F.col("chars") >= min_chars).withColumn("h", F.xxhash64("line"))
+    length = F.col("chars")
     occurrences = lines.select("id", "th", "line_no", "h", F.xxhash64(F.lit(1), "line").alias("g"))
-    keyed = lines.select("h", F.explode(probe_keys(F.col("line"), length, edits)).alias("key"))
+    keyed = lines.select("h", F.explode_outer(probe_keys(F.col("line"), length, edits)).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
     members = materialize(keyed.join(shared, "key").groupBy("key", "h").agg(F.count(F.lit(1)).alias("copies")), "members")
     nodes = members.select("h").distinct()
