@@ -315,7 +315,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 spans.append([x.astype(np.int64) for x in unsqueeze(data)])
         row, start, end = merged_spans(*(np.concatenate(x) for x in zip(*spans, strict=True)))
         heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, int)
-        stops = np.append(heads[1:], len(row))
+        stops = np.append(heads[1:], len(row))[: len(heads)]
         at = pa.array(row[heads], pa.int64())
         cut = [np.stack([start[a:b], end[a:b]], axis=1).astype("<u4").tobytes() for a, b in zip(heads, stops, strict=True)]
         return pa.table([meta["id"].take(at), meta["th"].take(at), pa.array([int((end[a:b] - start[a:b]).sum()) for a, b in zip(heads, stops, strict=True)], pa.int64()), pa.array(cut, pa.binary())], names=["id", "th", "n", "cut"])
