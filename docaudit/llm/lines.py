@@ -93,7 +93,7 @@ def line_classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_C
     Lines are cut at line feeds. Keys of segments and probes meet in one grouping with partial minima and maxima; only keys
     under which different lines meet are looked at again. Each line is held against the commonest line of its key, and, where
     that leaves several components under a key, against the lines of other components, within the join itself, so that
-    only confirmed links leave it.
+    only confirmed links leave it. Joins of all lines are sort-merge joins at every size.
     """
     if min_chars < least_chars(edits):
         raise ValueError(f"min_chars must be {least_chars(edits)} or more for {edits} edits")
@@ -104,9 +104,9 @@ def line_classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_C
     occurrences = lines.select("id", "th", "line_no", "h", F.xxhash64(F.lit(1), "line").alias("g"))
     keyed = lines.select("h", F.explode_outer(probe_keys(F.col("line"), length, edits)).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
-    members = materialize(keyed.join(shared, "key").groupBy("key", "h").agg(F.count(F.lit(1)).alias("copies")), "members")
+    members = materialize(keyed.join(shared.hint("merge"), "key").groupBy("key", "h").agg(F.count(F.lit(1)).alias("copies")), "members")
     nodes = members.select("h").distinct()
-    texts = materialize(lines.select("h", F.xxhash64(F.lit(1), "line").alias("g"), "line").join(nodes, "h").groupBy("h", "g").agg(F.any_value("line").alias("line")), "lines")
+    texts = materialize(lines.select("h", F.xxhash64(F.lit(1), "line").alias("g"), "line").join(nodes.hint("merge"), "h").groupBy("h", "g").agg(F.any_value("line").alias("line")), "lines")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of hashes the links between lines (u, v)."""
