@@ -25,9 +25,9 @@ def mode_first_seen(rows: DataFrame, keys: list[str], value: str, position: str
     Counts are made per key and value first, so a key with very many rows is partially aggregated by its values.
     """
     place = F.col(position) if isinstance(position, str) else position
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"))
-    # min_by on (-n, at): positions may be structs, which have no negative
-    return counted.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("n"), F.col("at"))).alias(name))
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"), F.min(place).alias("__at"))
+    # the least of (-count, place): places may be structs, which have no negative
+    return counted.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("__n"), F.col("__at"))).alias(name))
 
 
 def ordered_distinct(rows: DataFrame, keys: list[str], value: str, position: str, name: str) -> DataFrame:
