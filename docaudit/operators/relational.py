@@ -20,7 +20,7 @@ def lookup(df: DataFrame, **keys: Any) -> DataFrame:
     """Rows whose columns have these values; a value None matches null."""
     out = df
     for name, value in keys.items():
-        out = out.filter(F.col(name).eqNullSafe(F.lit(value)))
+        out = out.filter(F.col(name).isNull() if value is None else F.col(name) == value)
     return out
 
 

@@ -94,15 +94,17 @@ def parse_pdf(content: bytes) -> dict:
 
 
 def _read(files: DataFrame, kind: str, parse: Callable[[bytes], dict], schema: str) -> DataFrame:
+    fields = [f.split(" ")[0] for f in schema.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
                 try:
-                    out.append({"doc_id": doc_id, **parse(bytes(content)), "error": None})
+                    out.append({"doc_id": doc_id, **dict.fromkeys(fields), **parse(bytes(content))})
                 except Exception as e:  # a file that cannot be read becomes an error row
-                    out.append({"doc_id": doc_id, "error": str(e) or type(e).__name__})
-            yield pd.DataFrame(out).reindex(columns=["doc_id", *(f.split(" ")[0] for f in schema.split(", "))])
+                    out.append({"doc_id": doc_id, **dict.fromkeys(fields), "error": str(e) or type(e).__name__})
+            yield pd.DataFrame(out, columns=["doc_id", *fields], dtype=object)
 
     return files.filter(F.col("kind") == kind).select("doc_id", "content").mapInPandas(run, f"doc_id string, {schema}")
 
