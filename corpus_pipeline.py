@@ -12,31 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.llm import decontaminate, langid, lines, neardup, packing, queries
+from docaudit.llm.columns import shielded
 from docaudit.llm.storage import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the language model rejects: those without letters, or unlike all languages it has learned."""
-    train = langid.fold("doc_id", 3) != 1
-    return langid.language_id(docs, train, docs.columns).filter(~F.col("rejected")).select(*docs.columns)
+    inner, named = shielded(docs, "doc_id", "text", "lang")
+    return named(langid.language_id(inner, langid.fold("doc_id", 3) != 1, inner.columns).filter(~F.col("rejected")))
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines, and documents that nothing is left of; n_chars follows the text."""
-    out = lines.drop_repeated_lines(docs)
+    inner, named = shielded(docs, "doc_id", "text", "n_chars")
+    out = lines.drop_repeated_lines(inner)
     out = out.filter((F.col("lines_removed") == 0) | (F.length(F.trim(F.translate("text", "\n\t\r", ""))) > 0))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return named(out.withColumn("n_chars", F.char_length("text").cast("long")))
 
 
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    return neardup.drop_near_duplicates(docs).select(*docs.columns)
+    inner, named = shielded(docs, "doc_id", "text")
+    return named(neardup.drop_near_duplicates(inner))
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
+    inner, named = shielded(docs, "doc_id", "text")
     items = queries.table(spark, sf_dir, "benchmark")
-    return decontaminate.find_leaks(docs, items, [c for c in docs.columns if c != "text"]).filter(F.size("hits") == 0).select(*docs.columns)
+    return named(decontaminate.find_leaks(inner, items, [c for c in inner.columns if c != "text"]).filter(F.size("hits") == 0))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
