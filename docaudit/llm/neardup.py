@@ -168,11 +168,12 @@ def likely_edges(members: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def with_sets(members: DataFrame, docs: DataFrame, size: int, id_col: str, text: str) -> DataFrame:
-    """members (key, node, id, m, sig) with the full set of each node, from its document's text.
+    """members (key, node, m, sig, and at and th, id and text hash of one of its rows) with the full set of each node.
 
-    Texts come by an equi-join on the id; a text whose set is not the node's (an id that several rows have) is passed over.
+    Texts come by an equi-join on id and hash; a text whose set is not the node's is passed over.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(members, "id").select("key", "m", "node", "sig", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumn("own", F.xxhash64("text"))
+    texts = rows.join(members, F.col("id").eqNullSafe(F.col("at")) & (F.col("own") == F.col("th"))).select("key", "m", "node", "sig", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches):
@@ -229,7 +230,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     """
     rows = materialize(sketch(docs, size, num / den, id_col, text), "sketch")
     classes = materialize(
-        rows.filter("node is not null").groupBy("node").agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("n_shingles", "sig", "bands")).alias("x")).select("node", "id", "copies", "x.*"), "classes"
+        rows.filter("node is not null").groupBy("node").agg(F.min(id_col).alias("id"), F.min(F.struct(F.col(id_col).alias("at"), "th")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("n_shingles", "sig", "bands")).alias("x")).select("node", "id", "rep", "copies", "x.*"),
+        "classes",
     )
     entries = classes.select("node", "copies", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("copies", "node")).alias("rep")).filter("m > 1").select("key", "m", F.col("rep.node").alias("rep"))
@@ -242,7 +244,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     across = materialize(labelled.join(open_keys, "key").join(classes.select("node", "n_shingles", "sig"), "node"), "open")
     clusters = components(near.unionByName(likely_edges(across, num, den)))
     sized = clusters.join(clusters.groupBy("label").agg(F.count(F.lit(1)).alias("m")), "label").withColumnRenamed("label", "key")
-    full = materialize(with_sets(sized.join(classes.select("node", "id", "sig"), "node"), docs, size, id_col, text), "sets")
+    full = materialize(with_sets(sized.join(classes.select("node", "rep.at", "rep.th", "sig"), "node"), docs, size, id_col, text), "sets")
     final = components(verified_edges(full, num, den))
     least = final.join(classes, "node").groupBy("label").agg(F.min("id").alias("component"))
     of_node = classes.select("node", "id").join(final.join(least, "label").select("node", "component"), "node", "left").select("node", F.coalesce("component", "id").alias("component"))

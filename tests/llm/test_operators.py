@@ -1,0 +1,501 @@
+"""The training-data operators against brute force, and on odd rows."""
+
+import base64
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from docaudit.llm import decontaminate, graph, langid, lines, lm, neardup, packing, queries, secrets, storage, substrings, topk, warc
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, rejected string, hits int, p int, kind string, row int"
+CASE = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+rnd = random.Random(11)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(CASE))
+
+
+def prose(n, alphabet="the of and in to a is on was re er th an st".split()):
+    return " ".join("".join(rnd.choice(alphabet) for _ in range(rnd.randrange(1, 4))) for _ in range(n))
+
+
+def frame(spark, rows):
+    """Rows (doc_id, text) with columns whose names operators use themselves."""
+    return spark.createDataFrame([(i, x, "en", "s", None, 0.5, "x", 1, 2, "k", 3) for i, x in rows], SCHEMA)
+
+
+BASE = [prose(60) for _ in range(6)]
+ODD = [(None, "null id " + BASE[0]), (1, None), (2, ""), (3, " \n\t"), (4, BASE[0]), (5, BASE[0]), (6, BASE[0]), (6, BASE[0]), (7, BASE[1] + "\n" + BASE[2]), (8, prose(30000)), (9, "é" * 300), (10, "x"), (11, BASE[1])]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return frame(spark, ODD)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return frame(spark, [])
+
+
+def ids(df, column="doc_id"):
+    return sorted((r[column] for r in df.collect()), key=lambda x: (x is not None, x))
+
+
+ALL_IDS = sorted((i for i, _ in ODD), key=lambda x: (x is not None, x))
+
+
+# Secrets
+
+
+def brute_secrets(text):
+    text, found = text or "", []
+    for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 8:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+def test_secrets_equal_plain_search():
+    parts = ["password", "PassWd", "secret", "toKEN", "api_key", "apikey", "=", ":", " ", '"', "'", "abcdefgh", "x1", "AKIA", "AKIAABCDEFGHIJKL", "0123456789abcdef" * 2, "é", "ſecret", "\n", "a" * 40]
+    for _ in range(600):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 14)))
+        assert [s for s in secrets.scan(text) if s[1] < 3] == brute_secrets(text), text
+
+
+def test_embedded_checksums():
+    body = "".join(rnd.choice(secrets.BASE62) for _ in range(30))
+    good, bad = f"ghp_{body}{secrets.base62_crc(body)}", f"npm_{body}AAAAAA"
+    assert [secrets.KINDS[k] for _, k, _ in secrets.scan(f"é {good} {bad}")] == ["github_token"]
+
+
+def test_secrets_on_odd_rows(odd, none):
+    assert ids(secrets.find_secrets(odd)) == ALL_IDS
+    row = secrets.find_secrets(odd.filter("doc_id = 1")).first()
+    assert (row.n_assign, row.spans, row.base_sha256) == (0, "", hashlib.sha256(b"").hexdigest())
+    assert secrets.find_secrets(none).count() == 0
+
+
+# Packing
+
+
+def test_word_ids_equal_the_tokenizer():
+    from docaudit.llm.textops import Words, pa
+
+    texts = [t or "" for _, t in ODD] + ["a<|endoftext|>b don't", "x\x1cy", "İstanbul ΑΣ.a é ́", "<|startoftext|>1,a", "»,a «b» a.́b ≠ A1b2c", "It's, we'll!a'd2", ""]
+    found = Words(pa.array(texts), lower=False, cuts=packing.letter_cuts)
+    got, lengths = packing.WordIds(queries.tokenizer_path()).encode(found)
+    bounds = np.concatenate([[0], np.cumsum(lengths)])[found.bounds]
+    plain = packing.tokenizer(queries.tokenizer_path()).encode_batch(texts, add_special_tokens=False)
+    assert [got[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in plain]
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 400, 5000])
+def test_packing_is_close_to_the_bound(n):
+    lengths = np.array([min(2048, int(rnd.lognormvariate(6.3, 0.9)) + 1) for _ in range(n)], np.int64)
+    bins, offsets = packing.pack(lengths)
+    used = collections.defaultdict(list)
+    for b, o, x in zip(bins, offsets, lengths):
+        used[b].append((o, x))
+    for b, pieces in used.items():
+        at = 0
+        for o, x in sorted(pieces):
+            assert o == at
+            at += x
+        assert at <= 2048
+    assert len(used) <= math.ceil(lengths.sum() / 2048) * 1.01 + 2
+
+
+def test_packing_on_odd_rows(odd, none):
+    rows = packing.best_fit_packing(odd, queries.tokenizer_path()).collect()
+    encoder = packing.tokenizer(queries.tokenizer_path())
+    whole = {i: encoder.encode(x or "", add_special_tokens=False).ids + [0] for i, x in ODD}
+    for r in rows:
+        own = np.array(whole[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert len(own) == r.length and zlib.crc32(own.tobytes()) == r.ids_crc32
+    assert sum(r.length for r in rows) == sum(len(whole[i]) for i, _ in ODD)
+    assert packing.best_fit_packing(none, queries.tokenizer_path()).count() == 0
+
+
+# Language ID
+
+
+def test_languages_are_told_apart(spark):
+    a, b = "the of and in".split(), "der und die ung".split()
+    rows = [(i, prose(40, a if i % 2 else b), "en" if i % 2 else "de") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held", langid.fold("doc_id", 3) == 1)
+    got = langid.language_id(docs, ~F.col("held"), ["doc_id", "lang", "held"]).filter("held").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got) > 50
+    other = docs.limit(1).select("doc_id", F.lit("привет мир " * 40).alias("text"))
+    far = langid.predict(other, langid.fit(docs), ["doc_id"]).first()
+    assert far.rejected and far.score < 0.1
+
+
+def test_language_of_odd_rows(odd, none):
+    got = langid.language_id(odd, F.lit(True), ["doc_id", "source"]).collect()
+    assert len(got) == len(ODD) and {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"}
+    assert all(0 <= r.score <= 1 for r in got)
+    assert langid.language_id(none, F.lit(True), ["doc_id"]).count() == 0
+    unlearned = langid.predict(odd, langid.fit(none), ["doc_id"]).first()
+    assert unlearned.lang_pred == "und" and unlearned.rejected
+
+
+# Near duplicates
+
+
+def brute_components(rows, size, num, den):
+    sets = []
+    for i, x in rows:
+        w = words(x)
+        sets.append((i, frozenset(tuple(w[j : j + size]) for j in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])))
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            s, t = sets[a][1], sets[b][1]
+            if s and t and den * len(s & t) >= num * len(s | t):
+                parent[find(a)] = find(b)
+    groups = collections.defaultdict(list)
+    for a in range(len(sets)):
+        groups[find(a)].append(sets[a][0])
+    return {(sets[a][0], len(sets[a][1])): min((i for i in groups[find(a)] if i is not None), default=None) for a in range(len(sets))}
+
+
+def near_rows():
+    rows = []
+    for g in range(12):
+        base = prose(rnd.randrange(20, 120)).split()
+        for k in range(12):
+            copy = list(base)
+            for _ in range(rnd.randrange(0, 5)):
+                copy[rnd.randrange(len(copy))] = prose(1)
+            rows.append((1000 * g + k, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize(("size", "num"), [(3, 85), (5, 80)])
+def test_near_duplicates_equal_brute_force(spark, size, num):
+    rows = near_rows() + ODD
+    got = neardup.near_duplicates(frame(spark, rows), size, num, 100).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.n_shingles): r.component_id for r in got} == brute_components(rows, size, num, 100)
+
+
+def test_near_duplicates_drop_to_one(odd, none):
+    left = neardup.drop_near_duplicates(odd, 3, 85, 100)
+    assert ids(left) == [1, 2, 3, 4, 7, 8, 9, 10, 11]
+    assert left.columns == odd.columns
+    assert neardup.near_duplicates(none).count() == 0
+
+
+def test_bands_find_pairs_at_the_threshold():
+    for t in (0.8, 0.85):
+        assert (1 - t**neardup.ROWS) ** neardup.bands_for(t) <= neardup.LOSS
+
+
+def test_estimate_is_corrected():
+    from docaudit.llm.neardup import estimate, packed, signatures
+
+    n = 512
+    pool = np.random.default_rng(3).integers(0, 1 << 63, 3000, dtype=np.uint64)
+    a, b = pool[:2000], pool[500:2500]  # 1500 of 2500
+    sig = packed(signatures(np.concatenate([a, b]), np.array([0, len(a)]), n))
+    assert abs(estimate(sig[0], sig[1], n) - 0.6) < 0.1
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200)]
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# Lines
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def edited(base, n, alphabet="abcé"):
+    out = list(base)
+    for _ in range(n):
+        i, kind = rnd.randrange(len(out) + 1), rnd.randrange(3)
+        if kind == 0:
+            out.insert(i, rnd.choice(alphabet))
+        elif out and kind == 1:
+            out.pop(min(i, len(out) - 1))
+        elif out:
+            out[min(i, len(out) - 1)] = rnd.choice(alphabet)
+    return "".join(out)
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_banded_distance(spark, edits):
+    pairs = [(a, edited(a, rnd.randrange(0, 5)) or "a") for a in ("".join(rnd.choice("abcé") for _ in range(rnd.randrange(1, 14))) for _ in range(300))]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", lines.banded_distance(F.col("a"), F.col("b"), edits).alias("d")).collect()
+    assert all(min(r.d, edits + 1) == min(levenshtein(r.a, r.b), edits + 1) for r in got)
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_line_classes_equal_brute_force(spark, edits):
+    rows = []
+    for g in range(6):
+        base = "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(20, 36)))
+        rows += [(100 * g + k, "short\n" + edited(base, rnd.randrange(0, 3), "xyz") + "\n" + base) for k in range(8)]
+    rows += [r for r in ODD if r[0] != 8]
+    got = {(r.doc_id, r.line_no): (r.class_id, r.class_line_no) for r in lines.line_classes(frame(spark, rows), edits, 20).collect()}
+    seen = collections.defaultdict(list)
+    for i, x in rows:
+        for n, line in enumerate((x or "").split("\n")):
+            if len(line) >= 20:
+                seen[line].append((i, n))
+    parent = {x: x for x in seen}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in seen:
+        for y in seen:
+            if x < y and abs(len(x) - len(y)) <= edits and find(x) != find(y) and levenshtein(x, y) <= edits:
+                parent[find(x)] = find(y)
+    groups = collections.defaultdict(list)
+    for x, where in seen.items():
+        groups[find(x)] += where
+    assert got == {o: min(g, key=lambda o: (o[0] is not None, o)) for g in groups.values() for o in g}
+
+
+def test_repeated_lines_go(odd, none):
+    got = {r.doc_id: r.text for r in lines.drop_repeated_lines(odd).collect()}
+    texts = dict(ODD)
+    assert got[4] == BASE[0] and got[5] == "" and got[1] is None and got[2] == "" and got[10] == "x"
+    assert got[7] == texts[7] and got[11] == "" and got[8] == texts[8]
+    assert lines.line_classes(none).count() == 0
+    plan = lines.drop_repeated_lines(odd)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+    with pytest.raises(ValueError, match="min_chars"):
+        lines.line_classes(odd, 3, 5)
+
+
+# Top k
+
+
+def brute_top(rows, k):
+    ok = [(i, np.floor(256 * np.array(v, np.float64)).astype(int)) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    out = set()
+    for q, v in ok:
+        if q % 50 == 0:
+            best = sorted((-int(v @ w), i) for i, w in ok if i != q and len(w) == len(v))[:k]
+            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    return out
+
+
+def test_top_k_equals_brute_force(spark):
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(330)]
+    rows += [(400 + i, rows[0][1]) for i in range(12)] + [(600, None), (650, [1.0, None]), (651, [float("nan")] * 8), (652, [float("inf")] * 8), (653, []), (700, [1.0, 2.0]), (701, [2.0, 1.0])]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, score int, v string")
+    got = {tuple(r) for r in topk.exact_top_k(df, F.col("vec_id") % 50 == 0).collect()}
+    assert got == brute_top(rows, 5)
+    assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_elimination_skips_candidates():
+    gen = np.random.default_rng(1)
+    x = np.concatenate([gen.normal(0, 1, (50, 4)), gen.normal(1000, 1, (5000, 4))]).round()
+    pivots = topk.choose_pivots(x, 4)
+    table = np.concatenate([(x * x).sum(axis=1)[:, None], np.linalg.norm(x[:, None] - pivots[None], axis=2)], axis=1)
+    scores, found = topk.search_block(np.arange(len(x)), x, table, 60, x[60], table[60], 5)
+    exact = sorted((-int(x[60] @ x[i]), i) for i in range(len(x)) if i != 60)[:5]
+    assert list(zip((-scores).tolist(), found.tolist())) == exact
+
+
+# Language model
+
+
+def brute_scores(rows):
+    held = lambda i: zlib.crc32((str(i) if i is not None else "").encode()) % 7 == 2
+    u, b = collections.Counter(), collections.Counter()
+    for i, x in rows:
+        if not held(i):
+            w = [*words(x), "\0"]
+            u.update(w)
+            b.update(zip(["\0", *w[:-1]], w))
+    total, n = sum(u.values()), len(u)
+    tally = lambda c: np.array([0] + [sum(v == r for v in c.values()) for r in range(1, lm.K + 2)], float)
+    d1, d2 = lm.discounts(tally(u)), lm.discounts(tally(b))
+    cut = lambda d, c: (d[c] if c <= lm.K else 1) * c
+    p = {w: cut(d1, c) / (total + 1) for w, c in u.items()}
+    unknown, mass, seen = 1 - sum(p.values()), collections.Counter(), collections.Counter()
+    for (h, w), c in b.items():
+        mass[h] += cut(d2, c)
+        seen[h] += p[w]
+    alpha = lambda h: (1 - mass[h] / (u[h] + 1)) / (1 - seen[h]) if u[h] else 1.0
+    for h in list(u)[:20]:
+        whole = sum(cut(d2, b[h, w]) / (u[h] + 1) if (h, w) in b else alpha(h) * p[w] for w in u) + alpha(h) * unknown
+        assert abs(whole - 1) < 1e-9
+    out = collections.Counter()
+    for i, x in rows:
+        w = [*words(x), "\0"]
+        base = sum(math.log10((u[t] + 1) / (total + n + 1)) for t in w)
+        score = sum(math.log10(cut(d2, b[h, t]) / (u[h] + 1)) if (h, t) in b else math.log10(alpha(h) * p.get(t, unknown)) for h, t in zip(["\0", *w[:-1]], w))
+        out[i, held(i), len(w), sum(u[t] > 0 for t in w), total, round(base, 5), round(score, 5)] += 1
+    return out
+
+
+@pytest.mark.parametrize("scores", [lm.katz_scores, lm.katz_scores_joined])
+def test_scores_equal_brute_force(spark, scores):
+    rows = [(i, prose(rnd.randrange(0, 80))) for i in range(60)] + [r for r in ODD if r[0] != 8]
+    got = scores(frame(spark, rows), langid.fold("doc_id", 7) == 2).collect()
+    assert collections.Counter((*tuple(r)[:5], round(r.base_score, 5), round(r.score, 5)) for r in got) == brute_scores(rows)
+
+
+def test_scores_without_training_rows(odd, none):
+    got = lm.katz_scores(odd, F.lit(True)).collect()
+    assert len(got) == len(ODD) and all(r.n_known == 0 and math.isfinite(r.score) for r in got)
+    assert lm.katz_scores(none, F.lit(False)).count() == 0
+
+
+def test_a_large_vocabulary_is_joined(spark):
+    df = frame(spark, [(i, prose(20)) for i in range(20)])
+    few, many = (sorted((r.doc_id, round(r.score, 6)) for r in lm.katz_scores(df, langid.fold("doc_id", 7) == 2, max_words=m).collect()) for m in (1, 1 << 20))
+    assert few == many
+
+
+# Decontamination
+
+
+def test_leaks(spark, odd, none):
+    items = [(i, prose(12) + ". " + prose(10) + ".") for i in range(30)] + [(90, prose(20)), (91, None), (92, ""), (93, prose(200))]
+    long = prose(3000).split()
+    docs = [(100 + i, prose(70) + " " + x.upper() + " " + prose(150)) for i, (_, x) in enumerate(items) if x] + [(300, prose(400)), (301, " ".join(long[:1500]) + "\n" + items[3][1] + "\n" + " ".join(long[1500:]))]
+    docs += [(302, prose(50) + " " + items[5][1].split(". ")[0])]  # a question without its answer
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, docs), benchmark).collect()}
+    assert got == {(100 + n, item) for n, (item, x) in enumerate(items) if x} | {(301, 3)}
+    assert decontaminate.leaks(odd, benchmark).count() == 0
+    assert decontaminate.leaks(none, benchmark).count() == 0 and decontaminate.leaks(odd, benchmark.limit(0)).count() == 0
+
+
+def test_block_maxima_lose_nothing():
+    from docaudit.llm.decontaminate import Index, words_of
+    from docaudit.llm.textops import pa
+
+    items = [(i, prose(20)) for i in range(100)]
+    index = Index.build(items)
+    text = " ".join(x for _, x in items[:50])
+    hits = index.matches(words_of(pa.array([text])))
+    assert {index.ids[i] for i in hits[0]} >= set(range(50))
+
+
+# Archives
+
+
+def test_archives_round_trip(spark):
+    rows = [(1, "http://a/é x", "same"), (2, None, "same"), (3, "u", "same"), (3, "u", "same"), (4, "v", None), (5, "w", ""), (6, "y\r\nz", "é" * 1000), (None, "n", "alone"), (None, "m", "same"), (7, "q", "x" * 300000)]
+    pages = spark.createDataFrame([(a, b, c, "x") for a, b, c in rows], "page_id long, url string, html string, kind string")
+    at = warc.archive_directory(spark)
+    index = warc.write_archives(pages, at)
+    got = sorted((tuple(r) for r in warc.read_records(index, at).drop("url", "payload").collect()), key=repr)
+    best = {"same": 3, "": 5, "é" * 1000: 6, "alone": None, "x" * 300000: 7}
+    expected = []
+    for i, _, html in rows:
+        body = (html or "").encode()
+        first = i == best[html or ""]
+        expected.append((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if first else "revisit", None if first else best[html or ""]))
+    assert got == sorted(expected, key=repr)
+    one = warc.read_records(index.filter("page_id = 6"), at).first()
+    assert bytes(one.payload).decode() == "é" * 1000 and one.url == "y\r\nz"
+    small = warc.write_archives(pages, warc.archive_directory(spark), least=5)
+    assert small.filter("kind = 'revisit'").count() == 0
+    assert warc.write_archives(pages.limit(0), at).count() == 0
+
+
+# Substrings
+
+
+def brute_repeats(rows, length):
+    seen, out = set(), {}
+    for i, x in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        data = (x or "").encode()
+        gone = bytearray(len(data))
+        for s in range(len(data) - length + 1):
+            w = data[s : s + length]
+            if w in seen:
+                gone[s : s + length] = b"\1" * length
+            seen.add(w)
+        kept = bytes(b for b, g in zip(data, gone) if not g)
+        out[i] = (len(data), sum(gone), sum(g and not (s and gone[s - 1]) for s, g in enumerate(gone)), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_repeats_equal_brute_force(spark):
+    base = "".join(rnd.choice("abcdefgh é") for _ in range(400))
+    rows = [(i, "".join(rnd.choice("xy") for _ in range(30)) + base[rnd.randrange(200) :][: rnd.randrange(90, 300)] + "".join(rnd.choice("uv") for _ in range(30))) for i in range(60)]
+    rows += [(100, "a" * 900), (101, "ab" * 300), (102, "b" + "ab" * 200), (103, "xyz" * 80 + "é" * 90), (104, None), (105, ""), (106, base[:100]), (107, base[:99]), (None, base[50:250])]
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.remove_repeats(frame(spark, rows)).collect()}
+    assert got == brute_repeats(rows, 100)
+
+
+def test_repeats_on_odd_rows(odd, none):
+    got = substrings.remove_repeats(odd, with_kept=True).collect()
+    assert sorted((r.doc_id for r in got), key=lambda x: (x is not None, x)) == ALL_IDS
+    twins = [r for r in got if r.doc_id == 6]
+    assert twins[0] == twins[1]
+    assert substrings.remove_repeats(none).count() == 0
+
+
+def test_collection_bwt_sorts_all_suffixes():
+    strings = [bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(1, 30))) for _ in range(40)]
+    lengths = np.array([len(s) for s in strings])
+    string, size, common = substrings.collection_bwt(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(lengths) - lengths, lengths)
+    found = [strings[s][len(strings[s]) - n :] for s, n in zip(string, size)]
+    assert len(found) == lengths.sum() + len(strings) and found == sorted(found)
+    shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert all(c == shared(a, b) for a, b, c in zip(found, found[1:], common[1:]))
+
+
+# Pipeline
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = [(i, prose(80) + "\n" + prose(40)) for i in range(20)]
+    item = prose(25) + "."
+    rows = texts + [(100, texts[0][1]), (101, prose(60) + " " + item + " " + prose(60)), (102, None), (103, "123 456"), (104, ""), (105, texts[1][1].replace("the", "teh", 1))]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = storage.materialize(stage(spark, docs, str(tmp_path)), name)
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns
+        docs, seen[name] = out, set(ids(out))
+    assert seen["language_id"] == set(range(20)) | {100, 101, 105}
+    assert seen["line_dedup"] == set(range(20)) | {101, 105}
+    assert seen["benchmark_decontamination"] == seen["minhash_near_dedup"] - {101}
+    assert seen["best_fit_packing"] >= set(range(20))
+    assert set(ids(corpus_pipeline.run(spark, str(tmp_path)))) == seen["best_fit_packing"]
