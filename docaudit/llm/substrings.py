@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from docaudit.llm.lm import squeeze, unsqueeze
 from docaudit.llm.storage import blocks, materialize, shuffle_partitions
-from docaudit.llm.textops import _BASE, _BASE_INVERSE, _BYTE, chunked, mix, powers, raw
+from docaudit.llm.textops import _BASE, _BASE_INVERSE, _BYTE, chunked, mix, powers, raw, release
 
 GRAM, CHUNK, BYTES_PER_PARTITION = 50, 1 << 20, 1 << 24
 NONE, MARK = 0xFF, 0xFE  # bytes that no UTF-8 text has
@@ -247,6 +247,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         for i, j in by_chunk(at[ask], len(chunks)):
             j = ask[j]
             out.append(("ask", chunks[i], squeeze(row[j], lo[j], count[j], off[j], g[j])))
+        del g, nb, at, row, lo, count, off, order
+        release()
         return pa.table({"p": pa.array([p] * len(out), pa.int32()), "kind": pa.array([x[0] for x in out], pa.string()), "chunk": pa.array([x[1] for x in out], pa.int64()), "data": pa.array([x[2] for x in out], pa.binary())})
 
     found = materialize(rows.mapInArrow(stream, STREAM).groupBy("p").applyInArrow(reduce, STREAM), "anchors")
@@ -301,6 +303,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         string, offset = repeated_windows([strings[i] for i in unique], order, length - GRAM + 6)
         key, start = order[string], order[string][:, 3] + offset
         chunks, at = np.unique(key[:, 1], return_inverse=True)
+        release()
         out = [(int(chunks[i]), squeeze(*(x.astype(np.uint32) for x in merged_spans(key[j, 2], start[j], start[j] + length)))) for i, j in by_chunk(at, len(chunks))]
         return pa.table({"kind": pa.array(["gone"] * len(out), pa.string()), "chunk": pa.array([x[0] for x in out], pa.int64()), "data": pa.array([x[1] for x in out], pa.binary())})
 
