@@ -15,7 +15,8 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links each node's greater (large) or smaller (small) neighbours, and in a small star itself, to its least neighbour."""
     near = _both_ways(edges) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # stored, so that the join has an exchange of its own on either side, which the engine can split for a node with many neighbours
+    least = materialize(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     joined = near.join(least, "u")
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -130,7 +130,8 @@ def line_classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_C
     final = components(first.unionByName(second))
     named = occurrences.join(final.select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), "label"), ["h", "g"], "left")
     named = named.select("id", "th", "line_no", F.coalesce("label.h", "h").alias("h"), F.coalesce("label.g", "g").alias("g"))
-    heads = named.groupBy("h", "g").agg(F.min(F.struct("id", "line_no")).alias("head"))
+    # stored, so that the join below has an exchange of its own on either side, which the engine can split for a common line
+    heads = materialize(named.groupBy("h", "g").agg(F.min(F.struct("id", "line_no")).alias("head")), "heads")
     out = named.join(heads, ["h", "g"])
     kept = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("line_no") == F.col("head.line_no"))
     return out.select(F.col("id").alias(id_col), "th", "line_no", F.col("head.id").alias("class_id"), F.col("head.line_no").alias("class_line_no"), kept.alias("kept"))
