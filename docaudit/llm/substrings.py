@@ -207,7 +207,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             b = {k: v[~first] for k, v in a.items()}
             out += [(-1 - chunk % n_parts, "rows", sink.getvalue().to_pybytes()), (-1 - chunk % n_parts, "gone", squeeze(*(x.astype(np.uint32) for x in merged_spans(b["row"], b["lo"], b["lo"] + b["count"] - 1 + length))))]
             a = {k: v[first] for k, v in a.items()}
-            p = ((a["g"] >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
+            p = ((mix(a["g"]) >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)  # minima are small: mixed again
+            order = np.argsort(p, kind="stable")
+            a, p = {k: v[order] for k, v in a.items()}, p[order]
             cuts = np.searchsorted(p, np.arange(n_parts + 1))
             low, nb = (a["g"] & np.uint64(0xFFFFFFFF)).astype(np.uint32), a["nb"] & np.uint64((1 << 48) - 1)
             for q in np.flatnonzero(np.diff(cuts)):
