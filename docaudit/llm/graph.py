@@ -31,15 +31,15 @@ def components(edges: DataFrame) -> DataFrame:
     Both stars are a partial minimum and an equi-join, so a node with very many neighbours is split by the engine; the number
     of rounds grows with the logarithm of a component's size. Edges stay in tables; only a count and a checksum come back.
     """
-    now = materialize(edges.filter(F.col("u") != F.col("v")).distinct(), "edges")
-    seen = None
+    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    down = edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    now = materialize(down.distinct(), "edges")
+    seen = mark(now)
     while True:
         after = materialize(_star(_star(now, large=True), large=False), "edges")
-        mark = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         discard(now)
-        now = after
-        if mark == seen:
+        now, before, seen = after, seen, mark(after)
+        if seen == before:
             break
-        seen = mark
     labels = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return materialize(labels.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct(), "labels")
