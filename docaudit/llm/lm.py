@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.llm.storage import blocks, materialize, shuffle_partitions
+from docaudit.llm.storage import blocks, stored, shuffle_partitions
 from docaudit.llm.textops import Words, chunked, mix
 
 #: Good-Turing counts up to K are discounted. Words of the whole vocabulary that are broadcast at most; entries of a partition.
@@ -149,7 +149,7 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    table = materialize(count_words(rows, shuffle_partitions(spark)), "words")
+    table = stored(count_words(rows, shuffle_partitions(spark)), "words")
     first = table.agg(F.sum("words"), F.sum("total"), *(F.sum(F.col("seen")[r]) for r in range(K + 2))).first()
     n_words, total, seen = int(first[0] or 0), int(first[1] or 0), np.array([x or 0 for x in first[2:]], float)
     if n_words > max_words:
@@ -238,8 +238,8 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "
         types_ = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.binary()]
         return pa.table([pa.array(x, t) for x, t in zip(out.values(), types_, strict=True)], names=list(out))
 
-    counted = materialize(rows.mapInArrow(stream, STREAM).groupBy("p").applyInArrow(count, PARTS), "bigrams")
-    shared.destroy()  # what follows needs no words
+    counted = stored(rows.mapInArrow(stream, STREAM).groupBy("p").applyInArrow(count, PARTS), "bigrams")
+    shared.unpersist()  # what follows needs no words; the driver keeps them for partitions that are computed again
     got = counted.filter("kind = 'seen'").agg(*(F.sum(F.col("stats")[r]) for r in range(K + 2))).first()
     d = discounts(np.array([x or 0 for x in got]))
     hot = {r.h: np.array(r[1:]) for r in counted.filter("kind = 'hot'").groupBy("h").agg(*(F.sum(F.col("stats")[i]) for i in range(K + 2)), F.max(F.col("stats")[K + 2])).collect()}
@@ -300,10 +300,10 @@ def katz_scores_joined(docs: DataFrame, held_out, id_col: str = "doc_id", text:
             key = np.char.add(f"{task}-{i}-", row.astype(str))
             yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array(h), pa.array(w)], names=["row", "id", "held", "h", "w"])
 
-    tokens = materialize(rows.mapInArrow(run, f"row string, id {id_type}, held boolean, h long, w long"), "tokens")
+    tokens = stored(rows.mapInArrow(run, f"row string, id {id_type}, held boolean, h long, w long"), "tokens")
     train = tokens.filter(~F.col("held"))
-    unigrams = materialize(train.groupBy("w").agg(F.count(F.lit(1)).alias("c")), "words")
-    bigrams = materialize(train.groupBy("h", "w").agg(F.count(F.lit(1)).alias("c")), "bigrams")
+    unigrams = stored(train.groupBy("w").agg(F.count(F.lit(1)).alias("c")), "words")
+    bigrams = stored(train.groupBy("h", "w").agg(F.count(F.lit(1)).alias("c")), "bigrams")
     tally = lambda t: np.array([0, *(x or 0 for x in t.agg(*(F.sum((F.col("c") == r).cast("long")) for r in range(1, K + 2))).first())], float)
     first = unigrams.agg(F.count(F.lit(1)), F.sum("c")).first()
     n_words, total = int(first[0]), int(first[1] or 0)

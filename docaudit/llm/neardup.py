@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.llm.graph import components
-from docaudit.llm.storage import blocks, materialize
+from docaudit.llm.storage import blocks, stored
 from docaudit.llm.textops import Words, chunked, distinct_by_row, mix, shingles
 
 ROWS, BITS, LOSS, SIGMAS = 4, 4, 1e-9, 6.5
@@ -228,23 +228,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     a group, and compare a member only with those not reached yet. Null ids count as no id: such a row takes its class's
     least id. Repeated rows are in one class; an empty table gives no rows; other columns are ignored.
     """
-    rows = materialize(sketch(docs, size, num / den, id_col, text), "sketch")
-    classes = materialize(
+    rows = stored(sketch(docs, size, num / den, id_col, text), "sketch")
+    classes = stored(
         rows.filter("node is not null").groupBy("node").agg(F.min(id_col).alias("id"), F.min(F.struct(F.col(id_col).alias("at"), "th")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("n_shingles", "sig", "bands")).alias("x")).select("node", "id", "rep", "copies", "x.*"),
         "classes",
     )
     entries = classes.select("node", "copies", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("copies", "node")).alias("rep")).filter("m > 1").select("key", "m", F.col("rep.node").alias("rep"))
-    members = materialize(entries.join(buckets, "key").select("key", "node", "m", "rep"), "members")
+    members = stored(entries.join(buckets, "key").select("key", "node", "m", "rep"), "members")
     stars = members.filter(F.col("node") != F.col("rep")).select(F.least("node", "rep").alias("u"), F.greatest("node", "rep").alias("v")).distinct()
-    near = materialize(likely(stars, classes, num, den), "likely")
+    near = stored(likely(stars, classes, num, den), "likely")
     labels = components(near)
     labelled = members.filter("m > 2").select("key", "node", "m").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
-    across = materialize(labelled.join(open_keys, "key").join(classes.select("node", "n_shingles", "sig"), "node"), "open")
+    across = stored(labelled.join(open_keys, "key").join(classes.select("node", "n_shingles", "sig"), "node"), "open")
     clusters = components(near.unionByName(likely_edges(across, num, den)))
     sized = clusters.join(clusters.groupBy("label").agg(F.count(F.lit(1)).alias("m")), "label").withColumnRenamed("label", "key")
-    full = materialize(with_sets(sized.join(classes.select("node", "rep.at", "rep.th", "sig"), "node"), docs, size, id_col, text), "sets")
+    full = stored(with_sets(sized.join(classes.select("node", "rep.at", "rep.th", "sig"), "node"), docs, size, id_col, text), "sets")
     final = components(verified_edges(full, num, den))
     least = final.join(classes, "node").groupBy("label").agg(F.min("id").alias("component"))
     of_node = classes.select("node", "id").join(final.join(least, "label").select("node", "component"), "node", "left").select("node", F.coalesce("component", "id").alias("component"))

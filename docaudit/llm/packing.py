@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.llm.storage import blocks, materialize
+from docaudit.llm.storage import blocks, stored
 from docaudit.llm.textops import Words, chunked
 
 CAPACITY, GROUPS, PIECES_PER_SHARD = 2048, 32, 1 << 16
@@ -276,7 +276,7 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     shard sees the same spread of lengths, so a shard more costs a few sequences at most. Null and empty texts are the single
     id 0; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
     """
-    pieces = materialize(tokenize(docs, tokenizer_path, capacity), "pieces")
+    pieces = stored(tokenize(docs, tokenizer_path, capacity), "pieces")
     shards = blocks(pieces.count(), per_shard)
     key = [f.name for f in pieces.schema.fields]
 

@@ -1,4 +1,4 @@
-"""Tables that cut lineage, in the folder that all executors share."""
+"""Tables kept between jobs: on executors with their lineage, or written to the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,12 +36,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Computes df once and keeps it on the executors' disks, with its lineage: what a lost executor held is computed again.
+
+    For tables that one call reads several times, outside loops (whose plans would grow). A write of a table costs a file and its commit a partition, which for many small
+    tables is dearer than the tables; spark.catalog.clearCache() lets all of them go.
+    """
+    spark = df.sparkSession
+    spark.sparkContext.setJobDescription(name)
+    out = df.persist(StorageLevel.DISK_ONLY)
+    out.count()
+    spark.sparkContext.setJobDescription(None)
+    return out
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df in a sixteenth of the shuffle partitions at most: for tables of links, which are small next to the documents'."""
+    return df.coalesce(max(1, shuffle_partitions(df.sparkSession) // 16))
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table of materialize() that nothing will read any more."""
     spark, path = df.sparkSession, getattr(df, "_written_at", None)
     if path:
-        jvm = spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.llm.lm import squeeze, unsqueeze
-from docaudit.llm.storage import blocks, materialize, shuffle_partitions
+from docaudit.llm.storage import blocks, stored, shuffle_partitions
 from docaudit.llm.textops import _BASE, _BASE_INVERSE, _BYTE, chunked, mix, powers, raw, release
 
 GRAM, CHUNK, BYTES_PER_PARTITION = 50, 1 << 20, 1 << 24
@@ -253,7 +253,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         release()
         return pa.table({"p": pa.array([p] * len(out), pa.int32()), "kind": pa.array([x[0] for x in out], pa.string()), "chunk": pa.array([x[1] for x in out], pa.int64()), "data": pa.array([x[2] for x in out], pa.binary())})
 
-    found = materialize(rows.mapInArrow(stream, STREAM).groupBy("p").applyInArrow(reduce, STREAM), "anchors")
+    found = stored(rows.mapInArrow(stream, STREAM).groupBy("p").applyInArrow(reduce, STREAM), "anchors")
 
     def requests(group: pa.Table) -> pa.Table:
         meta, by_row = None, defaultdict(list)

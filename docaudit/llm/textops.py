@@ -31,7 +31,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**n modulo 2**64, kept between calls."""
     kept = _powers.get(base)
     if kept is None or len(kept) <= n:
-        full = np.full(max(n + 1, CHUNK_BYTES + 1), base, np.uint64)
+        full = np.full(1 << max(16, int(n).bit_length()), base, np.uint64)
         full[0] = 1
         kept = _powers[base] = np.multiply.accumulate(full)
     return kept[: n + 1]

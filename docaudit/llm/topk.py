@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docaudit.llm.storage import blocks, materialize
+from docaudit.llm.storage import blocks, stored
 
 N_PIVOTS, PIVOT_SAMPLE = 32, 1024
 QUERIES_PER_BLOCK, CANDIDATES_PER_BLOCK, STEP = 1024, 8192, 512
@@ -88,7 +88,7 @@ def exact_top_k(embeddings: DataFrame, is_query, k: int = 5, id_col: str = "vec_
                 t.append(np.concatenate([[x @ x], np.linalg.norm(p - x, axis=1)]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(dims, pa.int32()), pa.array(v, pa.binary()), pa.array(t, pa.binary())], names=["vec_id", "dim", "v", "t"])
 
-    table = materialize(rows.mapInArrow(pivot_table, "vec_id long, dim int, v binary, t binary"), "pivot-table")
+    table = stored(rows.mapInArrow(pivot_table, "vec_id long, dim int, v binary, t binary"), "pivot-table")
     n = table.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     c_blocks, q_blocks = blocks(n.n, CANDIDATES_PER_BLOCK), blocks(n.q, QUERIES_PER_BLOCK)
 
