@@ -16,7 +16,7 @@ from docaudit.llm.storage import blocks, stored, shuffle_partitions
 from docaudit.llm.textops import Words, chunked, mix
 
 #: Good-Turing counts up to K are discounted. Words of the whole vocabulary that are broadcast at most; entries of a partition.
-K, MAX_WORDS, PER_PARTITION, FLUSH_WORDS = 5, 1 << 24, 1 << 20, 1 << 20
+K, MAX_WORDS, PER_PARTITION, FLUSH_WORDS = 5, 1 << 24, 1 << 21, 1 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 
 
