@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.llm.graph import components
-from docaudit.llm.storage import stored
+from docaudit.llm.storage import materialize
 
 #: Edits between near-duplicate lines; shorter lines are compared for equality only.
 MAX_EDITS, MIN_CHARS = 1, 20
@@ -104,14 +104,14 @@ def line_classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_C
     occurrences = lines.select("id", "th", "line_no", "h", F.xxhash64(F.lit(1), "line").alias("g"))
     keyed = lines.select("h", F.explode_outer(probe_keys(F.col("line"), length, edits)).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
-    members = stored(keyed.join(shared.hint("merge"), "key").groupBy("key", "h").agg(F.count(F.lit(1)).alias("copies")), "members")
+    members = materialize(keyed.join(shared.hint("merge"), "key").groupBy("key", "h").agg(F.count(F.lit(1)).alias("copies")), "members")
     nodes = members.select("h").distinct()
     # the first occurrence of each line, by partial minima; then only the lines asked for leave their documents
     firsts = occurrences.groupBy("h", "g").agg(F.min(F.struct("id", "th", "line_no")).alias("at")).join(nodes.hint("merge"), "h")
     asked = firsts.groupBy(F.col("at.id").alias("a_id"), F.col("at.th").alias("a_th")).agg(F.collect_list(F.struct("h", "g", "at.line_no")).alias("asked"))
     found = whole.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th")))
     own = F.transform("asked", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"), F.get(F.col("parts"), x["line_no"]).alias("line")))
-    texts = stored(found.select(own.alias("own")).select(F.inline_outer("own")).dropDuplicates(["h", "g"]), "lines")
+    texts = materialize(found.select(own.alias("own")).select(F.inline_outer("own")).dropDuplicates(["h", "g"]), "lines")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of hashes the links between lines (u, v)."""
@@ -120,14 +120,14 @@ def line_classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_C
         return both.filter(banded_distance(F.col("l_a"), F.col("l_b"), edits) <= edits).select(F.col("n_a").alias("u"), F.col("n_b").alias("v"))
 
     reps = members.groupBy("key").agg(F.max(F.struct("copies", "h")).alias("rep"), F.count(F.lit(1)).alias("m")).select("key", "m", F.col("rep.h").alias("rep"))
-    starred = stored(members.join(reps, "key").select("key", "m", "rep", "h"), "starred")
+    starred = materialize(members.join(reps, "key").select("key", "m", "rep", "h"), "starred")
     stars = starred.filter("h <> rep").select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct()
-    first = stored(linked(stars), "links")
+    first = materialize(linked(stars), "links")
     labels = components(first)
     label = texts.select("h", "line", F.struct("h", "g").alias("node")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = starred.filter("m > 2").select("key", "h").join(label, "h")
     open_keys = several.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    several = stored(several.join(open_keys, "key"), "open")
+    several = materialize(several.join(open_keys, "key"), "open")
     left = several.select("key", F.col("node").alias("u"), F.col("label").alias("x"), F.col("line").alias("l_a"))
     right = several.select("key", F.col("node").alias("v"), F.col("label").alias("y"), F.col("line").alias("l_b"))
     close = (F.levenshtein("l_a", "l_b", edits) >= 0) & (banded_distance(F.col("l_a"), F.col("l_b"), edits) <= edits)
@@ -136,7 +136,7 @@ def line_classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_C
     named = occurrences.join(final.select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), "label"), ["h", "g"], "left")
     named = named.select("id", "th", "line_no", F.coalesce("label.h", "h").alias("h"), F.coalesce("label.g", "g").alias("g"))
     # stored, so that the join below has an exchange of its own on either side, which the engine can split for a common line
-    heads = stored(named.groupBy("h", "g").agg(F.min(F.struct("id", "line_no")).alias("head")), "heads")
+    heads = materialize(named.groupBy("h", "g").agg(F.min(F.struct("id", "line_no")).alias("head")), "heads")
     out = named.join(heads, ["h", "g"])
     kept = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("line_no") == F.col("head.line_no"))
     return out.select(F.col("id").alias(id_col), "th", "line_no", F.col("head.id").alias("class_id"), F.col("head.line_no").alias("class_line_no"), kept.alias("kept"))
