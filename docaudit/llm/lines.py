@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from docaudit.llm.graph import components
 from docaudit.llm.storage import materialize
 
-#: Edits between near-duplicate lines; shorter lines are compared for equality only.
-MAX_EDITS, MIN_CHARS = 1, 20
+#: Edits between near-duplicate lines; lines of fewer than least_chars(edits) characters are compared for equality only.
+MAX_EDITS = 1
 
 
 def segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
@@ -83,11 +83,12 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     return F.when(far, F.lit(edits + 1)).otherwise(once(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")), of_characters))
 
 
-def line_classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, th (hash of the text), line_no, class_id, class_line_no and kept of every line of at least min_chars characters.
+def line_classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, th (hash of the text), line_no, class_id, class_line_no and kept of every line that is not empty (of at least min_chars characters, if given).
 
-    A class is a set of lines joined by chains of at most `edits` edits; equal lines are one. Its first line (by id, then
-    number from 0) is kept, and names it. Shorter lines, and lines of null texts, are in no class. Null ids come first; rows that
+    A class is a set of lines joined by chains of at most `edits` edits; equal lines are one, and lines of fewer than
+    least_chars(edits) characters are in a class with their equals only. Its first line (by id, then number from 0) is kept,
+    and names it. Empty (or shorter) lines, and lines of null texts, are in no class. Null ids come first; rows that
     repeat with their id share their lines' fate; an empty table gives no rows; other columns are ignored.
 
     Lines are cut at line feeds. Keys of segments and probes meet in one grouping with partial minima and maxima; only keys
@@ -95,14 +96,14 @@ def line_classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_C
     that leaves several components under a key, against the lines of other components, within the join itself, so that
     only confirmed links leave it. Joins of all lines are sort-merge joins at every size.
     """
-    if min_chars < least_chars(edits):
+    if min_chars is not None and min_chars < least_chars(edits):
         raise ValueError(f"min_chars must be {least_chars(edits)} or more for {edits} edits")
     whole = docs.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.split(F.col(text), "\n", -1).alias("parts"))
     rows = whole.select("id", "th", F.posexplode_outer("parts").alias("line_no", "line")).withColumn("chars", F.char_length("line"))
-    lines = rows.filter(F.col("chars") >= min_chars).withColumn("h", F.xxhash64("line"))
+    lines = rows.filter(F.col("chars") >= (min_chars or 1)).withColumn("h", F.xxhash64("line"))
     length = F.col("chars")
     occurrences = lines.select("id", "th", "line_no", "h", F.xxhash64(F.lit(1), "line").alias("g"))
-    keyed = lines.select("h", F.explode_outer(probe_keys(F.col("line"), length, edits)).alias("key"))
+    keyed = lines.filter(length >= least_chars(edits)).select("h", F.explode_outer(probe_keys(F.col("line"), length, edits)).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
     members = materialize(keyed.join(shared.hint("merge"), "key").groupBy("key", "h").agg(F.count(F.lit(1)).alias("copies")), "members")
     nodes = members.select("h").distinct()
@@ -142,8 +143,8 @@ def line_classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_C
     return out.select(F.col("id").alias(id_col), "th", "line_no", F.col("head.id").alias("class_id"), F.col("head.line_no").alias("class_line_no"), kept.alias("kept"))
 
 
-def drop_repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the text cut down to the lines that are the first of their class or too short for one, in place.
+def drop_repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the text cut down to the lines that are the first of their class or in none, in place.
 
     A column `lines_removed` says how many went; texts without such lines stay as they are, null ones null.
     """

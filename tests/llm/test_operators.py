@@ -288,6 +288,14 @@ def test_line_classes_equal_brute_force(spark, edits):
     assert got == {o: min(g, key=lambda o: (o[0] is not None, o)) for g in groups.values() for o in g}
 
 
+def test_short_lines_are_classed(spark):
+    rows = [(1, "abc\n\nitem no 1"), (2, "abd\nabc\n"), (3, "item no 12\n\nabc\nabcdef"), (4, "abcdeg")]
+    got = {(r.doc_id, r.line_no): (r.class_id, r.class_line_no) for r in lines.line_classes(frame(spark, rows)).collect()}
+    assert got == {(1, 0): (1, 0), (1, 2): (1, 2), (2, 0): (2, 0), (2, 1): (1, 0), (3, 0): (1, 2), (3, 2): (1, 0), (3, 3): (3, 3), (4, 0): (3, 3)}
+    left = {r.doc_id: (r.text, r.lines_removed) for r in lines.drop_repeated_lines(frame(spark, rows)).collect()}
+    assert left == {1: ("abc\n\nitem no 1", 0), 2: ("abd\n", 1), 3: ("\nabcdef", 2), 4: ("", 1)}
+
+
 def test_repeated_lines_go(odd, none):
     got = {r.doc_id: r.text for r in lines.drop_repeated_lines(odd).collect()}
     texts = dict(ODD)
