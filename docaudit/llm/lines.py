@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,29 +12,49 @@ from docaudit.llm.storage import materialize
 
 #: Edits between near-duplicate lines; lines of fewer than least_chars(edits) characters are compared for equality only.
 MAX_EDITS = 1
+#: (least characters, edits): edits by the length of the shorter line, one more for every 100 characters, up to 4.
+BY_LENGTH = ((0, 1), (100, 2), (200, 3), (300, 4))
 
 
-def segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
+def segment(length: Column, i: Column, k: Column) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i of k in a line of that length; the last ones are one longer if it doesn't divide."""
     base, longer = F.floor(length / k), length % k
-    extra = F.greatest(F.lit(0), F.lit(i) - (k - longer))
-    return (1 + i * base + extra).cast("int"), (base + (F.lit(i) >= k - longer).cast("int")).cast("int")
+    extra = F.greatest(F.lit(0), i - (k - longer))
+    return (1 + i * base + extra).cast("int"), (base + (i >= k - longer).cast("int")).cast("int")
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Hashes of (segment, indexed length, substring): the line's own segments, and the substrings of it that can equal a segment
-    of a line that is up to `edits` shorter or as long.
+def probes(edits: int) -> list[tuple[int, int, int]]:
+    """(d, i, shift): the line's own segments, and the substrings of it that can equal a segment of a line that is up to `edits`
+    shorter or as long.
 
     Segment i can have moved by at most i places if all edits so far lie before it and by edits - i from the other end, so only
     those places are probed (with d, the difference in length, on the right). All lie within lines of least_chars or more.
     """
-    k, keys = edits + 1, []
-    for d in range(edits + 1):
-        for i in range(k):
-            start, size = segment(length - d, i, k)
-            for shift in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1):
-                keys.append(F.xxhash64(F.lit(i), length - d, line.substr(start + shift, size)))
-    return F.array(*keys)
+    k = edits + 1
+    return [(d, i, shift) for d in range(k) for i in range(k) for shift in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1)]
+
+
+def length_classes(edits: int | Sequence[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(least characters, characters that are too many, edits) of each class of shorter lines, from the first that allows edits."""
+    steps = [(0, edits)] if isinstance(edits, int) else list(edits)
+    steps[0] = (max(steps[0][0], least_chars(steps[0][1])), steps[0][1])
+    if any(lo < least_chars(e) for lo, e in steps) or steps != sorted(steps):
+        raise ValueError("classes must ascend and begin at least_chars of their edits or more")
+    return [(lo, hi, e) for (lo, e), hi in zip(steps, [*(lo for lo, _ in steps[1:]), 1 << 30], strict=True)]
+
+
+def probe_keys(lines: DataFrame, classes: list[tuple[int, int, int]]) -> DataFrame:
+    """h, key: hashes of (class, segment, indexed length, substring) of every line. A line probes the classes of all lines that it can
+    be the longer one of a pair with, each only at the lengths of its class."""
+    length, p, wanted = F.col("chars"), F.col("p"), []
+    for c, (lo, hi, e) in enumerate(classes):
+        kinds = [F.struct(*(F.lit(x).alias(n) for n, x in zip(("c", "lo", "hi", "k", "d", "i", "shift"), (c, lo, hi, e + 1, *probe), strict=True))) for probe in probes(e)]
+        wanted.append(F.when((length >= lo) & (length < hi + e), F.array(*kinds)).otherwise(F.array().cast("array<struct<c:int,lo:int,hi:int,k:int,d:int,i:int,shift:int>>")))
+    asked = lines.select("h", "line", "chars", F.explode(F.concat(*wanted)).alias("p"))
+    indexed = length - p["d"]
+    start, size = segment(indexed, p["i"], p["k"])
+    asked = asked.filter((indexed >= p["lo"]) & (indexed < p["hi"]))
+    return asked.select("h", F.xxhash64(p["c"], p["i"], indexed, F.col("line").substr(start + p["shift"], size)).alias("key"))
 
 
 def least_chars(edits: int) -> int:
@@ -83,11 +105,11 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
     return F.when(far, F.lit(edits + 1)).otherwise(once(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y")), of_characters))
 
 
-def line_classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_EDITS, min_chars: int | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, th (hash of the text), line_no, class_id, class_line_no and kept of every line that is not empty (of at least min_chars characters, if given).
 
-    A class is a set of lines joined by chains of at most `edits` edits; equal lines are one, and lines of fewer than
-    least_chars(edits) characters are in a class with their equals only. Its first line (by id, then number from 0) is kept,
+    A class is a set of lines joined by chains of at most `edits` edits, which may be steps by the length of the shorter line as
+    in BY_LENGTH; equal lines are one, and lines of fewer than least_chars(edits) characters are in a class with their equals only. Its first line (by id, then number from 0) is kept,
     and names it. Empty (or shorter) lines, and lines of null texts, are in no class. Null ids come first; rows that
     repeat with their id share their lines' fate; an empty table gives no rows; other columns are ignored.
 
@@ -96,14 +118,15 @@ def line_classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int | None
     that leaves several components under a key, against the lines of other components, within the join itself, so that
     only confirmed links leave it. Joins of all lines are sort-merge joins at every size.
     """
-    if min_chars is not None and min_chars < least_chars(edits):
-        raise ValueError(f"min_chars must be {least_chars(edits)} or more for {edits} edits")
+    classes = length_classes(edits)
+    least, most = classes[0][0], max(e for _, _, e in classes)
+    if min_chars is not None and min_chars < least:
+        raise ValueError(f"min_chars must be {least} or more for {edits} edits")
     whole = docs.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.split(F.col(text), "\n", -1).alias("parts"))
     rows = whole.select("id", "th", F.posexplode_outer("parts").alias("line_no", "line")).withColumn("chars", F.char_length("line"))
     lines = rows.filter(F.col("chars") >= (min_chars or 1)).withColumn("h", F.xxhash64("line"))
-    length = F.col("chars")
     occurrences = lines.select("id", "th", "line_no", "h", F.xxhash64(F.lit(1), "line").alias("g"))
-    keyed = lines.filter(length >= least_chars(edits)).select("h", F.explode_outer(probe_keys(F.col("line"), length, edits)).alias("key"))
+    keyed = probe_keys(lines.filter(F.col("chars") >= least), classes)
     shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
     members = materialize(keyed.join(shared.hint("merge"), "key").groupBy("key", "h").agg(F.count(F.lit(1)).alias("copies")), "members")
     nodes = members.select("h").distinct()
@@ -114,11 +137,18 @@ def line_classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int | None
     own = F.transform("asked", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"), F.get(F.col("parts"), x["line_no"]).alias("line")))
     texts = materialize(found.select(own.alias("own")).select(F.inline_outer("own")).dropDuplicates(["h", "g"]), "lines")
 
+    def close(a: Column, b: Column) -> Column:
+        shorter, allowed = F.least(F.char_length(a), F.char_length(b)), F.lit(0)
+        for lo, _, e in classes:
+            allowed = F.when(shorter >= lo, e).otherwise(allowed)
+        rough = F.levenshtein(a, b, most)
+        return (F.abs(F.char_length(a) - F.char_length(b)) <= allowed) & (rough >= 0) & (rough <= allowed) & (banded_distance(a, b, most) <= allowed)
+
     def linked(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of hashes the links between lines (u, v)."""
         side = lambda c: texts.select(F.col("h").alias(c), F.struct("h", "g").alias(f"n_{c}"), F.col("line").alias(f"l_{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.abs(F.char_length("l_a") - F.char_length("l_b")) <= edits)
-        return both.filter(banded_distance(F.col("l_a"), F.col("l_b"), edits) <= edits).select(F.col("n_a").alias("u"), F.col("n_b").alias("v"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return both.filter(close(F.col("l_a"), F.col("l_b"))).select(F.col("n_a").alias("u"), F.col("n_b").alias("v"))
 
     reps = members.groupBy("key").agg(F.max(F.struct("copies", "h")).alias("rep"), F.count(F.lit(1)).alias("m")).select("key", "m", F.col("rep.h").alias("rep"))
     starred = materialize(members.join(reps, "key").select("key", "m", "rep", "h"), "starred")
@@ -131,8 +161,7 @@ def line_classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int | None
     several = materialize(several.join(open_keys, "key"), "open")
     left = several.select("key", F.col("node").alias("u"), F.col("label").alias("x"), F.col("line").alias("l_a"))
     right = several.select("key", F.col("node").alias("v"), F.col("label").alias("y"), F.col("line").alias("l_b"))
-    close = (F.levenshtein("l_a", "l_b", edits) >= 0) & (banded_distance(F.col("l_a"), F.col("l_b"), edits) <= edits)
-    second = left.join(right, (left["key"] == right["key"]) & (F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & close).select("u", "v")
+    second = left.join(right, (left["key"] == right["key"]) & (F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & close(F.col("l_a"), F.col("l_b"))).select("u", "v")
     final = components(first.unionByName(second))
     named = occurrences.join(final.select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), "label"), ["h", "g"], "left")
     named = named.select("id", "th", "line_no", F.coalesce("label.h", "h").alias("h"), F.coalesce("label.g", "g").alias("g"))
@@ -143,7 +172,7 @@ def line_classes(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int | None
     return out.select(F.col("id").alias(id_col), "th", "line_no", F.col("head.id").alias("class_id"), F.col("head.line_no").alias("class_line_no"), kept.alias("kept"))
 
 
-def drop_repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_EDITS, min_chars: int | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the text cut down to the lines that are the first of their class or in none, in place.
 
     A column `lines_removed` says how many went; texts without such lines stay as they are, null ones null.

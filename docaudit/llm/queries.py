@@ -38,7 +38,7 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_classes(table(spark, sf_dir, "documents")).drop("th")
+    return lines.line_classes(table(spark, sf_dir, "documents"), lines.BY_LENGTH).drop("th")
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -296,6 +296,25 @@ def test_short_lines_are_classed(spark):
     assert left == {1: ("abc\n\nitem no 1", 0), 2: ("abd\n", 1), 3: ("\nabcdef", 2), 4: ("", 1)}
 
 
+def test_edits_grow_with_the_length(spark, tmp_path):
+    rows = []
+    for n in (*range(20, 34), 99, 100, 101, 199, 200, 201, 299, 300, 304, 557):
+        base = "".join(rnd.choice("abcdefgh") for _ in range(n))
+        rows += [(100 * n + k, edited(base, k % 6, "xyz")) for k in range(12)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    small = ((0, 1), (22, 2), (28, 3))
+    for steps, classes in ((lines.BY_LENGTH, queries.op5_line_dedup(spark, str(tmp_path))), (small, lines.line_classes(frame(spark, rows), small))):
+        allowed = lambda x, y: max(e for lo, e in steps if min(len(x), len(y)) >= lo)
+        label = {i: i for i, _ in rows}
+        for i, x in rows:
+            for j, y in rows:
+                if label[i] != label[j] and abs(len(x) - len(y)) <= 4 and levenshtein(x, y) <= allowed(x, y):
+                    label = {a: min(label[i], label[j]) if b in (label[i], label[j]) else b for a, b in label.items()}
+        assert {r.doc_id: r.class_id for r in classes.collect()} == label
+    with pytest.raises(ValueError, match="ascend"):
+        lines.line_classes(frame(spark, rows), ((0, 1), (8, 2)))
+
+
 def test_repeated_lines_go(odd, none):
     got = {r.doc_id: r.text for r in lines.drop_repeated_lines(odd).collect()}
     texts = dict(ODD)
