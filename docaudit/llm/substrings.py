@@ -321,9 +321,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         row, start, end = merged_spans(*(np.concatenate(x) for x in zip(*spans, strict=True)))
         heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, int)
         stops = np.append(heads[1:], len(row))[: len(heads)]
-        at = pa.array(row[heads], pa.int64())
+        whole = np.setdiff1d(np.arange(meta.num_rows), row[heads])  # rows that lose nothing, so that their repeats don't either
+        at = pa.array(np.concatenate([row[heads], whole]), pa.int64())
         cut = [np.stack([start[a:b], end[a:b]], axis=1).astype("<u4").tobytes() for a, b in zip(heads, stops, strict=True)]
-        return pa.table([meta["id"].take(at), meta["th"].take(at), pa.array([int((end[a:b] - start[a:b]).sum()) for a, b in zip(heads, stops, strict=True)], pa.int64()), pa.array(cut, pa.binary())], names=["id", "th", "n", "cut"])
+        n = [int((end[a:b] - start[a:b]).sum()) for a, b in zip(heads, stops, strict=True)]
+        return pa.table([meta["id"].take(at), meta["th"].take(at), pa.array(n + [0] * len(whole), pa.int64()), pa.array(cut + [b""] * len(whole), pa.binary())], names=["id", "th", "n", "cut"])
 
     spans = found.filter("kind in ('rows', 'gone')").select("kind", "chunk", "data").unionByName(compared)
     cuts = spans.groupBy("chunk").applyInArrow(gather, f"id {id_type}, th long, n long, cut binary")

@@ -494,6 +494,13 @@ def test_repeats_on_odd_rows(odd, none):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_repeated_rows_keep_their_text(spark):
+    a, b, c = (prose(80) for _ in range(3))
+    rows = [(1, a), (1, a), (None, b), (None, b), (2, c + a), (2, c + a), (3, c)]
+    got = sorted((r.doc_id or 0, r.n_removed, bytes(r.kept).decode()) for r in substrings.remove_repeats(frame(spark, rows), with_kept=True).collect())
+    assert got == [(0, 0, b), (0, 0, b), (1, 0, a), (1, 0, a), (2, len(a), c), (2, len(a), c), (3, len(c), "")]
+
+
 def test_collection_bwt_sorts_all_suffixes():
     strings = [bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(1, 30))) for _ in range(40)]
     lengths = np.array([len(s) for s in strings])
