@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,6 +51,29 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
+@dataclass
+class Totals:
+    """Of all items with words: in how many of them each word is, their number, and that of their words."""
+
+    terms: np.ndarray
+    df: np.ndarray
+    items: int
+    words: int
+
+    @classmethod
+    def of(cls, parts: Iterable[list[tuple]]) -> Totals:
+        out = cls(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0)
+        for rows in parts:
+            words = [w for w in hashes_of([t for _, t in rows]) if len(w)]
+            terms, df = np.unique(np.concatenate([np.unique(w) for w in words]) if words else np.zeros(0, np.uint64), return_counts=True)
+            merged = np.union1d(out.terms, terms)
+            total = np.zeros(len(merged), np.int64)
+            total[np.searchsorted(merged, out.terms)] += out.df
+            total[np.searchsorted(merged, terms)] += df
+            out = cls(merged, total, out.items + len(words), out.words + sum(map(len, words)))
+        return out
+
+
 @dataclass
 class Index:
     """Postings of one part of the items, in blocks of ITEMS_PER_BLOCK with the greatest impact of each block.
@@ -72,16 +95,19 @@ class Index:
     stride: int
 
     @classmethod
-    def build(cls, rows: list[tuple]) -> Index:
+    def build(cls, rows: list[tuple], totals: Totals | None = None) -> Index:
+        """Of rows (id, text); totals are those of all items if rows are only a part of them."""
+        totals = totals or Totals.of([rows])
         words = hashes_of([t for _, t in rows])
         use = [i for i, w in enumerate(words) if len(w)]
         rows, words = [rows[i] for i in use], [words[i] for i in use]
-        terms, df = np.unique(np.concatenate([np.unique(w) for w in words]) if words else np.zeros(0, np.uint64), return_counts=True)
-        idf = np.log(1 + (len(rows) - df + 0.5) / (df + 0.5))
+        terms = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
+        df = totals.df[np.searchsorted(totals.terms, terms)]
+        idf = np.log(1 + (totals.items - df + 0.5) / (df + 0.5))
         common = [sorted(np.searchsorted(terms, np.unique(w)).tolist(), key=lambda t: (-df[t], t))[:3] for w in words]
         order = sorted(range(len(rows)), key=lambda i: (common[i], str(rows[i][0])))
         rows, words = [rows[i] for i in order], [words[i] for i in order]
-        mean = np.mean([len(w) for w in words]) if words else 1
+        mean = totals.words / max(1, totals.items)
         term, item, impact = [], [], []
         for i, w in enumerate(words):
             t, tf = np.unique(np.searchsorted(terms, w), return_counts=True)
@@ -166,7 +192,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "
 
     Every passage of every text is a query to the index of the items; all items whose score reaches THRESHOLD of their own are
     retrieved, and count if the passage holds enough of their question and of their answer. The index of at most
-    ITEMS_PER_INDEX items goes to all tasks; more items are indexed in parts by a hash of the id, one pass each. Narrow. Items
+    ITEMS_PER_INDEX items goes to all tasks; more items are indexed in parts by a hash of the id, one pass each, with the word
+    statistics of all items. Narrow. Items
     without words and null or empty texts have no hits; repeated rows are searched each; ids may repeat.
     """
     rows = items.select(F.col(item_id).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
@@ -175,9 +202,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, keep: list[str], text: str = "
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["__text string", f"hits {HIT}"])
     out = docs.select(*keep, F.col(text).alias("__text"), F.array().cast(HIT).alias("hits"))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
-    for part in range(parts):
+
+    def items_of(part: int) -> list[tuple]:
         own = rows.filter(F.pmod(F.xxhash64("i"), F.lit(parts)) == part).collect()
-        shared = docs.sparkSession.sparkContext.broadcast(Index.build(sorted(((r.i, r.t) for r in own), key=lambda x: (x[0] is None, x[0] or 0, x[1]))))
+        return sorted(((r.i, r.t) for r in own), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+    totals = Totals.of(map(items_of, range(parts))) if parts > 1 else None
+    for part in range(parts):
+        shared = docs.sparkSession.sparkContext.broadcast(Index.build(items_of(part), totals))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
