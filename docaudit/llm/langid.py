@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docaudit.llm.textops import LOWER, chunked, raw
 
-BUCKETS, SAMPLE_ROWS, CLUSTERS, ROUNDS, FULL_GRAMS = 4096, 2048, 4, 12, 256
+BUCKETS, SAMPLE_ROWS, LEAST_SHARE, CLUSTERS, ROUNDS, FULL_GRAMS = 4096, 2048, 8, 4, 12, 256
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
@@ -78,15 +78,15 @@ class Model:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTERS, margin: float = 0.5) -> Model:
     """Learns from a sample of labelled rows: about sample_rows in all, an equal share for each label, chosen by a hash of the id.
 
-    Label counts cover all rows. Only n-gram counts of the sample (sample_rows x BUCKETS bytes x 2) come to the driver.
+    A label's share is LEAST_SHARE rows at least, so with more than sample_rows / LEAST_SHARE labels the sample grows. Label counts
+    cover all rows. Only they and n-gram counts of the sample (its rows x BUCKETS bytes x 2) come to the driver.
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(sample_rows // 8).collect()}
-    share = sample_rows // max(1, len(sizes))
-    chance = F.lit(0.0)
-    for value, n in sizes.items():
-        chance = F.when(F.col(lang) == value, min(1.0, share / n)).otherwise(chance)
-    picked = rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 20)) < chance * (1 << 20)).select(lang, text)
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    share = max(LEAST_SHARE, sample_rows // max(1, len(sizes)))
+    chances = labelled.sparkSession.createDataFrame([(value, min(1.0, share / n)) for value, n in sizes.items()], "__of string, __chance double")
+    chance = F.col("__chance")
+    picked = rows.join(F.broadcast(chances), F.col(lang) == F.col("__of")).filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 20)) < chance * (1 << 20)).select(lang, text)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, text):

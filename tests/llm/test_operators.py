@@ -141,6 +141,12 @@ def test_languages_are_told_apart(spark):
     assert far.rejected and far.score < 0.1
 
 
+def test_every_label_is_learned(spark):
+    rows = [(i, prose(30), f"l{i % 5}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(docs, sample_rows=16).languages == [f"l{n}" for n in range(5)]
+
+
 def test_language_of_odd_rows(odd, none):
     got = langid.language_id(odd, F.lit(True), ["doc_id", "source"]).collect()
     assert len(got) == len(ODD) and {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"}
