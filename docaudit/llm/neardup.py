@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     """
     rows = materialize(sketch(docs, size, num / den, id_col, text), "sketch")
     classes = materialize(
-        rows.filter("node is not null").groupBy("node").agg(F.min(id_col).alias("id"), F.min(F.struct(F.col(id_col).alias("at"), "th")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("n_shingles", "sig", "bands")).alias("x")).select("node", "id", "rep", "copies", "x.*"),
+        rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("at"), "th")).alias("head"), F.min(F.struct(F.col(id_col).alias("at"), "th")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("n_shingles", "sig", "bands")).alias("x")).select("node", "head", "rep", "copies", "x.*"),
         "classes",
     )
     entries = classes.select("node", "copies", F.explode("bands").alias("key"))
@@ -246,10 +246,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     sized = clusters.join(clusters.groupBy("label").agg(F.count(F.lit(1)).alias("m")), "label").withColumnRenamed("label", "key")
     full = materialize(with_sets(sized.join(classes.select("node", "rep.at", "rep.th", "sig"), "node"), docs, size, id_col, text), "sets")
     final = components(verified_edges(full, num, den))
-    least = final.join(classes, "node").groupBy("label").agg(F.min("id").alias("component"))
-    of_node = classes.select("node", "id").join(final.join(least, "label").select("node", "component"), "node", "left").select("node", F.coalesce("component", "id").alias("component"))
-    out = rows.select(id_col, "th", "n_shingles", "node").join(of_node, "node", "left").withColumn("component_id", F.coalesce("component", id_col))
-    return out.select(id_col, "th", "n_shingles", "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"))
+    least = final.join(classes, "node").groupBy("label").agg(F.min("head").alias("first"))
+    of_node = classes.select("node", "head").join(final.join(least, "label").select("node", "first"), "node", "left").select("node", F.coalesce("first", "head").alias("first"))
+    out = rows.select(id_col, "th", "n_shingles", "node").join(of_node, "node", "left").withColumn("component_id", F.coalesce("first.at", id_col))
+    first = F.col("first").isNull() | (F.col(id_col).eqNullSafe(F.col("first.at")) & (F.col("th") == F.col("first.th")))
+    return out.select(id_col, "th", "n_shingles", "component_id", first.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:

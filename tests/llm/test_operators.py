@@ -209,6 +209,14 @@ def test_near_duplicates_drop_to_one(odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_one_near_duplicate_stays_without_ids(spark):
+    base = prose(80).split()
+    rows = [(None, " ".join(base)), (None, " ".join([*base[:-1], "other"])), (None, " ".join([*base[:-1], "else"])), (None, prose(60)), (None, None)]
+    rows += [(5, x) for x in (" ".join(BASE[3].split()), " ".join([*BASE[3].split()[:-1], "other"]))]
+    got = collections.Counter(r.doc_id for r in neardup.drop_near_duplicates(frame(spark, rows)).collect())
+    assert got == {None: 3, 5: 1}
+
+
 def test_bands_find_pairs_at_the_threshold():
     for t in (0.8, 0.85):
         assert (1 - t**neardup.ROWS) ** neardup.bands_for(t) <= neardup.LOSS
