@@ -442,11 +442,11 @@ def test_leaks(spark, odd, none):
 
 def test_parts_of_the_index_score_alike(spark, monkeypatch):
     items = [(i, prose(12 + i % 5) + ". " + prose(10) + ".") for i in range(40)]
-    docs = frame(spark, [(i, prose(30) + " " + x + " " + prose(30)) for i, x in items])
+    docs = frame(spark, [(i, prose(30) + " zzz " + " ".join(x.split()[2:]) + " " + prose(30)) for i, x in items])
     found = lambda: sorted(tuple(round(x, 9) for x in r) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
     whole = found()
     monkeypatch.setattr(decontaminate, "ITEMS_PER_INDEX", 8)
-    assert len(whole) >= 40 and found() == whole
+    assert len(whole) >= 20 and found() == whole
 
 
 def test_block_maxima_lose_nothing():
