@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# The code points that count as white space.
+WHITE_SPACE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, in the Unicode sense."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(WHITE_SPACE))
 
 
 def non_blank_lines(text: Column) -> Column:
@@ -19,13 +25,12 @@ def non_blank_lines(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Words between white space; 0 for a blank text."""
-    bare = strip(text)
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"(?U)\s+"))).cast("long")
+    return F.regexp_count(text, F.lit(r"(?U)[^\s\x1c-\x1f]+")).cast("long")
 
 
 def token_count(text: Column) -> Column:
     """Runs of letters, digits and underscores of any alphabet."""
-    return F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).cast("long")
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+")).cast("long")
 
 
 def is_upper(c: Column) -> Column:
@@ -120,6 +125,41 @@ def looked_up(c: Column, table: dict, default) -> Column:
     return F.coalesce(F.create_map(*pairs)[c], F.lit(default))
 
 
+def signature(fields: Column) -> Column:
+    """The key=value lines of a map by key, without empty values: what a sign-in is signed over."""
+    used = F.map_filter(fields, lambda k, v: F.coalesce(v, F.lit("")) != "")
+    return F.array_join(F.transform(F.sort_array(F.map_entries(used)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n")
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """Keyed digest in hex, from two plain ones over the padded key (at most 64 bytes)."""
+    if len(key) > 64:
+        key = hashlib.sha256(key).digest()
+    padded = key.ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ mask for x in padded)) for mask in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def joined_errors(errors: Column) -> Column:
+    """An array of (loc, msg) as lines `a → b: message`, without a path where there is none."""
+    line = lambda e: F.when(F.size(e["loc"]) > 0, F.concat(F.array_join(e["loc"], " → "), F.lit(": "), e["msg"])).otherwise(e["msg"])
+    return F.array_join(F.transform(errors, line), "\n")
+
+
+def default_id(at: Column) -> Column:
+    """The id of a document that has none, by the time it is checked."""
+    return F.concat(F.lit("doc_"), F.date_format(at, "yyyyMMdd_HHmmss"))
+
+
+def iso_time(at: Column) -> Column:
+    """A time in ISO form; the fraction is left out where it is zero."""
+    return F.regexp_replace(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.0{6}$", "")
+
+
+def emu_to_mm(c: Column) -> Column:
+    return c / 36000
+
+
 def points_to_mm(c: Column) -> Column:
     return c * 0.3528
 

@@ -57,7 +57,11 @@ def either(passed: Column, yes: Column, no: Column) -> Column:
 def missing_elements(expected: list[str], actual: Column) -> Column:
     """Expected elements that no actual one holds, whatever their case, in order."""
     lowered = F.transform(F.coalesce(actual, F.array().cast("array<string>")), lambda a: F.lower(a))
-    return F.filter(F.array(*map(F.lit, expected)), lambda e: ~F.exists(lowered, lambda a: F.contains(a, F.lower(e))))
+
+    def absent(low: Column, e: str) -> Column:
+        return F.when(~F.exists(low, lambda a: F.contains(a, F.lit(e.lower()))), F.lit(e))
+
+    return computed_once(lowered, lambda low: F.array_compact(F.array(*[absent(low, e) for e in expected])))
 
 
 def missing_phrases(expected: list[str], text: Column, synonyms: dict[str, list[str]]) -> Column:
@@ -72,14 +76,25 @@ def missing_phrases(expected: list[str], text: Column, synonyms: dict[str, list[
     return F.array_compact(F.array(*absent))
 
 
+def computed_once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _list_presence(rule: Rule, c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
-        missing = missing_phrases(rule.expected_value, c, SYNONYMS)
-        passed, names = F.size(missing) == 0, F.array_join(missing, ", ")
-        message = either(passed, F.lit("Введение содержит все обязательные элементы"), F.concat(F.lit("В введении отсутствуют: "), names))
-        return outcome(passed, message, rule.expected_value, truncated(F.coalesce(c, F.lit("")), 200), F.when(~passed, F.concat(F.lit("Добавьте в введение: "), names)))
-    missing = missing_elements(rule.expected_value, c)
-    passed, names = F.size(missing) == 0, F.array_join(missing, ", ")
+        return computed_once(F.array_join(missing_phrases(rule.expected_value, c, SYNONYMS), ", "), lambda names: _presence_in_text(rule, c, names))
+    return computed_once(F.array_join(missing_elements(rule.expected_value, c), ", "), lambda names: _presence_in_list(rule, c, kind, names))
+
+
+def _presence_in_text(rule: Rule, c: Column, names: Column) -> Column:
+    passed = names == ""
+    message = either(passed, F.lit("Введение содержит все обязательные элементы"), F.concat(F.lit("В введении отсутствуют: "), names))
+    return outcome(passed, message, rule.expected_value, truncated(F.coalesce(c, F.lit("")), 200), F.when(~passed, F.concat(F.lit("Добавьте в введение: "), names)))
+
+
+def _presence_in_list(rule: Rule, c: Column, kind: T.DataType, names: Column) -> Column:
+    passed = names == ""
     message = either(passed, F.lit("Все обязательные элементы присутствуют"), F.concat(F.lit("Отсутствуют элементы: "), names))
     return outcome(passed, message, rule.expected_value, as_json(c, kind), F.when(~passed, F.concat(F.lit("Добавьте недостающие элементы: "), names)))
 

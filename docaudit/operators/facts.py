@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,12 @@ PAGES = "doc_id string, page_num int, text string, width double, height double"
 CHARS = "doc_id string, page_num int, char_num int, text string, fontname string, size double, x0 double, x1 double, y0 double, y1 double"
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns that are computed once a row: the optimiser does not copy what comes out of an unfolded array."""
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def lines_of(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """(keys, pos, line): stripped lines that are not blank, numbered from 0."""
     return docs.select(*keys, F.posexplode_outer(non_blank_lines(F.col(text))).alias("pos", "line")).filter("line is not null")
@@ -33,7 +43,7 @@ def mode_first_seen(rows: DataFrame, keys: list[str], value: str, position: str
 def ordered_distinct(rows: DataFrame, keys: list[str], value: str, position: str, name: str) -> DataFrame:
     """Distinct values of each key as an array in the order first seen."""
     first = rows.groupBy(*keys, value).agg(F.min(position).alias("at"))
-    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("at"), F.col(value).alias("v")))), lambda x: x["v"]).alias(name))
+    return first.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("at"), F.col(value).alias("v")))), lambda x: x["v"]).alias(name))
 
 
 def text_heading(line: Column) -> Column:
@@ -67,6 +77,36 @@ def anchored_groups(items: Column, distance, threshold: Column) -> Column:
     return F.aggregate(items, start, step)
 
 
+def anchored_starts(rows: DataFrame, key: str, value: str, tie: str, threshold: int) -> DataFrame:
+    """(key, tie) of the rows that start a group: in the order of value and tie, a row over `threshold` past the last start.
+
+    Keys are dealt out and sorted by the engine, which spills; a task then walks its rows batch by batch and remembers one
+    start, so a key of any size takes constant memory. From one start to the next it jumps by binary search. value is a
+    long; rows without a key, value or tie are left out; an empty table gives no rows.
+    """
+    sorted_ = rows.select(key, value, tie).dropna().repartition(key).sortWithinPartitions(key, value, tie)
+    types = dict(sorted_.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, anchor = None, 0
+        for batch in batches:
+            keys, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, int)
+            starts = []
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if last_key is None or keys[a] != last_key:
+                    last_key, anchor = keys[a], values[a]
+                    starts.append(a)
+                at = a + int(np.searchsorted(values[a:b], anchor + threshold, "right"))
+                while at < b:
+                    anchor = values[at]
+                    starts.append(at)
+                    at = a + int(np.searchsorted(values[a:b], anchor + threshold, "right"))
+            yield batch.take(pa.array(starts, pa.int64())).select([key, tie])
+
+    return sorted_.mapInArrow(run, f"`{key}` {types[key]}, `{tie}` {types[tie]}")
+
+
 def paragraph_facts(paragraphs: DataFrame, sections: DataFrame) -> DataFrame:
     """Facts of documents given as paragraphs and sections (DOCX)."""
     key = ["doc_id"]
@@ -81,21 +121,28 @@ def paragraph_facts(paragraphs: DataFrame, sections: DataFrame) -> DataFrame:
     title = rows.filter((F.col("para_num") < 50) & titled).select("doc_id", (F.col("para_num") + 0.5).alias("at"), F.lit(TITLE_PAGE).alias("element"))
     heads = rows.filter("heading").select("doc_id", F.col("para_num").cast("double").alias("at"), F.col("clean").alias("element"))
     elements = ordered_distinct(heads.unionByName(title), key, "element", "at", "elements")
+    # introductions and texts are read off the same window and grouping
+    state = F.last(F.when(F.contains(F.col("low"), F.lit(INTRODUCTION)), True).when(F.col("heading") & (F.col("clean") != INTRODUCTION), False), ignorenulls=True)
+    rows = rows.withColumn("in_intro", F.coalesce(state.over(Window.partitionBy(*key).orderBy("para_num").rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(False)))
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["bare"]), " ")
     text = rows.groupBy(*key).agg(
-        F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_num", "bare"))), lambda x: x["bare"]), " "), F.lit(" ")).alias("full_text"),
+        F.concat(joined(F.struct("para_num", "bare")), F.lit(" ")).alias("full_text"), joined(F.when(F.col("in_intro"), F.struct("para_num", "bare"))).alias("introduction_text"),
         F.sum(word_count(F.col("bare"))).cast("int").alias("word_count"), F.bool_or(F.col("heading") & is_chapter(F.col("bare"))).alias("has_chapters"),
     )
-    intro = capture(rows, key, "para_num", F.contains(F.col("low"), F.lit(INTRODUCTION)), F.col("heading") & (F.col("clean") != INTRODUCTION))
-    intro = intro.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_num", "bare"))), lambda x: x["bare"]), " ").alias("introduction_text"))
-    runs = rows.select("doc_id", "para_num", F.posexplode("runs").alias("run_num", "run")).withColumn("at", F.struct("para_num", "run_num"))
-    fonts = mode_first_seen(runs.select("doc_id", "at", F.nullif("run.font_name", F.lit("")).alias("v")), key, "v", "at", "font_family")
-    sizes = mode_first_seen(runs.select("doc_id", "at", F.nullif(F.col("run.size_pt"), F.lit(0.0)).alias("v")), key, "v", "at", "size")
-    spacing = mode_first_seen(rows.select("doc_id", "para_num", F.nullif(F.col("line_spacing"), F.lit(0.0)).alias("v")), key, "v", "para_num", "spacing")
-    indent = mode_first_seen(rows.select("doc_id", "para_num", F.when(F.col("first_line_indent_cm") > 0, F.col("first_line_indent_cm")).alias("v")), key, "v", "para_num", "indent")
+    # modes of all four properties in one grouping: (property, value) first, then the commonest of each
+    no_runs = F.array().cast("array<struct<bold:boolean,font_name:string,size_pt:double>>")
+    seen = lambda kind, name, number, i: F.struct(F.lit(kind).alias("kind"), name.alias("name"), number.cast("double").alias("number"), F.struct("para_num", i.cast("int").alias("run_num")).alias("at"))
+    none, first = F.lit(None), F.lit(0)
+    of_runs = F.flatten(F.transform(F.coalesce("runs", no_runs), lambda r, i: F.array(seen("font_family", F.nullif(r["font_name"], F.lit("")), none, i), seen("size", none.cast("string"), F.nullif(r["size_pt"], F.lit(0.0)), i))))
+    own = F.array(seen("spacing", none.cast("string"), F.nullif(F.col("line_spacing"), F.lit(0.0)), first), seen("indent", none.cast("string"), F.when(F.col("first_line_indent_cm") > 0, F.col("first_line_indent_cm")), first))
+    values = rows.select("doc_id", F.inline(F.concat(of_runs, own))).filter("name is not null or number is not null")
+    counted = values.groupBy(*key, "kind", "name", "number").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    best = lambda kind, c: F.min_by(F.when(F.col("kind") == kind, F.col(c)), F.when(F.col("kind") == kind, F.struct(-F.col("n"), F.col("at")))).alias(kind)
+    modes = counted.groupBy(*key).agg(best("font_family", "name"), best("size", "number"), best("spacing", "number"), best("indent", "number"))
     margin = lambda c: F.bround(F.nullif(F.col(c), F.lit(0.0)), 1).alias(c.removesuffix("_mm"))
     page = sections.groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("page_count"), F.min_by(F.struct(*[margin(c) for c in ("left_mm", "right_mm", "top_mm", "bottom_mm")]), "section_num").alias("page_margins"))
     out = page
-    for part in (text, elements, intro, fonts, sizes, spacing, indent):
+    for part in (text, elements, modes):
         out = out.join(part, key, "left")
     found = F.coalesce("elements", F.array().cast("array<string>"))
     return out.select(
@@ -125,7 +172,7 @@ def page_facts(pages: DataFrame, chars: DataFrame) -> DataFrame:
     elements = ordered_distinct(new.select(*key, "element", "at").unionByName(title.select(*key, "element", "at")), key, "element", "at", "elements")
     chapters = new.groupBy(*key).agg(F.bool_or(is_chapter(F.col("line"))).alias("has_chapters"))
     text = pages.groupBy(*key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", F.coalesce("text", F.lit("")).alias("t")))), lambda x: F.concat(x["t"], F.lit(" "))), "").alias("full_text"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_num", F.coalesce("text", F.lit("")).alias("t")))), lambda x: F.concat(x["t"], F.lit(" "))), "").alias("full_text"),
         F.count(F.lit(1)).cast("int").alias("page_count"), F.sum(token_count(F.coalesce("text", F.lit("")))).cast("int").alias("word_count"), F.min_by(F.struct("width", "height"), "page_num").alias("paper"),
     )
     ink = F.when(strip(F.coalesce("text", F.lit(""))) != "", True)
@@ -134,7 +181,7 @@ def page_facts(pages: DataFrame, chars: DataFrame) -> DataFrame:
     sizes = mode_first_seen(glyphs.filter(ink).select(*key, place.alias("at"), F.nullif(F.bround("size", 1), F.lit(0.0)).alias("v")), key, "v", "at", "modal_size")
     gaps = gaps_descending(glyphs.select(*on_page, F.bround(F.coalesce("y0", F.lit(0.0)), 1).alias("y0")), on_page, "y0").join(own, on_page)
     gaps = gaps.filter((F.col("gap") > 0.5 * F.col("avg_size")) & (F.col("gap") < 3 * F.col("avg_size"))).groupBy(*key).agg(F.avg("gap").alias("gap"))
-    ordered = sized.groupBy(*on_page, "avg_size").agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("y1", F.lit(0.0))).alias("y"), F.coalesce("x0", F.lit(0.0)).alias("x"), F.col("size").alias("s")))).alias("glyphs"))
+    ordered = sized.groupBy(*on_page, "avg_size").agg(F.sort_array(F.collect_list(F.struct((-F.coalesce("y1", F.lit(0.0))).alias("y"), F.coalesce("x0", F.lit(0.0)).alias("x"), F.col("size").alias("s")))).alias("glyphs"))
     firsts = ordered.withColumn("starts", anchored_groups(F.col("glyphs"), lambda a, b: F.abs(a["y"] - b["y"]), 0.5 * F.col("avg_size")))
     starts = firsts.select(*on_page, "avg_size", F.explode("starts").alias("g")).filter(F.col("g.s") <= F.col("avg_size") + 1)
     indent = starts.groupBy(*on_page).agg(F.avg("g.x").alias("x")).groupBy(*key).agg(F.avg("x").alias("first_x"))
@@ -153,11 +200,25 @@ def page_facts(pages: DataFrame, chars: DataFrame) -> DataFrame:
     )
 
 
-def corpus_facts(docs: DataFrame) -> DataFrame:
-    """Facts of plain texts, row by row: no shuffle at all."""
-    lines = non_blank_lines(F.col("text"))
-    return docs.select(
-        "doc_id", F.col("text").alias("full_text"), "lang", F.struct("lang", "source").alias("origin"),
-        F.array_distinct(F.transform(lines, lambda x: F.lower(F.split(x, r"\s+")[0]))).alias("elements"),
-        F.size(lines).cast("long").alias("line_count"), word_count(F.col("text")).alias("word_count"),
-    )
+#: Facts of plain texts that rules can name.
+CORPUS_FIELDS = ("full_text", "lang", "origin", "elements", "line_count", "word_count")
+
+
+def corpus_facts(docs: DataFrame, fields: Iterable[str] = CORPUS_FIELDS) -> DataFrame:
+    """doc_id and these facts of plain texts, row by row: no shuffle at all.
+
+    Only facts that are asked for are computed, and lines and first words once a row, however often rules use them.
+    """
+    wanted = set(fields)
+    rows = docs
+    if wanted & {"elements", "line_count"}:
+        rows = once(rows, lines=non_blank_lines(F.col("text")))
+    if "elements" in wanted:
+        rows = once(rows, elements=F.array_distinct(F.transform("lines", lambda x: F.lower(F.split(x, r"\s+", 2)[0]))))
+    if "word_count" in wanted:
+        rows = once(rows, word_count=word_count(F.col("text")))
+    made = {
+        "full_text": lambda: F.col("text"), "lang": lambda: F.col("lang"), "origin": lambda: F.struct("lang", "source"), "elements": lambda: F.col("elements"),
+        "line_count": lambda: F.size("lines").cast("long"), "word_count": lambda: F.col("word_count"),
+    }
+    return rows.select("doc_id", *[make().alias(name) for name, make in made.items() if name in wanted])

@@ -61,7 +61,7 @@ def with_lookup(rows: DataFrame, table: DataFrame, key: str, value: str, default
 
 def with_children(parents: DataFrame, children: DataFrame, key: str, order: str, fields: list[str], name: str) -> DataFrame:
     """Parents with their children as an ordered array, empty if none."""
-    own = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *[f for f in fields if f != order]))).alias(name))
+    own = children.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *[f for f in fields if f != order]))).alias(name))
     joined = parents.join(own, key, "left")
     return joined.withColumn(name, F.coalesce(name, F.array().cast(joined.schema[name].dataType)))
 

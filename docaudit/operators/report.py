@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docaudit.functions.text import percent, score
 from docaudit.operators.checks import compiled
+from docaudit.operators.facts import once
 from docaudit.plans.profiles import ADVICE, COMPLIANT, FAILED, MISTAKES, RETURNED, Rule
 
 RESULT = "rule_id string, section string, rule_section string, title string, severity string, is_passed boolean, message string, expected_json string, actual_json string, suggestion string"
@@ -18,16 +19,26 @@ def evaluation_order(rules: list[Rule]) -> list[Rule]:
     return sorted(rules, key=place)
 
 
-def result_struct(rule: Rule, schema) -> Column:
+def result_struct(rule: Rule, rule_no: int, schema) -> Column:
     """section is what stands before the title's first hyphen; rule_section is the rule's own."""
-    return F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.title.split("-")[0]).alias("section"), F.lit(rule.section).alias("rule_section"), F.lit(rule.title).alias("title"), F.lit(rule.severity).alias("severity"), F.struct(compiled(rule, schema).alias("o"))["o"].alias("o"))
+    o = F.struct(compiled(rule, schema).alias("o"))["o"]
+    fixed = {"rule_no": rule_no, "rule_id": rule.id, "section": rule.title.split("-")[0], "rule_section": rule.section, "title": rule.title, "severity": rule.severity}
+    return F.struct(*[F.lit(v).alias(k) for k, v in fixed.items()], o.alias("o"))
 
 
-def evaluate(facts: DataFrame, rules: list[Rule], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document and rule. Narrow: rules are compiled to an array of structs that is unfolded in place."""
-    structs = [result_struct(r, facts.schema) for r in evaluation_order(rules)]
-    rows = facts.select(*keys, F.posexplode(F.array(*structs)).alias("rule_no", "r"))
-    return rows.select(*keys, "rule_no", "r.rule_id", "r.section", "r.rule_section", "r.title", "r.severity", "r.o.*")
+def result_array(facts: DataFrame, rules: list[Rule], severities: tuple[str, ...] = ()) -> Column:
+    """The results of all rules (or of those of some severities) in order, as an array of structs."""
+    own = [result_struct(r, i, facts.schema) for i, r in enumerate(evaluation_order(rules)) if not severities or r.severity in severities]
+    return F.array(*own)
+
+
+def evaluate(facts: DataFrame, rules: list[Rule], keys: tuple[str, ...] = ("doc_id",), severities: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document and rule. Narrow: rules are compiled to an array of structs that is unfolded in place.
+
+    With severities, rules of others are not even computed; the numbers of the rest stay the same.
+    """
+    rows = facts.select(*keys, F.explode(result_array(facts, rules, severities)).alias("r"))
+    return rows.select(*keys, "r.rule_no", "r.rule_id", "r.section", "r.rule_section", "r.title", "r.severity", "r.o.*")
 
 
 def evaluate_section(facts: DataFrame, rules: list[Rule], section: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -55,14 +66,17 @@ def by_severity(results: DataFrame, severity: str, failed_only: bool = False) ->
     return out.filter(~F.col("is_passed")) if failed_only else out
 
 
-def report(results: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Counters, rate, score and flags of each document: one partial aggregation."""
+def counters() -> list[Column]:
     bad = ~F.col("is_passed")
-    counted = results.groupBy(*keys).agg(
+    return [
         F.count(F.lit(1)).alias("total_checks"), F.count_if("is_passed").alias("passed_checks"), F.count_if(bad).alias("failed_checks"),
         F.count_if(bad & (F.col("severity") == "critical")).alias("critical_issues"), F.count_if(bad & (F.col("severity") == "warning")).alias("warning_issues"),
-    )
-    return with_scores(counted)
+    ]
+
+
+def report(results: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Counters, rate, score and flags of each document: one partial aggregation."""
+    return with_scores(results.groupBy(*keys).agg(*counters()))
 
 
 def with_scores(counted: DataFrame) -> DataFrame:
@@ -73,11 +87,30 @@ def with_scores(counted: DataFrame) -> DataFrame:
 
 
 def nested_report(results: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Report rows with their results as an array in rule order; a document has as many as there are rules."""
+    """Report rows with their results as an array in rule order; a document has as many as there are rules. One grouping."""
     fields = ["rule_id", "section", "title", "severity", "is_passed", "message", "expected_json", "actual_json", "suggestion"]
     details = F.when(F.col("suggestion").isNotNull(), F.struct("suggestion")).alias("details")
-    own = results.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rule_no", F.struct(*fields, details).alias("r")))), lambda x: x["r"]).alias("results"))
-    return report(results, keys).join(own, list(keys))
+    own = F.transform(F.sort_array(F.collect_list(F.struct("rule_no", F.struct(*fields, details).alias("r")))), lambda x: x["r"])
+    return with_scores(results.groupBy(*keys).agg(*counters(), own.alias("results")))
+
+
+def reports(facts: DataFrame, rules: list[Rule], keys: tuple[str, ...] = ("doc_id",), nested: bool = False) -> DataFrame:
+    """The report of each row of facts without result rows between: narrow. With `nested`, results as an array in rule order too."""
+    rows = once(facts.select(*keys, *[c for c in facts.columns if c not in keys]), found=result_array(facts, rules))
+    bad = lambda severity: F.size(F.filter("found", lambda r: ~r["o"]["is_passed"] & (r["severity"] == severity))).cast("long")
+    passed = F.size(F.filter("found", lambda r: r["o"]["is_passed"])).cast("long")
+    counted = rows.select(
+        *keys, F.size("found").cast("long").alias("total_checks"), passed.alias("passed_checks"), (F.size("found") - passed).alias("failed_checks"), bad("critical").alias("critical_issues"), bad("warning").alias("warning_issues"),
+        *[F.transform("found", flat).alias("results")] * nested,
+    )
+    return with_scores(counted)
+
+
+def flat(r: Column) -> Column:
+    """A result of result_array as reports hold it."""
+    o = r["o"]
+    details = F.when(o["suggestion"].isNotNull(), F.struct(o["suggestion"].alias("suggestion")))
+    return F.struct(*[r[n].alias(n) for n in ("rule_id", "section", "title", "severity")], *[o[n].alias(n) for n in ("is_passed", "message", "expected_json", "actual_json", "suggestion")], details.alias("details"))
 
 
 def status(reports: DataFrame) -> DataFrame:
@@ -93,16 +126,19 @@ def mistakes(results: DataFrame) -> DataFrame:
 
 
 def issue_rows(results: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Errors and warnings as rows of one table."""
-    row = lambda severity, kind, level: failed(results, severity).select(*keys, F.lit(kind).alias("type"), F.lit("ГОСТ").alias("category"), F.lit(level).alias("level"), F.lit("-").alias("page"), F.col("message").alias("description"))
-    return row("critical", "Ошибка", "Критично").unionByName(row("warning", "Замечание", "Средний"))
+    """Errors and warnings as rows of one table, in one pass over the results."""
+    critical = F.col("severity") == "critical"
+    kind, level = F.when(critical, "Ошибка").otherwise("Замечание"), F.when(critical, "Критично").otherwise("Средний")
+    own = failed(results).filter(F.col("severity").isin("critical", "warning"))
+    return own.select(*keys, kind.alias("type"), F.lit("ГОСТ").alias("category"), level.alias("level"), F.lit("-").alias("page"), F.col("message").alias("description"))
 
 
 def recommendations(results: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Suggestions of a document's failed results, then general advice."""
-    own = failed(results).filter(F.col("suggestion").isNotNull()).select(*keys, F.col("rule_no").alias("place"), "section", "suggestion", "severity")
+    """Suggestions of a document's failed results, then general advice, which comes with its result number 0. One pass, no shuffle."""
     advice = F.array(*[F.struct(F.lit(100 + i).alias("place"), F.lit("Общие").alias("section"), F.lit(t).alias("suggestion"), F.lit("info").alias("severity")) for i, t in enumerate(ADVICE)])
-    return own.unionByName(results.select(*keys).distinct().select(*keys, F.inline(advice)))
+    none = F.filter(advice, lambda x: F.lit(False))
+    own = F.when(~F.col("is_passed") & F.col("suggestion").isNotNull(), F.array(F.struct(F.col("rule_no").alias("place"), "section", "suggestion", "severity"))).otherwise(none)
+    return results.select(*keys, F.inline(F.concat(own, F.when(F.col("rule_no") == 0, advice).otherwise(none))))
 
 
 def result_view(checks: DataFrame, documents: DataFrame, default_name: str = "unknown") -> DataFrame:

@@ -75,17 +75,22 @@ scored AS (SELECT *, round_even(passed_checks / total_checks * 100, 2) AS succes
 COLUMNS = ["doc_id", "rule_id", "section", "severity", "is_passed", "message", "suggestion"]
 
 
-def corpus_facts(spark, sf_dir):
-    return fx.corpus_facts(t(spark, sf_dir, "documents"))
+def corpus_facts(spark, sf_dir, rules: list[Rule]):
+    """The facts that these rules name."""
+    return fx.corpus_facts(t(spark, sf_dir, "documents"), [r.field for r in rules])
 
 
-def results(spark, sf_dir) -> DataFrame:
-    return rp.evaluate(corpus_facts(spark, sf_dir), CORPUS)
+def results(spark, sf_dir, rules: list[Rule] = CORPUS, *severities: str) -> DataFrame:
+    named = [r for r in rules if not severities or r.severity in severities]
+    return rp.evaluate(corpus_facts(spark, sf_dir, named), rules, severities=severities)
+
+
+def reports(spark, sf_dir, nested: bool = False) -> DataFrame:
+    return rp.reports(corpus_facts(spark, sf_dir, CORPUS), CORPUS, nested=nested)
 
 
 def one_rule(spark, sf_dir, rule_id: str) -> DataFrame:
-    rule = rules_source.by_id(CORPUS, rule_id)
-    return rp.evaluate(corpus_facts(spark, sf_dir), [rule]).select(*COLUMNS)
+    return results(spark, sf_dir, [rules_source.by_id(CORPUS, rule_id)]).select(*COLUMNS)
 
 
 # Scans, projections, filters
@@ -186,7 +191,7 @@ def eager_children(spark, sf_dir):
 
 @query(f"WITH {FACTS} SELECT doc_id, array_to_string(list_filter(['the', 'licensed', 'and', 'la'], lambda e: len(list_filter(elements, lambda a: contains(a, e))) = 0), ', ') AS missing FROM facts")
 def missing_elements_join(spark, sf_dir):
-    return corpus_facts(spark, sf_dir).select("doc_id", F.array_join(missing_elements(["the", "licensed", "and", "la"], F.col("elements")), ", ").alias("missing"))
+    return fx.corpus_facts(t(spark, sf_dir, "documents"), ["elements"]).select("doc_id", F.array_join(missing_elements(["the", "licensed", "and", "la"], F.col("elements")), ", ").alias("missing"))
 
 
 @query(
@@ -223,7 +228,7 @@ CASE WHEN lang <> 'en' THEN 'lang (неверное значение)' END, CASE
 )
 def object_contains(spark, sf_dir):
     rule = Rule("p", "4", "Properties", "formatting", "origin", {"lang": "en", "source": "src0", "place": 1}, "object_contains", "warning")
-    return rp.evaluate(corpus_facts(spark, sf_dir), [rule]).select("doc_id", "is_passed", "message")
+    return results(spark, sf_dir, [rule]).select("doc_id", "is_passed", "message")
 
 
 @query(rule_sql("c1_elements"))
@@ -263,7 +268,7 @@ def rule_contains(spark, sf_dir):
 ('6.1.2_paragraph', 'В документе отсутствует настройка абзацного отступа', 'Установите абзацный отступ равным 1.25 см')) r(rule_id, message, suggestion)"""
 )
 def rule_missing_facet(spark, sf_dir):
-    return rp.evaluate(corpus_facts(spark, sf_dir), [r for r in STANDARD if r.rule_type == "formatting"]).select("doc_id", "rule_id", "is_passed", "message", "suggestion")
+    return results(spark, sf_dir, [r for r in STANDARD if r.rule_type == "formatting"]).select("doc_id", "rule_id", "is_passed", "message", "suggestion")
 
 
 @query(f"WITH {RESULTS} SELECT {', '.join(COLUMNS)} FROM results")
@@ -273,7 +278,7 @@ def evaluate_all_rules(spark, sf_dir):
 
 @query(f"WITH {RESULTS} SELECT {', '.join(COLUMNS)} FROM results WHERE rule_id IN ('c2_lines', 'c3_short', 'c4_long')")
 def evaluate_section(spark, sf_dir):
-    return rp.evaluate_section(corpus_facts(spark, sf_dir), CORPUS, "2").select(*COLUMNS)
+    return results(spark, sf_dir, rules_source.by_section(CORPUS, "2")).select(*COLUMNS)
 
 
 # Reports
@@ -281,7 +286,7 @@ def evaluate_section(spark, sf_dir):
 
 @query(f"WITH {REPORT} SELECT * FROM scored")
 def report_by_document(spark, sf_dir):
-    return rp.report(results(spark, sf_dir))
+    return reports(spark, sf_dir)
 
 
 @query(f"WITH {RESULTS} SELECT {', '.join(COLUMNS)} FROM results WHERE NOT is_passed")
@@ -291,12 +296,12 @@ def failed_results(spark, sf_dir):
 
 @query(f"WITH {RESULTS} SELECT {', '.join(COLUMNS)} FROM results WHERE NOT is_passed AND severity = 'critical'")
 def critical_issues(spark, sf_dir):
-    return rp.failed(results(spark, sf_dir), "critical").select(*COLUMNS)
+    return rp.failed(results(spark, sf_dir, CORPUS, "critical")).select(*COLUMNS)
 
 
 @query(f"WITH {RESULTS} SELECT {', '.join(COLUMNS)} FROM results WHERE severity = 'warning'")
 def stored_view_by_severity(spark, sf_dir):
-    return rp.by_severity(results(spark, sf_dir), "warning").select(*COLUMNS)
+    return rp.by_severity(results(spark, sf_dir, CORPUS, "warning"), "warning").select(*COLUMNS)
 
 
 @query(
@@ -304,13 +309,13 @@ def stored_view_by_severity(spark, sf_dir):
 JOIN (SELECT r.*, n.rule_no FROM results r JOIN (VALUES ('c1_elements', 0), ('c2_lines', 1), ('c3_short', 2), ('c4_long', 3), ('c5_phrase', 4), ('c6_language', 5), ('c7_source', 6)) n(rule_id, rule_no) USING (rule_id)) r ON r.doc_id = s.doc_id GROUP BY s.doc_id, score"""
 )
 def nested_report(spark, sf_dir):
-    nested = rp.nested_report(results(spark, sf_dir))
+    nested = reports(spark, sf_dir, nested=True)
     return nested.select("doc_id", "score", F.array_join(F.transform("results", lambda r: F.concat(r["rule_id"], F.lit("="), F.when(r["is_passed"], "1").otherwise("0"))), ",").alias("outcome"))
 
 
 @query(f"WITH {REPORT} SELECT doc_id, total_checks, score FROM scored")
 def report_json_round_trip(spark, sf_dir):
-    stored = as_json(rp.report(results(spark, sf_dir)))
+    stored = as_json(reports(spark, sf_dir))
     return stored.select("doc_id", F.from_json("result", "total_checks long, score int").alias("r")).select("doc_id", "r.*")
 
 
@@ -318,19 +323,19 @@ def report_json_round_trip(spark, sf_dir):
     f"WITH {RESULTS} SELECT doc_id, rule_id, 'Ошибка ГОСТ' AS mistake_type, 'high' AS critical_status FROM results WHERE NOT is_passed AND severity = 'critical' UNION ALL SELECT doc_id, rule_id, 'Предупреждение ГОСТ', 'low' FROM results WHERE NOT is_passed AND severity = 'warning'"
 )
 def fan_out_mistakes(spark, sf_dir):
-    return rp.mistakes(results(spark, sf_dir)).select("doc_id", "rule_id", "mistake_type", "critical_status")
+    return rp.mistakes(results(spark, sf_dir, CORPUS, "critical", "warning")).select("doc_id", "rule_id", "mistake_type", "critical_status")
 
 
 @query(f"WITH {REPORT} SELECT doc_id, score, CASE WHEN is_compliant THEN 'Идеален' ELSE 'Отправлен на доработку' END AS status FROM scored")
 def status_transition(spark, sf_dir):
-    return rp.status(rp.report(results(spark, sf_dir))).select("doc_id", "score", "status")
+    return rp.status(reports(spark, sf_dir)).select("doc_id", "score", "status")
 
 
 @query(
     f"WITH {RESULTS} SELECT doc_id, 'Ошибка' AS type, 'ГОСТ' AS category, 'Критично' AS level, '-' AS page, message AS description FROM results WHERE NOT is_passed AND severity = 'critical' UNION ALL SELECT doc_id, 'Замечание', 'ГОСТ', 'Средний', '-', message FROM results WHERE NOT is_passed AND severity = 'warning'"
 )
 def issue_union(spark, sf_dir):
-    return rp.issue_rows(results(spark, sf_dir))
+    return rp.issue_rows(results(spark, sf_dir, CORPUS, "critical", "warning"))
 
 
 @query(
@@ -462,9 +467,9 @@ UNION ALL SELECT e.user_id, e.r, CASE WHEN e.s - anchor > 86400000000 THEN e.s E
 SELECT user_id, CAST(n AS INTEGER) AS sessions, CAST(total AS BIGINT) AS start_ids FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r DESC) AS z FROM w) WHERE z = 1"""
 )
 def anchored_sessions(spark, sf_dir):
-    events = t(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("s"), "event_id"))).alias("es"))
-    starts = fx.anchored_groups(F.col("es"), lambda a, b: b["s"] - a["s"], F.lit(86_400_000_000))
-    return events.select("user_id", starts.alias("g")).select("user_id", F.size("g").alias("sessions"), F.aggregate("g", F.lit(0).cast("long"), lambda a, x: a + x["event_id"]).alias("start_ids"))
+    events = t(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("s"), "event_id")
+    starts = fx.anchored_starts(events, "user_id", "s", "event_id", 86_400_000_000)
+    return starts.groupBy("user_id").agg(F.count(F.lit(1)).cast("int").alias("sessions"), F.sum("event_id").alias("start_ids"))
 
 
 # Writes

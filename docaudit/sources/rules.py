@@ -52,4 +52,4 @@ def summary(rules: DataFrame) -> DataFrame:
 
 def grouped(rules: DataFrame) -> DataFrame:
     """Rules of each section in order."""
-    return rules.groupBy("section").agg(F.transform(F.array_sort(F.collect_list(F.struct("rule_no", "id", "title", "severity"))), lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title"), x["severity"].alias("severity"))).alias("rules"))
+    return rules.groupBy("section").agg(F.transform(F.sort_array(F.collect_list(F.struct("rule_no", "id", "title", "severity"))), lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title"), x["severity"].alias("severity"))).alias("rules"))
