@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.llm.storage import discard, few, materialize
+from docaudit.llm.storage import discard, materialize, shuffle_partitions
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -15,9 +15,9 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links each node's greater (large) or smaller (small) neighbours, and in a small star itself, to its least neighbour."""
     near = _both_ways(edges) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    # stored, so that the join has an exchange of its own on either side, which the engine can split for a node with many neighbours
-    least = materialize(few(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))), "least")
-    joined = near.join(least, "u")
+    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # dealt anew, so that the join has an exchange of its own on either side, which the engine can split for a node with many neighbours
+    joined = near.join(least.repartition(shuffle_partitions(edges.sparkSession)).hint("merge"), "u")
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -30,16 +30,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Both stars are a partial minimum and an equi-join, so a node with very many neighbours is split by the engine; the number
     of rounds grows with the logarithm of a component's size. Edges stay in tables; only a count and a checksum come back.
+    Edges of a node with itself or twice count once, null ends give no label, and no edges give no rows.
     """
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     down = edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    now = materialize(few(down.distinct()), "edges")
+    now = materialize(down.distinct(), "edges")
     seen = mark(now)
-    while True:
-        after = materialize(few(_star(_star(now, large=True), large=False)), "edges")
+    while seen[0]:
+        after = materialize(_star(_star(now, large=True), large=False), "edges", rows=seen[0])
         discard(now)
         now, before, seen = after, seen, mark(after)
         if seen == before:
             break
     labels = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return materialize(few(labels.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()), "labels")
+    return materialize(labels.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct(), "labels", rows=2 * seen[0])

@@ -10,9 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docaudit.llm.storage import free_name
 from docaudit.llm.textops import LOWER, chunked, raw
 
 BUCKETS, SAMPLE_ROWS, LEAST_SHARE, CLUSTERS, ROUNDS, FULL_GRAMS = 4096, 2048, 8, 4, 12, 256
+#: Texts whose n-gram counts are held at a time, BUCKETS numbers each.
+ROWS = 256
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
@@ -78,18 +81,20 @@ class Model:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, clusters: int = CLUSTERS, margin: float = 0.5) -> Model:
     """Learns from a sample of labelled rows: about sample_rows in all, an equal share for each label, chosen by a hash of the id.
 
-    A label's share is LEAST_SHARE rows at least, so with more than sample_rows / LEAST_SHARE labels the sample grows. Label counts
-    cover all rows. Only they and n-gram counts of the sample (its rows x BUCKETS bytes x 2) come to the driver.
+    A label's share is LEAST_SHARE rows at least, so with more than sample_rows / LEAST_SHARE labels the sample grows with them.
+    Label counts cover all rows. Only they and n-gram counts of the sample (its rows x BUCKETS bytes x 2) come to the driver.
+    Rows with a null text or label are not learned from; rows that repeat count each; without rows nothing is learned. Of seeds
+    that are equally far the first by label and counts is taken, so a model does not depend on the order of rows.
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     share = max(LEAST_SHARE, sample_rows // max(1, len(sizes)))
     chances = labelled.sparkSession.createDataFrame([(value, min(1.0, share / n)) for value, n in sizes.items()], "__of string, __chance double")
     chance = F.col("__chance")
-    picked = rows.join(F.broadcast(chances), F.col(lang) == F.col("__of")).filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 20)) < chance * (1 << 20)).select(lang, text)
+    picked = rows.join(F.broadcast(chances), F.col(lang) == F.col("__of")).filter(F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(3)), 1) < chance * float(1 << 63)).select(lang, text)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunked(batches, text):
+        for batch in chunked(batches, text, rows=ROWS):
             tf = np.minimum(counts(batch.column(1)), 65535).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in tf], pa.binary())], names=["lang", "tf"])
 
@@ -120,14 +125,16 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     """The columns keep, lang_pred, score (cosine, 0 to 1) and rejected for every row; narrow.
 
     lang_pred is und, with score 0 and rejected, for null texts and texts without letters, and if nothing was learned. Other
-    texts get the label of the nearest centroid; rejected says that it is too far to be trusted, where the distance allowed grows
-    as a text has fewer than FULL_GRAMS distinct n-grams.
+    texts get the label of the nearest centroid, of equally near ones that of the first label; rejected says that it is too far to
+    be trusted, where the distance allowed grows as a text has fewer than FULL_GRAMS distinct n-grams. Rows that repeat are
+    predicted each; an empty table gives no rows. Kept columns of the names of results are replaced by them.
     """
-    own_text = text if text in keep else "__text"
+    keep = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
+    own_text = text if text in keep else free_name(docs, "read_text")
     schema = ", ".join([f"`{c}` {dict(docs.dtypes)[c]}" for c in keep] + ["lang_pred string, score double, rejected boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunked(batches, own_text):
+        for batch in chunked(batches, own_text, rows=ROWS):
             column = batch.column(own_text)
             data, offsets = raw(column)
             ascii_letter = np.concatenate([[0], np.cumsum((LOWER[data] >= 97) & (LOWER[data] <= 122))])
@@ -146,7 +153,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
                 far = ~lettered | (scores < model.least[own] * trust)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.bool_())], names=[*keep, "lang_pred", "score", "rejected"])
 
-    return docs.select(*keep, *([] if text in keep else [F.col(text).alias("__text")])).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if text in keep else [F.col(text).alias(own_text)])).mapInArrow(run, schema)
 
 
 def fold(id_col: str, folds: int) -> Column:

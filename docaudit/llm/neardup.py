@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.llm.graph import components
-from docaudit.llm.storage import blocks, materialize
+from docaudit.llm.storage import blocks, free_name, materialize
 from docaudit.llm.textops import Words, chunked, distinct_by_row, mix, shingles
 
 ROWS, BITS, LOSS, SIGMAS = 4, 4, 1e-9, 6.5
-#: Members of a block where signatures meet (some 100 bytes each), and where full sets do.
-SIGNATURES, SETS = 2048, 256
+#: Members of a part where signatures meet (some 100 bytes each), and where full sets do; members of small groups in a task.
+SIGNATURES, SETS, PER_TASK = 2048, 256, 4096
 _NIBBLES = np.uint64(0x1111111111111111)
 
 
@@ -99,7 +99,7 @@ def sketch(docs: DataFrame, size: int, threshold: float, id_col: str, text: str)
 def likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs (u, v) those whose sizes allow the similarity and whose estimate does not rule it out."""
     n, least = bands_for(num / den) * ROWS, least_estimate(num / den, bands_for(num / den) * ROWS)
-    side = lambda c: classes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sig").alias(f"s_{c}"))
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sig").alias(f"s_{c}")).hint("merge")
     both = pairs.join(side("u"), "u").join(side("v"), "v").filter(F.least("n_u", "n_v") * den >= F.greatest("n_u", "n_v") * num)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,91 +111,111 @@ def likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
     return both.mapInArrow(run, "u binary, v binary")
 
 
-def spread(members: DataFrame, block: int, per_group: int) -> DataFrame:
-    """Deals members (key, node, m of the key) to tasks: columns group, key, i, j.
+def unsettled(members: DataFrame) -> DataFrame:
+    """Members (key, node, label, ..) of keys with several labels, with m and probe: not of the key's commonest label.
 
-    A key of at most `block` members is whole in one group, with other keys, about per_group rows in all. A greater one is cut into
-    parts by a hash of the node, and every two parts meet in a group of their own.
+    Counts are made per key and label first, so a key with very many members is partially aggregated.
+    """
+    counted = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    keys = counted.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    keys = keys.select("key", "m", F.col("most.label").alias("main"), (F.col("m") - F.col("most.n")).alias("probes"))
+    return members.join(keys.hint("merge"), "key").withColumn("probe", F.col("label") != F.col("main")).drop("main")
+
+
+def dealt(members: DataFrame, part: int) -> DataFrame:
+    """Deals members (key, node, m, probes, probe) to tasks so that each probe meets all members of its key: columns group, key, asks.
+
+    A key of at most `part` members is whole in one group, with other keys, about PER_TASK rows in all. A greater one is cut
+    into parts of about that size by a hash of the node, and its probes into parts of their own; every part of probes meets
+    every part in a group. Members that are no probes travel once a part of probes, so few probes cost little in a great key.
+    asks says whether the row is there as a probe; a probe is in each group of its own part as both.
     """
     total = members.count()
-    parts = F.ceil(F.col("m") / block).cast("int")
-    dealt = members.withColumn("p", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.withColumn("i", F.least("p", "o")).withColumn("j", F.greatest("p", "o"))
-    return dealt.withColumn("group", F.when(F.col("m") <= block, F.pmod(F.xxhash64("key"), F.lit(blocks(total, per_group)))).otherwise(F.xxhash64("key", "i", "j"))).drop("p", "o")
+    parts, asking = (F.ceil(F.col(c) / part).cast("int") for c in ("m", "probes"))
+    own = F.col("m") <= part
+    place = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+    # (i, j): part of probes, part of all
+    as_one = F.transform(F.sequence(F.lit(0), F.greatest(asking, F.lit(1)) - 1), lambda i: F.struct(i.alias("i"), place(1, parts).alias("j"), F.lit(False).alias("asks")))
+    as_probe = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(place(2, F.greatest(asking, F.lit(1))).alias("i"), j.alias("j"), F.lit(True).alias("asks")))
+    none = F.filter(as_one, lambda x: F.lit(False))
+    spread = members.withColumn("x", F.explode(F.concat(as_one, F.when(F.col("probe"), as_probe).otherwise(none)))).select(*members.columns, "x.i", "x.j", "x.asks")
+    return spread.withColumn("group", F.when(own, F.pmod(F.xxhash64("key"), F.lit(blocks(total, PER_TASK)))).otherwise(F.xxhash64("key", "i", "j")))
 
 
-def forest(n: int, linked) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph on 0..n-1 in which linked(x, others) says which of others x is linked with.
+def forest(asking: np.ndarray, label: np.ndarray, linked) -> list[tuple[int, int]]:
+    """Edges that join what is connected with the asking among 0..n-1; linked(x, others) says which of others x is linked with.
 
-    A member that is reached is not compared with other members that are, so a dense group costs little more than its size.
+    A member is only compared with those that are not connected with it yet, by their labels or by edges found before.
     """
-    waiting, edges = np.arange(n), []
-    while len(waiting):
-        queue, waiting = [int(waiting[0])], waiting[1:]
-        while queue and len(waiting):
-            x = queue.pop()
-            hit = linked(x, waiting)
-            queue += waiting[hit].tolist()
-            edges += [(x, y) for y in waiting[hit].tolist()]
-            waiting = waiting[~hit]
+    label, edges = label.copy(), []
+    for x in asking:
+        others = np.flatnonzero(label != label[x])
+        if len(others):
+            hit = others[linked(x, others)]
+            if len(hit):
+                found, first = np.unique(label[hit], return_index=True)
+                edges += [(int(x), int(y)) for y in hit[first]]
+                label[np.isin(label, found)] = label[x]
     return edges
 
 
-def by_key(group: pd.DataFrame):
-    """Positions of each (key, i, j) of a group."""
-    return group.groupby(["key", "i", "j"], sort=False).indices.values()
+def met(group: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each (key, i, j) of a group: the positions of its members, one a node, which of them ask, and their labels."""
+    label, node, asks = pd.factorize(group["label"])[0], pd.factorize(group["node"])[0], group["asks"].to_numpy()
+    for at in group.groupby(["key", "i", "j"], sort=False).indices.values():
+        own, first, back = np.unique(node[at], return_index=True, return_inverse=True)
+        asking = np.bincount(back, asks[at], len(own)) > 0
+        yield at[first], np.flatnonzero(asking), label[at[first]]
 
 
 def likely_edges(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v): a forest, in each block of a bucket, of the pairs that sizes and estimate allow; equal labels count as linked."""
+    """(u, v): what sizes and estimate allow to be linked across the labels of a bucket, one edge for each label that a probe reaches."""
     n, least = bands_for(num / den) * ROWS, least_estimate(num / den, bands_for(num / den) * ROWS)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        node, size, label = group["node"].to_numpy(), group["n_shingles"].to_numpy(), pd.factorize(group["label"])[0]
+        node, size, out = group["node"].to_numpy(), group["n_shingles"].to_numpy(), []
         sig = np.frombuffer(b"".join(group["sig"]), np.uint64).reshape(len(group), -1)
-        out = []
-        for at in by_key(group):
-            s, z, q = size[at], sig[at], label[at]
+        for at, asking, label in met(group):
+            s, z = size[at], sig[at]
 
-            def linked(x, others, s=s, z=z, q=q):
-                fits = np.minimum(s[others], s[x]) * den >= np.maximum(s[others], s[x]) * num
-                return (q[others] == q[x]) | (fits & (estimate(z[others], z[x], n) >= least))
+            def linked(x, others, s=s, z=z):
+                return (np.minimum(s[others], s[x]) * den >= np.maximum(s[others], s[x]) * num) & (estimate(z[others], z[x], n) >= least)
 
-            out += [(node[at[x]], node[at[y]]) for x, y in forest(len(at), linked) if q[x] != q[y]]
+            out += [(node[at[x]], node[at[y]]) for x, y in forest(asking, label, linked)]
         return pd.DataFrame(out, columns=["u", "v"])
 
-    return spread(members, SIGNATURES, 4096).groupBy("group").applyInPandas(run, "u binary, v binary")
+    return dealt(members, SIGNATURES).groupBy("group").applyInPandas(run, "u binary, v binary")
 
 
 def with_sets(members: DataFrame, docs: DataFrame, size: int, id_col: str, text: str) -> DataFrame:
-    """members (key, node, m, sig, and at and th, id and text hash of one of its rows) with the full set of each node.
+    """members (key, node, sig, and at and th, id and text hash of one of its rows) with the full set of each node.
 
     Texts come by an equi-join on id and hash; a text whose set is not the node's is passed over.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumn("own", F.xxhash64("text"))
-    texts = rows.join(members, F.col("id").eqNullSafe(F.col("at")) & (F.col("own") == F.col("th"))).select("key", "m", "node", "sig", "text")
+    texts = rows.join(members.hint("merge"), F.col("id").eqNullSafe(F.col("at")) & (F.col("own") == F.col("th"))).select("key", "copies", "node", "sig", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches):
             hashes, bounds = distinct_by_row(*shingles(Words(batch.column("text")), size), batch.num_rows)
             own = np.array([d.tobytes() == n for d, n in zip(digest(hashes, bounds), batch.column("node").to_pylist(), strict=True)], bool)
             sets = pa.array([hashes[bounds[r] : bounds[r + 1]].tobytes() for r in range(len(own))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], sets], names=["key", "m", "node", "sig", "set"]).filter(pa.array(own))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], sets], names=["key", "copies", "node", "sig", "set"]).filter(pa.array(own))
 
-    return texts.mapInArrow(run, "key binary, m long, node binary, sig binary, set binary").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "key binary, copies long, node binary, sig binary, set binary").dropDuplicates(["node"])
 
 
 def verified_edges(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v): a forest, in each block of a likely cluster, of the pairs whose full sets have den * intersection >= num * union."""
+    """(u, v): links of full sets with den * intersection >= num * union across the labels of a cluster, one for each label that a
+    probe reaches."""
     n, least = bands_for(num / den) * ROWS, least_estimate(num / den, bands_for(num / den) * ROWS)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        node = group["node"].to_numpy()
+        node, out = group["node"].to_numpy(), []
         sig = np.frombuffer(b"".join(group["sig"]), np.uint64).reshape(len(group), -1)
         sets = [np.frombuffer(x, np.uint64) for x in group["set"]]
         size = np.array([len(x) for x in sets])
-        out = []
-        for at in by_key(group):
+        for at, asking, label in met(group):
             s, z, own = size[at], sig[at], [sets[i] for i in at]
 
             def linked(x, others, s=s, z=z, own=own):
@@ -209,10 +229,30 @@ def verified_edges(members: DataFrame, num: int, den: int) -> DataFrame:
                     hit[test] = den * common >= num * (s[others[test]] + s[x] - common)
                 return hit
 
-            out += [(node[at[x]], node[at[y]]) for x, y in forest(len(at), linked)]
+            out += [(node[at[x]], node[at[y]]) for x, y in forest(asking, label, linked)]
         return pd.DataFrame(out, columns=["u", "v"])
 
-    return spread(members, SETS, 256).groupBy("group").applyInPandas(run, "u binary, v binary")
+    return members.groupBy("group").applyInPandas(run, "u binary, v binary")
+
+
+def linked_members(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, label) of the components of the links within each cluster of members (key, copies, node, sig, set).
+
+    First all members of a part of SETS meet each other and their cluster's commonest member, so a cluster travels once. What
+    a cluster falls into then meets again, all but its greatest component as probes; most clusters need no second round.
+    """
+    sized = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("copies", "node")).alias("rep")).select("key", "m", F.col("rep.node").alias("rep"))
+    held = materialize(members.join(sized.hint("merge"), "key"), "clusters")
+    parts = F.ceil(F.col("m") / SETS).cast("int")
+    own = F.array(F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int"))
+    j = F.explode(F.when(F.col("node") == F.col("rep"), F.sequence(F.lit(0), parts - 1)).otherwise(own))
+    first = held.withColumn("j", j).withColumns({"i": F.lit(0), "asks": F.lit(True), "label": F.col("node")})
+    first = first.withColumn("group", F.when(F.col("m") <= SETS, F.pmod(F.xxhash64("key"), F.lit(blocks(held.count(), SETS)))).otherwise(F.xxhash64("key", "j")))
+    near = materialize(verified_edges(first, num, den), "links")
+    labels = components(near)
+    again = held.filter(F.col("m") > SETS).select("key", "node", "sig", "set").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = materialize(unsettled(again), "unsettled")
+    return components(near.unionByName(verified_edges(dealt(rest, SETS), num, den)))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,40 +263,51 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     sets become one class first, so copies cost nothing further. Classes meet in buckets of ROWS minima; the number of bands
     keeps the chance to miss a pair at the threshold at LOSS. Likely pairs are those that the collision-corrected estimate from
     packed low bits does not rule out (SIGMAS standard deviations below the threshold): each class against its bucket's
-    commonest first, then, in buckets that this leaves in several components, all across components, in blocks. The components
-    of likely pairs are then searched on full sets, again in blocks. Both searches yield spanning forests, never all pairs of
-    a group, and compare a member only with those not reached yet. Null ids count as no id: such a row takes its class's
-    least id. Repeated rows are in one class; an empty table gives no rows; other columns are ignored.
+    commonest first, then, in buckets that this leaves in several components, those outside the greatest against all, in
+    parts. The components of likely pairs are then searched on full sets in the same way. Both searches yield an edge for each
+    component that a member reaches, never all pairs of a group. Full sets are sets of 64-bit hashes of shingles, and sets are
+    equal if 128 bits of them are. Null ids count as no id: such a row takes its class's least id. Repeated rows are in one
+    class; an empty table gives no rows; other columns are ignored.
     """
     rows = materialize(sketch(docs, size, num / den, id_col, text), "sketch")
-    classes = materialize(
-        rows.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("at"), "th")).alias("head"), F.min(F.struct(F.col(id_col).alias("at"), "th")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("n_shingles", "sig", "bands")).alias("x")).select("node", "head", "rep", "copies", "x.*"),
-        "classes",
-    )
+    heads = [F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("at"), "th")).alias("head"), F.min(F.struct(F.col(id_col).alias("at"), "th")).alias("rep")]
+    grouped = rows.filter("node is not null").groupBy("node").agg(*heads, F.count(F.lit(1)).alias("copies"), F.first(F.struct("n_shingles", "sig", "bands")).alias("x"))
+    classes = materialize(grouped.select("node", "head", "rep", "copies", "x.*"), "classes")
     entries = classes.select("node", "copies", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("copies", "node")).alias("rep")).filter("m > 1").select("key", "m", F.col("rep.node").alias("rep"))
-    members = materialize(entries.join(buckets, "key").select("key", "node", "m", "rep"), "members")
+    members = materialize(entries.join(buckets.hint("merge"), "key").select("key", "node", "m", "rep"), "members")
     stars = members.filter(F.col("node") != F.col("rep")).select(F.least("node", "rep").alias("u"), F.greatest("node", "rep").alias("v")).distinct()
     near = materialize(likely(stars, classes, num, den), "likely")
     labels = components(near)
-    labelled = members.filter("m > 2").select("key", "node", "m").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
-    across = materialize(labelled.join(open_keys, "key").join(classes.select("node", "n_shingles", "sig"), "node"), "open")
-    clusters = components(near.unionByName(likely_edges(across, num, den)))
-    sized = clusters.join(clusters.groupBy("label").agg(F.count(F.lit(1)).alias("m")), "label").withColumnRenamed("label", "key")
-    full = materialize(with_sets(sized.join(classes.select("node", "rep.at", "rep.th", "sig"), "node"), docs, size, id_col, text), "sets")
-    final = components(verified_edges(full, num, den))
-    least = final.join(classes, "node").groupBy("label").agg(F.min("head").alias("first"))
-    of_node = classes.select("node", "head").join(final.join(least, "label").select("node", "first"), "node", "left").select("node", F.coalesce("first", "head").alias("first"))
-    out = rows.select(id_col, "th", "n_shingles", "node").join(of_node, "node", "left").withColumn("component_id", F.coalesce("first.at", id_col))
+    labelled = members.filter("m > 2").select("key", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    across = materialize(unsettled(labelled).join(classes.select("node", "n_shingles", "sig").hint("merge"), "node"), "open")
+    clusters = components(near.unionByName(likely_edges(across, num, den))).withColumnRenamed("label", "key")
+    full = materialize(with_sets(clusters.join(classes.select("node", "copies", "rep.at", "rep.th", "sig").hint("merge"), "node"), docs, size, id_col, text), "sets")
+    final = linked_members(full, num, den)
+    least = final.join(classes.select("node", "head").hint("merge"), "node").groupBy("label").agg(F.min("head").alias("first"))
+    of_node = classes.select("node", "head").join(final.join(least.hint("merge"), "label").select("node", "first").hint("merge"), "node", "left").select("node", F.coalesce("first", "head").alias("first"))
+    # stored, so that the join below has an exchange of its own on either side, which the engine can split for a set of very many copies
+    named = materialize(of_node, "named")
+    out = rows.select(id_col, "th", "n_shingles", "node").join(named.hint("merge"), "node", "left").withColumn("component_id", F.coalesce("first.at", id_col))
     first = F.col("first").isNull() | (F.col(id_col).eqNullSafe(F.col("first.at")) & (F.col("th") == F.col("first.th")))
     return out.select(id_col, "th", "n_shingles", "component_id", first.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that near_duplicates keeps, one of each component; of rows equal in id and text one stays."""
-    gone = near_duplicates(docs, size, num, den, id_col, text).filter(~F.col("kept")).select(F.col(id_col).alias("__id"), F.col("th").alias("__th")).distinct()
-    keyed = docs.withColumn("__own", F.xxhash64(text))
-    left = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left_anti")
-    first = F.row_number().over(Window.partitionBy(id_col, "__own").orderBy(F.lit(1)))
-    return left.withColumn("__n", first).filter("__n = 1").drop("__own", "__n")
+    """The rows of docs that near_duplicates keeps, one of each component; of rows equal in id and text one stays.
+
+    Of the latter it is the one whose other columns come first as JSON. Other columns may have any names.
+    """
+    names = {n: free_name(docs, n) for n in ("own", "fate_id", "fate_th", "n", "place")}
+    found = near_duplicates(docs, size, num, den, id_col, text)
+    fates = found.groupBy(F.col(id_col).alias(names["fate_id"]), F.col("th").alias(names["fate_th"])).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias(names["n"])).filter(~F.col("kept") | (F.col(names["n"]) > 1))
+    fates = materialize(fates, "fates")
+    keyed = docs.withColumn(names["own"], F.xxhash64(text))
+    same = F.col(id_col).eqNullSafe(F.col(names["fate_id"])) & (F.col(names["own"]) == F.col(names["fate_th"]))
+    single = keyed.join(fates.hint("merge"), same, "left_anti").drop(names["own"])
+    several = fates.filter("kept").drop("kept")
+    if several.isEmpty():
+        return single
+    own = keyed.join(several.hint("merge"), same)
+    place = F.row_number().over(Window.partitionBy(names["fate_id"], names["fate_th"]).orderBy(F.to_json(F.struct(*docs.columns))))
+    return single.unionByName(own.withColumn(names["place"], place).filter(F.col(names["place"]) == 1).select(*docs.columns))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.llm.storage import blocks, stored
-from docaudit.llm.textops import Words, chunked
+from docaudit.llm.textops import Words, chunked, equal_eights
 
 CAPACITY, GROUPS, PIECES_PER_SHARD = 2048, 32, 1 << 16
 KNOWN_WORDS, TRIES = 1 << 21, 32
@@ -47,9 +47,11 @@ def letter_cuts(data: np.ndarray) -> np.ndarray:
 
 
 class WordIds:
-    """Ids of words by hash, kept in a worker in sorted arrays of at most KNOWN_WORDS.
+    """Ids of words, kept in a worker by hash in sorted arrays of at most KNOWN_WORDS, with the words' own bytes.
 
-    New words are encoded in one call, parted by a special token; words that hold one themselves are encoded alone.
+    A word gets the ids kept under its hash only if its bytes are those of the word they belong to; other words of that hash
+    are encoded by themselves. New words are encoded in one call, parted by a special token; words that hold one themselves
+    are encoded alone.
     """
 
     def __init__(self, path: str):
@@ -58,6 +60,7 @@ class WordIds:
 
     def clear(self) -> None:
         self.keys, self.begins, self.lengths, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.spelt_at, self.spelt_n, self.spelt = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
 
     def encoded(self, words: list[bytes]) -> list[np.ndarray]:
         texts = [w.decode("utf-8", "replace") for w in words]
@@ -78,19 +81,31 @@ class WordIds:
         new = np.ones(len(unique), bool)
         inner = at < len(self.keys)
         new[inner] = self.keys[at[inner]] != unique[inner]
+        begin, n = words.number_at[:-1], np.diff(words.number_at)
+        data = words.data.tobytes()
         if new.any():
-            data = words.data.tobytes()
             own = self.encoded([data[words.starts[j] : words.ends[j]] for j in first[new]])
-            lengths = np.array([len(x) for x in own], np.int32)
+            lengths, spelt_n = np.array([len(x) for x in own], np.int32), n[first[new]]
             self.begins = np.insert(self.begins, at[new], len(self.ids) + np.cumsum(lengths) - lengths)
             self.lengths = np.insert(self.lengths, at[new], lengths)
+            self.spelt_at = np.insert(self.spelt_at, at[new], len(self.spelt) + np.cumsum(spelt_n) - spelt_n)
+            self.spelt_n = np.insert(self.spelt_n, at[new], spelt_n)
             self.keys = np.insert(self.keys, at[new], unique[new])
             self.ids = np.concatenate([self.ids, *own])
+            self.spelt = np.concatenate([self.spelt, *(words.numbers[begin[j] : begin[j] + n[j]] for j in first[new])])
             at = np.searchsorted(self.keys, unique)
-        begins, lengths = self.begins[at][back], self.lengths[at][back].astype(np.int64)
+        begins, lengths, ids = self.begins[at][back], self.lengths[at][back].astype(np.int64), self.ids
+        known = equal_eights(words.numbers, (begin, n), self.spelt, (self.spelt_at[at][back], self.spelt_n[at][back]))
+        other = np.flatnonzero(~known)
+        if len(other):
+            spelt = [data[words.starts[j] : words.ends[j]] for j in other]
+            alone = dict(zip(names := sorted(set(spelt)), self.encoded(names), strict=True))
+            lengths[other] = [len(alone[w]) for w in spelt]
+            begins[other] = len(ids) + np.cumsum(lengths[other]) - lengths[other]
+            ids = np.concatenate([ids, *(alone[w] for w in spelt)])
         ends = np.cumsum(lengths)
         where = np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-        return self.ids[where], lengths
+        return ids[where], lengths
 
 
 @cache

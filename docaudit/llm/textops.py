@@ -20,10 +20,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWERED_BYTE = _BYTE[LOWER]
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -68,23 +68,61 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def chunked(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about limit bytes of text at most; a longer text stands alone."""
+def chunked(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many rows and about limit bytes of text; a longer text stands alone."""
     for batch in batches:
         sizes = batch.column(column).cast(pa.large_string())
         _, offsets = raw(sizes)
         start, n = 0, batch.num_rows
         while start < n:
-            end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
+            end = min(start + rows, max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1))
             yield batch.slice(start, end - start)
             start = end
     release()
 
 
+def eights(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each (non-empty) range as little-endian numbers of eight bytes, the last padded with zeros, and the bounds of
+    each range's numbers."""
+    n = -(-(ends - starts) // 8)
+    bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+    place = np.repeat(starts - 8 * bounds[:-1], n) + 8 * np.arange(bounds[-1])
+    padded = np.zeros(len(data) // 8 * 8 + 24, np.uint8)
+    padded[: len(data)] = data
+    whole, at, shift = padded.view("<u8"), place >> 3, ((place & 7) << 3).astype(np.uint64)
+    out = (whole[at] >> shift) | ((whole[at + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+    left = np.minimum(np.repeat(ends, n) - place, 8).astype(np.uint64)
+    return out & (~np.uint64(0) >> ((np.uint64(8) - left) << np.uint64(3))), bounds
+
+
+def hashes_of_eights(numbers: np.ndarray, bounds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each range: the sum of its numbers, each mixed with a random one for its place, mixed with the size in bytes."""
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    n = np.diff(bounds)
+    place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], n)
+    salts = mix((np.arange(1, int(n.max()) + 1, dtype=np.uint64)) * _GOLD)
+    return mix(np.add.reduceat(mix(numbers ^ salts[place]), bounds[:-1]) + sizes.astype(np.uint64) * _GOLD)
+
+
+def equal_eights(a: np.ndarray, a_bounds: tuple[np.ndarray, np.ndarray], b: np.ndarray, b_bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of ranges of numbers, given by their beginnings and lengths in a and in b, those that are equal pairwise."""
+    (a_at, a_n), (b_at, b_n) = a_bounds, b_bounds
+    same = a_n == b_n
+    n = a_n[same]
+    if len(n):
+        begin = np.cumsum(n) - n
+        inner = np.arange(n.sum())
+        differ = a[np.repeat(a_at[same] - begin, n) + inner] != b[np.repeat(b_at[same] - begin, n) + inner]
+        same[same] = np.add.reduceat(differ, begin, dtype=np.int64) == 0
+    return same
+
+
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of a column: hashes (A-Z lower-cased if asked), the row of each, and rows' word ranges.
 
-    cuts, a function of the bytes, may part words further; space says which bytes part them.
+    cuts, a function of the bytes, may part words further; space says which bytes part them. numbers holds the words' bytes, eight
+    in each, so that words can be compared where a hash of 64 bits is not enough.
     """
 
     def __init__(self, column: pa.Array, lower: bool = True, cuts=None, space: np.ndarray = SPACE):
@@ -101,9 +139,8 @@ class Words:
             first |= cut & inside
             last[:-1] |= cut[1:] & inside[:-1]
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((_LOWERED_BYTE if lower else _BYTE)[data] * powers(_BASE, n)[:n], out=prefix[1:])
-        self.hashes = mix((prefix[self.ends] - prefix[self.starts]) * powers(_BASE_INVERSE, n)[self.starts])
+        self.numbers, self.number_at = eights(LOWER[data] if lower else data, self.starts, self.ends)
+        self.hashes = hashes_of_eights(self.numbers, self.number_at, self.ends - self.starts)
         self.row = np.searchsorted(offsets, self.starts, "right") - 1
         self.bounds = np.searchsorted(self.row, np.arange(self.rows + 1))
         self.data, self.offsets = data, offsets

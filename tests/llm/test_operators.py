@@ -100,6 +100,39 @@ def test_word_ids_equal_the_tokenizer():
     assert [got[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in plain]
 
 
+def thue_morse(n):
+    """Two words of so many characters that all polynomial hashes modulo a power of two take for equal."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_word_hashes_are_no_polynomial():
+    from docaudit.llm.textops import Words, pa
+
+    pair = thue_morse(1024)
+    assert len(set(Words(pa.array([" ".join(pair)])).hashes.tolist())) == 2
+    texts = [prose(300), "é ü a\x00 a a\x00\x00 " + "x" * 8 + " " + "x" * 16 + " x", *pair]
+    w = Words(pa.array(texts), lower=False)
+    data = w.data.tobytes()
+    spelt = [data[a:b] for a, b in zip(w.starts, w.ends)]
+    assert len(set(zip(spelt, w.hashes.tolist()))) == len(set(spelt)) == len(set(w.hashes.tolist()))
+
+
+def test_words_of_one_hash_keep_their_own_ids(monkeypatch):
+    """Hashes of three values only: bytes decide."""
+    from docaudit.llm import textops
+
+    whole = textops.hashes_of_eights
+    monkeypatch.setattr(textops, "hashes_of_eights", lambda *a: whole(*a) % np.uint64(3))
+    texts = [prose(60) for _ in range(4)] + ["", "a", " ".join(thue_morse(1024))]
+    known, plain = packing.WordIds(queries.tokenizer_path()), packing.tokenizer(queries.tokenizer_path())
+    for part in (texts[:2], texts, texts[::-1]):
+        words = textops.Words(textops.pa.array(part), lower=False)
+        got, lengths = known.encode(words)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[words.bounds]
+        assert [got[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in plain.encode_batch(part, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 400, 5000])
 def test_packing_is_close_to_the_bound(n):
     lengths = np.array([min(2048, int(rnd.lognormvariate(6.3, 0.9)) + 1) for _ in range(n)], np.int64)
@@ -116,6 +149,17 @@ def test_packing_is_close_to_the_bound(n):
     assert len(used) <= math.ceil(lengths.sum() / 2048) * 1.01 + 2
 
 
+def gapless(rows, capacity=2048):
+    """Checks that sequences are filled from 0 without gaps, and returns their number."""
+    used = collections.defaultdict(list)
+    for r in rows:
+        used[r.sequence_id].append((r.offset, r.length))
+    for pieces in used.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:i]) for i in range(len(pieces))] and sum(n for _, n in pieces) <= capacity
+    return len(used)
+
+
 def test_packing_on_odd_rows(odd, none):
     rows = packing.best_fit_packing(odd, queries.tokenizer_path()).collect()
     encoder = packing.tokenizer(queries.tokenizer_path())
@@ -124,6 +168,9 @@ def test_packing_on_odd_rows(odd, none):
         own = np.array(whole[r.doc_id][r.start : r.start + r.length], "<u4")
         assert len(own) == r.length and zlib.crc32(own.tobytes()) == r.ids_crc32
     assert sum(r.length for r in rows) == sum(len(whole[i]) for i, _ in ODD)
+    gapless(rows)
+    dealt = packing.best_fit_packing(odd, queries.tokenizer_path(), capacity=64, per_shard=20).collect()
+    assert gapless(dealt, 64) > 20 and sum(r.length for r in dealt) == sum(len(whole[i]) for i, _ in ODD)
     assert packing.best_fit_packing(none, queries.tokenizer_path()).count() == 0
 
 
@@ -141,6 +188,46 @@ def test_languages_are_told_apart(spark):
     assert far.rejected and far.score < 0.1
 
 
+def test_predictions_equal_brute_force(spark):
+    """Counts, weights, cosines and rejection in plain Python."""
+    alphabets = {"en": "the of and in to".split(), "de": "der und die ung ß".split(), "fr": "le la et É è que".split()}
+    rows = [(i, prose(rnd.randrange(1, 60), alphabets[x]), x) for i, x in enumerate(rnd.choice(list(alphabets)) for _ in range(150))]
+    rows += [(900, "123 !?", "en"), (901, "", "en"), (902, None, "en"), (903, "x", None), (904, "Ñandú ÀÉÎ " * 40, None), (905, "привет мир", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, sample_rows=64)
+    letter = lambda b: 97 <= b <= 122 or b >= 128
+
+    def brute(text):
+        data = bytearray((text or "").translate(CASE).encode())
+        for i in range(1, len(data)):
+            if data[i - 1] == 0xC3 and 0x80 <= data[i] <= 0x9E and data[i] != 0x97:
+                data[i] += 0x20
+        x = [b if letter(b) else 32 for b in data]
+        tf = collections.Counter()
+        for n in (2, 3):
+            for i in range(len(x) - n + 1):
+                gram = x[i : i + n]
+                if not any(a == b == 32 for a, b in zip(gram, gram[1:])):
+                    h = 0
+                    for b in gram:
+                        h = (h * 257 + b) & 0xFFFFFFFF
+                    tf[(h * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+        v = {g: math.log1p(c) * float(model.idf[g]) for g, c in tf.items()}
+        norm = math.sqrt(sum(w * w for w in v.values())) or 1
+        near = [sum(w / norm * float(c[g]) for g, w in v.items()) for c in model.centroids]
+        best = max(range(len(near)), key=near.__getitem__)
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0, True
+        score = min(1, max(0, near[best]))
+        return model.languages[model.of[best]], score, score < model.least[model.of[best]] * min(1, math.sqrt(len(tf) / langid.FULL_GRAMS))
+
+    clash = docs.withColumns({"score": F.lit("x"), "rejected": F.lit(1)})
+    got = {r.doc_id: r for r in langid.predict(clash, model, ["doc_id", "score", "rejected"]).collect()}
+    for i, text, _ in rows:
+        lang, score, far = brute(text)
+        assert abs(got[i].score - score) < 1e-4 and (got[i].lang_pred, got[i].rejected) == (lang, far), i
+
+
 def test_every_label_is_learned(spark):
     rows = [(i, prose(30), f"l{i % 5}") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -202,6 +289,23 @@ def test_near_duplicates_equal_brute_force(spark, size, num):
     assert {(r.doc_id, r.n_shingles): r.component_id for r in got} == brute_components(rows, size, num, 100)
 
 
+def test_near_duplicates_in_many_parts(spark, monkeypatch):
+    """Buckets and clusters of several parts, in dense, sparse and chained groups."""
+    base = prose(60).split()
+    rows = near_rows()
+    for k in range(60):  # near copies of one text, and of copies of it
+        copy = list(base)
+        for i in range(k % 30):
+            copy[i] = f"new{k // 30 if k % 2 else k}{i}"
+        rows.append((50000 + k, " ".join(copy)))
+    rows += [(60000 + k, " ".join(base[:-1])) for k in range(20)]
+    for name, value in (("SIGNATURES", 6), ("SETS", 5), ("PER_TASK", 30)):
+        monkeypatch.setattr(neardup, name, value)
+    for size, num in ((3, 85), (5, 80)):
+        got = neardup.near_duplicates(frame(spark, rows), size, num, 100).collect()
+        assert {(r.doc_id, r.n_shingles): r.component_id for r in got} == brute_components(rows, size, num, 100)
+
+
 def test_near_duplicates_drop_to_one(odd, none):
     left = neardup.drop_near_duplicates(odd, 3, 85, 100)
     assert ids(left) == [1, 2, 3, 4, 7, 8, 9, 10, 11]
@@ -217,6 +321,14 @@ def test_one_near_duplicate_stays_without_ids(spark):
     assert got == {None: 3, 5: 1}
 
 
+def test_of_equal_rows_the_first_by_its_columns_stays(spark):
+    names = "doc_id long, text string, own string, n int, kept string, th long"
+    rows = [(1, BASE[0], "b", 1, "x", 1), (1, BASE[0], "a", 2, "y", 2), (2, BASE[0], "c", 3, "z", 3), (3, BASE[1], "d", 4, "w", 4), (3, None, "e", 5, "v", 5), (3, None, "d", 5, "v", 5)]
+    left = neardup.drop_near_duplicates(spark.createDataFrame(rows, names).repartition(3))
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([rows[1], rows[3], rows[5]], key=str)
+    assert left.columns == [x.split()[0] for x in names.split(", ")]
+
+
 def test_bands_find_pairs_at_the_threshold():
     for t in (0.8, 0.85):
         assert (1 - t**neardup.ROWS) ** neardup.bands_for(t) <= neardup.LOSS
@@ -232,6 +344,21 @@ def test_estimate_is_corrected():
     assert abs(estimate(sig[0], sig[1], n) - 0.6) < 0.1
 
 
+def test_scopes_delete_what_they_keep(spark):
+    import os
+
+    def there(df):
+        return os.path.exists(df._written_at.removeprefix("file://"))
+
+    with storage.scope():
+        a, b = storage.materialize(spark.range(5).toDF("x"), "a"), storage.materialize(spark.range(3).toDF("x"), "b", rows=3, keep=True)
+        c = storage.stored(spark.range(4).toDF("x"), "c")
+        assert there(a) and c.is_cached and (a.count(), b.count(), c.count()) == (5, 3, 4)
+    assert not there(a) and there(b) and not c.is_cached
+    storage.discard(b)
+    assert not there(b)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -345,32 +472,55 @@ def test_repeated_lines_go(odd, none):
 
 
 def brute_top(rows, k):
-    ok = [(i, np.floor(256 * np.array(v, np.float64)).astype(int)) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
-    out = set()
-    for q, v in ok:
+    ok = [(i, np.floor(256 * np.array(v, np.float64)).astype(object)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = collections.Counter()
+    for a, (q, v) in enumerate(ok):
         if q % 50 == 0:
-            best = sorted((-int(v @ w), i) for i, w in ok if i != q and len(w) == len(v))[:k]
-            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+            best = sorted((-min(sum(int(x) * int(y) for x, y in zip(v, w)), (1 << 63) - 1), i) for b, (i, w) in enumerate(ok) if b != a and len(w) == len(v))[:k]
+            out.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
     return out
 
 
-def test_top_k_equals_brute_force(spark):
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, score int, v string")
+
+
+def test_top_k_equals_brute_force(spark, monkeypatch):
     rows = [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(330)]
-    rows += [(400 + i, rows[0][1]) for i in range(12)] + [(600, None), (650, [1.0, None]), (651, [float("nan")] * 8), (652, [float("inf")] * 8), (653, []), (700, [1.0, 2.0]), (701, [2.0, 1.0])]
-    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, score int, v string")
-    got = {tuple(r) for r in topk.exact_top_k(df, F.col("vec_id") % 50 == 0).collect()}
-    assert got == brute_top(rows, 5)
+    rows += [(400 + i, rows[0][1]) for i in range(12)] + [(600, None), (650, [1.0, None]), (651, [float("nan")] * 8), (652, [float("inf")] * 8), (653, []), (700, [1.0, 2.0]), (701, [2.0, 1.0]), (None, [1.0] * 8)]
+    rows += [(50, rows[50][1]), (50, rows[51][1]), *[(7, rows[7][1])] * 2, (750, [1e9] * 3), (751, [1e9, 3.0, -1e9]), (752, [0.5, 2e9, 1e9]), (800, [5e6, 4999999.0, 1.0, 7e6]), (801, [5e6, 4999999.5, 3.0, 7e6]), (802, [5e6, 4999999.5, 3.0, -7e6])]  # repeated rows and large numbers
+    df = vectors(spark, rows)
+    found = lambda: collections.Counter(tuple(r) for r in topk.exact_top_k(df, F.col("vec_id") % 50 == 0).collect())
+    assert found() == brute_top(rows, 5)
+    for name, value in (("QUERIES_PER_BLOCK", 3), ("CANDIDATES_PER_BLOCK", 40), ("STEP", 2), ("SAMPLE", 30)):
+        monkeypatch.setattr(topk, name, value)
+    assert found() == brute_top(rows, 5)
     assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_elimination_skips_candidates():
+def test_elimination_skips_candidates(spark):
     gen = np.random.default_rng(1)
-    x = np.concatenate([gen.normal(0, 1, (50, 4)), gen.normal(1000, 1, (5000, 4))]).round()
-    pivots = topk.choose_pivots(x, 4)
-    table = np.concatenate([(x * x).sum(axis=1)[:, None], np.linalg.norm(x[:, None] - pivots[None], axis=2)], axis=1)
-    scores, found = topk.search_block(np.arange(len(x)), x, table, 60, x[60], table[60], 5)
-    exact = sorted((-int(x[60] @ x[i]), i) for i in range(len(x)) if i != 60)[:5]
-    assert list(zip((-scores).tolist(), found.tolist())) == exact
+    x = gen.normal(0, 1, (2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    evaluated = spark.sparkContext.accumulator(0)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert collections.Counter(tuple(r) for r in topk.exact_top_k(vectors(spark, rows), F.col("vec_id") % 50 == 0, evaluated=evaluated).collect()) == brute_top(rows, 5)
+    assert 0 < evaluated.value < 0.1 * 40 * 2000
+
+
+def test_bounds_hold_and_beat_single_pivots():
+    gen = np.random.default_rng(2)
+    x = np.floor(gen.normal(0, 100, (300, 16)))
+    for n in (0, 1, 6, 16, 40):
+        pivots = topk.choose_pivots(x, n) if n else np.zeros((0, 16))
+        t = topk.distances(x, pivots)
+        bounds = topk.Bounds(pivots)
+        place = (*bounds.places(t), t[:, 0])
+        upper = bounds.upper(place, place)
+        assert (upper >= x @ x.T).all()
+        if n:
+            single = np.abs(np.sqrt(t[:, None, 1:]) - np.sqrt(t[None, :, 1:])).max(axis=2)
+            assert (upper <= (t[:, :1] + t[:, 0][None] - single**2) / 2 + 1).all()
 
 
 # Language model
@@ -468,7 +618,7 @@ def test_archives_round_trip(spark):
     pages = spark.createDataFrame([(a, b, c, "x") for a, b, c in rows], "page_id long, url string, html string, kind string")
     at = warc.archive_directory(spark)
     index = warc.write_archives(pages, at)
-    got = sorted((tuple(r) for r in warc.read_records(index, at).drop("url", "payload").collect()), key=repr)
+    got = sorted((tuple(r) for r in warc.read_records(index, at).drop("url").collect()), key=repr)
     best = {"same": 3, "": 5, "é" * 1000: 6, "alone": None, "x" * 300000: 7}
     expected = []
     for i, _, html in rows:
@@ -476,11 +626,42 @@ def test_archives_round_trip(spark):
         first = i == best[html or ""]
         expected.append((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if first else "revisit", None if first else best[html or ""]))
     assert got == sorted(expected, key=repr)
-    one = warc.read_records(index.filter("page_id = 6"), at).first()
+    one = warc.read_records(index.filter("page_id = 6"), at, payloads=True).first()
     assert bytes(one.payload).decode() == "é" * 1000 and one.url == "y\r\nz"
     small = warc.write_archives(pages, warc.archive_directory(spark), least=5)
     assert small.filter("kind = 'revisit'").count() == 0
-    assert warc.write_archives(pages.limit(0), at).count() == 0
+    empty = warc.write_archives(pages.limit(0), at)
+    assert empty.count() == 0 and warc.read_records(empty, at).count() == 0
+
+
+def test_archives_roll_and_part(spark, monkeypatch):
+    """Many files and parts of files, and neighbours too far apart for one read."""
+    pages = spark.createDataFrame([(i, f"http://h/{i}", prose(50) if i % 3 else "same") for i in range(200)], "page_id long, url string, html string")
+    for name, value in (("ROLL_BYTES", 5000), ("SPLIT_BYTES", 900), ("RANGE_BYTES", 700), ("GAP_BYTES", 10)):
+        monkeypatch.setattr(warc, name, value)
+    at = warc.archive_directory(spark)
+    index = warc.write_archives(pages, at)
+    assert index.select("file").distinct().count() > 4
+    some = {r.page_id: r for r in warc.read_records(index.withColumn("payload", F.lit(1)).filter("page_id % 2 = 1"), at, payloads=True).collect()}
+    for p in pages.filter("page_id % 2 = 1").collect():
+        r = some.pop(p.page_id)
+        assert (r.record_type, r.refers_to) == (("response", None) if p.page_id % 3 else ("revisit", 198))
+        assert r.payload_bytes == len(p.html.encode()) and (r.record_type == "revisit" or bytes(r.payload).decode() == p.html)
+    assert not some
+
+
+def test_files_are_warc(spark, tmp_path):
+    import gzip
+
+    index = warc.write_archives(spark.createDataFrame([(1, "http://a/", "x"), (2, "http://b/", "x")], "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}", date="2024-01-02T03:04:05Z")
+    index.count()
+    types = []
+    for path in tmp_path.glob("*.warc.gz"):
+        with gzip.open(path) as f:
+            parts = f.read().split(b"WARC/1.1\r\n")[1:]
+        assert b"WARC-Type: warcinfo" in parts[0] and all(b"WARC-Date: 2024-01-02T03:04:05Z" in x for x in parts)
+        types += [re.search(rb"WARC-Type: (\w+)", x)[1].decode() for x in parts[1:]]
+    assert sorted(types) == ["response", "revisit"]
 
 
 # Substrings
