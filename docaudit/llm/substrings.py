@@ -9,6 +9,7 @@ equal anchors, and only strings around an anchor that occurs in different surrou
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from docaudit.llm.lm import squeeze, unsqueeze
 from docaudit.llm.storage import blocks, stored, shuffle_partitions
 from docaudit.llm.textops import _BASE, _BASE_INVERSE, _BYTE, chunked, mix, powers, raw, release
 
-GRAM, CHUNK, BYTES_PER_PARTITION = 50, 1 << 20, 1 << 24
+GRAM, LONGEST, CHUNK, BYTES_PER_PARTITION = 50, 190, 1 << 20, 1 << 24
 NONE, MARK = 0xFF, 0xFE  # bytes that no UTF-8 text has
 _NO_ID = -(1 << 63)
 
@@ -48,7 +49,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.
     prefix = prefix_hashes(data)
     grams = mix((prefix[GRAM:] - prefix[:-GRAM]) * powers(_BASE_INVERSE, n)[: n - GRAM + 1])
     del prefix
-    least, place, reach = grams, np.arange(len(grams), dtype=np.int32), 1
+    least, place, reach, other = grams, np.arange(len(grams), dtype=np.int32), 1, None
     while reach < width:  # leftmost minimum over doubling widths, the last step overlapping
         step = min(reach, width - reach)
         other = least[step:] < least[: len(least) - step]
@@ -142,8 +143,28 @@ def repeated_windows(strings: list[bytes], order: np.ndarray, depth: int) -> tup
 
 
 def code(g: int) -> bytes:
-    """A mark and five symbols that stand for a gram."""
-    return bytes((MARK, g >> 28 & 127, g >> 21 & 127, g >> 14 & 127, g >> 7 & 127, g & 127))
+    """A mark and ten symbols that stand for a gram: its hash of 64 bits."""
+    return bytes((MARK, *(g >> s & 127 for s in range(63, -1, -7))))
+
+
+def ranges(reach: int) -> list[tuple[int, int]]:
+    """Ranges of the number of bytes that a string has before its gram, of `reach` beside it. Strings of one range that are equal
+    also have equal bytes next to the gram, at least a before it and reach - b + 1 behind it, so a gram with very many
+    surroundings falls into groups by these; the narrow ranges at the ends have the most such bytes on one side."""
+    cuts = sorted({0, reach + 1, *(c for c in (4, reach // 2 + 1, reach - 3) if 0 < c <= reach)})
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def pieces_of(whole: bytes, lo: int, count: int, off: int, g: int, length: int) -> list[tuple[int, int, bytes]]:
+    """(start, key, bytes) of a neighbourhood's strings by range, the gram replaced by its code. Equal strings share a key."""
+    reach, gram, out = length - GRAM, lo + off, []
+    name = code(g)
+    for r, (a, b) in enumerate(ranges(reach)):
+        most, least = min(b - 1, off), max(a, off - count + 1)
+        if least <= most:
+            key = zlib.crc32(whole[gram + GRAM : gram + GRAM + reach - b + 1], zlib.crc32(whole[gram - a : gram], r))
+            out.append((gram - most, (key << 32) ^ (g >> 32), whole[gram - most : gram] + name + whole[gram + GRAM : gram + GRAM + reach - least]))
+    return out
 
 
 def merged_spans(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,10 +199,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     empty table gives no rows; other columns are ignored.
 
     One pass finds the anchors. Equal neighbourhoods are reduced to the first in a task before they are shuffled by anchor, so
-    that a text of very many copies sends one a task. Of equal neighbourhoods all but the first are removed whole. Where an
-    anchor has several neighbourhoods, the first of each is fetched (its own bytes only) and repeated_windows compares them.
-    Spans go back to the texts by an equi-join on id and hash.
+    that a text of very many copies sends one a task. Of equal neighbourhoods (128 bits of hashes) all but the first are removed
+    whole. Where an anchor has several neighbourhoods, the first of each is fetched (its own bytes only) in pieces by ranges,
+    which are dealt out by the bytes next to the gram, so that a gram with very many surroundings falls into many groups;
+    repeated_windows compares their bytes, with a hash of 64 bits in the gram's place. Spans go back to the texts by an
+    equi-join on id and hash.
     """
+    if not GRAM <= length <= LONGEST:
+        raise ValueError(f"length must be from {GRAM} to {LONGEST}")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     id_type = dict(rows.dtypes)["id"]
@@ -211,11 +236,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             order = np.argsort(p, kind="stable")
             a, p = {k: v[order] for k, v in a.items()}, p[order]
             cuts = np.searchsorted(p, np.arange(n_parts + 1))
-            low, nb = (a["g"] & np.uint64(0xFFFFFFFF)).astype(np.uint32), a["nb"] & np.uint64((1 << 48) - 1)
             for q in np.flatnonzero(np.diff(cuts)):
                 s = slice(cuts[q], cuts[q + 1])
                 used, back = np.unique(a["row"][s], return_inverse=True)
-                out.append((int(q), "anchors", squeeze(low[s], nb[s], back.astype(np.uint32), a["lo"][s].astype(np.uint32), a["count"][s].astype(np.uint8), a["off"][s].astype(np.uint8), used.astype(np.uint32), ids[used])))
+                out.append((int(q), "anchors", squeeze(a["g"][s], a["nb"][s], back.astype(np.uint32), a["lo"][s].astype(np.uint32), a["count"][s].astype(np.uint8), a["off"][s].astype(np.uint8), used.astype(np.uint32), ids[used])))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out]), pa.array([chunk] * len(out), pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["p", "kind", "chunk", "data"])
 
     def reduce(group: pa.Table) -> pa.Table:
@@ -257,7 +281,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     def requests(group: pa.Table) -> pa.Table:
         meta, by_row = None, defaultdict(list)
-        for p, kind, data in zip(group["p"].to_pylist(), group["kind"].to_pylist(), group["data"].to_pylist(), strict=True):
+        for kind, data in zip(group["kind"].to_pylist(), group["data"].to_pylist(), strict=True):
             if kind == "rows":
                 meta = pa.ipc.open_stream(data).read_all()
                 continue
@@ -265,7 +289,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             order = np.argsort(row, kind="stable")
             cuts = np.flatnonzero(np.concatenate([[True], row[order][1:] != row[order][:-1]]))
             for a, b in zip(cuts, np.append(cuts[1:], len(row)), strict=True):
-                by_row[int(row[order[a]])].append((np.full(b - a, p, np.uint32), *(x[order[a:b]] for x in rest)))
+                by_row[int(row[order[a]])].append([x[order[a:b]] for x in rest])
         keys = sorted(by_row)
         at = pa.array(keys, pa.int64())
         asked = [squeeze(*(np.concatenate(x) for x in zip(*by_row[r], strict=True))) for r in keys]
@@ -277,36 +301,56 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, limit=CHUNK):
-            by_part = defaultdict(lambda: ([], []))
+            keys, groups, parts = [], [], []
             data, offsets = raw(batch.column("text"))
             for r, (id_, chunk, row, ask) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "chunk", "row", "ask")), strict=True)):
                 whole = data[offsets[r] : offsets[r + 1]].tobytes()
-                key = (_NO_ID if id_ is None else id_, chunk, row)
-                for p, lo, count, off, g in zip(*(x.tolist() for x in unsqueeze(ask)), strict=True):
-                    keys, parts = by_part[p]
-                    keys.append((*key, lo))
-                    parts.append(whole[lo : lo + off] + code(g) + whole[lo + off + GRAM : lo + count - 1 + length])
-            out = [(p, squeeze(np.array(keys, np.int64).ravel(), np.array([len(x) for x in parts], np.uint8)) + b"|" + b"".join(parts)) for p, (keys, parts) in by_part.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["p", "data"])
+                own = _NO_ID if id_ is None else id_
+                for lo, count, off, g in zip(*(x.tolist() for x in unsqueeze(ask)), strict=True):
+                    for start, group, string in pieces_of(whole, lo, count, off, g, length):
+                        keys.append((own, chunk, row, start))
+                        groups.append(group)
+                        parts.append(string)
+            key, group, size = np.array(keys, np.int64).reshape(-1, 4), np.array(groups, np.uint64), np.array([len(x) for x in parts], np.uint8)
+            p = ((mix(group) >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(p, kind="stable")
+            cuts = np.searchsorted(p[order], np.arange(n_parts + 1))
+            full = np.flatnonzero(np.diff(cuts)).tolist()
+            out = [squeeze(key[at].ravel(), group[at], size[at]) + b"|" + b"".join(parts[i] for i in at.tolist()) for at in (order[cuts[q] : cuts[q + 1]] for q in full)]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(out, pa.binary())], names=["p", "data"])
 
     def compare(group: pa.Table) -> pa.Table:
-        keys, strings = [], []
+        keys, of, strings = [], [], []
         for data in group["data"].to_pylist():
             at, both = 0, []
-            for _ in range(2):
+            for _ in range(3):
                 stop = data.index(b";", at)
                 end = stop + 1 + int(data[at:stop].split(b",")[2])
                 both += unsqueeze(data[at:end])
                 at = end
             keys.append(both[0].reshape(-1, 4))
-            ends = at + 1 + np.cumsum(both[1], dtype=np.int64)
-            strings += [data[e - n : e] for e, n in zip(ends.tolist(), both[1].tolist(), strict=True)]
+            of.append(both[1])
+            ends = at + 1 + np.cumsum(both[2], dtype=np.int64)
+            strings += [data[e - n : e] for e, n in zip(ends.tolist(), both[2].tolist(), strict=True)]
         order, unique = np.unique(np.concatenate(keys), axis=0, return_index=True)
-        string, offset = repeated_windows([strings[i] for i in unique], order, length - GRAM + 6)
-        key, start = order[string], order[string][:, 3] + offset
-        chunks, at = np.unique(key[:, 1], return_inverse=True)
+        strings, of = [strings[i] for i in unique.tolist()], np.concatenate(of)[unique]
+        size, seen, new = np.array([len(x) for x in strings], np.int64), set(), np.zeros(len(strings), bool)
+        for i, x in enumerate(strings):  # in order: of equal strings all but the first go whole
+            if x not in seen:
+                seen.add(x)
+                new[i] = True
+        del seen
+        _, back, times = np.unique(of[new], return_inverse=True, return_counts=True)
+        several = np.flatnonzero(new)[times[back] > 1]  # only strings whose key others have can share a substring with them
+        string, offset = repeated_windows([strings[i] for i in several.tolist()], order[several], length - GRAM + 11)
+        own = several[string]
+        again = np.flatnonzero(~new)
+        where = np.concatenate([order[own], order[again]])
+        start = np.concatenate([order[own][:, 3] + offset, order[again][:, 3]])
+        end = np.concatenate([order[own][:, 3] + offset + length, order[again][:, 3] + size[again] + GRAM - 11])
+        chunks, at = np.unique(where[:, 1], return_inverse=True)
         release()
-        out = [(int(chunks[i]), squeeze(*(x.astype(np.uint32) for x in merged_spans(key[j, 2], start[j], start[j] + length)))) for i, j in by_chunk(at, len(chunks))]
+        out = [(int(chunks[i]), squeeze(*(x.astype(np.uint32) for x in merged_spans(where[j, 2], start[j], end[j])))) for i, j in by_chunk(at, len(chunks))]
         return pa.table({"kind": pa.array(["gone"] * len(out), pa.string()), "chunk": pa.array([x[0] for x in out], pa.int64()), "data": pa.array([x[1] for x in out], pa.binary())})
 
     compared = texts.mapInArrow(fetch, "p int, data binary").groupBy("p").applyInArrow(compare, "kind string, chunk long, data binary")

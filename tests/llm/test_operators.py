@@ -690,6 +690,27 @@ def test_repeats_equal_brute_force(spark):
     assert got == brute_repeats(rows, 100)
 
 
+@pytest.mark.parametrize("length", [50, 53, 77, 190])
+def test_repeats_of_other_lengths(spark, length):
+    base = "".join(rnd.choice("abcdefgh é") for _ in range(600))
+    rows = [(i, "".join(rnd.choice("xy") for _ in range(30)) + base[rnd.randrange(300) :][: rnd.randrange(40, 330)] + "".join(rnd.choice("uv") for _ in range(30))) for i in range(40)] + [(90, "a" * 500)]
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.remove_repeats(frame(spark, rows), length).collect()}
+    assert got == brute_repeats(rows, length)
+    with pytest.raises(ValueError, match="length"):
+        substrings.remove_repeats(frame(spark, rows), length + 150 if length > 50 else 49)
+
+
+def test_a_gram_in_many_surroundings(spark):
+    """One passage of 60 bytes in 400 texts: the pieces around its gram fall into groups by what stands beside it."""
+    core, filler = "".join(rnd.choice("klmnop") for _ in range(60)), lambda n: "".join(rnd.choice("abcd") for _ in range(n))
+    sides = [filler(60) for _ in range(20)]
+    rows = [(i, filler(20) + rnd.choice(sides)[rnd.randrange(50) :] + core + rnd.choice(sides)[: rnd.randrange(60)] + filler(20)) for i in range(400)]
+    got = {r.doc_id: tuple(r)[1:] for r in substrings.remove_repeats(frame(spark, rows)).collect()}
+    assert got == brute_repeats(rows, 100)
+    keys = {key for i, x in rows for _, key, _ in substrings.pieces_of(x.encode(), x.index(core) - 50, 51, 50, 7, 100) if x.index(core) >= 50}
+    assert len(keys) > 200
+
+
 def test_repeats_on_odd_rows(odd, none):
     got = substrings.remove_repeats(odd, with_kept=True).collect()
     assert sorted((r.doc_id for r in got), key=lambda x: (x is not None, x)) == ALL_IDS
