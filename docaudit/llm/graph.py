@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.llm.storage import discard, materialize, shuffle_partitions
+from docaudit.llm.storage import ROWS_PER_FILE, blocks, discard, materialize
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     """Links each node's greater (large) or smaller (small) neighbours, and in a small star itself, to its least neighbour."""
     near = _both_ways(edges) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    # dealt anew, so that the join has an exchange of its own on either side, which the engine can split for a node with many neighbours
-    joined = near.join(least.repartition(shuffle_partitions(edges.sparkSession)).hint("merge"), "u")
+    # dealt anew (edges have about so many rows), so that the join has an exchange of its own on either side, which the engine can split for a node with many neighbours
+    joined = near.join(least.repartition(blocks(rows, ROWS_PER_FILE)).hint("merge"), "u")
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -37,10 +37,15 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(down.distinct(), "edges")
     seen = mark(now)
     while seen[0]:
-        after = materialize(_star(_star(now, large=True), large=False), "edges", rows=seen[0])
+        after = materialize(_star(_star(now, True, seen[0]), False, seen[0]), "edges", rows=seen[0])
         discard(now)
         now, before, seen = after, seen, mark(after)
         if seen == before:
             break
     labels = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return materialize(labels.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct(), "labels", rows=2 * seen[0])
+
+
+def as_edges(labels: DataFrame) -> DataFrame:
+    """Labels of components as edges, for a search that goes on from them."""
+    return labels.select(F.col("node").alias("u"), F.col("label").alias("v"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docaudit.llm.graph import components
+from docaudit.llm.graph import as_edges, components
 from docaudit.llm.storage import blocks, free_name, materialize
 from docaudit.llm.textops import Words, chunked, distinct_by_row, mix, shingles
 
@@ -72,9 +72,9 @@ def least_estimate(threshold: float, n: int) -> float:
 
 
 def sketch(docs: DataFrame, size: int, threshold: float, id_col: str, text: str) -> DataFrame:
-    """id, th (hash of the text), n_shingles, node (digest of the set), sig, bands; narrow. Sets are of whole texts; empty ones have no node."""
+    """id, th (hash of the text), n_shingles, digest of the set, sig, bands; narrow. Sets are of whole texts; empty ones have no digest."""
     bands = bands_for(threshold)
-    schema = f"{id_col} {dict(docs.dtypes)[id_col]}, th long, n_shingles long, node binary, sig binary, bands array<long>"
+    schema = f"{id_col} {dict(docs.dtypes)[id_col]}, th long, n_shingles long, digest binary, sig binary, bands array<long>"
     places = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,7 @@ def sketch(docs: DataFrame, size: int, threshold: float, id_col: str, text: str)
                 ids, low, key = digest(hashes, bounds)[full], packed(minima), key.view(np.int64)
                 for i, at in enumerate(full):
                     nodes[at], sig[at], keys[at] = ids[i].tobytes(), low[i].tobytes(), key[i]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=[id_col, "th", "n_shingles", "node", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=[id_col, "th", "n_shingles", "digest", "sig", "bands"])
 
     return docs.select(id_col, text, F.xxhash64(text).alias("th")).mapInArrow(run, schema)
 
@@ -108,7 +108,7 @@ def likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("s_u", "s_v"))
                 yield batch.filter(pa.array(estimate(a, b, n) >= least)).select(["u", "v"])
 
-    return both.mapInArrow(run, "u binary, v binary")
+    return both.mapInArrow(run, "u long, v long")
 
 
 def unsettled(members: DataFrame) -> DataFrame:
@@ -184,25 +184,25 @@ def likely_edges(members: DataFrame, num: int, den: int) -> DataFrame:
             out += [(node[at[x]], node[at[y]]) for x, y in forest(asking, label, linked)]
         return pd.DataFrame(out, columns=["u", "v"])
 
-    return dealt(members, SIGNATURES).groupBy("group").applyInPandas(run, "u binary, v binary")
+    return dealt(members, SIGNATURES).groupBy("group").applyInPandas(run, "u long, v long")
 
 
 def with_sets(members: DataFrame, docs: DataFrame, size: int, id_col: str, text: str) -> DataFrame:
-    """members (key, node, sig, and at and th, id and text hash of one of its rows) with the full set of each node.
+    """members (key, copies, node, digest, sig, and at and th, id and text hash of one of its rows) with the full set of each node.
 
     Texts come by an equi-join on id and hash; a text whose set is not the node's is passed over.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumn("own", F.xxhash64("text"))
-    texts = rows.join(members.hint("merge"), F.col("id").eqNullSafe(F.col("at")) & (F.col("own") == F.col("th"))).select("key", "copies", "node", "sig", "text")
+    texts = rows.join(members.hint("merge"), F.col("id").eqNullSafe(F.col("at")) & (F.col("own") == F.col("th"))).select("key", "copies", "node", "sig", "digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches):
             hashes, bounds = distinct_by_row(*shingles(Words(batch.column("text")), size), batch.num_rows)
-            own = np.array([d.tobytes() == n for d, n in zip(digest(hashes, bounds), batch.column("node").to_pylist(), strict=True)], bool)
+            own = np.array([d.tobytes() == n for d, n in zip(digest(hashes, bounds), batch.column("digest").to_pylist(), strict=True)], bool)
             sets = pa.array([hashes[bounds[r] : bounds[r + 1]].tobytes() for r in range(len(own))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], sets], names=["key", "copies", "node", "sig", "set"]).filter(pa.array(own))
 
-    return texts.mapInArrow(run, "key binary, copies long, node binary, sig binary, set binary").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "key long, copies long, node long, sig binary, set binary").dropDuplicates(["node"])
 
 
 def verified_edges(members: DataFrame, num: int, den: int) -> DataFrame:
@@ -232,7 +232,7 @@ def verified_edges(members: DataFrame, num: int, den: int) -> DataFrame:
             out += [(node[at[x]], node[at[y]]) for x, y in forest(asking, label, linked)]
         return pd.DataFrame(out, columns=["u", "v"])
 
-    return members.groupBy("group").applyInPandas(run, "u binary, v binary")
+    return members.groupBy("group").applyInPandas(run, "u long, v long")
 
 
 def linked_members(members: DataFrame, num: int, den: int) -> DataFrame:
@@ -252,7 +252,7 @@ def linked_members(members: DataFrame, num: int, den: int) -> DataFrame:
     labels = components(near)
     again = held.filter(F.col("m") > SETS).select("key", "node", "sig", "set").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = materialize(unsettled(again), "unsettled")
-    return components(near.unionByName(verified_edges(dealt(rest, SETS), num, den)))
+    return components(as_edges(labels).unionByName(verified_edges(dealt(rest, SETS), num, den)))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,8 +271,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     """
     rows = materialize(sketch(docs, size, num / den, id_col, text), "sketch")
     heads = [F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("at"), "th")).alias("head"), F.min(F.struct(F.col(id_col).alias("at"), "th")).alias("rep")]
-    grouped = rows.filter("node is not null").groupBy("node").agg(*heads, F.count(F.lit(1)).alias("copies"), F.first(F.struct("n_shingles", "sig", "bands")).alias("x"))
-    classes = materialize(grouped.select("node", "head", "rep", "copies", "x.*"), "classes")
+    grouped = rows.filter("digest is not null").groupBy("digest").agg(*heads, F.count(F.lit(1)).alias("copies"), F.first(F.struct("n_shingles", "sig", "bands")).alias("x"))
+    # numbered as they are written: from here on a class is a long
+    classes = materialize(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", "head", "rep", "copies", "x.*"), "classes")
     entries = classes.select("node", "copies", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("copies", "node")).alias("rep")).filter("m > 1").select("key", "m", F.col("rep.node").alias("rep"))
     members = materialize(entries.join(buckets.hint("merge"), "key").select("key", "node", "m", "rep"), "members")
@@ -281,14 +282,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     labels = components(near)
     labelled = members.filter("m > 2").select("key", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     across = materialize(unsettled(labelled).join(classes.select("node", "n_shingles", "sig").hint("merge"), "node"), "open")
-    clusters = components(near.unionByName(likely_edges(across, num, den))).withColumnRenamed("label", "key")
-    full = materialize(with_sets(clusters.join(classes.select("node", "copies", "rep.at", "rep.th", "sig").hint("merge"), "node"), docs, size, id_col, text), "sets")
+    clusters = components(as_edges(labels).unionByName(likely_edges(across, num, den))).withColumnRenamed("label", "key")
+    asked = clusters.join(classes.select("node", "digest", "copies", "rep.at", "rep.th", "sig").hint("merge"), "node")
+    full = materialize(with_sets(asked, docs, size, id_col, text), "sets")
     final = linked_members(full, num, den)
     least = final.join(classes.select("node", "head").hint("merge"), "node").groupBy("label").agg(F.min("head").alias("first"))
-    of_node = classes.select("node", "head").join(final.join(least.hint("merge"), "label").select("node", "first").hint("merge"), "node", "left").select("node", F.coalesce("first", "head").alias("first"))
+    of_node = classes.select("node", "digest", "head").join(final.join(least.hint("merge"), "label").select("node", "first").hint("merge"), "node", "left").select("digest", F.coalesce("first", "head").alias("first"))
     # stored, so that the join below has an exchange of its own on either side, which the engine can split for a set of very many copies
     named = materialize(of_node, "named")
-    out = rows.select(id_col, "th", "n_shingles", "node").join(named.hint("merge"), "node", "left").withColumn("component_id", F.coalesce("first.at", id_col))
+    out = rows.select(id_col, "th", "n_shingles", "digest").join(named.hint("merge"), "digest", "left").withColumn("component_id", F.coalesce("first.at", id_col))
     first = F.col("first").isNull() | (F.col(id_col).eqNullSafe(F.col("first.at")) & (F.col("th") == F.col("first.th")))
     return out.select(id_col, "th", "n_shingles", "component_id", first.alias("kept"))
 
