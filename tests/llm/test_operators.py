@@ -599,15 +599,60 @@ def test_parts_of_the_index_score_alike(spark, monkeypatch):
     assert len(whole) >= 20 and found() == whole
 
 
-def test_block_maxima_lose_nothing():
-    from docaudit.llm.decontaminate import Index, words_of
+def brute_bm25(items, text):
+    """(window, item, share of the item's own score) by plain BM25, and the windows' words."""
+    split = lambda x: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", x.lower())
+    own = [(i, split(x)) for i, x in items if x and split(x)]
+    df = collections.Counter(w for _, x in own for w in set(x))
+    mean = sum(len(x) for _, x in own) / len(own)
+    idf = {w: math.log(1 + (len(own) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    weight = [(i, {w: idf[w] * c * (1.2 + 1) / (c + 1.2 * (1 - 0.75 + 0.75 * len(x) / mean)) for w, c in collections.Counter(x).items()}) for i, x in own]
+    stride, words_, out = max([64, *(len(x) for _, x in own)]), split(text), {}
+    for n, start in enumerate(range(0, max(1, len(words_)), stride)):
+        passage = set(words_[start : start + 2 * stride])
+        for i, w in weight:
+            score = sum(v for x, v in w.items() if x in passage) / sum(w.values())
+            if score >= decontaminate.THRESHOLD:
+                out[n, i] = score
+    return out
+
+
+@pytest.mark.parametrize("per_block", [1, 3, 16])
+def test_wand_equals_plain_bm25(monkeypatch, per_block):
+    from docaudit.llm.textops import pa
+
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_BLOCK", per_block)
+    common = prose(40).split()
+    some = lambda n: " ".join(rnd.choice(common) if rnd.random() < 0.6 else prose(1) for _ in range(n))
+    items = [(i, some(rnd.randrange(5, 30))) for i in range(120)] + [(200, "one"), (201, "Two! two"), (202, None), (203, "")]
+    index = decontaminate.Index.build([(i, x or "") for i, x in items])
+    text = " ".join(rnd.choice([some(20), items[rnd.randrange(120)][1], " ".join(items[rnd.randrange(120)][1].split()[::2]), "ONE two"]) for _ in range(150))
+    words_ = decontaminate.words_of(pa.array([text]))
+    at = np.searchsorted(index.terms, words_.hashes)
+    slots = collections.defaultdict(set)
+    for n, (h, t) in enumerate(zip(words_.hashes, at)):
+        if t < len(index.terms) and index.terms[t] == h:
+            for w in {n // index.stride, n // index.stride - 1} - {-1}:
+                slots[w].add(int(t))
+    pairs = np.array(sorted((w, t) for w, ts in slots.items() for t in ts))
+    expected = brute_bm25(items, text)
+    assert len(expected) > 50
+    for method in (index.retrieve, index.wand):
+        found = {(w, index.ids[i]): s for w, i, s in method(pairs[:, 0].copy(), pairs[:, 1].copy())}
+        assert found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-9 for k in found)
+
+
+def test_passages_are_taken_in_parts(monkeypatch):
+    """One text of many passages under a small bound."""
     from docaudit.llm.textops import pa
 
     items = [(i, prose(20)) for i in range(100)]
-    index = Index.build(items)
-    text = " ".join(x for _, x in items[:50])
-    hits = index.matches(words_of(pa.array([text])))
-    assert {index.ids[i] for i in hits[0]} >= set(range(50))
+    index = decontaminate.Index.build(items)
+    words_ = decontaminate.words_of(pa.array(["", " ".join(x for _, x in items), None, items[7][1]]))
+    whole = index.matches(words_)
+    assert {index.ids[i] for i in whole[1]} >= set(range(100)) and 7 in {index.ids[i] for i in whole[3]}
+    monkeypatch.setattr(decontaminate, "BOUNDS", 10)
+    assert index.matches(words_) == whole
 
 
 # Archives
