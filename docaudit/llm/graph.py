@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.llm.storage import ROWS_PER_FILE, blocks, discard, materialize
+from docaudit.llm.storage import apart, discard, materialize
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -13,11 +13,10 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
-    """Links each node's greater (large) or smaller (small) neighbours, and in a small star itself, to its least neighbour."""
+    """Of edges (about so many rows) links each node's greater (large) or smaller (small) neighbours, and in a small star itself, to its least neighbour."""
     near = _both_ways(edges) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    # dealt anew (edges have about so many rows), so that the join has an exchange of its own on either side, which the engine can split for a node with many neighbours
-    joined = near.join(least.repartition(blocks(rows, ROWS_PER_FILE)).hint("merge"), "u")
+    joined = near.join(apart(least, rows), "u")  # split by the engine for a node with many neighbours
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.llm.graph import components
-from docaudit.llm.storage import materialize
+from docaudit.llm.graph import as_edges, components
+from docaudit.llm.storage import apart, free_name, materialize
 
 #: Edits between near-duplicate lines; lines of fewer than least_chars(edits) characters are compared for equality only.
 MAX_EDITS = 1
+#: Lines of a hot key in a part that meets other parts in a task of its own.
+LINES_A_PART = 1024
 #: (least characters, edits): edits by the length of the shorter line, one more for every 100 characters, up to 4.
 BY_LENGTH = ((0, 1), (100, 2), (200, 3), (300, 4))
 
@@ -46,15 +48,16 @@ def length_classes(edits: int | Sequence[tuple[int, int]]) -> list[tuple[int, in
 def probe_keys(lines: DataFrame, classes: list[tuple[int, int, int]]) -> DataFrame:
     """h, key: hashes of (class, segment, indexed length, substring) of every line. A line probes the classes of all lines that it can
     be the longer one of a pair with, each only at the lengths of its class."""
-    length, p, wanted = F.col("chars"), F.col("p"), []
+    length, none, wanted = F.col("chars"), F.filter(F.array(F.lit(0).cast("long")), lambda x: F.lit(False)), []
     for c, (lo, hi, e) in enumerate(classes):
-        kinds = [F.struct(*(F.lit(x).alias(n) for n, x in zip(("c", "lo", "hi", "k", "d", "i", "shift"), (c, lo, hi, e + 1, *probe), strict=True))) for probe in probes(e)]
-        wanted.append(F.when((length >= lo) & (length < hi + e), F.array(*kinds)).otherwise(F.array().cast("array<struct<c:int,lo:int,hi:int,k:int,d:int,i:int,shift:int>>")))
-    asked = lines.select("h", "line", "chars", F.explode(F.concat(*wanted)).alias("p"))
-    indexed = length - p["d"]
-    start, size = segment(indexed, p["i"], p["k"])
-    asked = asked.filter((indexed >= p["lo"]) & (indexed < p["hi"]))
-    return asked.select("h", F.xxhash64(p["c"], p["i"], indexed, F.col("line").substr(start + p["shift"], size)).alias("key"))
+        keys = []
+        for d, i, shift in probes(e):
+            indexed = length - d
+            start, size = segment(indexed, F.lit(i), F.lit(e + 1))
+            key = F.xxhash64(F.lit(c), F.lit(i), indexed, F.col("line").substr(start + shift, size))
+            keys.append(F.when((indexed >= lo) & (indexed < hi), key))
+        wanted.append(F.when((length >= lo) & (length < hi + e), F.array(*keys)).otherwise(none))
+    return lines.select("h", F.explode_outer(F.concat(*wanted)).alias("key")).filter("key is not null")
 
 
 def least_chars(edits: int) -> int:
@@ -115,8 +118,8 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
 
     Lines are cut at line feeds. Keys of segments and probes meet in one grouping with partial minima and maxima; only keys
     under which different lines meet are looked at again. Each line is held against the commonest line of its key, and, where
-    that leaves several components under a key, against the lines of other components, within the join itself, so that
-    only confirmed links leave it. Joins of all lines are sort-merge joins at every size.
+    that leaves several components under a key, those outside the greatest against the others, in parts within the join itself,
+    so that only confirmed links leave it. Joins of all lines are sort-merge joins at every size.
     """
     classes = length_classes(edits)
     least, most = classes[0][0], max(e for _, _, e in classes)
@@ -128,41 +131,47 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     occurrences = lines.select("id", "th", "line_no", "h", F.xxhash64(F.lit(1), "line").alias("g"))
     keyed = probe_keys(lines.filter(F.col("chars") >= least), classes)
     shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
-    members = materialize(keyed.join(shared.hint("merge"), "key").groupBy("key", "h").agg(F.count(F.lit(1)).alias("copies")), "members")
+    members = materialize(keyed.join(apart(shared), "key").groupBy("key", "h").agg(F.count(F.lit(1)).alias("copies")), "members")
     nodes = members.select("h").distinct()
     # the first occurrence of each line, by partial minima; then only the lines asked for leave their documents
     firsts = occurrences.groupBy("h", "g").agg(F.min(F.struct("id", "th", "line_no")).alias("at")).join(nodes.hint("merge"), "h")
     asked = firsts.groupBy(F.col("at.id").alias("a_id"), F.col("at.th").alias("a_th")).agg(F.collect_list(F.struct("h", "g", "at.line_no")).alias("asked"))
     found = whole.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th")))
     own = F.transform("asked", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"), F.get(F.col("parts"), x["line_no"]).alias("line")))
-    texts = materialize(found.select(own.alias("own")).select(F.inline_outer("own")).dropDuplicates(["h", "g"]), "lines")
+    texts = found.select(own.alias("own")).select(F.inline_outer("own")).dropDuplicates(["h", "g"])
+    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "lines")  # numbered as they are written
 
     def close(a: Column, b: Column) -> Column:
         shorter, allowed = F.least(F.char_length(a), F.char_length(b)), F.lit(0)
         for lo, _, e in classes:
             allowed = F.when(shorter >= lo, e).otherwise(allowed)
-        rough = F.levenshtein(a, b, most)
-        return (F.abs(F.char_length(a) - F.char_length(b)) <= allowed) & (rough >= 0) & (rough <= allowed) & (banded_distance(a, b, most) <= allowed)
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) of hashes the links between lines (u, v)."""
-        side = lambda c: texts.select(F.col("h").alias(c), F.struct("h", "g").alias(f"n_{c}"), F.col("line").alias(f"l_{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        return both.filter(close(F.col("l_a"), F.col("l_b"))).select(F.col("n_a").alias("u"), F.col("n_b").alias("v"))
+        # at twice the edits the built-in only spares far pairs the exact answer, which the banded columns give
+        rough = F.levenshtein(a, b, 2 * most) >= 0
+        return (F.abs(F.char_length(a) - F.char_length(b)) <= allowed) & rough & (banded_distance(a, b, most) <= allowed)
 
+    side = lambda c: texts.select(F.col("h").alias(c), F.col("node").alias(f"n_{c}"), F.col("line").alias(f"l_{c}")).hint("merge")
     reps = members.groupBy("key").agg(F.max(F.struct("copies", "h")).alias("rep"), F.count(F.lit(1)).alias("m")).select("key", "m", F.col("rep.h").alias("rep"))
-    starred = materialize(members.join(reps, "key").select("key", "m", "rep", "h"), "starred")
+    starred = materialize(members.join(apart(reps), "key").select("key", "m", "rep", "h"), "starred")
     stars = starred.filter("h <> rep").select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct()
-    first = materialize(linked(stars), "links")
+    first = stars.join(side("a"), "a").join(side("b"), "b").filter(close(F.col("l_a"), F.col("l_b"))).select(F.col("n_a").alias("u"), F.col("n_b").alias("v"))
     labels = components(first)
-    label = texts.select("h", "line", F.struct("h", "g").alias("node")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = starred.filter("m > 2").select("key", "h").join(label, "h")
-    open_keys = several.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    several = materialize(several.join(open_keys, "key"), "open")
-    left = several.select("key", F.col("node").alias("u"), F.col("label").alias("x"), F.col("line").alias("l_a"))
-    right = several.select("key", F.col("node").alias("v"), F.col("label").alias("y"), F.col("line").alias("l_b"))
-    second = left.join(right, (left["key"] == right["key"]) & (F.col("u") < F.col("v")) & (F.col("x") != F.col("y")) & close(F.col("l_a"), F.col("l_b"))).select("u", "v")
-    final = components(first.unionByName(second))
+    label = texts.select("h", "line", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = starred.filter("m > 2").select("key", "h").join(label.hint("merge"), "h")
+    counted = several.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    open_keys = counted.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    open_keys = open_keys.select("key", F.col("most.label").alias("main"), F.ceil((F.col("m") - F.col("most.n")) / LINES_A_PART).cast("long").alias("asking"), F.ceil(F.col("m") / LINES_A_PART).cast("long").alias("parts"))
+    several = materialize(several.join(apart(open_keys), "key"), "open")
+    # lines outside a key's greatest component against all of the key, in parts that meet in tasks of their own
+    place = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n)
+    probe = F.col("label") != F.col("main")
+    left = several.filter(probe).select("key", place(1, F.col("asking")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), F.col("node").alias("u"), F.col("label").alias("x"), F.col("line").alias("l_a"))
+    right = several.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("i"), place(2, F.col("parts")).alias("j"), F.col("node").alias("v"), F.col("label").alias("y"), F.col("line").alias("l_b"), probe.alias("asks"))
+    once_each = ~F.col("asks") | (F.col("u") < F.col("v"))
+    second = left.join(right.hint("merge"), ["key", "i", "j"]).filter(once_each & (F.col("x") != F.col("y")) & close(F.col("l_a"), F.col("l_b"))).select("u", "v")
+    found = components(as_edges(labels).unionByName(second))
+    named_as = texts.select("node", F.struct("h", "g").alias("line"))
+    final = found.join(named_as.hint("merge"), "node").join(named_as.select(F.col("node").alias("label"), F.col("line").alias("head_line")).hint("merge"), "label")
+    final = final.select(F.col("line").alias("node"), F.col("head_line").alias("label"))
     named = occurrences.join(final.select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), "label"), ["h", "g"], "left")
     named = named.select("id", "th", "line_no", F.coalesce("label.h", "h").alias("h"), F.coalesce("label.g", "g").alias("g"))
     # stored, so that the join below has an exchange of its own on either side, which the engine can split for a common line
@@ -175,12 +184,15 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
 def drop_repeated_lines(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_EDITS, min_chars: int | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the text cut down to the lines that are the first of their class or in none, in place.
 
-    A column `lines_removed` says how many went; texts without such lines stay as they are, null ones null.
+    A column `lines_removed` says how many went (one of that name is replaced); texts without such lines stay as they are, null
+    ones null. Rows that repeat with their id share their lines' fate; an empty table gives no rows; other columns may have any
+    names.
     """
+    own_id, own_th, own, places = (free_name(docs, n) for n in ("own_id", "own_th", "own", "places"))
     gone = line_classes(docs, edits, min_chars, id_col, text).filter(~F.col("kept")).distinct()
-    gone = gone.groupBy(F.col(id_col).alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("line_no").alias("__gone"))
-    keyed = docs.withColumn("__own", F.xxhash64(text))
-    joined = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left")
-    rest = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    joined = joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(rest))
-    return joined.withColumn("lines_removed", F.coalesce(F.size("__gone"), F.lit(0))).drop("__id", "__th", "__own", "__gone")
+    gone = gone.groupBy(F.col(id_col).alias(own_id), F.col("th").alias(own_th)).agg(F.collect_set("line_no").alias(places))
+    keyed = docs.withColumn(own, F.xxhash64(text))
+    joined = keyed.join(gone, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(own) == F.col(own_th)), "left")
+    rest = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.col(places), i)), "\n")
+    joined = joined.withColumn(text, F.when(F.col(places).isNull(), F.col(text)).otherwise(rest))
+    return joined.withColumn("lines_removed", F.coalesce(F.size(places), F.lit(0))).drop(own_id, own_th, own, places)

@@ -104,6 +104,11 @@ def blocks(rows: int, per_block: int) -> int:
     return max(1, math.ceil(rows / per_block))
 
 
+def apart(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df dealt anew, so that a join with it has an exchange of its own on either side, which the engine can split for a hot key."""
+    return df.repartition(shuffle_partitions(df.sparkSession) if rows is None else blocks(rows, ROWS_PER_FILE)).hint("merge")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     while name in df.columns:

@@ -399,9 +399,10 @@ def test_banded_distance(spark, edits):
     assert all(min(r.d, edits + 1) == min(levenshtein(r.a, r.b), edits + 1) for r in got)
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_line_classes_equal_brute_force(spark, edits):
-    rows = []
+@pytest.mark.parametrize(("edits", "part"), [(1, 1024), (2, 1024), (2, 3)])
+def test_line_classes_equal_brute_force(spark, monkeypatch, edits, part):
+    monkeypatch.setattr(lines, "LINES_A_PART", part)
+    rows = [(900 + k, "a template that all share, number " + "".join(rnd.choice("0123456789") for _ in range(8))) for k in range(30 * (edits > 1))]
     for g in range(6):
         base = "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(20, 36)))
         rows += [(100 * g + k, "short\n" + edited(base, rnd.randrange(0, 3), "xyz") + "\n" + base) for k in range(8)]
