@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.llm.storage import apart, discard, materialize
+from docaudit.llm.storage import discard, join_apart, materialize
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
-    """Of edges (about so many rows) links each node's greater (large) or smaller (small) neighbours, and in a small star itself, to its least neighbour."""
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Links each node's greater (large) or smaller (small) neighbours, and in a small star itself, to its least neighbour."""
     near = _both_ways(edges) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = near.join(apart(least, rows), "u")  # split by the engine for a node with many neighbours
+    joined = join_apart(near, least, "u")  # split by the engine for a node with many neighbours
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -25,7 +25,7 @@ def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of each node of the edges (u, v): label is the least node of its component.
+    """(node, label) of each node of the edges (u, v), which are longs: label is the least node of its component.
 
     Both stars are a partial minimum and an equi-join, so a node with very many neighbours is split by the engine; the number
     of rounds grows with the logarithm of a component's size. Edges stay in tables; only a count and a checksum come back.
@@ -36,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(down.distinct(), "edges")
     seen = mark(now)
     while seen[0]:
-        after = materialize(_star(_star(now, True, seen[0]), False, seen[0]), "edges", rows=seen[0])
+        after = materialize(_star(_star(now, large=True), large=False), "edges", rows=seen[0])
         discard(now)
         now, before, seen = after, seen, mark(after)
         if seen == before:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.llm.graph import as_edges, components
-from docaudit.llm.storage import apart, free_name, materialize
+from docaudit.llm.storage import free_name, join_apart, materialize
 
 #: Edits between near-duplicate lines; lines of fewer than least_chars(edits) characters are compared for equality only.
 MAX_EDITS = 1
@@ -131,7 +131,8 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     occurrences = lines.select("id", "th", "line_no", "h", F.xxhash64(F.lit(1), "line").alias("g"))
     keyed = probe_keys(lines.filter(F.col("chars") >= least), classes)
     shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
-    members = materialize(keyed.join(apart(shared), "key").groupBy("key", "h").agg(F.count(F.lit(1)).alias("copies")), "members")
+    # counted by the complement of the key, so that the join's partitions need not stay whole
+    members = materialize(join_apart(keyed, shared, "key").groupBy(F.bitwise_not(F.col("key")).alias("key"), "h").agg(F.count(F.lit(1)).alias("copies")), "members")
     nodes = members.select("h").distinct()
     # the first occurrence of each line, by partial minima; then only the lines asked for leave their documents
     firsts = occurrences.groupBy("h", "g").agg(F.min(F.struct("id", "th", "line_no")).alias("at")).join(nodes.hint("merge"), "h")
@@ -151,7 +152,7 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
 
     side = lambda c: texts.select(F.col("h").alias(c), F.col("node").alias(f"n_{c}"), F.col("line").alias(f"l_{c}")).hint("merge")
     reps = members.groupBy("key").agg(F.max(F.struct("copies", "h")).alias("rep"), F.count(F.lit(1)).alias("m")).select("key", "m", F.col("rep.h").alias("rep"))
-    starred = materialize(members.join(apart(reps), "key").select("key", "m", "rep", "h"), "starred")
+    starred = materialize(join_apart(members, reps, "key").select("key", "m", "rep", "h"), "starred")
     stars = starred.filter("h <> rep").select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct()
     first = stars.join(side("a"), "a").join(side("b"), "b").filter(close(F.col("l_a"), F.col("l_b"))).select(F.col("n_a").alias("u"), F.col("n_b").alias("v"))
     labels = components(first)
@@ -160,7 +161,7 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     counted = several.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     open_keys = counted.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     open_keys = open_keys.select("key", F.col("most.label").alias("main"), F.ceil((F.col("m") - F.col("most.n")) / LINES_A_PART).cast("long").alias("asking"), F.ceil(F.col("m") / LINES_A_PART).cast("long").alias("parts"))
-    several = materialize(several.join(apart(open_keys), "key"), "open")
+    several = materialize(join_apart(several, open_keys, "key"), "open")
     # lines outside a key's greatest component against all of the key, in parts that meet in tasks of their own
     place = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n)
     probe = F.col("label") != F.col("main")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.llm.graph import as_edges, components
-from docaudit.llm.storage import apart, blocks, free_name, materialize
+from docaudit.llm.storage import blocks, free_name, join_apart, materialize
 from docaudit.llm.textops import Words, chunked, distinct_by_row, mix, shingles
 
 ROWS, BITS, LOSS, SIGMAS = 4, 4, 1e-9, 6.5
@@ -119,7 +119,7 @@ def unsettled(members: DataFrame) -> DataFrame:
     counted = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     keys = counted.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     keys = keys.select("key", "m", F.col("most.label").alias("main"), (F.col("m") - F.col("most.n")).alias("probes"))
-    return members.join(apart(keys), "key").withColumn("probe", F.col("label") != F.col("main")).drop("main")
+    return join_apart(members, keys, "key").withColumn("probe", F.col("label") != F.col("main")).drop("main")
 
 
 def dealt(members: DataFrame, part: int) -> DataFrame:
@@ -242,7 +242,7 @@ def linked_members(members: DataFrame, num: int, den: int) -> DataFrame:
     a cluster falls into then meets again, all but its greatest component as probes; most clusters need no second round.
     """
     sized = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("copies", "node")).alias("rep")).select("key", "m", F.col("rep.node").alias("rep"))
-    held = materialize(members.join(apart(sized), "key"), "clusters")
+    held = materialize(join_apart(members, sized, "key"), "clusters")
     parts = F.ceil(F.col("m") / SETS).cast("int")
     own = F.array(F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int"))
     j = F.explode(F.when(F.col("node") == F.col("rep"), F.sequence(F.lit(0), parts - 1)).otherwise(own))
@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", "head", "rep", "copies", "x.*"), "classes")
     entries = classes.select("node", "copies", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("copies", "node")).alias("rep")).filter("m > 1").select("key", "m", F.col("rep.node").alias("rep"))
-    members = materialize(entries.join(apart(buckets), "key").select("key", "node", "m", "rep"), "members")
+    members = materialize(join_apart(entries, buckets, "key").select("key", "node", "m", "rep"), "members")
     stars = members.filter(F.col("node") != F.col("rep")).select(F.least("node", "rep").alias("u"), F.greatest("node", "rep").alias("v")).distinct()
     near = materialize(likely(stars, classes, num, den), "likely")
     labels = components(near)

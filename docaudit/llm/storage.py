@@ -11,6 +11,7 @@ from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Links or labels in a file of a table that loops write.
 ROWS_PER_FILE = 1 << 20
@@ -104,9 +105,15 @@ def blocks(rows: int, per_block: int) -> int:
     return max(1, math.ceil(rows / per_block))
 
 
-def apart(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df dealt anew, so that a join with it has an exchange of its own on either side, which the engine can split for a hot key."""
-    return df.repartition(shuffle_partitions(df.sparkSession) if rows is None else blocks(rows, ROWS_PER_FILE)).hint("merge")
+def join_apart(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has been grouped by the long column key.
+
+    The key is complemented and complemented again, so that the join does not take over the grouping's partitions: it gets an
+    exchange of its own on either side, which the engine can split for a hot key.
+    """
+    other = free_name(left, f"not_{key}")
+    flipped = right.select(F.bitwise_not(F.col(key)).alias(other), *[c for c in right.columns if c != key])
+    return left.join(flipped.hint("merge"), F.col(key) == F.bitwise_not(F.col(other)), how).drop(other)
 
 
 def free_name(df: DataFrame, name: str) -> str:
