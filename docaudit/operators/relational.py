@@ -49,6 +49,18 @@ def owned_through(rows: DataFrame, parents: DataFrame, key: str, user: Any, owne
     return rows.join(parents.filter(F.col(owner) == user).select(key), key, "left_semi")
 
 
+def owned_with_parent(rows: DataFrame, parents: DataFrame, key: str, user: Any, owner: str = "user_id", name: str = "parent") -> DataFrame:
+    """Rows whose parent is the user's, with the parent as a struct: the parents are filtered first, and one join does what a join, an
+    EXISTS and an eager load of the same parent do. A parent's key is unique."""
+    own = parents.filter(F.col(owner) == user)
+    return rows.join(own.select(key, F.struct(*parents.columns).alias(name)), key)
+
+
+def user_stats(documents: DataFrame, user: str = "user_id", score: str = "score", time: str = "analysis_time") -> DataFrame:
+    """Number of a user's documents, and averages of score and analysis time over those that have one."""
+    return documents.groupBy(user).agg(F.count(F.lit(1)).alias("documents_count"), F.avg(score).alias("average_compliance"), F.avg(time).alias("average_time_minutes"))
+
+
 def through_chain(rows: DataFrame, middle: DataFrame, top: DataFrame, to_middle: str, to_top: str, user: Any, owner: str = "user_id") -> DataFrame:
     """Rows whose parent's parent is the user's; both joins are to one row at most, so nothing is doubled."""
     return rows.join(middle.select(to_middle, to_top), to_middle).join(top.filter(F.col(owner) == user).select(to_top), to_top).select(*[c for c in rows.columns])

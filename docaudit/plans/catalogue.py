@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions import text as fn
@@ -16,10 +17,12 @@ from docaudit.operators import facts as fx
 from docaudit.operators import relational as rel
 from docaudit.operators import report as rp
 from docaudit.operators.checks import missing_elements, missing_phrases
-from docaudit.plans.profiles import ADVICE, CORPUS, DOC_TYPES, LOWEST_TIER, STANDARD, TIERS, Rule
+from docaudit.plans.profiles import ADVICE, CORPUS, DOC_TYPES, LOWEST_TIER, STANDARD, TIERS, TITLE_WORDS_PARAGRAPHS, Rule
+from docaudit.sources import documents as documents_source
 from docaudit.sources import rules as rules_source
-from docaudit.sources.reports import as_json
-from docaudit.streaming.status import latest_status, with_progress
+from docaudit.sources.reports import as_json, read_reports, write_reports
+from docaudit.sources.workspace import new_folder
+from docaudit.streaming.status import arrival_reports, check_arrivals, latest_status, with_progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -454,6 +457,12 @@ def intro_regex(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", fx.introduction_of(F.col("text"), INTRO, 100).alias("intro"))
 
 
+@query(rf"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{INTRO}') THEN regexp_replace(regexp_extract(lower(text), '{INTRO}', 2), '^\s+|\s+$', '', 'g') ELSE substring(text, 1, 1000) END AS introduction FROM documents")
+def introduction_or_start(spark, sf_dir):
+    """As intro_regex, with the fallback of 1000 characters that introductions have unless told otherwise."""
+    return t(spark, sf_dir, "documents").select("doc_id", fx.introduction_of(F.col("text"), INTRO).alias("introduction"))
+
+
 @query("WITH g AS (SELECT l_orderkey, v - lead(v) OVER (PARTITION BY l_orderkey ORDER BY v DESC) AS gap FROM (SELECT DISTINCT l_orderkey, l_quantity AS v FROM lineitem)) SELECT l_orderkey, count(*) AS n, sum(gap) AS total FROM g WHERE gap > 0.5 * 10 AND gap < 3 * 10 GROUP BY 1")
 def gap_distinct_desc(spark, sf_dir):
     gaps = fx.gaps_descending(t(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity"), ["l_orderkey"], "l_quantity")
@@ -592,5 +601,216 @@ def latest_status_by_user(spark, sf_dir):
     return latest_status(t(spark, sf_dir, "events"), "user_id", "ts", "event_id", "event_type")
 
 
+
+
+# Facts of documents given as paragraphs, and as pages and glyphs
+
+PARAGRAPHS = rf"""{LINES}, p AS (SELECT doc_id, pos, length(line) AS n, CASE pos WHEN 0 THEN 'Курсовая работа ' || line WHEN 1 THEN 'Введение' WHEN 3 THEN '1. ' || line ELSE line END AS t FROM l),
+h AS (SELECT *, lower(t) AS low, (pos = 1 OR n % 17 = 0 OR (length(t) < 50 AND upper(t) = t AND lower(t) <> t) OR regexp_matches(t, '^\d+\.?\s')) AS heading, trim(regexp_replace(lower(t), '^\d+\.?\s*', '')) AS clean FROM p)"""
+
+
+def paragraphs_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Paragraphs and sections made of the lines of plain texts."""
+    n = F.char_length("line")
+    text = F.when(F.col("pos") == 0, F.concat(F.lit("Курсовая работа "), "line")).when(F.col("pos") == 1, "Введение").when(F.col("pos") == 3, F.concat(F.lit("1. "), "line")).otherwise(F.col("line"))
+    name = F.when(n % 4 == 0, "Arial").when(n % 4 == 1, "Times New Roman").when(n % 4 == 2, "")
+    run = lambda bold, font, size: F.struct(bold.alias("bold"), font.alias("font_name"), size.cast("double").alias("size_pt"))
+    runs = F.array(run(F.when(n % 17 == 0, True).when(n % 3 == 0, F.lit(None)).otherwise(False), name, F.when(n % 5 == 0, 0).otherwise(10 + n % 3)), run(F.lit(None).cast("boolean"), F.lit("Times New Roman"), F.lit(14)))
+    rows = fx.lines_of(docs).select(
+        "doc_id", F.col("pos").alias("para_num"), text.alias("text"), F.when(F.col("pos") == 1, "Heading 1").otherwise("Normal").alias("style_name"), runs.alias("runs"),
+        F.when(n % 3 == 1, 1.5).when(n % 3 == 2, 1.0).alias("line_spacing"), F.when(n % 4 == 0, -1.0).when(n % 4 == 1, 1.25).when(n % 4 == 2, 0.5).alias("first_line_indent_cm"),
+    )
+    margins = [F.struct(F.lit(i).alias("section_num"), *[F.lit(v).cast("double").alias(f"{side}_mm") if v is not None else (20.04 + F.col("n_chars") % 10).alias(f"{side}_mm") for side, v in zip(("left", "right", "top", "bottom"), values, strict=True)]) for i, values in enumerate(((None, 15, 0, 20), (1, 1, 1, 1)))]
+    return rows, docs.select("doc_id", F.inline(F.array(*margins)))
+
+
+def _mode_sql(value: str, source: str) -> str:
+    return f"(SELECT doc_id, v FROM (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, f) AS r FROM (SELECT doc_id, v, count(*) AS k, min(pl) AS f FROM (SELECT doc_id, {value} AS v, pl FROM {source}) WHERE v IS NOT NULL GROUP BY 1, 2)) WHERE r = 1)"
+
+
+RUNS_SQL = "(SELECT doc_id, n, pos * 2 AS pl, 1 AS own FROM p UNION ALL SELECT doc_id, n, pos * 2 + 1, 0 FROM p)"
+TITLED = " OR ".join(f"contains(low, '{w}')" for w in TITLE_WORDS_PARAGRAPHS)
+
+
+@query(
+    rf"""WITH {PARAGRAPHS}, e AS (SELECT doc_id, element, min(pl) AS pl FROM (SELECT doc_id, clean AS element, CAST(pos AS DOUBLE) AS pl FROM h WHERE heading UNION ALL SELECT doc_id, 'титульный лист', pos + 0.5 FROM h WHERE pos < 50 AND ({TITLED})) GROUP BY 1, 2),
+s AS (SELECT *, last_value(CASE WHEN contains(low, 'введение') THEN true WHEN heading AND clean <> 'введение' THEN false END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS st FROM h),
+x AS (SELECT doc_id, string_agg(t, ' ' ORDER BY pos) || ' ' AS full_text, coalesce(string_agg(t, ' ' ORDER BY pos) FILTER (st), '') AS introduction, sum(len(list_filter(string_split_regex(t, '\s+'), lambda w: w <> ''))) AS words, bool_or(heading AND regexp_matches(t, '^\d+\.')) AS chapters FROM s GROUP BY 1),
+g AS (SELECT doc_id, string_agg(element, '|' ORDER BY pl) AS elements FROM e GROUP BY 1)
+SELECT d.doc_id, concat_ws('|', elements, CASE WHEN chapters THEN 'основная часть' END) AS elements, f.v AS font_family, CAST(round_even(z.v, 0) AS INTEGER) AS font_size, b.v AS line_spacing, i.v AS indent, CAST(round_even(20.04 + n_chars % 10, 1) AS DOUBLE) AS left_margin,
+CAST(NULL AS DOUBLE) AS top_margin, 2 AS page_count, coalesce(full_text, '') AS full_text, coalesce(introduction, '') AS introduction, CAST(coalesce(words, 0) AS INTEGER) AS word_count FROM documents d LEFT JOIN x USING (doc_id) LEFT JOIN g USING (doc_id)
+LEFT JOIN {_mode_sql("CASE WHEN own = 0 THEN 'Times New Roman' ELSE CASE n % 4 WHEN 0 THEN 'Arial' WHEN 1 THEN 'Times New Roman' END END", RUNS_SQL)} f USING (doc_id)
+LEFT JOIN {_mode_sql("CASE WHEN own = 0 THEN 14 WHEN n % 5 <> 0 THEN 10 + n % 3 END", RUNS_SQL)} z USING (doc_id)
+LEFT JOIN {_mode_sql("CASE n % 3 WHEN 1 THEN 1.5::DOUBLE WHEN 2 THEN 1.0::DOUBLE END", "(SELECT doc_id, n, pos AS pl FROM p)")} b USING (doc_id)
+LEFT JOIN {_mode_sql("CASE n % 4 WHEN 1 THEN 1.25::DOUBLE WHEN 2 THEN 0.5::DOUBLE END", "(SELECT doc_id, n, pos AS pl FROM p)")} i USING (doc_id)"""
+)
+def paragraph_facts(spark, sf_dir):
+    facts = fx.paragraph_facts(*paragraphs_of(t(spark, sf_dir, "documents")))
+    return facts.select(
+        "doc_id", F.array_join("required_elements", "|").alias("elements"), "font_settings.*", F.col("paragraph_indent").alias("indent"), F.col("page_margins.left").alias("left_margin"), F.col("page_margins.top").alias("top_margin"),
+        "page_count", "full_text", F.col("introduction_text").alias("introduction"), "word_count",
+    )
+
+
+@query(f"WITH {PARAGRAPHS} SELECT doc_id, bool_or(pos < 50 AND ({TITLED})) AS has_title, bool_or(heading AND clean = 'введение') AS has_introduction FROM h GROUP BY 1")
+def title_and_introduction(spark, sf_dir):
+    facts = fx.paragraph_facts(*paragraphs_of(t(spark, sf_dir, "documents"))).filter("word_count > 0")
+    return facts.select("doc_id", F.array_contains("required_elements", "титульный лист").alias("has_title"), F.array_contains("required_elements", "введение").alias("has_introduction"))
+
+
+GLYPHS = """g AS (SELECT l_orderkey AS doc_id, 1 + l_linenumber % 2 AS page_num, l_linenumber * 10 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS char_num,
+CASE WHEN l_returnflag = 'N' THEN ' ' ELSE l_returnflag END AS text, 'ABCDEF+' || CASE l_partkey % 3 WHEN 0 THEN 'Arial-Bold' WHEN 1 THEN 'Times-Italic' ELSE 'Arial' END AS fontname, 8 + l_quantity % 7 AS size,
+CAST(l_suppkey AS DOUBLE) AS x0, l_suppkey + 5.5 AS x1, CAST(l_partkey % 70 * 10 AS DOUBLE) AS y0, l_partkey % 70 * 10 + 8 + l_quantity % 7 AS y1 FROM lineitem)"""
+PAGE_TEXTS = {1: "Курсовая работа\nВведение\nобычная строка\n1. Глава один", 2: "  \nЗаключение\nстудент A R\nСписок литературы"}
+
+
+def glyphs_of(lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages and glyphs made of order lines."""
+    order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
+    font = F.when(F.col("l_partkey") % 3 == 0, "Arial-Bold").when(F.col("l_partkey") % 3 == 1, "Times-Italic").otherwise("Arial")
+    size, y0 = 8 + F.col("l_quantity") % 7, (F.col("l_partkey") % 70 * 10).cast("double")
+    chars = lineitem.select(
+        F.col("l_orderkey").alias("doc_id"), (1 + F.col("l_linenumber") % 2).alias("page_num"), (F.col("l_linenumber") * 10 + F.row_number().over(order)).alias("char_num"), F.when(F.col("l_returnflag") == "N", " ").otherwise(F.col("l_returnflag")).alias("text"),
+        F.concat(F.lit("ABCDEF+"), font).alias("fontname"), size.alias("size"), F.col("l_suppkey").cast("double").alias("x0"), (F.col("l_suppkey") + 5.5).alias("x1"), y0.alias("y0"), (y0 + size).alias("y1"),
+    )
+    text = F.when(F.col("page_num") == 1, PAGE_TEXTS[1]).otherwise(PAGE_TEXTS[2])
+    pages = chars.select("doc_id", "page_num").distinct().select("doc_id", "page_num", text.alias("text"), F.lit(595.0).alias("width"), F.lit(842.0).alias("height"))
+    return pages, chars
+
+
+@query(
+    rf"""WITH RECURSIVE {GLYPHS}, o AS (SELECT doc_id, page_num, avg(size) AS a FROM g GROUP BY 1, 2),
+ink AS (SELECT *, regexp_replace(regexp_replace(fontname, '^[A-Z]{{6}}\+', ''), '-(Regular|Bold|Italic|BoldItalic)$', '') AS font FROM g WHERE trim(text) <> ''),
+big AS (SELECT DISTINCT doc_id, page_num, text FROM g JOIN o USING (doc_id, page_num) WHERE size > a + 1),
+t AS (SELECT DISTINCT doc_id, page_num FROM g),
+ls AS (SELECT doc_id, 1 AS page_num, u.* FROM t, (VALUES (0, 'Курсовая работа'), (1, 'Введение'), (2, 'обычная строка'), (3, '1. Глава один')) u(pos, line) WHERE page_num = 1
+       UNION ALL SELECT doc_id, 2, u.* FROM t, (VALUES (0, 'Заключение'), (1, 'студент A R'), (2, 'Список литературы')) u(pos, line) WHERE page_num = 2),
+hd AS (SELECT doc_id, regexp_replace(lower(line), '^\d+\.?\s*', '') AS e, min(page_num * 100 + pos) AS pl FROM ls WHERE regexp_matches(lower(line), '^(введение|заключение|список литературы|\d+\.?\s?[\p{{L}}\p{{N}}_]+)') OR EXISTS (SELECT 1 FROM big WHERE big.doc_id = ls.doc_id AND big.page_num = ls.page_num AND contains(line, big.text)) GROUP BY 1, 2
+       UNION ALL SELECT doc_id, 'титульный лист', 199 FROM t WHERE page_num = 1),
+el AS (SELECT doc_id, string_agg(e, '|' ORDER BY pl) || CASE WHEN bool_or(e = 'глава один') THEN '|основная часть' ELSE '' END AS elements FROM hd GROUP BY 1),
+f AS (SELECT doc_id, font FROM (SELECT doc_id, font, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(page_num * 1000 + char_num)) AS r FROM ink GROUP BY 1, 2) WHERE r = 1),
+z AS (SELECT doc_id, s FROM (SELECT doc_id, size AS s, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(page_num * 1000 + char_num)) AS r FROM ink GROUP BY 1, 2) WHERE r = 1),
+yy AS (SELECT doc_id, page_num, y0 - lead(y0) OVER (PARTITION BY doc_id, page_num ORDER BY y0 DESC) AS gap FROM (SELECT DISTINCT doc_id, page_num, y0 FROM g)),
+gp AS (SELECT doc_id, avg(gap) AS gap FROM yy JOIN o USING (doc_id, page_num) WHERE gap > 0.5 * a AND gap < 3 * a GROUP BY 1),
+q AS (SELECT doc_id, page_num, y1, x0, size, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY -y1, x0, size) AS r FROM g),
+w AS (SELECT doc_id, page_num, r, y1 AS anchor, x0, size, true AS first FROM q WHERE r = 1
+      UNION ALL SELECT q.doc_id, q.page_num, q.r, CASE WHEN abs(q.y1 - anchor) > 0.5 * a THEN q.y1 ELSE anchor END, q.x0, q.size, abs(q.y1 - anchor) > 0.5 * a FROM w JOIN q ON q.doc_id = w.doc_id AND q.page_num = w.page_num AND q.r = w.r + 1 JOIN o ON o.doc_id = q.doc_id AND o.page_num = q.page_num),
+ind AS (SELECT doc_id, avg(x) AS x FROM (SELECT doc_id, page_num, avg(x0) AS x FROM w JOIN o USING (doc_id, page_num) WHERE first AND size <= a + 1 GROUP BY 1, 2) GROUP BY 1),
+bx AS (SELECT doc_id, min(x0) FILTER (trim(text) <> '') AS x0, max(x1) FILTER (trim(text) <> '') AS x1, min(y0) AS y0, max(y1) AS y1 FROM g GROUP BY 1)
+SELECT n.doc_id, elements, font AS font_family, CAST(round_even(s, 0) AS INTEGER) AS font_size, round_even(gap / coalesce(s, 14), 1) AS line_spacing, greatest(round_even(bx.x0 * 0.3528::DOUBLE, 1), 0) AS left_margin, greatest(round_even((595 - bx.x1) * 0.3528::DOUBLE, 1), 0) AS right_margin,
+greatest(round_even((842 - bx.y1) * 0.3528::DOUBLE, 1), 0) AS top_margin, greatest(round_even(bx.y0 * 0.3528::DOUBLE, 1), 0) AS bottom_margin, round_even((ind.x - bx.x0) / 28.346::DOUBLE, 2) AS indent, page_count, CAST(8 * ones + 6 * (page_count - ones) AS INTEGER) AS word_count
+FROM (SELECT doc_id, CAST(count(*) AS INTEGER) AS page_count, count(*) FILTER (page_num = 1) AS ones FROM t GROUP BY 1) n LEFT JOIN el USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN z USING (doc_id) LEFT JOIN gp USING (doc_id) LEFT JOIN ind USING (doc_id) LEFT JOIN bx USING (doc_id)"""
+)
+def page_facts(spark, sf_dir):
+    facts = fx.page_facts(*glyphs_of(t(spark, sf_dir, "lineitem")))
+    margins = [F.col(f"page_margins.{side}").alias(f"{side}_margin") for side in ("left", "right", "top", "bottom")]
+    return facts.select("doc_id", F.array_join("required_elements", "|").alias("elements"), "font_settings.*", *margins, F.col("paragraph_indent").alias("indent"), "page_count", "word_count")
+
+
+# Further scalars, sources and sinks
+
+
+@query("SELECT p_partkey, CASE WHEN length(p_type) > 20 THEN substring(p_type, 1, 20) || '...' ELSE p_type END AS short, round_even(p_size * 0.3528::DOUBLE, 4) AS mm, round_even(p_size / 28.346::DOUBLE, 4) AS cm, round_even(p_size * 1000 / 36000::DOUBLE, 4) AS from_emu, abs(p_size - 25) AS off FROM part")
+def short_and_measured(spark, sf_dir):
+    size = F.col("p_size")
+    return t(spark, sf_dir, "part").select(
+        "p_partkey", fn.truncated(F.col("p_type"), 20).alias("short"), F.bround(fn.points_to_mm(size), 4).alias("mm"), F.bround(fn.points_to_cm(size), 4).alias("cm"), F.bround(fn.emu_to_mm(size * 1000), 4).alias("from_emu"), F.abs(size - 25).alias("off")
+    )
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_brand ELSE p_brand || CASE p_size % 3 WHEN 1 THEN '' ELSE '-Semi' END END AS font FROM part")
+def clean_fonts(spark, sf_dir):
+    style = F.when(F.col("p_size") % 3 == 0, "-BoldItalic").when(F.col("p_size") % 3 == 1, "").otherwise("-Semi")
+    return t(spark, sf_dir, "part").select("p_partkey", fn.clean_font_name(F.concat(F.lit("QWERTY+"), "p_brand", style)).alias("font"))
+
+
+@query("SELECT page_id, true AS well_formed, regexp_extract(lower(url), '[.][^./]+$') AS suffix FROM pages")
+def unique_names(spark, sf_dir):
+    name = fn.unique_name(F.lit("a.pdf"))
+    return t(spark, sf_dir, "pages").select("page_id", name.rlike(r"^\d{9,}_[0-9a-f]{8}_a\.pdf$").alias("well_formed"), fn.suffix(F.col("url")).alias("suffix"))
+
+
+@query(
+    "SELECT event_id, concat_ws(chr(10), 'k=' || json_extract_string(props, '$.k'), 'type=' || event_type) AS signed, sha256(event_type) AS plain, 'doc_' || strftime(ts, '%Y%m%d_%H%M%S') AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM events"
+)
+def signatures(spark, sf_dir):
+    fields = F.create_map(F.lit("type"), "event_type", F.lit("none"), F.lit(""), F.lit("k"), F.get_json_object("props", "$.k"))
+    at = F.date_trunc("second", F.col("ts"))
+    return t(spark, sf_dir, "events").select("event_id", fn.signature(fields).alias("signed"), F.sha2("event_type", 256).alias("plain"), fn.default_id(F.col("ts")).alias("id"), fn.iso_time(at).alias("at"))
+
+
+PADS = ["".join(f"\\x{b ^ mask:02X}" for b in b"secret".ljust(64, b"\0")) for mask in (0x36, 0x5C)]
+
+
+@query(f"SELECT c_custkey, sha256('{PADS[1]}'::BLOB || unhex(sha256('{PADS[0]}'::BLOB || encode(c_name)))) AS mac, '{{\"sub\":\"' || c_custkey || '\"}}' AS token, c_custkey AS subject FROM customer")
+def keyed_digests(spark, sf_dir):
+    body = F.concat(F.lit('{"sub":"'), F.col("c_custkey"), F.lit('"}'))
+    token = F.concat(F.lit("h."), F.translate(F.base64(body.cast("binary")), "+/", "-_"), F.lit(".s"))
+    return t(spark, sf_dir, "customer").select("c_custkey", fn.hmac_sha256(b"secret", F.col("c_name")).alias("mac"), body.alias("token"), fn.jwt_payload(token, "sub string")["sub"].cast("long").alias("subject"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'body → ' || o_orderstatus || ': bad' || chr(10) ELSE '' END || 'late' AS errors FROM orders")
+def error_lines(spark, sf_dir):
+    one = lambda loc, msg: F.struct(loc.cast("array<string>").alias("loc"), F.lit(msg).alias("msg"))
+    late = one(F.array(), "late")
+    errors = F.when(F.col("o_orderkey") % 2 == 0, F.array(one(F.array(F.lit("body"), "o_orderstatus"), "bad"), late)).otherwise(F.array(late))
+    return t(spark, sf_dir, "orders").select("o_orderkey", fn.joined_errors(errors).alias("errors"))
+
+
+@query(
+    "SELECT page_id AS doc_id, 'system_error' AS rule_id, 'Система' AS section, 'critical' AS severity, false AS is_passed, 'Системная ошибка при проверке: Неподдерживаемый формат файла: ' || CASE page_id % 4 WHEN 0 THEN '.doc' ELSE '.txt' END AS message, 'Обратитесь к администратору системы' AS suggestion FROM pages WHERE page_id % 4 < 2"
+)
+def unsupported_files(spark, sf_dir):
+    kind = F.when(F.col("page_id") % 4 == 0, ".doc").when(F.col("page_id") % 4 == 1, ".txt").when(F.col("page_id") % 4 == 2, ".docx").otherwise(".pdf")
+    files = t(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), fn.suffix(F.concat(F.lit("a/File"), F.upper(kind))).alias("kind"))
+    return rp.error_results(documents_source.unsupported(documents_source.accepted(files))).select(*COLUMNS)
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_name = (SELECT n_name FROM nation WHERE n_nationkey = 7)")
+def unique_name_lookup(spark, sf_dir):
+    nation = t(spark, sf_dir, "nation")
+    row = rel.one(rel.lookup(nation, n_nationkey=7))
+    return rel.lookup(nation, n_name=row.n_name).select("n_nationkey", "n_name")
+
+
+@query("SELECT o_custkey AS user_id, count(*) AS documents_count, round(avg(CAST(floor(o_totalprice) AS BIGINT) % 101), 4) AS average_compliance, round(avg(CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 60 END), 4) AS average_time_minutes FROM orders GROUP BY 1")
+def user_averages(spark, sf_dir):
+    orders = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), (F.floor("o_totalprice") % 101).alias("score"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey") % 60).alias("analysis_time"))
+    return rel.user_stats(orders).select("user_id", "documents_count", F.round("average_compliance", 4).alias("average_compliance"), F.round("average_time_minutes", 4).alias("average_time_minutes"))
+
+
+@query("SELECT l_orderkey, l_linenumber, o_totalprice, o_orderstatus FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l_orderkey AND o.o_custkey = 11)")
+def checks_with_documents(spark, sf_dir):
+    documents = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_totalprice", "o_orderstatus")
+    checks = rel.owned_with_parent(t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), documents, "l_orderkey", 11, "o_custkey", "document")
+    return checks.select("l_orderkey", "l_linenumber", "document.o_totalprice", "document.o_orderstatus")
+
+
+@query(f"WITH {REPORT} SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(total_checks AS INTEGER) AS total_checks, CAST(critical_issues AS INTEGER) AS critical_issues, CAST(NULL AS VARCHAR) AS filename FROM scored")
+def report_files(spark, sf_dir):
+    path = new_folder(spark, "reports")
+    write_reports(reports(spark, sf_dir).withColumnRenamed("doc_id", "document_id").withColumn("document_id", F.col("document_id").cast("string")), path)
+    return read_reports(spark, path).select("document_id", "total_checks", "critical_issues", "filename")
+
+
+@query(f"WITH {RULE_ROWS} SELECT id, section, title, description, type, severity, check_type, expected_value FROM r")
+def rules_from_file(spark, sf_dir):
+    """The standard's rules, written as a rule set and loaded from there."""
+    groups = {kind: {r.id: asdict(r) for r in STANDARD if r.rule_type == kind} for kind in rules_source.GROUPS}
+    path = new_folder(spark, "rules")
+    spark.createDataFrame([(json.dumps({"rules": groups}, ensure_ascii=False),)], "value string").coalesce(1).write.text(path)
+    return rules_source.exported(rules_source.rules_frame(spark, rules_source.load_rules(spark, path)))
+
+
+@query(f"WITH {REPORT} SELECT doc_id, score, CASE WHEN is_compliant THEN 'Идеален' ELSE 'Отправлен на доработку' END AS status, 100 AS progress FROM scored")
+def arrivals(spark, sf_dir):
+    """The documents as a stream of files, checked as they arrive; the sink holds all results once the stream has ended."""
+    at = new_folder(spark, "arrivals")
+    documents = t(spark, sf_dir, "documents")
+    stream = check_arrivals(spark, f"{sf_dir}/documents*.parquet", documents.schema, lambda d: fx.corpus_facts(d, [r.field for r in CORPUS]), CORPUS, f"{at}/results", f"{at}/state")
+    stream.awaitTermination()
+    return with_progress(arrival_reports(spark.read.parquet(f"{at}/results"))).select("doc_id", "score", "status", "progress")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_by_document(spark, sf_dir)
