@@ -76,5 +76,62 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+#: Spans of an expression: gaps before its matches and the matches themselves, whose lengths give the places.
+def _spans(kind: int, name: str, pattern: str, valid: str) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {kind} AS k, '{name}' AS name, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda m: length(m))), 0) AS BIGINT) AS s, found[i] AS m
+FROM (SELECT doc_id, found, gaps, unnest(range(1, len(found) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS found, string_split_regex(t, '{pattern}') AS gaps FROM texts)) WHERE {valid}"""
+
+
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_CHECKED = r"(?:gh[pousr]|npm)_[A-Za-z0-9]{36,}"
+#: CRC-32 of the thirty characters behind a token's prefix, as six digits to the base 62.
+_CRC = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, 31), lambda j: ascii(m[4 + j])::UBIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda z: 0::UBIGINT)), lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1))))"""
+_DIGITS = "list_reduce(list_transform([916132832, 14776336, 238328, 3844, 62, 1], lambda d: '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'[CAST(1 + (crc // d) % 62 AS BIGINT)]), lambda a, b: a || b)"
+OP1_SQL = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({_spans(0, "assign", _ASSIGN, "length(regexp_extract(m, '[:=] *[\"'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 8")}
+UNION ALL {_spans(1, "access", "AKIA[A-Z0-9]+", "length(m) >= 16")}
+UNION ALL {_spans(2, "hex", "[0-9a-f]+", "length(m) >= 32")}
+UNION ALL SELECT doc_id, CASE WHEN starts_with(m, 'npm') THEN 4 ELSE 3 END, CASE WHEN starts_with(m, 'npm') THEN 'npm_token' ELSE 'github_token' END, s, m
+  FROM (SELECT *, xor({_CRC}, 4294967295::UBIGINT) AS crc FROM ({_spans(3, "checked", _CHECKED, "length(m) = 40")})) WHERE substr(m, 35, 6) = {_DIGITS}),
+listed AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (k > 2) AS n_checked,
+  coalesce(string_agg(name || ':' || s || ':' || s + length(m), ',' ORDER BY s, k) FILTER (k < 3), '') AS base, string_agg(name || ':' || s || ':' || s + length(m), ',' ORDER BY s, k) AS spans FROM found GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_checked, 0) AS n_checked, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts LEFT JOIN listed USING (doc_id)
+"""
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP4_SQL = rf"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(coalesce({_LOWER}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words),
+classes AS MATERIALIZED (SELECT min(doc_id) AS c, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+members AS MATERIALIZED (SELECT c, len(s) AS n, unnest(s) AS g FROM classes),
+pairs AS (SELECT a.c AS u, b.c AS v FROM members a JOIN members b ON a.g = b.g AND a.c < b.c AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS MATERIALIZED (SELECT u, v FROM pairs UNION ALL SELECT v, u FROM pairs),
+reach(c, r) AS (SELECT c, c FROM classes UNION SELECT l.u, reach.r FROM reach JOIN links l ON l.v = reach.c AND reach.r < l.u),
+least_of AS (SELECT c, min(r) AS m FROM reach GROUP BY c)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m, s.doc_id) AS component_id, s.doc_id = coalesce(m, s.doc_id) AS kept FROM sets s LEFT JOIN classes k ON k.s = list_sort(s.s) LEFT JOIN least_of USING (c)
+"""
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, list_reduce(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((CAST('0x' || substr(sha1(b), 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31)]), lambda x, y: x || y) AS payload_digest FROM p),
+w AS (SELECT payload_digest, max(page_id) AS winner FROM d GROUP BY 1)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> winner THEN winner END AS refers_to FROM d JOIN w USING (payload_digest)
+"""
+
+OP10_SQL = """
+WITH t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS o, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT o, unnest(range(0, length(h) // 2 - 99)) AS i, h FROM t WHERE length(h) >= 200),
+m AS MATERIALIZED (SELECT o, i, md5_number(substr(h, 2 * i + 1, 200)) AS x FROM s),
+r AS (SELECT o, i FROM (SELECT o, i, row_number() OVER (PARTITION BY x ORDER BY o, i) AS n FROM m) WHERE n > 1),
+g AS (SELECT o, i, CASE WHEN i - lag(i) OVER (PARTITION BY o ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM r),
+q AS (SELECT o, min(i) AS a, max(i) + 100 AS z FROM (SELECT o, i, sum(new) OVER (PARTITION BY o ORDER BY i) AS n FROM g) GROUP BY o, n),
+k AS (SELECT o, a, z, coalesce(lag(z) OVER (PARTITION BY o ORDER BY a), 0) AS before FROM q),
+c AS (SELECT o, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM k JOIN t USING (o) GROUP BY o)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM t LEFT JOIN c USING (o)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_top_k": OP6_SQL}
+    return {"op1_secret_scan": OP1_SQL, "op4_minhash_near_dedup": OP4_SQL, "op6_exact_top_k": OP6_SQL, "op9_warc": OP9_SQL, "op10_substring_dedup": OP10_SQL}
