@@ -1,9 +1,14 @@
-"""Katz backoff language model: counting, exactly normalised backoff and scoring over partitioned n-gram tables."""
+"""Katz backoff language model: counting, exactly normalised backoff and scoring over partitioned n-gram tables.
+
+Texts are read in chunks. A chunk asks the tables for what it needs: each distinct word of it goes once, with its training count, to
+the word's partition, and each distinct pair of words to the context's. There all chunks' counts are summed, and the sums go
+back. So no table is ever whole in one place, and a word or pair that is everywhere costs one entry a chunk.
+"""
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +17,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.llm.storage import blocks, stored, shuffle_partitions
-from docaudit.llm.textops import Words, chunked, mix
+from docaudit.llm.storage import blocks, shuffle_partitions, stored
+from docaudit.llm.textops import CHUNK_BYTES, Words, chunked, mix, release
 
-#: Good-Turing counts up to K are discounted. Words of the whole vocabulary that are broadcast at most; entries of a partition.
-K, MAX_WORDS, PER_PARTITION, FLUSH_WORDS = 5, 1 << 24, 1 << 21, 1 << 20
+#: Good-Turing counts up to K are discounted. Bytes of text to a partition of the tables.
+K, BYTES_PER_PARTITION = 5, 1 << 24
 END = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -53,278 +58,245 @@ def unsqueeze(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys with the sums of their counts."""
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
-    return k[starts], np.add.reduceat(c, starts) if len(k) else c
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in as few bytes as their greatest needs."""
+    top = int(a.max(initial=0))
+    return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
+
+
+def heads_of(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin in sorted arrays."""
+    n = len(keys[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def sums(values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(index, values, n)
+
+
+ROWS = "kind string, p int, chunk long, data binary"
+
 
+def table_of(rows: list[tuple]) -> pa.Table:
+    kinds, parts, chunk, data = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.table({"kind": pa.array(kinds, pa.string()), "p": pa.array(parts, pa.int32()), "chunk": pa.array(chunk, pa.int64()), "data": pa.array(data, pa.binary())})
 
-def count_words(docs: DataFrame, parts: int) -> DataFrame:
-    """(p, n, total, data) of the training rows (text, held): the word table in parts of the hash range, merged in tasks first."""
-    shift = np.uint64(64 - 16)
+
+def read_chunks(rows: DataFrame, n_parts: int, limit: int) -> DataFrame:
+    """Of rows (id, text, held) a state for each chunk (ids, sizes and tokens as places among its distinct words) and its request to
+    each partition of the word table: its words in that range of hashes, with their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush():
-            k, c = merged(keys, counts)
-            part = (k >> shift).astype(np.int64) * parts >> 16
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            full = [p for p in range(parts) if cuts[p + 1] > cuts[p]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([squeeze(k[cuts[p] : cuts[p + 1]], c[cuts[p] : cuts[p + 1]]) for p in full], pa.binary())], names=["p", "data"])
-
-        keys, counts = [], []
-        for batch in chunked(batches):
-            words = Words(batch.column(0))
-            held = np.array(batch.column(1).to_pylist(), bool)
-            k, c = np.unique(np.concatenate([words.hashes[~held[words.row]], np.full((~held).sum(), END)]), return_counts=True)
-            keys.append(k), counts.append(c)
-            if sum(map(len, keys)) > 2 * FLUSH_WORDS:
-                k, c = merged(keys, counts)
-                keys, counts = [k], [c]
-                if len(k) > FLUSH_WORDS:
-                    yield from flush()
-                    keys, counts = [], []
-        if keys:
-            yield from flush()
-
-    def merge(table: pa.Table) -> pa.Table:
-        both = [unsqueeze(x) for x in table["data"].to_pylist()]
-        k, c = merged([x[0] for x in both], [x[1] for x in both])
-        n = [int((c == r).sum()) for r in range(K + 2)]
-        return pa.table({"p": pa.array([table["p"][0].as_py()], pa.int32()), "words": pa.array([len(k)]), "total": pa.array([int(c.sum())]), "seen": pa.array([n], pa.list_(pa.int64())), "data": pa.array([squeeze(k, c)], pa.binary())})
-
-    return docs.select("text", "held").mapInArrow(run, "p int, data binary").groupBy("p").applyInArrow(merge, "p int, words long, total long, seen array<long>, data binary")
-
-
-class Vocabulary:
-    """Words by hash: an id by falling count, and by id the count and the discounted probability; the last id is the unknown word.
-
-    The discounted mass that is left, and one reserved occurrence, are the unknown word's, so the probabilities sum to one.
-    """
+        task = TaskContext.get().partitionId()
+        for i, batch in enumerate(chunked(batches, limit=limit)):
+            words, chunk = Words(batch.column(1)), (task << 32) | i
+            held = np.array(batch.column(2).to_pylist(), bool)
+            n_tokens = np.diff(words.bounds) + 1
+            unique, place = np.unique(np.insert(words.hashes, words.bounds[1:], END), return_inverse=True)
+            own = np.bincount(place[np.repeat(~held, n_tokens)], minlength=len(unique))
+            sink = pa.BufferOutputStream()
+            meta = pa.RecordBatch.from_arrays([batch.column(0)], names=["id"])
+            with pa.ipc.new_stream(sink, meta.schema) as writer:
+                writer.write_batch(meta)
+            state = squeeze(np.frombuffer(sink.getvalue(), np.uint8), narrow(n_tokens), held.astype(np.uint8), narrow(place), np.searchsorted(unique, [END]))
+            cuts = np.searchsorted(((unique >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64), np.arange(n_parts + 1))
+            asked = [("words", q, chunk, squeeze(unique[cuts[q] : cuts[q + 1]], narrow(own[cuts[q] : cuts[q + 1]]))) for q in np.flatnonzero(np.diff(cuts)).tolist()]
+            yield from table_of([("state", -1, chunk, state), *asked]).to_batches()
 
-    def __init__(self, parts: list[bytes], d: np.ndarray, total: int):
-        both = [unsqueeze(x) for x in parts]
-        self.keys = np.concatenate([x[0] for x in both]) if both else np.zeros(0, np.uint64)
-        counts = np.concatenate([x[1] for x in both]) if both else np.zeros(0, np.int64)
-        del both
-        order = np.argsort(-counts, kind="stable").astype(np.uint32)
-        self.ids = np.empty(len(order), np.uint32)
-        self.ids[order] = np.arange(len(order), dtype=np.uint32)
-        self.counts = np.append(counts[order], 0).astype(np.uint32 if total < 1 << 32 else np.int64)
-        self.unknown, self.d, self.total = len(order), d, total
-        rare = np.bincount(np.minimum(counts, K + 1), minlength=K + 2)[: K + 1]
-        self.mass = 1 - (float(counts[counts > K].sum()) + rare @ (d * np.arange(K + 1))) / (total + 1)
-
-    def p(self, word: np.ndarray) -> np.ndarray:
-        """Probabilities of ids."""
-        c = self.counts[word].astype(np.int64)
-        return np.where(word == self.unknown, self.mass, np.where(c <= K, self.d[np.minimum(c, K)], 1) * c / (self.total + 1))
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, hashes), max(0, len(self.keys) - 1))
-        return np.where(self.keys[at] == hashes, self.ids[at], np.uint32(self.unknown)) if len(self.keys) else np.zeros(len(hashes), np.uint32)
+    return rows.select("id", "text", "held").mapInArrow(run, ROWS)
 
 
-def sums(values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(index, values, n)
+def word_table(group: pa.Table) -> pa.Table:
+    """Answers the chunks that ask one partition of the word table: a number for each word, small for frequent ones, and its count."""
+    p, both = group["p"][0].as_py(), [unsqueeze(x) for x in group["data"].to_pylist()]
+    sizes = np.array([len(x[0]) for x in both])
+    keys, counts = np.concatenate([x[0] for x in both]), np.concatenate([x[1].astype(np.int64) for x in both])
+    unique, back = np.unique(keys, return_inverse=True)
+    total = np.bincount(back, counts, len(unique)).astype(np.int64)
+    number = np.empty(len(unique), np.int64)
+    number[np.argsort(-total, kind="stable")] = np.arange(len(unique))
+    ends = np.cumsum(sizes)
+    out = [("answer", p, c, squeeze(narrow(number[back[e - n : e]]), narrow(total[back[e - n : e]]))) for c, e, n in zip(group["chunk"].to_pylist(), ends, sizes, strict=True)]
+    tally = [int((total == r).sum()) for r in range(1, K + 2)]
+    return table_of([*out, ("tally", p, -1, np.array([(total > 0).sum(), total.sum(), total[total > K].sum(), *tally], np.int64).tobytes())])
+
+
+@dataclass
+class Unigrams:
+    """Word probabilities: discounted counts; what is left, and one reserved occurrence, are the unknown word's, so they sum to one."""
+
+    words: int
+    total: int
+    d: np.ndarray
+    unknown: float
+    n_parts: int
+
+    def p(self, count: np.ndarray) -> np.ndarray:
+        """Probabilities of words of these counts."""
+        return np.where(count == 0, self.unknown, np.where(count <= K, self.d[np.minimum(count, K)], 1) * count / (self.total + 1))
 
+    @property
+    def hot(self) -> int:
+        """Contexts with more occurrences are dealt out by the next word too."""
+        return max(1, self.total // (4 * self.n_parts))
 
-STREAM = "p int, chunk long, data binary"
-PARTS = "kind string, chunk long, h long, stats array<double>, data binary"
 
+class Chunk:
+    """A chunk's tokens and distinct pairs, from its state and the answers of the word table; the same each time it is made.
 
-def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
+    Pairs are dealt to partitions by their context, those of hot contexts by both words, and lie in them by context and word.
+    """
+
+    def __init__(self, group: pa.Table, unigrams: Unigrams):
+        rows = list(zip(group["kind"].to_pylist(), group["p"].to_pylist(), group["data"].to_pylist(), strict=True))
+        meta, n_tokens, held, place, end = unsqueeze(next(x for kind, _, x in rows if kind == "state"))
+        self.ids = pa.ipc.open_stream(pa.py_buffer(meta.tobytes())).read_all()["id"]
+        answers = [(p, *unsqueeze(x)) for p, x in sorted((p, x) for kind, p, x in rows if kind == "answer")]
+        number = np.concatenate([x.astype(np.int64) * unigrams.n_parts + p for p, x, _ in answers])
+        count = np.concatenate([x.astype(np.int64) for _, _, x in answers])
+        self.n_tokens, self.held, place = n_tokens.astype(np.int64), held.astype(bool), place.astype(np.int64)
+        self.row = np.repeat(np.arange(len(held)), self.n_tokens)
+        self.token_count = count[place]
+        before = np.concatenate([end, place[:-1]])
+        before[np.cumsum(self.n_tokens) - self.n_tokens] = end[0]
+        unique, self.pair = np.unique(before * len(count) + place, return_inverse=True)
+        h, w = unique // len(count), unique % len(count)
+        self.own = np.bincount(self.pair[~self.held[self.row]], minlength=len(unique))
+        self.h, self.w, self.ch, self.cw = number[h], number[w], count[h], count[w]
+        spread = np.where(self.ch > unigrams.hot, mix(self.w.astype(np.uint64) + np.uint64(1)), np.uint64(0))
+        part = (mix(self.h.astype(np.uint64) ^ spread) % np.uint64(unigrams.n_parts)).astype(np.int64)
+        self.order = np.lexsort((self.w, self.h, part))
+        self.cuts = np.searchsorted(part[self.order], np.arange(unigrams.n_parts + 1))
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Partitions that the chunk has pairs in, and which."""
+        for q in np.flatnonzero(np.diff(self.cuts)).tolist():
+            yield q, self.order[self.cuts[q] : self.cuts[q + 1]]
+
+
+def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row, learned from rows without held_out.
 
     Tokens are words and one closing token. A bigram seen r times has d(r) r / (c(h) + 1) with Good-Turing d; every other word
     gets the context's remaining mass in proportion to its unigram probability, with the weight (1 - seen mass) / (1 - unigram
     mass of the words seen after h), so that each context sums to one; unigrams back off to one unknown word in the same way.
 
-    Words are counted in tasks and merged by ranges of their hash. Tokens travel as compressed (context, word, row) ids,
-    partitioned by context; contexts with more than a quarter of a partition are dealt over partitions by their next word, and
-    their sums are added up. The word table is broadcast only if it has at most max_words words; beyond, `katz_scores_joined`
-    does the same by joins. Null texts are empty (one closing token); an empty table gives no rows; other columns are ignored.
+    Two rounds of requests, to the word table and to the table of pairs, each a shuffle of distinct entries of chunks by
+    partition and of answers by chunk; tables and tallies of any size take the same path. Sums of contexts that are dealt over
+    partitions are added up on the driver: fewer than four a partition. Words are told apart by a hash of 64 bits. Null texts
+    are empty (one closing token), rows that repeat are learned from and scored each; an empty table gives no rows; without rows
+    to learn from all words are unknown; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    table = stored(count_words(rows, shuffle_partitions(spark)), "words")
-    first = table.agg(F.sum("words"), F.sum("total"), *(F.sum(F.col("seen")[r]) for r in range(K + 2))).first()
-    n_words, total, seen = int(first[0] or 0), int(first[1] or 0), np.array([x or 0 for x in first[2:]], float)
-    if n_words > max_words:
-        return katz_scores_joined(docs, held_out, id_col, text)
-    parts = [bytes(r.data) for r in table.orderBy("p").select("data").collect()]
-    shared = spark.sparkContext.broadcast(Vocabulary(parts, discounts(seen), total))
-    del parts
-    n_parts = max(shuffle_partitions(spark), blocks(total, PER_PARTITION))
-    hot_count = max(1, total // (4 * n_parts))
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, task = shared.value, TaskContext.get().partitionId()
-        end = vocabulary(np.array([END]))[0]
-        for i, batch in enumerate(chunked(batches)):
-            words, chunk = Words(batch.column(1)), (task << 32) | i
-            unique, back = np.unique(words.hashes, return_inverse=True)
-            ids = vocabulary(unique)[back].astype(np.uint32)
-            w, h = np.insert(ids, words.bounds[1:], end), np.insert(ids, words.bounds[:-1], end)
-            n_tokens = np.diff(words.bounds) + 1
-            row = np.repeat(np.arange(words.rows, dtype=np.uint32), n_tokens)
-            count = vocabulary.counts[w].astype(np.int64)
-            base = sums(np.log10((count + 1) / (total + n_words + 1)), row, words.rows)
-            held = np.array(batch.column(2).to_pylist(), bool)
-            meta = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_tokens, pa.int64()), pa.array(sums(count > 0, row, words.rows).astype(np.int64)), pa.array(base)], names=["id", "held", "n", "known", "base"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, meta.schema) as writer:
-                writer.write_batch(meta)
-            hot = vocabulary.counts[h] > hot_count
-            p = (mix(h.astype(np.uint64) + np.where(hot, w.astype(np.uint64) << np.uint64(32), np.uint64(0))) % np.uint64(n_parts)).astype(np.int32)
-            order = np.lexsort((w, h, p))
-            h, w, row, p = h[order], w[order], row[order], p[order]
-            cuts = np.searchsorted(p, np.arange(n_parts + 1))
-            full = [q for q in range(n_parts) if cuts[q + 1] > cuts[q]]
-            out = [squeeze(np.diff(h[a:b], prepend=np.uint32(0)), w[a:b], row[a:b] * np.uint32(2) + held[row[a:b]]) for a, b in ((cuts[q], cuts[q + 1]) for q in full)]
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - chunk % n_parts, *full], pa.int32()), pa.array([chunk] * (len(full) + 1), pa.int64()), pa.array([sink.getvalue().to_pybytes(), *out], pa.binary())], names=["p", "chunk", "data"])
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
+    id_type = dict(rows.dtypes)["id"]
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n_parts = max(shuffle_partitions(spark), blocks(size, BYTES_PER_PARTITION))
+    chunks = stored(read_chunks(rows, n_parts, chunk_bytes), "chunks")
+    words = stored(chunks.filter("kind = 'words'").groupBy("p").applyInArrow(word_table, ROWS), "words")
+    tally = sum((np.frombuffer(r.data, np.int64).astype(object) for r in words.filter("kind = 'tally'").select("data").collect()), np.zeros(K + 4, object))
+    d = discounts(np.array([0, *tally[3:]], float))
+    total = int(tally[1])
+    unigrams = Unigrams(int(tally[0]), total, d, 1 - (float(tally[2]) + float(np.array(tally[3 : 3 + K], float) @ (d[1:] * np.arange(1, K + 1)))) / (total + 1), n_parts)
+
+    def ask(group: pa.Table) -> pa.Table:
+        chunk, out = Chunk(group, unigrams), []
+        for q, at in chunk.parts():
+            heads = heads_of(chunk.h[at])
+            word, place = np.unique(chunk.w[at], return_inverse=True)
+            first = np.zeros(len(word), np.int64)
+            first[place] = chunk.cw[at]
+            out.append(("pairs", q, group["chunk"][0].as_py(), squeeze(narrow(chunk.h[at][heads]), narrow(chunk.ch[at][heads]), narrow(np.diff(np.append(heads, len(at)))), narrow(word), narrow(first), narrow(place), narrow(chunk.own[at]))))
+        return table_of(out)
 
     def count(group: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"kind": [], "chunk": [], "h": [], "stats": [], "data": []}
-
-        def emit(kind, chunk=None, h=None, stats=None, data=None):
-            for column, cell in zip(out.values(), (kind, chunk, h, stats, data), strict=True):
-                column.append(cell)
-
-        if group["p"][0].as_py() < 0:
-            for chunk, data in zip(group["chunk"].to_pylist(), group["data"].to_pylist(), strict=True):
-                emit("rows", chunk, data=data)
-        else:
-            vocabulary = shared.value
-            chunks = group["chunk"].to_pylist()
-            keys, tags = [], []
-            for i, data in enumerate(group["data"].to_pylist()):
-                dh, w, tag = unsqueeze(data)
-                keys.append((np.cumsum(dh, dtype=np.uint32).astype(np.uint64) << np.uint64(32)) | w)
-                tags.append((np.uint64(i) << np.uint64(32)) | tag.astype(np.uint64))
-            key, tag = np.concatenate(keys), np.concatenate(tags)
-            del keys, tags
-            order = np.argsort(key, kind="stable")
-            key, tag = key[order], tag[order]
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            c = np.add.reduceat((tag & np.uint64(1)) == 0, starts, dtype=np.int64)
-            types = key[starts]
-            h, w = (types >> np.uint64(32)).astype(np.int64), (types & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            known = c > 0
-            heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            stats = np.stack([np.add.reduceat(known & (c == r), heads, dtype=np.int64) for r in range(1, K + 1)] + [np.add.reduceat(np.where(c > K, c, 0), heads), np.add.reduceat(np.where(known, vocabulary.p(w), 0), heads), vocabulary.counts[h[heads]]], axis=1).astype(float)
-            emit("seen", stats=[float((c == r).sum()) for r in range(K + 2)])
-            hot = vocabulary.counts[h[heads]] > hot_count
-            for i in np.flatnonzero(hot):
-                emit("hot", h=int(h[heads[i]]), stats=stats[i].tolist())
-            length = np.diff(np.append(starts, len(key)))
-            per = np.repeat(np.arange(len(starts)), length)
-            del key
-            row, chunk_at, entry_c = ((tag & np.uint64(0xFFFFFFFF)) >> np.uint64(1)).astype(np.int64), (tag >> np.uint64(32)).astype(np.int64), c[per]
-            log = np.where(known, np.log10(np.maximum(c, 1) / (vocabulary.counts[h].astype(np.int64) + 1)), np.log10(vocabulary.p(w)))[per]
-            by_chunk = np.argsort(chunk_at, kind="stable")
-            cuts = np.searchsorted(chunk_at[by_chunk], np.arange(len(chunks) + 1))
-            for i, chunk in enumerate(chunks):
-                at = by_chunk[cuts[i] : cuts[i + 1]]
-                r, rows_in = row[at], int(row[at].max()) + 1
-                used = np.unique(r)
-                emit("part", chunk, data=squeeze(used.astype(np.uint32), sums(log[at], r, rows_in)[used], *(sums(entry_c[at] == k, r, rows_in)[used].astype(np.uint32) for k in range(1, K + 1))))
-            new = np.flatnonzero(entry_c == 0)
-            context = np.cumsum(np.isin(np.arange(len(h)), heads))[per][new] - 1
-            used, context = np.unique(context, return_inverse=True)
-            emit("open", data=squeeze(h[heads][used], *stats[used].T, context.astype(np.uint32), chunk_at[new].astype(np.uint32), row[new].astype(np.uint32), np.array(chunks, np.int64)))
-        types_ = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.binary()]
-        return pa.table([pa.array(x, t) for x, t in zip(out.values(), types_, strict=True)], names=list(out))
-
-    counted = stored(rows.mapInArrow(stream, STREAM).groupBy("p").applyInArrow(count, PARTS), "bigrams")
-    shared.unpersist()  # what follows needs no words; the driver keeps them for partitions that are computed again
-    got = counted.filter("kind = 'seen'").agg(*(F.sum(F.col("stats")[r]) for r in range(K + 2))).first()
-    d = discounts(np.array([x or 0 for x in got]))
-    hot = {r.h: np.array(r[1:]) for r in counted.filter("kind = 'hot'").groupBy("h").agg(*(F.sum(F.col("stats")[i]) for i in range(K + 2)), F.max(F.col("stats")[K + 2])).collect()}
-
-    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, chunks_, out = group["p"][0].as_py(), group["chunk"].to_pylist(), []
+        fields = []
+        for data in group["data"].to_pylist():
+            h, ch, n, word, cw, place, own = unsqueeze(data)
+            of = np.repeat(np.arange(len(h)), n)
+            fields.append((h.astype(np.int64)[of], ch.astype(np.int64)[of], of, word.astype(np.int64)[place], cw.astype(np.int64)[place], own.astype(np.int64)))
+        sizes = np.array([len(x[0]) for x in fields])
+        h, ch, of, w, cw, own = (np.concatenate(x) for x in zip(*fields, strict=True))
+        del fields
+        order = np.lexsort((w, h))
+        h, w = h[order], w[order]
+        starts = heads_of(h, w)
+        c = np.add.reduceat(own[order], starts)
+        per = np.empty(len(h), np.int64)
+        per[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
+        h, ch, cw = h[starts], ch[order][starts], cw[order][starts]
+        del w, own
+        heads = heads_of(h)
+        stats = np.stack([np.add.reduceat(c == r, heads, dtype=np.int64) for r in range(1, K + 1)] + [np.add.reduceat(np.where(c > K, c, 0), heads), np.add.reduceat(np.where(c > 0, unigrams.p(cw), 0), heads), ch[heads]], axis=1).astype(float)
+        out.append(("tally", q, -1, np.array([(c == r).sum() for r in range(1, K + 2)], np.int64).tobytes()))
+        hot = np.flatnonzero(ch[heads] > unigrams.hot)
+        if len(hot):
+            out.append(("hot", q, -1, squeeze(h[heads][hot], *stats[hot].T)))
+        context = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(h))))
+        ends = np.cumsum(sizes)
+        opened = []
+        for i, (e, n) in enumerate(zip(ends, sizes, strict=True)):
+            found = c[per[e - n : e]]
+            out.append(("counts", q, chunks_[i], squeeze(narrow(found))))
+            none = np.flatnonzero(found == 0)
+            place, first = np.unique(of[e - n : e][none], return_index=True)
+            opened.append((np.full(len(place), i), place, context[per[e - n : e][none[first]]]))
+        at, place, context = (np.concatenate(x) for x in zip(*opened, strict=True))
+        used, context = np.unique(context, return_inverse=True)
+        out.append(("open", q, -1, squeeze(h[heads][used], *stats[used].T, narrow(at), narrow(place), narrow(context), np.array(chunks_, np.int64))))
+        release()
+        return table_of(out)
+
+    known = chunks.filter("kind = 'state'").unionByName(words.filter("kind = 'answer'"))
+    counted = stored(known.groupBy("chunk").applyInArrow(ask, ROWS).groupBy("p").applyInArrow(count, ROWS), "pairs")
+    tally2 = sum((np.frombuffer(r.data, np.int64) for r in counted.filter("kind = 'tally'").select("data").collect()), np.zeros(K + 1, np.int64))
+    d2 = discounts(np.array([0, *tally2], float))
+    hot: dict[int, np.ndarray] = {}
+    for r in counted.filter("kind = 'hot'").select("data").collect():
+        h, *stats = unsqueeze(bytes(r.data))
+        for word, row in zip(h.tolist(), np.stack(stats, axis=1), strict=True):
+            hot[word] = np.append(hot[word][:-1] + row[:-1], row[-1]) if word in hot else row
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("data").to_pylist():
-                h, *stats, context, chunk_at, row, chunks = unsqueeze(data)
+            for q, data in zip(batch.column("p").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                h, *stats, at, place, context, chunks_ = unsqueeze(data)
                 stats = np.stack(stats, axis=1)
                 for i, word in enumerate(h.tolist()):
                     if word in hot:
                         stats[i] = hot[word]
-                mass = stats[:, :K] @ (d[1:] * np.arange(1, K + 1)) + stats[:, K]
+                mass = stats[:, :K] @ (d2[1:] * np.arange(1, K + 1)) + stats[:, K]
                 alpha = np.log10((1 - mass / (stats[:, K + 2] + 1)) / np.maximum(1 - stats[:, K + 1], 1e-300))
-                out = []
-                order = np.argsort(chunk_at, kind="stable")
-                cuts = np.searchsorted(chunk_at[order], np.arange(len(chunks) + 1))
-                for i in np.flatnonzero(np.diff(cuts)):
-                    at = order[cuts[i] : cuts[i + 1]]
-                    used, back = np.unique(row[at], return_inverse=True)
-                    out.append((int(chunks[i]), squeeze(used, sums(alpha[context[at]], back, len(used)))))
-                yield pa.RecordBatch.from_arrays([pa.array(["weight"] * len(out)), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["kind", "chunk", "data"])
-
-    opens = counted.filter("kind = 'open'").select("data").mapInArrow(weights, "kind string, chunk long, data binary")
-    id_type = dict(rows.dtypes)["id"]
-    log_d = np.log10(d[1:])
+                cuts = np.searchsorted(at, np.arange(len(chunks_) + 1))
+                out = [("weights", q, int(chunks_[i]), squeeze(place[a:b], alpha[context[a:b]])) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+                yield from table_of(out).to_batches()
 
     def gather(group: pa.Table) -> pa.Table:
-        by = defaultdict(list)
-        for kind, data in zip(group["kind"].to_pylist(), group["data"].to_pylist(), strict=True):
-            by[kind].append(data)
-        meta = pa.ipc.open_stream(by["rows"][0]).read_all()
-        score = np.zeros(meta.num_rows)
-        for data in sorted(by["part"]):
-            used, log, *rare = unsqueeze(data)
-            score[used] += log + np.stack(rare, axis=1) @ log_d
-        for data in sorted(by["weight"]):
-            used, log = unsqueeze(data)
-            score[used] += log
-        return pa.table([meta["id"], meta["held"], meta["n"], meta["known"], pa.array(np.full(len(score), total), pa.int64()), meta["base"], pa.array(score)], names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    all_parts = counted.filter("kind in ('rows', 'part')").select("kind", "chunk", "data").unionByName(opens)
-    return all_parts.groupBy("chunk").applyInArrow(gather, f"{id_col} {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def katz_scores_joined(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same rows as katz_scores for a vocabulary of any size: token rows and n-gram tables meet in equi-joins only."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    id_type = dict(rows.dtypes)["id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        for i, batch in enumerate(chunked(batches)):
-            words = Words(batch.column(1))
-            w = np.insert(words.hashes, words.bounds[1:], END).view(np.int64)
-            h = np.insert(words.hashes, words.bounds[:-1], END).view(np.int64)
-            row = np.repeat(np.arange(words.rows), np.diff(words.bounds) + 1)
-            key = np.char.add(f"{task}-{i}-", row.astype(str))
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array(h), pa.array(w)], names=["row", "id", "held", "h", "w"])
-
-    tokens = stored(rows.mapInArrow(run, f"row string, id {id_type}, held boolean, h long, w long"), "tokens")
-    train = tokens.filter(~F.col("held"))
-    unigrams = stored(train.groupBy("w").agg(F.count(F.lit(1)).alias("c")), "words")
-    bigrams = stored(train.groupBy("h", "w").agg(F.count(F.lit(1)).alias("c")), "bigrams")
-    tally = lambda t: np.array([0, *(x or 0 for x in t.agg(*(F.sum((F.col("c") == r).cast("long")) for r in range(1, K + 2))).first())], float)
-    first = unigrams.agg(F.count(F.lit(1)), F.sum("c")).first()
-    n_words, total = int(first[0]), int(first[1] or 0)
-
-    def discounted(c, d: np.ndarray):
-        out = c.cast("double")
-        for r in range(1, K + 1):
-            out = F.when(c == r, float(d[r] * r)).otherwise(out)
-        return out
-
-    d1, d2 = discounts(tally(unigrams)), discounts(tally(bigrams))
-    unigrams = unigrams.withColumn("p", discounted(F.col("c"), d1) / (total + 1))
-    unknown = 1 - float(unigrams.agg(F.sum("p")).first()[0] or 0)
-    of_word = unigrams.select("w", F.col("c").alias("cw"), "p")
-    contexts = bigrams.join(of_word, "w").groupBy("h").agg(F.sum("c").alias("ch"), F.sum(discounted(F.col("c"), d2)).alias("mass"), F.sum("p").alias("sp"))
-    contexts = contexts.withColumn("alpha", F.log10((1 - F.col("mass") / (F.col("ch") + 1)) / F.greatest(1 - F.col("sp"), F.lit(1e-300))))
-    seen = bigrams.select("h", "w", F.col("c").alias("chw"))
-    joined = tokens.join(of_word, "w", "left").join(contexts, "h", "left").join(seen, ["h", "w"], "left")
-    log = F.when(F.col("chw").isNotNull(), F.log10(discounted(F.col("chw"), d2) / (F.col("ch") + 1))).otherwise(F.coalesce("alpha", F.lit(0.0)) + F.log10(F.coalesce("p", F.lit(unknown))))
-    out = joined.groupBy("row").agg(
-        F.first("id").alias(id_col), F.first("held").alias("held_out"), F.count(F.lit(1)).alias("n_tokens"), F.count("cw").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        F.sum(F.log10((F.coalesce("cw", F.lit(0)) + 1) / F.lit(float(total + n_words + 1)))).alias("base_score"), F.sum(log).alias("score"),
-    )
-    return out.drop("row")
+        chunk = Chunk(group, unigrams)
+        found = {(kind, p): data for kind, p, data in zip(group["kind"].to_pylist(), group["p"].to_pylist(), group["data"].to_pylist(), strict=True)}
+        c, alpha = np.zeros(len(chunk.h), np.int64), np.zeros(len(chunk.h))
+        for q, at in chunk.parts():
+            c[at] = unsqueeze(found["counts", q])[0]
+            if ("weights", q) in found:
+                place, weight = unsqueeze(found["weights", q])
+                heads = heads_of(chunk.h[at])
+                of_head = np.zeros(len(heads))
+                of_head[place] = weight
+                alpha[at] = np.repeat(of_head, np.diff(np.append(heads, len(at))))
+        seen = np.log10(np.maximum(np.where(c <= K, d2[np.minimum(c, K)], 1) * c, 1e-300) / (chunk.ch + 1))
+        log = np.where(c > 0, seen, alpha + np.log10(unigrams.p(chunk.cw)))
+        n = len(chunk.held)
+        base = sums(np.log10((chunk.token_count + 1) / (unigrams.total + unigrams.words + 1)), chunk.row, n)
+        return pa.table(
+            [chunk.ids, pa.array(chunk.held), pa.array(chunk.n_tokens), pa.array(sums(chunk.token_count > 0, chunk.row, n).astype(np.int64)), pa.array(np.full(n, unigrams.total)), pa.array(base), pa.array(sums(log[chunk.pair], chunk.row, n))],
+            names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    weights = counted.filter("kind = 'open'").mapInArrow(weigh, ROWS)
+    answers = known.unionByName(counted.filter("kind = 'counts'")).unionByName(weights)
+    return answers.groupBy("chunk").applyInArrow(gather, f"{id_col} {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -557,10 +557,13 @@ def brute_scores(rows):
     return out
 
 
-@pytest.mark.parametrize("scores", [lm.katz_scores, lm.katz_scores_joined])
-def test_scores_equal_brute_force(spark, scores):
-    rows = [(i, prose(rnd.randrange(0, 80))) for i in range(60)] + [r for r in ODD if r[0] != 8]
-    got = scores(frame(spark, rows), langid.fold("doc_id", 7) == 2).collect()
+@pytest.mark.parametrize("size", [1 << 21, 700])
+def test_scores_equal_brute_force(spark, monkeypatch, size):
+    """In one chunk and partition a task, and in many of both, with hot contexts dealt out."""
+    if size == 700:
+        monkeypatch.setattr(lm, "BYTES_PER_PARTITION", 900)
+    rows = [(i, prose(rnd.randrange(0, 80)) + " The the" * (i % 4)) for i in range(60)] + [r for r in ODD if r[0] != 8]
+    got = lm.katz_scores(frame(spark, rows), langid.fold("doc_id", 7) == 2, chunk_bytes=size).collect()
     assert collections.Counter((*tuple(r)[:5], round(r.base_score, 5), round(r.score, 5)) for r in got) == brute_scores(rows)
 
 
@@ -570,10 +573,13 @@ def test_scores_without_training_rows(odd, none):
     assert lm.katz_scores(none, F.lit(False)).count() == 0
 
 
-def test_a_large_vocabulary_is_joined(spark):
-    df = frame(spark, [(i, prose(20)) for i in range(20)])
-    few, many = (sorted((r.doc_id, round(r.score, 6)) for r in lm.katz_scores(df, langid.fold("doc_id", 7) == 2, max_words=m).collect()) for m in (1, 1 << 20))
-    assert few == many
+def test_words_of_one_polynomial_hash_are_two(spark):
+    pair = thue_morse(1024)
+    rows = [(i, pair[i % 2] + " x") for i in range(30)]
+    got = lm.katz_scores(frame(spark, rows), langid.fold("doc_id", 7) == 2).collect()
+    assert collections.Counter((*tuple(r)[:5], round(r.base_score, 5), round(r.score, 5)) for r in got) == brute_scores(rows)
+    near = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows), 3, 85, 100).collect()}
+    assert near == {i: i % 2 for i, _ in rows}
 
 
 # Decontamination
