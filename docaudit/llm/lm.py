@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.llm.storage import blocks, shuffle_partitions, stored
+from docaudit.llm.storage import blocks, discard, shuffle_partitions, stored
 from docaudit.llm.textops import CHUNK_BYTES, Words, chunked, mix, release
 
 #: Good-Turing counts up to K are discounted. Bytes of text to a partition of the tables.
@@ -252,7 +252,11 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "
         release()
         return table_of(out)
 
-    known = chunks.filter("kind = 'state'").unionByName(words.filter("kind = 'answer'"))
+    # dealt by chunk once; both rounds read it there, and what it was made from goes
+    both = chunks.filter("kind = 'state'").unionByName(words.filter("kind = 'answer'"))
+    known = stored(both.repartition(shuffle_partitions(spark), "chunk"), "known")
+    discard(chunks)
+    discard(words)
     counted = stored(known.groupBy("chunk").applyInArrow(ask, ROWS).groupBy("p").applyInArrow(count, ROWS), "pairs")
     tally2 = sum((np.frombuffer(r.data, np.int64) for r in counted.filter("kind = 'tally'").select("data").collect()), np.zeros(K + 1, np.int64))
     d2 = discounts(np.array([0, *tally2], float))
@@ -276,9 +280,9 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "
                 out = [("weights", q, int(chunks_[i]), squeeze(place[a:b], alpha[context[a:b]])) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
                 yield from table_of(out).to_batches()
 
-    def gather(group: pa.Table) -> pa.Table:
-        chunk = Chunk(group, unigrams)
-        found = {(kind, p): data for kind, p, data in zip(group["kind"].to_pylist(), group["p"].to_pylist(), group["data"].to_pylist(), strict=True)}
+    def gather(own: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk = Chunk(own, unigrams)
+        found = {(kind, p): data for kind, p, data in zip(answers["kind"].to_pylist(), answers["p"].to_pylist(), answers["data"].to_pylist(), strict=True)}
         c, alpha = np.zeros(len(chunk.h), np.int64), np.zeros(len(chunk.h))
         for q, at in chunk.parts():
             c[at] = unsqueeze(found["counts", q])[0]
@@ -298,5 +302,6 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "
         )
 
     weights = counted.filter("kind = 'open'").mapInArrow(weigh, ROWS)
-    answers = known.unionByName(counted.filter("kind = 'counts'")).unionByName(weights)
-    return answers.groupBy("chunk").applyInArrow(gather, f"{id_col} {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    answers = counted.filter("kind = 'counts'").unionByName(weights)
+    schema = f"{id_col} {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return known.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(gather, schema)
