@@ -187,7 +187,7 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "
 
     Two rounds of requests, to the word table and to the table of pairs, each a shuffle of distinct entries of chunks by
     partition and of answers by chunk; tables and tallies of any size take the same path. Sums of contexts that are dealt over
-    partitions are added up on the driver: fewer than four a partition. Words are told apart by a hash of 64 bits. Null texts
+    partitions are added up, and go to all tasks: fewer than four a partition. Words are told apart by a hash of 64 bits. Null texts
     are empty (one closing token), rows that repeat are learned from and scored each; an empty table gives no rows; without rows
     to learn from all words are unknown; other columns are ignored.
     """
@@ -260,11 +260,16 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "
     counted = stored(known.groupBy("chunk").applyInArrow(ask, ROWS).groupBy("p").applyInArrow(count, ROWS), "pairs")
     tally2 = sum((np.frombuffer(r.data, np.int64) for r in counted.filter("kind = 'tally'").select("data").collect()), np.zeros(K + 1, np.int64))
     d2 = discounts(np.array([0, *tally2], float))
-    hot: dict[int, np.ndarray] = {}
-    for r in counted.filter("kind = 'hot'").select("data").collect():
-        h, *stats = unsqueeze(bytes(r.data))
-        for word, row in zip(h.tolist(), np.stack(stats, axis=1), strict=True):
-            hot[word] = np.append(hot[word][:-1] + row[:-1], row[-1]) if word in hot else row
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                h, *stats = unsqueeze(data)
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(list(np.stack(stats, axis=1)), pa.list_(pa.float64()))], names=["h", "stats"])
+
+    parts = counted.filter("kind = 'hot'").mapInArrow(unpacked, "h long, stats array<double>")
+    summed = parts.groupBy("h").agg(*(F.sum(F.col("stats")[i]) for i in range(K + 2)), F.max(F.col("stats")[K + 2]))
+    hot = {r.h: np.array(r[1:]) for r in summed.collect()}
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
