@@ -48,16 +48,18 @@ def length_classes(edits: int | Sequence[tuple[int, int]]) -> list[tuple[int, in
 def probe_keys(lines: DataFrame, classes: list[tuple[int, int, int]]) -> DataFrame:
     """h, key: hashes of (class, segment, indexed length, substring) of every line. A line probes the classes of all lines that it can
     be the longer one of a pair with, each only at the lengths of its class."""
-    length, none, wanted = F.col("chars"), F.filter(F.array(F.lit(0).cast("long")), lambda x: F.lit(False)), []
+    length, none, wanted = F.col("chars"), F.array().cast("array<bigint>"), []
     for c, (lo, hi, e) in enumerate(classes):
         keys = []
         for d, i, shift in probes(e):
             indexed = length - d
             start, size = segment(indexed, F.lit(i), F.lit(e + 1))
             key = F.xxhash64(F.lit(c), F.lit(i), indexed, F.col("line").substr(start + shift, size))
-            keys.append(F.when((indexed >= lo) & (indexed < hi), key))
-        wanted.append(F.when((length >= lo) & (length < hi + e), F.array(*keys)).otherwise(none))
-    return lines.select("h", F.explode_outer(F.concat(*wanted)).alias("key")).filter("key is not null")
+            keys.append(key if len(classes) == 1 else F.when((indexed >= lo) & (indexed < hi), key))
+        wanted.append(F.array(*keys) if len(classes) == 1 else F.when((length >= lo) & (length < hi + e), F.array(*keys)).otherwise(none))
+    # a single class also probes lengths below its own, which no line has
+    own = lines.filter(length >= classes[0][0])
+    return own.select("h", F.explode_outer(wanted[0] if len(wanted) == 1 else F.concat(*wanted)).alias("key")).filter("key is not null")
 
 
 def least_chars(edits: int) -> int:
