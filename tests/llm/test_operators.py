@@ -1,5 +1,6 @@
 """The training-data operators against brute force, and on odd rows."""
 
+import functools
 import base64
 import collections
 import hashlib
@@ -567,6 +568,67 @@ def test_scores_equal_brute_force(spark, monkeypatch, size):
     assert collections.Counter((*tuple(r)[:5], round(r.base_score, 5), round(r.score, 5)) for r in got) == brute_scores(rows)
 
 
+def brute_orders(rows, order):
+    """(id, score) by Katz backoff of any order, evaluated recursively; each context is checked to sum to one."""
+    held = lambda i: zlib.crc32((str(i) if i is not None else "").encode()) % 7 == 2
+    grams, contexts = collections.defaultdict(collections.Counter), collections.Counter()
+    history = lambda w, i, n: tuple((["\0", *w])[max(0, i + 2 - n) : i + 1])
+    for i, x in rows:
+        if not held(i):
+            w = [*words(x), "\0"]
+            for j, t in enumerate(w):
+                for n in range(1, min(order, j + 2) + 1):
+                    h = history(w, j, n)
+                    grams[n][h, t] += 1
+                    contexts[h] += 1
+    total = contexts[()]
+    tally = lambda n: np.array([0] + [sum(v == r for v in grams[n].values()) for r in range(1, lm.K + 2)], float)
+    d = {n: lm.discounts(tally(n)) for n in range(1, order + 1)}
+    cut = lambda n, c: (d[n][c] if c <= lm.K else 1) * c
+    after = collections.defaultdict(list)
+    for n in grams:
+        for h, t in grams[n]:
+            after[h].append(t)
+    unknown = 1 - sum(cut(1, grams[1][(), t]) / (total + 1) for t in after[()])
+
+    @functools.cache
+    def alpha(h):
+        n = len(h) + 1
+        return (1 - sum(cut(n, grams[n][h, t]) for t in after[h]) / (contexts[h] + 1)) / (1 - sum(p(h[1:], t) for t in after[h])) if contexts[h] else 1.0
+
+    @functools.cache
+    def p(h, t):
+        n = len(h) + 1
+        if grams[n].get((h, t)):
+            return cut(n, grams[n][h, t]) / (contexts[h] + 1)
+        return alpha(h) * p(h[1:], t) if h else unknown
+
+    for h in [x for x in contexts if x][:: max(1, len(contexts) // 40)]:
+        assert abs(sum(p(h, t) for t in after[()]) + p(h, "never seen") - 1) < 1e-9
+    out = collections.Counter()
+    for i, x in rows:
+        w = [*words(x), "\0"]
+        out[i, round(sum(math.log10(p(history(w, j, min(order, j + 2)), t)) for j, t in enumerate(w)), 5)] += 1
+    return out
+
+
+@pytest.mark.parametrize(("order", "size"), [(1, 700), (2, 700), (3, 1 << 21), (3, 700), (4, 700)])
+def test_scores_of_any_order_equal_brute_force(spark, monkeypatch, order, size):
+    """Few words, so that contexts of all lengths occur in several chunks and hot ones are dealt out."""
+    if size == 700:
+        monkeypatch.setattr(lm, "BYTES_PER_PARTITION", 900)
+    few = lambda n: " ".join(rnd.choice("a b c d the of The".split()) for _ in range(n))
+    some = [few(rnd.randrange(0, 60)) + " " + prose(rnd.randrange(0, 8)) for _ in range(80)]
+    rows = [(i, some[i % 70] + " the end" * (i % 4)) for i in range(90)] + [r for r in ODD if r[0] != 8]
+    got = lm.katz_scores(frame(spark, rows), langid.fold("doc_id", 7) == 2, chunk_bytes=size, order=order).collect()
+    assert collections.Counter((r.doc_id, round(r.score, 5)) for r in got) == brute_orders(rows, order)
+
+
+def test_order_below_one_is_refused(none):
+    with pytest.raises(ValueError):
+        lm.katz_scores(none, F.lit(False), order=0)
+
+
 def test_scores_without_training_rows(odd, none):
     got = lm.katz_scores(odd, F.lit(True)).collect()
     assert len(got) == len(ODD) and all(r.n_known == 0 and math.isfinite(r.score) for r in got)
