@@ -202,7 +202,7 @@ class Chunk:
 
     def __init__(self, rows: list[pa.Table], unigrams: Unigrams, order: int):
         self.found, self.unigrams = {}, unigrams
-        for t in rows:
+        for t in (x for x in rows if x.num_rows):  # a chunk without answers has a table without columns
             self.found |= {(kind, p): x for kind, p, x in zip(t["kind"].to_pylist(), t["p"].to_pylist(), t["data"].to_pylist(), strict=True)}
         meta, n_tokens, held, place, end = unsqueeze(self.found["state", -1])
         self.ids = pa.ipc.open_stream(pa.py_buffer(meta.tobytes())).read_all()["id"]

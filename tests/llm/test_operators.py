@@ -624,6 +624,14 @@ def test_scores_of_any_order_equal_brute_force(spark, monkeypatch, order, size):
     assert collections.Counter((r.doc_id, round(r.score, 5)) for r in got) == brute_orders(rows, order)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_of_one_chunk(spark, order):
+    """Nothing is shared between chunks, so the tables are asked for nothing."""
+    rows = [(i, prose(20) + " the end") for i in range(12)] + [(30, None), (31, "")]
+    got = lm.katz_scores(frame(spark, rows).coalesce(1), langid.fold("doc_id", 7) == 2, order=order).collect()
+    assert collections.Counter((r.doc_id, round(r.score, 5)) for r in got) == brute_orders(rows, order)
+
+
 def test_order_below_one_is_refused(none):
     with pytest.raises(ValueError):
         lm.katz_scores(none, F.lit(False), order=0)
