@@ -19,7 +19,7 @@ BREAKS = np.zeros(256, bool)
 BREAKS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 BETWEEN = BREAKS.copy()
 BETWEEN[[0x20, 0x09]] = True
-CHUNK = 1 << 23
+CHUNK = 1 << 21
 #: Bits of the table that n-grams are sifted by: 8 MB, whatever the corpus.
 FILTER_BITS = 26
 #: Buckets that are ranked together in a round of ranking.
@@ -31,12 +31,12 @@ def _language_hash(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
 
 
-def _places(words: list[np.ndarray], language: np.ndarray) -> np.ndarray:
-    """The place in the filter of n-grams given by the hashes of their words and of their language."""
+def _places(words: list[np.ndarray], language: np.ndarray, bits: int) -> np.ndarray:
+    """The place in a filter of 2**bits of n-grams given by the hashes of their words and of their language."""
     total = language.copy()
     for j, h in enumerate(words):
         total += h * _PLACE[j]
-    return (mix(total) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (mix(total) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -75,7 +75,7 @@ class Chunk:
         if known is not None and len(first):
             for shift in (0, 1):
                 hashes = [w.hashes[first + shift + j] for j in range(size - 1)]
-                place = _places(hashes, self.language_hash[first])
+                place = _places(hashes, self.language_hash[first], (8 * len(known)).bit_length() - 1)
                 first = first[(known[place >> 3] >> (place & 7)) & 1 == 1]
         if not len(first):
             return first, first
@@ -112,8 +112,8 @@ def exploded(docs: DataFrame, sizes: list[int], known=None) -> DataFrame:
                 if size == 1 and len(names):
                     own = np.bincount(chunk.lang, minlength=len(names))
                     yield pa.RecordBatch.from_arrays([names, pa.array(np.zeros(len(names), np.int32)), pa.array([""] * len(names)), pa.array(own.astype(np.int64))], names=["lang", "size", "phrase", "f"])
-                for at in range(0, len(first), 1 << 18):
-                    some = slice(at, at + (1 << 18))
+                for at in range(0, len(first), 1 << 16):
+                    some = slice(at, at + (1 << 16))
                     begin = first[some]
                     yield pa.RecordBatch.from_arrays(
                         [names.take(pa.array(chunk.lang[begin])), pa.array(np.full(len(begin), size, np.int32)), chunk.strings(begin, size).cast(pa.string()), pa.array(times[some].astype(np.int64))], names=["lang", "size", "phrase", "f"]
@@ -124,6 +124,7 @@ def exploded(docs: DataFrame, sizes: list[int], known=None) -> DataFrame:
 
 def filter_of(grams: DataFrame, size: int) -> bytes:
     """A table of 2**FILTER_BITS bits in which those of all these n-grams are set; its size does not depend on theirs."""
+    bits = FILTER_BITS
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,11 +132,11 @@ def filter_of(grams: DataFrame, size: int) -> bytes:
                 h = Words(batch.column("phrase"), space=BETWEEN).hashes.reshape(-1, size)
                 coded = batch.column("lang").dictionary_encode()
                 languages = np.array([_language_hash(x) for x in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy()]
-                yield pa.RecordBatch.from_arrays([pa.array(_places(list(h.T), languages) + 1)], names=["place"])
+                yield pa.RecordBatch.from_arrays([pa.array(_places(list(h.T), languages, bits) + 1)], names=["place"])
 
     found = grams.filter(F.col("size") == size).select("lang", "phrase").mapInArrow(places, "place long")
     parts = found.groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()
-    table = bytearray(1 << (FILTER_BITS - 3))
+    table = bytearray(1 << (bits - 3))
     for r in parts:
         table[(r.part - 1) * 4096 : r.part * 4096] = r.bits
     return bytes(table)
