@@ -57,16 +57,17 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 @dataclass
 class Totals:
-    """Of all items with words: in how many of them each word is, their number, and that of their words."""
+    """Of all items with words: in how many of them each word is, their number, that of their words, and the words of the longest."""
 
     terms: np.ndarray
     df: np.ndarray
     items: int
     words: int
+    longest: int
 
     @classmethod
     def of(cls, parts: Iterable[list[tuple]]) -> Totals:
-        out = cls(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0)
+        out = cls(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0, 0)
         for rows in parts:
             words = [w for w in hashes_of([t for _, t in rows]) if len(w)]
             terms, df = np.unique(np.concatenate([np.unique(w) for w in words]) if words else np.zeros(0, np.uint64), return_counts=True)
@@ -74,7 +75,7 @@ class Totals:
             total = np.zeros(len(merged), np.int64)
             total[np.searchsorted(merged, out.terms)] += out.df
             total[np.searchsorted(merged, terms)] += df
-            out = cls(merged, total, out.items + len(words), out.words + sum(map(len, words)))
+            out = cls(merged, total, out.items + len(words), out.words + sum(map(len, words)), max([out.longest, *map(len, words)]))
         return out
 
 
@@ -133,7 +134,7 @@ class Index:
         return cls(
             terms, [i for i, _ in rows], [grams(w, GRAM) for w in hashes_of([q for q, _ in parts])], [grams(w, GRAM) for w in hashes_of([a for _, a in parts])],
             np.searchsorted(term[heads], np.arange(len(terms) + 1)), item[heads] // ITEMS_PER_BLOCK, np.maximum.reduceat(impact, heads) if len(heads) else impact,
-            np.searchsorted(term, np.arange(len(terms) + 1)), item, impact, max([LEAST_STRIDE, *map(len, words)]),
+            np.searchsorted(term, np.arange(len(terms) + 1)), item, impact, max(LEAST_STRIDE, totals.longest),
         )
 
     def matches(self, words: Words) -> dict[int, dict[int, tuple[float, float, float]]]:

@@ -258,6 +258,18 @@ def linked_members(members: DataFrame, num: int, den: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, th (hash of the text), n_shingles, component_id (least id that is reachable) and kept (the id is its component's) of every row.
 
+    All rows of a component's least id are kept, if their texts differ too. Of rows without an id those are kept that are first in their
+    component.
+
+    See components_of for what is linked.
+    """
+    out = components_of(docs, size, num, den, id_col, text)
+    return out.select(id_col, "th", "n_shingles", "component_id", F.when(F.col(id_col).isNull(), F.col("leads")).otherwise(F.col(id_col) == F.col("component_id")).alias("kept"))
+
+
+def components_of(docs: DataFrame, size: int, num: int, den: int, id_col: str, text: str) -> DataFrame:
+    """id, th, n_shingles, component_id and leads (the row has the id and the text of its component's first row) of every row.
+
     Two texts are linked if their sets of distinct `size`-word shingles (A-Z lower-cased) have a Jaccard similarity of num/den or
     more; a text with fewer words is one shingle; null texts and texts without words are linked with nothing. Rows with equal
     sets become one class first, so copies cost nothing further. Classes meet in buckets of ROWS minima; the number of bands
@@ -292,16 +304,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     named = materialize(of_node, "named")
     out = rows.select(id_col, "th", "n_shingles", "digest").join(named.hint("merge"), "digest", "left").withColumn("component_id", F.coalesce("first.at", id_col))
     first = F.col("first").isNull() | (F.col(id_col).eqNullSafe(F.col("first.at")) & (F.col("th") == F.col("first.th")))
-    return out.select(id_col, "th", "n_shingles", "component_id", first.alias("kept"))
+    return out.select(id_col, "th", "n_shingles", "component_id", first.alias("leads"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that near_duplicates keeps, one of each component; of rows equal in id and text one stays.
+    """The row of docs that leads its component, one of each; of rows equal in id and text one stays.
 
     Of the latter it is the one whose other columns come first as JSON. Other columns may have any names.
     """
     names = {n: free_name(docs, n) for n in ("own", "fate_id", "fate_th", "n", "place")}
-    found = near_duplicates(docs, size, num, den, id_col, text)
+    found = components_of(docs, size, num, den, id_col, text).withColumnRenamed("leads", "kept")
     fates = found.groupBy(F.col(id_col).alias(names["fate_id"]), F.col("th").alias(names["fate_th"])).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias(names["n"])).filter(~F.col("kept") | (F.col(names["n"]) > 1))
     fates = materialize(fates, "fates")
     keyed = docs.withColumn(names["own"], F.xxhash64(text))

@@ -290,6 +290,14 @@ def test_near_duplicates_equal_brute_force(spark, size, num):
     assert {(r.doc_id, r.n_shingles): r.component_id for r in got} == brute_components(rows, size, num, 100)
 
 
+def test_all_texts_of_the_least_id_are_kept(spark):
+    text = prose(40)
+    rows = [(1, text), (1, text + " extra"), (2, text)]
+    found = neardup.near_duplicates(frame(spark, rows), size=3, num=85, den=100).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [(1, 1, True), (1, 1, True), (2, 1, False)]
+    assert sorted(r.text == text for r in neardup.drop_near_duplicates(frame(spark, rows), size=3, num=85, den=100).collect()) in ([True], [False])
+
+
 def test_near_duplicates_in_many_parts(spark, monkeypatch):
     """Buckets and clusters of several parts, in dense, sparse and chained groups."""
     base = prose(60).split()
@@ -676,6 +684,16 @@ def test_parts_of_the_index_score_alike(spark, monkeypatch):
     assert len(whole) >= 20 and found() == whole
 
 
+def test_a_long_item_in_another_part_changes_no_passages(spark, monkeypatch):
+    items = [(i, prose(12 + i % 5) + ". " + prose(10) + ".") for i in range(40)] + [(40, prose(230) + ". " + prose(230) + ".")]
+    apart = lambda x: f" {prose(150)} ".join(x.split(". "))
+    docs = frame(spark, [(i, apart(x)) for i, x in items[:40]])
+    found = lambda: sorted(tuple(round(x, 9) for x in r) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    whole = found()
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_INDEX", 8)
+    assert len(whole) >= 20 and found() == whole
+
+
 def brute_bm25(items, text):
     """(window, item, share of the item's own score) by plain BM25, and the windows' words."""
     split = lambda x: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", x.lower())
