@@ -7,6 +7,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docaudit.operators.numbering import numbered
+
 
 class NotFoundError(LookupError):
     """No row has the key."""
@@ -107,14 +109,14 @@ def append_unique(old: DataFrame, new: DataFrame, keys: list[str], bypass: Colum
 
 
 def get_or_create(table: DataFrame, wanted: DataFrame, key: str, id_col: str) -> DataFrame:
-    """The table with a row for every wanted key; new ids follow the greatest.
+    """The table with a row for every wanted key; new ids follow the greatest in the order of the keys, without gaps.
 
-    Numbering puts the missing keys in one window, so this is for small tables of names; large ones want append_unique.
+    Missing keys are numbered by range partitions (see numbering.numbered), so neither table has to be small. A null key gets no
+    row; wanted keys that repeat get one.
     """
-    missing = wanted.select(key).distinct().join(table.select(key), key, "left_anti")
-    top = table.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
-    numbered = missing.crossJoin(F.broadcast(top)).withColumn(id_col, F.col("__top") + F.row_number().over(Window.orderBy(key))).drop("__top")
-    return table.unionByName(numbered, allowMissingColumns=True)
+    missing = wanted.select(key).dropna().distinct().join(table.select(key), key, "left_anti")
+    top = table.agg(F.max(id_col)).first()[0]
+    return table.unionByName(numbered(missing, [key], id_col, after=top or 0), allowMissingColumns=True)
 
 
 def update(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:

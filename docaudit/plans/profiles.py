@@ -78,6 +78,12 @@ INTRODUCTION_TEXT = r"(?s)(введение|introduction)(.*?)(\d+\.?\s|глав
 STATUSES = ["Загружен", "Анализируется", "Проверен", "Отправлен на доработку", "Идеален"]
 PROGRESS = {"Загружен": 0, "Анализируется": 50, "Проверен": 80, "Идеален": 100, "Отправлен на доработку": 100}
 COMPLIANT, RETURNED, FAILED, UNKNOWN = "Идеален", "Отправлен на доработку", "Ошибка", "Неизвестно"
+LOADED, UNDER_WAY, CHECKED = "Загружен", "Анализируется", "Проверен"
+#: What a status may become; "" is a document that has none yet.
+TRANSITIONS = {
+    "": (LOADED,), LOADED: (UNDER_WAY,), UNDER_WAY: (CHECKED, COMPLIANT, RETURNED, FAILED), CHECKED: (UNDER_WAY, COMPLIANT, RETURNED),
+    COMPLIANT: (UNDER_WAY,), RETURNED: (UNDER_WAY,), FAILED: (UNDER_WAY,),
+}
 MISTAKES = {"critical": ("Ошибка ГОСТ", "high"), "warning": ("Предупреждение ГОСТ", "low")}
 DOC_TYPES = {
     "курсовая": "COURSE_WORK", "course": "COURSE_WORK", "бакалаврская": "BACHELOR_THESIS", "bachelor": "BACHELOR_THESIS",

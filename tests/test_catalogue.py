@@ -10,7 +10,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from docaudit.plans import catalogue
+from docaudit.plans import catalogue, flows  # noqa: F401  flows registers further queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
