@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docaudit.operators import facts as fx
 from docaudit.operators import relational as rel
 from docaudit.operators import report as rp
 from docaudit.operators import rule_table as rt
-from docaudit.plans.catalogue import FACTS, REPORT, query, t
-from docaudit.plans.profiles import CHECKED, COMPLIANT, CORPUS, LOADED, RETURNED, TRANSITIONS, UNDER_WAY
+from docaudit.plans.catalogue import FACTS, REPORT, SQL, paragraphs_of, query, t
+from docaudit.plans.profiles import CHECKED, COMPLIANT, CORPUS, LOADED, RETURNED, TRANSITIONS, UNDER_WAY, Rule
+from docaudit.sources import docx_source
 from docaudit.sources.versions import VersionedTables
 from docaudit.sources.workspace import new_folder
 from docaudit.streaming import checks
@@ -187,3 +190,78 @@ def dense_keys(spark, sf_dir):
     have = t(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("id"))
     wanted = t(spark, sf_dir, "orders").select(F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("name"))
     return rel.get_or_create(have, wanted, "name", "id")
+
+
+# From uploaded bytes to a status
+
+
+def docx_files(docs):
+    """(key, name, content): a DOCX file of the paragraphs of each document."""
+    rows, sections = paragraphs_of(docs)
+    fields = ["para_num", "text", "style_name", "runs", "line_spacing", "first_line_indent_cm"]
+    own = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("paragraphs"))
+    ends = sections.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in sections.columns if c != "doc_id"]))).alias("sections"))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            content = [docx_source.docx_bytes(r["paragraphs"] or [], r["sections"]) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f"Document {r['doc_id']}.docx" for r in rows]), pa.array(content, pa.binary())], names=["key", "name", "content"])
+
+    return ends.join(own, "doc_id", "left").mapInArrow(made, "key long, name string, content binary")
+
+
+def uploaded(spark, files, name):
+    """Files landed by the sink; their folder."""
+    docx_source.register(spark)
+    path = new_folder(spark, name)
+    files.write.format("uploads").mode("append").save(path)
+    return path
+
+
+def docx_facts(spark, sf_dir):
+    """Facts of the documents' paragraphs as read from uploaded DOCX files."""
+    path = uploaded(spark, docx_files(t(spark, sf_dir, "documents")), "uploads")
+    part = lambda name: spark.read.format("docx_parts").option("part", name).load(f"{path}/files").withColumn("doc_id", F.regexp_extract("doc_id", r"(\d+)\.docx$", 1).cast("long"))
+    return fx.paragraph_facts(part("paragraphs"), part("sections"))
+
+
+@query(SQL["paragraph_facts"])
+def docx_flow(spark, sf_dir):
+    return docx_facts(spark, sf_dir).select(
+        "doc_id", F.array_join("required_elements", "|").alias("elements"), "font_settings.*", F.col("paragraph_indent").alias("indent"), F.col("page_margins.left").alias("left_margin"), F.col("page_margins.top").alias("top_margin"),
+        "page_count", "full_text", F.col("introduction_text").alias("introduction"), "word_count",
+    )
+
+
+THESIS = [
+    Rule("t1", "1", "Elements", "structure", "required_elements", ["введение", "титульный лист", "основная часть"], "list_presence", "critical"),
+    Rule("t2", "2", "Font", "formatting", "font_settings", {"font_family": "Times New Roman", "font_size": 14}, "object_equals", "warning"),
+    Rule("t3", "3", "Words", "formatting", "word_count", 60, "min_value", "warning"),
+]
+
+
+@query(
+    f"""WITH pf AS ({SQL["paragraph_facts"]}), c AS (SELECT doc_id, CAST(contains(elements, 'введение') AND contains(elements, 'титульный лист') AND contains(elements, 'основная часть') AS INTEGER)
++ CAST(coalesce(font_family = 'Times New Roman' AND font_size = 14, false) AS INTEGER) + CAST(word_count >= 60 AS INTEGER) AS passed FROM pf)
+SELECT doc_id, CAST(round_even(passed * 100 / 3, 0) AS INTEGER) AS score, CASE WHEN passed = 3 THEN 'Идеален' ELSE 'Отправлен на доработку' END AS status FROM c"""
+)
+def upload_to_status(spark, sf_dir):
+    """Bytes of DOCX files, uploaded, read, checked and rated."""
+    return rp.status(rp.reports(docx_facts(spark, sf_dir), THESIS)).select("doc_id", "score", "status")
+
+
+KINDS = [".pdf", ".DOC", ".docx", ".txt", ".exe", ""]
+
+
+@query(
+    f"""SELECT page_id AS key, name, octet_length(encode(html)) AS size, CASE WHEN page_id % 6 > 3 THEN '{docx_source.REFUSED}' END AS error, CASE WHEN page_id % 6 <= 3 THEN sha256(html) END AS digest, CASE WHEN page_id % 6 <= 3 THEN name END AS saved
+FROM (SELECT page_id, coalesce(html, '') AS html, 'page' || page_id || {json.dumps(KINDS).replace('"', "'")}[1 + page_id % 6] AS name FROM pages)"""
+)
+def landed_files(spark, sf_dir):
+    """Pages as uploaded files, by the index, with the digest of each file's bytes."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (1 + F.col("page_id") % 6).cast("int"))
+    path = uploaded(spark, t(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.concat(F.lit("page"), "page_id", kind).alias("name"), F.coalesce("html", F.lit("")).cast("binary").alias("content")), "landed")
+    files = spark.read.format("binaryFile").load(f"{path}/files/*").select(F.regexp_extract("path", "[^/]+$", 0).alias("saved_name"), F.sha2("content", 256).alias("digest"))
+    rows = docx_source.upload_index(spark, path).join(files, "saved_name", "left")
+    return rows.select("key", "name", "size", "error", "digest", F.regexp_replace("saved_name", "^[0-9]+_[0-9a-f]{8}_", "").alias("saved"))
