@@ -12,8 +12,9 @@ from docaudit.operators import facts as fx
 from docaudit.operators import relational as rel
 from docaudit.operators import report as rp
 from docaudit.operators import rule_table as rt
+from docaudit.plans import api
 from docaudit.plans.catalogue import FACTS, REPORT, SQL, paragraphs_of, query, t
-from docaudit.plans.profiles import CHECKED, COMPLIANT, CORPUS, LOADED, RETURNED, TRANSITIONS, UNDER_WAY, Rule
+from docaudit.plans.profiles import CHECKED, COMPLIANT, CORPUS, LOADED, RETURNED, STATUSES, TRANSITIONS, UNDER_WAY, Rule
 from docaudit.sources import docx_source
 from docaudit.sources.versions import VersionedTables
 from docaudit.sources.workspace import new_folder
@@ -265,3 +266,65 @@ def landed_files(spark, sf_dir):
     files = spark.read.format("binaryFile").load(f"{path}/files/*").select(F.regexp_extract("path", "[^/]+$", 0).alias("saved_name"), F.sha2("content", 256).alias("digest"))
     rows = docx_source.upload_index(spark, path).join(files, "saved_name", "left")
     return rows.select("key", "name", "size", "error", "digest", F.regexp_replace("saved_name", "^[0-9]+_[0-9a-f]{8}_", "").alias("saved"))
+
+
+# The API's queries as SQL table functions
+
+#: The service's tables as SQL over the given ones.
+API_TABLES = {
+    "users": "SELECT c_custkey AS user_id, c_name AS first_name, c_mktsegment AS role, c_custkey % 50 = 0 AS is_admin FROM customer",
+    "documents": "SELECT o_orderkey AS document_id, o_custkey AS user_id, o_orderpriority AS filename, CASE o_orderstatus WHEN 'F' THEN 5 WHEN 'O' THEN 2 WHEN 'P' THEN 9 END AS status_id, o_orderkey % 101 AS score FROM orders",
+    "check": "SELECT l_orderkey * 100 + l_linenumber AS check_id, l_orderkey AS document_id, l_suppkey % 7 AS standart_id, l_linestatus AS result, l_partkey % 101 AS score FROM lineitem",
+    "mistakes": "SELECT l_orderkey * 1000 + l_linenumber AS mistake_id, CASE l_returnflag WHEN 'A' THEN 1 ELSE 2 END AS mistake_type_id, l_returnflag AS description, l_orderkey AS document_id FROM lineitem WHERE l_returnflag <> 'N'",
+    "reports": "SELECT l_orderkey * 100 + l_linenumber AS report_id, l_orderkey * 100 + l_linenumber AS check_id, l_returnflag AS report_json FROM lineitem WHERE l_linenumber = 1",
+    "reviews": "SELECT event_id AS review_id, user_id, 1 + event_id % 5 AS rating, event_type AS review_text FROM events",
+    "standart": "SELECT n_nationkey AS standart_id, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN '1.0' END AS version FROM nation",
+    "statuses": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{name}')" for i, name in enumerate(STATUSES, 1)) + ") AS s(status_id, status_name)",
+    "mistake_types": "SELECT r_regionkey AS mistake_type_id, r_name AS mistake_type_name FROM region",
+}
+_SEEN = "(SELECT 1 FROM a_documents d WHERE d.document_id = x.document_id AND d.user_id = {})"
+#: Endpoint, arguments, the column that is added up, and the rows in SQL.
+API_CALLS = [
+    ("all_documents", (1, True), "document_id", "SELECT document_id AS k FROM a_documents"), ("all_documents", (1, False), "document_id", "SELECT document_id AS k FROM a_documents WHERE false"),
+    ("document_by_id", (40, 0, True), "document_id", "SELECT document_id AS k FROM a_documents WHERE document_id = 40"), ("document_by_id", (40, -1, False), "document_id", "SELECT 1 AS k WHERE false"),
+    ("documents_by_user", (5, 5, False), "document_id", "SELECT document_id AS k FROM a_documents WHERE user_id = 5"), ("documents_by_user", (5, 6, False), "document_id", "SELECT 1 AS k WHERE false"),
+    ("documents_by_status", (2,), "document_id", "SELECT document_id AS k FROM a_documents WHERE status_id = 2"), ("document_full_info", (40, 0, True), "mistakes", "SELECT count(*) AS k FROM a_mistakes WHERE document_id = 40"),
+    ("gost_result", (4001, 0, True), "score", "SELECT d.score AS k FROM a_check c JOIN a_documents d USING (document_id) WHERE check_id = 4001"), ("all_checks", (), "check_id", "SELECT check_id AS k FROM a_check"),
+    ("check_by_id", (4001,), "check_id", "SELECT check_id AS k FROM a_check WHERE check_id = 4001"), ("checks_by_document", (40,), "check_id", "SELECT check_id AS k FROM a_check WHERE document_id = 40"), ("checks_by_standard", (3,), "check_id", "SELECT check_id AS k FROM a_check WHERE standart_id = 3"),
+    ("all_mistakes", (), "mistake_id", "SELECT mistake_id AS k FROM a_mistakes"), ("mistake_by_id", (40001,), "mistake_id", "SELECT mistake_id AS k FROM a_mistakes WHERE mistake_id = 40001"), ("mistakes_by_document", (40, 5, True), "mistake_id", "SELECT mistake_id AS k FROM a_mistakes WHERE document_id = 40"),
+    ("mistakes_by_document", (40, 5, False), "mistake_id", f"SELECT mistake_id AS k FROM a_mistakes x WHERE document_id = 40 AND EXISTS {_SEEN.format(5)}"), ("mistakes_by_type", (1,), "mistake_id", "SELECT mistake_id AS k FROM a_mistakes WHERE mistake_type_id = 1"),
+    ("all_mistake_types", (), "mistake_type_id", "SELECT mistake_type_id AS k FROM a_mistake_types"), ("mistake_type_by_id", (3,), "mistake_type_id", "SELECT mistake_type_id AS k FROM a_mistake_types WHERE mistake_type_id = 3"), ("all_reports", (), "report_id", "SELECT report_id AS k FROM a_reports"),
+    ("report_by_id", (4001,), "report_id", "SELECT report_id AS k FROM a_reports WHERE report_id = 4001"), ("reports_by_check", (4001,), "report_id", "SELECT report_id AS k FROM a_reports WHERE check_id = 4001"),
+    ("reports_by_user", (5, 5, False), "report_id", "SELECT report_id AS k FROM a_reports JOIN a_check USING (check_id) JOIN a_documents USING (document_id) WHERE user_id = 5"), ("all_reviews", (), "review_id", "SELECT review_id AS k FROM a_reviews"),
+    ("review_by_id", (7,), "review_id", "SELECT review_id AS k FROM a_reviews WHERE review_id = 7"), ("reviews_by_user", (8,), "review_id", "SELECT review_id AS k FROM a_reviews WHERE user_id = 8"), ("all_standards", (), "standart_id", "SELECT standart_id AS k FROM a_standart"),
+    ("standard_by_id", (3,), "standart_id", "SELECT standart_id AS k FROM a_standart WHERE standart_id = 3"), ("all_statuses", (), "status_id", "SELECT status_id AS k FROM a_statuses"), ("status_by_id", (2,), "status_id", "SELECT status_id AS k FROM a_statuses WHERE status_id = 2"),
+    ("all_users", (0, True), "user_id", "SELECT user_id AS k FROM a_users"), ("user_by_id", (9, 9, False), "user_id", "SELECT user_id AS k FROM a_users WHERE user_id = 9"), ("user_by_id", (9, 8, False), "user_id", "SELECT 1 AS k WHERE false"),
+]
+
+
+def api_tables(spark, sf_dir):
+    given = {name: t(spark, sf_dir, name) for name in ("customer", "orders", "lineitem", "events", "nation", "region")}
+    return {name: spark.sql(body.replace(f"FROM {source}", "FROM {rows}"), rows=given[source]) if (source := next((g for g in given if f"FROM {g}" in body), None)) else spark.sql(body) for name, body in API_TABLES.items()}
+
+
+@query(
+    "WITH " + ", ".join(f"a_{name} AS ({body})" for name, body in API_TABLES.items()) + " " + " UNION ALL ".join(f"SELECT '{name} {i}' AS endpoint, count(*) AS n, CAST(coalesce(sum(k), 0) AS BIGINT) AS keys FROM ({body})" for i, (name, _, _, body) in enumerate(API_CALLS))
+)
+def api_reads(spark, sf_dir):
+    """A call of every read endpoint, with and without the right to see the rows: number of rows and sum of their keys."""
+    api.install(spark, api_tables(spark, sf_dir))
+    out = None
+    for i, (name, args, column, _) in enumerate(API_CALLS):
+        rows = api.call(spark, name, *args).agg(F.lit(f"{name} {i}").alias("endpoint"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col(column).cast("long")), F.lit(0)).alias("keys"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(
+    "WITH " + ", ".join(f"a_{name} AS ({API_TABLES[name]})" for name in ("documents", "statuses")) + """ SELECT document_id, user_id, coalesce(status_name, 'Неизвестно') AS status, CAST(CASE status_name WHEN 'Анализируется' THEN 50 WHEN 'Проверен' THEN 80 WHEN 'Идеален' THEN 100 WHEN 'Отправлен на доработку' THEN 100 ELSE 0 END AS INTEGER) AS progress
+FROM a_documents LEFT JOIN a_statuses USING (status_id)"""
+)
+def api_status_of_all(spark, sf_dir):
+    """The status endpoint asked for every document by its owner: a lateral call, which is a join."""
+    api.install(spark, api_tables(spark, sf_dir))
+    return spark.sql("SELECT d.document_id, d.user_id, s.status, s.progress FROM api_documents d, LATERAL api_gost_status(d.document_id, d.user_id) s")
