@@ -8,10 +8,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from docaudit.functions import text as fn
 from docaudit.operators import facts as fx
 from docaudit.operators import relational as rel
 from docaudit.operators import report as rp
 from docaudit.operators import rule_table as rt
+from docaudit.operators import stored as st
 from docaudit.plans import api
 from docaudit.plans.catalogue import FACTS, REPORT, SQL, paragraphs_of, query, t
 from docaudit.plans.profiles import CHECKED, COMPLIANT, CORPUS, LOADED, RETURNED, STATUSES, TRANSITIONS, UNDER_WAY, Rule
@@ -328,3 +330,50 @@ def api_status_of_all(spark, sf_dir):
     """The status endpoint asked for every document by its owner: a lateral call, which is a join."""
     api.install(spark, api_tables(spark, sf_dir))
     return spark.sql("SELECT d.document_id, d.user_id, s.status, s.progress FROM api_documents d, LATERAL api_gost_status(d.document_id, d.user_id) s")
+
+
+# Stored results of any shape
+
+#: Results by the event's number: as they should be, drifted fields, broken, none, other shapes.
+SHAPES = [
+    ('{{"score": {k}, "is_compliant": true, "report": {{"total_checks": {k}, "passed_checks": "3", "results": [{{"severity": "critical", "message": "m{k}"}}, {{"severity": "warning"}}]}}}}', ("{k}", "true", "{k}", "3", "'m' || k", "'Неизвестное замечание'")),
+    ('{{"score": [{k}], "report": {{"total_checks": [1, 2], "passed_checks": 2.5, "results": {{"severity": "critical", "message": ["one", {k}]}}}}}}', ("0", "false", "0", "2.5", "'[\"one\",' || k || ']'", "''")),
+    ('{{"score": {k}', ("0", "false", "0", "0", "'Ошибка чтения отчёта из БД'", "''")),
+    (None, ("0", "false", "0", "0", "''", "''")),
+    ('{{"score": "{k}", "report": null, "is_compliant": {{}}, "total_checks": 7, "results": [{k}, null, {{"severity": "warning", "message": 5}}]}}', ("{k}", "false", "7", "0", "''", "'5'")),
+    ('[1, {k}]', ("0", "false", "0", "0", "''", "''")),
+    ('{{"k": {k}}}', ("0", "false", "0", "0", "''", "''")),
+    ('{{"score": {k}.75, "report": {{"total_checks": "many", "passed_checks": null, "results": "none"}}}}', ("{k}.75", "false", "0", "0", "''", "''")),
+]
+
+
+def _shape_sql(i: int) -> str:
+    return "CASE event_id % 8 " + " ".join(f"WHEN {n} THEN {values[i].replace('{k}.75', 'k + 0.75').replace('{k}', 'k')}" for n, (_, values) in enumerate(SHAPES)) + " END"
+
+
+@query(
+    f"""SELECT event_id AS check_id, coalesce(c_name, 'unknown') AS filename, event_id % 8 <> 2 AS readable, CAST(coalesce(c_nationkey, {_shape_sql(0)}) AS DOUBLE) AS score, {_shape_sql(1)} AS is_compliant, CAST({_shape_sql(2)} AS DOUBLE) AS total_checks, CAST({_shape_sql(3)} AS DOUBLE) AS passed_checks,
+{_shape_sql(4)} AS errors, {_shape_sql(5)} AS warnings FROM (SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events) LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON c_custkey = user_id"""
+)
+def stored_any_shape(spark, sf_dir):
+    """Results of eight shapes, made of the events' properties, read by one query."""
+    k = F.get_json_object("props", "$.k")
+    shapes = [F.lit(None).cast("string") if s is None else F.format_string(s.replace("{{", "{").replace("}}", "}").replace("{k}", "%1$s"), k) for s, _ in SHAPES]
+    checks_ = t(spark, sf_dir, "events").select(F.col("event_id").alias("check_id"), F.col("user_id").alias("document_id"), F.element_at(F.array(*shapes), (1 + F.col("event_id") % 8).cast("int")).alias("result"))
+    documents = t(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("document_id"), F.col("c_name").alias("filename"), F.col("c_nationkey").alias("score"))
+    return st.stored_results(checks_, documents).withColumns({c: F.array_join(c, "|") for c in ("errors", "warnings")}).drop("document_id")
+
+
+# Numbers as the reference rounds and prints them
+
+
+@query(
+    "WITH v AS (SELECT l_orderkey, l_partkey, x FROM (SELECT l_orderkey, l_partkey, unnest([l_extendedprice * l_discount / 7, (l_partkey % 1000) / 8.0::DOUBLE, l_tax * 0.00001::DOUBLE, (l_quantity + 0.675::DOUBLE) * -1, l_extendedprice * 1e12::DOUBLE]) AS x FROM lineitem)) SELECT l_orderkey, l_partkey, x, "
+    + ", ".join(f"CAST(format('{{:.{p}f}}', x) AS DOUBLE) + 0 AS r{p}" for p in range(3)) + ", CAST(x AS VARCHAR) AS shown FROM v"
+)
+def exact_numbers(spark, sf_dir):
+    """Doubles of several sizes, ties among them, rounded by their binary value and printed in the fewest digits."""
+    c = F.col
+    values = F.array(c("l_extendedprice") * c("l_discount") / 7, (c("l_partkey") % 1000) / F.lit(8.0), c("l_tax") * F.lit(0.00001), (c("l_quantity") + F.lit(0.675)) * -1, c("l_extendedprice") * F.lit(1e12))
+    rows = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.explode(values).alias("x"))
+    return rows.select("l_orderkey", "l_partkey", "x", *[(fn.half_even(c("x"), p) + 0.0).alias(f"r{p}") for p in range(3)], fn.number_text(c("x")).alias("shown"))
