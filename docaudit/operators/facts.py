@@ -152,48 +152,214 @@ def paragraph_facts(paragraphs: DataFrame, sections: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of pages and glyphs in one table: kind 0 is a page, kind 1 a glyph of it.
+PAGE_ROWS = "doc_id, page_num, kind, char_num, text, fontname, size, x0, x1, y0, y1, page_text, width, height"
+
+
+def page_rows(pages: DataFrame, chars: DataFrame) -> DataFrame:
+    """Pages and their glyphs as one table (PAGE_ROWS)."""
+    none = lambda *names: [F.lit(None).cast(t).alias(n) for n, t in names]
+    numbers = [(n, "double") for n in ("size", "x0", "x1", "y0", "y1")]
+    own = pages.select("doc_id", "page_num", F.lit(0).alias("kind"), *none(("char_num", "int"), ("text", "string"), ("fontname", "string"), *numbers), F.col("text").alias("page_text"), "width", "height")
+    return own.unionByName(chars.select("doc_id", "page_num", F.lit(1).alias("kind"), "char_num", "text", "fontname", *[n for n, _ in numbers], *none(("page_text", "string"), ("width", "double"), ("height", "double"))))
+
+
 def page_facts(pages: DataFrame, chars: DataFrame) -> DataFrame:
-    """Facts of documents given as pages and glyphs (PDF). Glyphs of one page are gathered, never more."""
-    key, on_page = ["doc_id"], ["doc_id", "page_num"]
-    size = F.coalesce("size", F.lit(0.0))
-    glyphs = chars.withColumn("size", size)
-    own = glyphs.groupBy(*on_page).agg(F.avg("size").alias("avg_size"))
-    sized = glyphs.join(own, on_page)
-    big = sized.filter(F.col("size") > F.col("avg_size") + 1).groupBy(*on_page).agg(F.collect_set("text").alias("big"))
-    sheet = pages.withColumn("text", F.coalesce("text", F.lit(""))).join(big, on_page, "left").join(own, on_page, "left").withColumn("avg_size", F.coalesce("avg_size", F.lit(12.0)))
-    lines = sheet.select(*on_page, "big", F.posexplode(non_blank_lines(F.col("text"))).alias("pos", "line")).withColumn("low", F.lower("line"))
-    heading = F.col("low").rlike(HEADING_LINE) | F.exists(F.coalesce("big", F.array().cast("array<string>")), lambda g: F.contains(F.col("line"), g))
-    heads = lines.filter(heading).select(*key, F.struct("page_num", "pos").alias("at"), "line", without_number(F.col("low")).alias("element"))
-    new = heads.groupBy(*key, "element").agg(F.min("at").alias("at"), F.min_by("line", "at").alias("line"))
+    """Facts of documents given as pages and glyphs (PDF); see facts_of_page_rows."""
+    return facts_of_page_rows(page_rows(pages, chars))
+
+
+_COUNTED = "array<struct<v:{0},n:bigint,at:int>>"
+_WALKED = f"page_num int, avg_size double, big array<string>, fonts {_COUNTED.format('string')}, sizes {_COUNTED.format('double')}, gap_sum double, gap_n bigint, first_x double, x0 double, x1 double, y0 double, y1 double, page_text string, width double, height double"
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _line_starts(page: np.ndarray, first: np.ndarray, y: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Which glyphs start a line: those over `limit` from the last start of their page. Pages side by side, a glyph of each at a time."""
+    sizes = np.diff(np.append(first, len(page)))
+    order = np.argsort(-sizes, kind="stable")
+    anchor, starts = y[first].copy(), np.zeros(len(page), bool)
+    starts[first] = True
+    for t in range(1, int(sizes.max(initial=0))):
+        of = order[: np.searchsorted(-sizes[order], -t, "left")]
+        at = first[of] + t
+        new = np.abs(anchor[of] - y[at]) > limit[of]
+        starts[at[new]] = True
+        anchor[of[new]] = y[at[new]]
+    return starts
+
+
+def _listed(values: pa.Array, n: np.ndarray, at: np.ndarray | None, page: np.ndarray, pages: int) -> pa.Array:
+    """Values (of sorted pages) as a list a page, with their counts and places if there are any."""
+    bounds = pa.array(np.searchsorted(page, np.arange(pages + 1)).astype(np.int32))
+    if at is None:
+        return pa.ListArray.from_arrays(bounds, values)
+    return pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([values, pa.array(n.astype(np.int64)), pa.array(at.astype(np.int32))], ["v", "n", "at"]))
+
+
+def _walk(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each page of whole pages, which are sorted by document, page, kind and place; glyphs without a page row are left out."""
+    columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+    kind = columns["kind"].to_numpy()
+    doc = columns["doc_id"].dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    number = columns["page_num"].to_numpy(zero_copy_only=False)
+    heads = _runs(doc, number)
+    page = np.zeros(len(kind), np.int64)
+    page[heads[1:]] = 1
+    page = np.cumsum(page)
+    n_pages = len(heads)
+    is_page = kind[heads] == 0
+    glyph = np.flatnonzero(kind == 1)
+    of = page[glyph]
+    number_of = lambda name: columns[name].to_numpy(zero_copy_only=False).astype(np.float64)[glyph]
+    filled = lambda name: np.nan_to_num(number_of(name), nan=0.0)
+    size, x0 = filled("size"), number_of("x0")
+    many = np.bincount(of, minlength=n_pages)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = np.bincount(of, size, n_pages) / many
+    texts = columns["text"].dictionary_encode()
+    text = texts.indices.fill_null(-1).to_numpy(zero_copy_only=False)[glyph]
+    # distinct texts of glyphs that are larger than the rest
+    large = np.flatnonzero((size > mean[of] + 1) & (text >= 0))
+    pair = np.unique(np.stack([of[large], text[large]]), axis=1) if len(large) else np.zeros((2, 0), np.int64)
+    big = _listed(texts.dictionary.take(pa.array(pair[1])), pair[0], None, pair[0], n_pages)
+
+    ink = columns["ink"].fill_null(False).to_numpy(zero_copy_only=False)[glyph].astype(bool)
+    place = columns["char_num"].fill_null(0).to_numpy(zero_copy_only=False)[glyph]
+
+    def counted(name: str) -> pa.Array:
+        coded = columns[name].dictionary_encode()
+        code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)[glyph]
+        use = np.flatnonzero(ink & (code >= 0))
+        order = use[np.lexsort((place[use], code[use], of[use]))]
+        at = _runs(of[order], code[order]) if len(order) else np.zeros(0, np.int64)
+        n = np.diff(np.append(at, len(order)))
+        return _listed(coded.dictionary.take(pa.array(code[order[at]])), n, place[order[at]], of[order[at]], n_pages)
+
+    # gaps of distinct heights, from above
+    y = filled("rounded_y0")
+    order = np.lexsort((-y, of))
+    order = order[_runs(of[order], y[order])] if len(order) else order
+    gap, same = y[order[:-1]] - y[order[1:]], of[order[:-1]] == of[order[1:]]
+    own = mean[of[order[:-1]]]
+    usual = same & (gap > 0.5 * own) & (gap < 3 * own)
+    gap_of = of[order[:-1]][usual]
+    # first glyphs of lines
+    y1, left = filled("y1"), filled("x0")
+    order = np.lexsort((size, left, -y1, of))
+    first = np.searchsorted(of[order], np.arange(n_pages))[many > 0]
+    starts = _line_starts(of[order], first, -y1[order], 0.5 * mean[many > 0]) if len(order) else np.zeros(0, bool)
+    start = order[starts]
+    start = start[size[start] <= mean[of[start]] + 1]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        first_x = np.bincount(of[start], left[start], n_pages) / np.bincount(of[start], minlength=n_pages)
+
+    def extreme(name: str, least: bool, use: np.ndarray) -> pa.Array:
+        v = number_of(name)
+        use = use & ~np.isnan(v)
+        out = np.full(n_pages, np.inf if least else -np.inf)
+        (np.minimum if least else np.maximum).at(out, of[use], v[use])
+        return pa.array(out, mask=np.isinf(out))
+
+    every = np.ones(len(glyph), bool)
+    head = pa.array(heads)
+    rows = [
+        columns["doc_id"].take(head), columns["page_num"].take(head), pa.array(mean, mask=np.isnan(mean)), big, counted("font"), counted("rounded_size"), pa.array(np.bincount(gap_of, gap[usual], n_pages).astype(np.float64)), pa.array(np.bincount(gap_of, minlength=n_pages).astype(np.int64)),
+        pa.array(first_x, mask=np.isnan(first_x)), extreme("x0", True, ink), extreme("x1", False, ink), extreme("y0", True, every), extreme("y1", False, every), *[columns[c].take(head) for c in ("page_text", "width", "height")],
+    ]
+    names = ["doc_id", *[c.split(" ")[0] for c in _WALKED.replace("array<struct<v:string,n:bigint,at:int>>", "a").replace("array<struct<v:double,n:bigint,at:int>>", "a").split(", ")]]
+    return pa.RecordBatch.from_arrays(rows, names=names).filter(pa.array(is_page))
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches that end where a page ends; the rows of the last page wait for the next batch."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if waiting and all(batch.column(c)[batch.num_rows - 1] == waiting[0].column(c)[0] for c in (0, 1)):
+            waiting.append(batch)  # still the same page
+            continue
+        table = pa.Table.from_batches([*waiting, batch]).combine_chunks().to_batches()[0] if waiting else batch
+        doc, number = (table.column(c) for c in (0, 1))
+        n = table.num_rows
+        cut = n - 1
+        while cut > 0 and doc[cut - 1] == doc[n - 1] and number[cut - 1] == number[n - 1]:
+            cut -= 1
+        if cut:
+            yield table.slice(0, cut)
+        waiting = [table.slice(cut)]
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
+def _commonest(entries: Column, kind: str) -> Column:
+    """Of (v, n, at) in any order, several a value: the value with the greatest sum of n, of equal ones that with the least at."""
+    empty = f"struct<v:{kind},n:bigint,at:struct<page:int,at:int>>"
+    start = F.struct(F.lit(None).cast(empty).alias("now"), F.lit(None).cast(empty).alias("best"))
+    better = lambda a, b: F.when(b.isNull() | (a["n"] > b["n"]) | ((a["n"] == b["n"]) & (a["at"] < b["at"])), a).otherwise(b)
+
+    def step(acc: Column, x: Column) -> Column:
+        same = F.coalesce(acc["now"]["v"] == x["v"], F.lit(False))
+        now = F.when(same, F.struct(x["v"].alias("v"), (acc["now"]["n"] + x["n"]).alias("n"), acc["now"]["at"].alias("at"))).otherwise(F.struct(x["v"].alias("v"), x["n"].alias("n"), x["at"].alias("at")))
+        return F.struct(now.alias("now"), F.when(same | acc["now"].isNull(), acc["best"]).otherwise(better(acc["now"], acc["best"])).alias("best"))
+
+    return F.aggregate(F.array_sort(entries), start, step, lambda acc: F.when(acc["now"].isNull(), F.lit(None)).otherwise(better(acc["now"], acc["best"])["v"]))
+
+
+def facts_of_page_rows(rows: DataFrame, by_document: bool = False) -> DataFrame:
+    """Facts of documents given as rows of pages and glyphs (PAGE_ROWS).
+
+    Rows are dealt by page and sorted by the engine, which spills; a task then walks them page by page and leaves a row a page. One
+    grouping gathers a document's pages. With by_document, rows are taken to be dealt by document already and are only sorted.
+    A page's glyphs are in memory at once, never more. A page may come several times: its first row counts. Glyphs of pages that
+    have no row, and rows without a document or page number, are left out; documents without pages have no facts; pages
+    without glyphs have only their text.
+    """
+    usable = rows.filter(F.col("doc_id").isNotNull() & F.col("page_num").isNotNull())
+    ink = strip(F.coalesce("text", F.lit(""))) != ""
+    glyphs = usable.select(
+        "doc_id", "page_num", "kind", "char_num", "text", ink.alias("ink"), F.nullif(clean_font_name(F.col("fontname")), F.lit("")).alias("font"), "size", F.nullif(F.bround(F.coalesce("size", F.lit(0.0)), 1), F.lit(0.0)).alias("rounded_size"),
+        "x0", "x1", "y0", "y1", F.bround(F.coalesce("y0", F.lit(0.0)), 1).alias("rounded_y0"), "page_text", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"),
+    )
+    dealt = glyphs if by_document else glyphs.repartition("doc_id", "page_num")
+    walked = dealt.sortWithinPartitions("doc_id", "page_num", "kind", "char_num").mapInArrow(lambda batches: map(_walk, _whole_pages(batches)), f"doc_id {dict(rows.dtypes)['doc_id']}, {_WALKED}")
+    text = F.coalesce("page_text", F.lit(""))
+    lines = F.transform(non_blank_lines(text), lambda x: F.struct(x.alias("line"), F.lower(x).alias("low")))
+    heads = F.filter(lines, lambda x: x["low"].rlike(HEADING_LINE) | F.exists(F.col("big"), lambda g: F.contains(x["line"], g)))
     titled = F.lit(False)
     for word in TITLE_WORDS_PAGES:
-        titled = titled | F.contains(F.lower("text"), F.lit(word))
-    title = pages.filter((F.col("page_num") == 1) & titled).select(*key, F.lit(TITLE_PAGE).alias("element"), F.struct(F.lit(1).alias("page_num"), F.lit(1 << 30).alias("pos")).alias("at"))
-    elements = ordered_distinct(new.select(*key, "element", "at").unionByName(title.select(*key, "element", "at")), key, "element", "at", "elements")
-    chapters = new.groupBy(*key).agg(F.bool_or(is_chapter(F.col("line"))).alias("has_chapters"))
-    text = pages.groupBy(*key).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_num", F.coalesce("text", F.lit("")).alias("t")))), lambda x: F.concat(x["t"], F.lit(" "))), "").alias("full_text"),
-        F.count(F.lit(1)).cast("int").alias("page_count"), F.sum(token_count(F.coalesce("text", F.lit("")))).cast("int").alias("word_count"), F.min_by(F.struct("width", "height"), "page_num").alias("paper"),
+        titled = titled | F.contains(F.lower("page_text"), F.lit(word))
+    title = F.when((F.col("page_num") == 1) & titled, F.array(F.struct(F.lit(TITLE_PAGE).alias("element"), F.lit(False).alias("chapter"))))
+    named = F.transform(heads, lambda x: F.struct(without_number(x["low"]).alias("element"), is_chapter(x["line"]).alias("chapter")))
+    placed = lambda c: F.transform(c, lambda x: F.struct(x["v"].alias("v"), F.struct(F.col("page_num").alias("page"), x["at"].alias("at")).alias("at"), x["n"].alias("n")))
+    pages = walked.select(
+        "doc_id", F.struct("page_num", text.alias("t"), F.concat(named, F.coalesce(title, F.array().cast("array<struct<element:string,chapter:boolean>>"))).alias("heads"), placed("fonts").alias("fonts"), placed("sizes").alias("sizes")).alias("page"),
+        "page_num", token_count(text).alias("words"), "gap_sum", "gap_n", "first_x", "x0", "x1", "y0", "y1", F.struct("width", "height").alias("paper"),
     )
-    ink = F.when(strip(F.coalesce("text", F.lit(""))) != "", True)
-    place = F.struct("page_num", "char_num")
-    fonts = mode_first_seen(glyphs.filter(ink).select(*key, place.alias("at"), F.nullif(clean_font_name(F.col("fontname")), F.lit("")).alias("v")), key, "v", "at", "font_family")
-    sizes = mode_first_seen(glyphs.filter(ink).select(*key, place.alias("at"), F.nullif(F.bround("size", 1), F.lit(0.0)).alias("v")), key, "v", "at", "modal_size")
-    gaps = gaps_descending(glyphs.select(*on_page, F.bround(F.coalesce("y0", F.lit(0.0)), 1).alias("y0")), on_page, "y0").join(own, on_page)
-    gaps = gaps.filter((F.col("gap") > 0.5 * F.col("avg_size")) & (F.col("gap") < 3 * F.col("avg_size"))).groupBy(*key).agg(F.avg("gap").alias("gap"))
-    ordered = sized.groupBy(*on_page, "avg_size").agg(F.sort_array(F.collect_list(F.struct((-F.coalesce("y1", F.lit(0.0))).alias("y"), F.coalesce("x0", F.lit(0.0)).alias("x"), F.col("size").alias("s")))).alias("glyphs"))
-    firsts = ordered.withColumn("starts", anchored_groups(F.col("glyphs"), lambda a, b: F.abs(a["y"] - b["y"]), 0.5 * F.col("avg_size")))
-    starts = firsts.select(*on_page, "avg_size", F.explode("starts").alias("g")).filter(F.col("g.s") <= F.col("avg_size") + 1)
-    indent = starts.groupBy(*on_page).agg(F.avg("g.x").alias("x")).groupBy(*key).agg(F.avg("x").alias("first_x"))
-    box = glyphs.groupBy(*key).agg(F.min(F.when(ink, F.col("x0"))).alias("x0"), F.max(F.when(ink, F.col("x1"))).alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
-    out = text
-    for part in (elements, chapters, fonts, sizes, gaps, indent, box):
-        out = out.join(part, key, "left")
-    found = F.coalesce("elements", F.array().cast("array<string>"))
+    of = pages.groupBy("doc_id").agg(
+        F.sort_array(F.collect_list("page")).alias("pages"), F.count(F.lit(1)).cast("int").alias("page_count"), F.sum("words").cast("int").alias("word_count"), F.min_by("paper", "page_num").alias("paper"),
+        (F.sum("gap_sum") / F.nullif(F.sum("gap_n"), F.lit(0))).alias("gap"), F.avg("first_x").alias("first_x"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"),
+    )
+    of = once(of, heads=F.flatten("pages.heads"), font_family=_commonest(F.flatten("pages.fonts"), "string"), modal_size=_commonest(F.flatten("pages.sizes"), "double"), full_text=F.array_join(F.transform("pages.t", lambda t: F.concat(t, F.lit(" "))), ""))
+    # the first occurrence of each element says whether it is a chapter
+    ranked = F.array_sort(F.transform("heads", lambda h, i: F.struct(h["element"].alias("element"), i.alias("i"), h["chapter"].alias("chapter"))))
+    of = once(of, ranked=ranked)
+    chapters = F.exists(F.transform("ranked", lambda h, i: h["chapter"] & ~F.coalesce(F.get("ranked", i - 1)["element"] == h["element"], F.lit(False))), lambda c: c)
+    found = F.array_distinct("heads.element")
     width, height = F.coalesce("paper.width", F.lit(595.0)), F.coalesce("paper.height", F.lit(842.0))
     positive = lambda c: F.greatest(F.bround(points_to_mm(c), 1), F.lit(0.0))
-    return out.select(
-        "doc_id", F.when(F.col("has_chapters"), F.array_append(found, F.lit(MAIN_PART))).otherwise(found).alias("required_elements"),
+    return of.select(
+        "doc_id", F.when(chapters, F.array_append(found, F.lit(MAIN_PART))).otherwise(found).alias("required_elements"),
         F.struct("font_family", F.bround("modal_size", 0).cast("int").alias("font_size"), F.bround(F.col("gap") / F.coalesce("modal_size", F.lit(14.0)), 1).alias("line_spacing")).alias("font_settings"),
         F.struct(positive(F.col("x0")).alias("left"), positive(width - F.col("x1")).alias("right"), positive(height - F.col("y1")).alias("top"), positive(F.col("y0")).alias("bottom")).alias("page_margins"),
         F.bround(points_to_cm(F.col("first_x") - F.col("x0")), 2).alias("paragraph_indent"), introduction_of(F.col("full_text")).alias("introduction_text"), "full_text", "page_count", "word_count",
