@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.llm.storage import blocks, discard, shuffle_partitions, stored
+from docaudit.llm.storage import blocks, discard, materialize, shuffle_partitions
 from docaudit.llm.textops import CHUNK_BYTES, Words, chunked, mix, release
 
 #: Good-Turing counts up to K are discounted. Bytes of text to a partition of the tables.
@@ -92,6 +92,24 @@ def table_of(rows: list[tuple]) -> pa.Table:
     return pa.table({"kind": pa.array(kinds, pa.string()), "p": pa.array(parts, pa.int32()), "chunk": pa.array(chunk, pa.int64()), "data": pa.array(data, pa.binary())})
 
 
+#: All that a chunk knows, in one row: its state and the tables' answers so far.
+KNOWN = "chunk long, data binary"
+
+
+def closed(tables: list[pa.Table]) -> pa.Table:
+    """Rows (ROWS) of one chunk as one row (KNOWN)."""
+    used = [t.select(["kind", "p", "chunk", "data"]) for t in tables if t.num_rows]  # a chunk without answers has a table without columns
+    whole, sink = pa.concat_tables(used), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, whole.schema) as writer:
+        writer.write_table(whole)
+    return pa.table({"chunk": pa.array([whole["chunk"][0].as_py()], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def opened(data: pa.Scalar) -> pa.Table:
+    """The rows of closed()."""
+    return pa.ipc.open_stream(data.as_buffer()).read_all()
+
+
 def read_chunks(rows: DataFrame, n_parts: int, limit: int) -> DataFrame:
     """Of rows (id, text, held) a state for each chunk (ids, sizes and tokens as places among its distinct words) and its request to
     each partition of the word table: its words in that range of hashes, with their training counts."""
@@ -400,7 +418,8 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "
     mass of the words seen after h), so that each context sums to one; unigrams back off to one unknown word in the same way.
     A context that was never seen leaves all to the order below.
 
-    A round of requests for each order, each a shuffle of distinct entries of chunks by partition and of answers by chunk; tables and
+    A round of requests for each order, each a shuffle of distinct entries of chunks by partition and of answers by chunk, which a chunk
+    takes up into its one row; all is written once, and what a round was made from is deleted once it is. Tables and
     tallies of any size take the same path. Sums of contexts that are dealt over partitions are added up, and go to all tasks: fewer
     than four a partition and order. Words are told apart by a hash of 64 bits. Null texts are empty (one closing token), rows
     that repeat are learned from and scored each; an empty table gives no rows; without rows to learn from all words are
@@ -413,39 +432,29 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "
     id_type = dict(rows.dtypes)["id"]
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_parts = max(shuffle_partitions(spark), blocks(size, BYTES_PER_PARTITION))
-    chunks = stored(read_chunks(rows, n_parts, chunk_bytes), "chunks")
-    words = stored(chunks.filter("kind = 'words'").groupBy("p").applyInArrow(word_table, ROWS), "words")
+    chunks = materialize(read_chunks(rows, n_parts, chunk_bytes), "chunks", blobs=True)
+    words = materialize(chunks.filter("kind = 'words'").groupBy("p").applyInArrow(word_table, ROWS), "words", blobs=True)
     tally = sum((np.frombuffer(r.data, np.int64).astype(object) for r in words.filter("kind = 'tally'").select("data").collect()), np.zeros(K + 4, object))
     d = [discounts(np.array([0, *tally[3:]], float))]
     total = int(tally[1])
     left = 1 - (float(tally[2]) + float(np.array(tally[3 : 3 + K], float) @ (d[0][1:] * np.arange(1, K + 1)))) / (total + 1)
     unigrams = Unigrams(int(tally[0]), total, d[0], left, n_parts)
-    # dealt by chunk once; all rounds read it there, and what it was made from goes
     both = chunks.filter("kind = 'state'").unionByName(words.filter("kind = 'answer'"))
-    known = stored(both.repartition(shuffle_partitions(spark), "chunk"), "known")
+    known = materialize(both.groupBy("chunk").applyInArrow(lambda own: closed([own]), KNOWN), "known-1", blobs=True)
     discard(chunks)
     discard(words)
-    none = known.filter("false")
-    counts, answers = none, none
 
     def round_of(n: int, below: np.ndarray) -> DataFrame:
-        asking = lambda own, found: ask(Chunk([own, found], unigrams, n), own["chunk"][0].as_py(), n)
-        answering = lambda group: gram_table(group, n, unigrams, below, n == order)
-        if n == 2:
-            asked = known.groupBy("chunk").applyInArrow(lambda own: ask(Chunk([own], unigrams, n), own["chunk"][0].as_py(), n), ROWS)
-        else:
-            asked = known.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(asking, ROWS)
-        return stored(asked.groupBy("p").applyInArrow(answering, ROWS), f"order {n}")
+        def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for key, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+                    yield from ask(Chunk([opened(data)], unigrams, n), key, n).to_batches()
 
-    for n in range(2, order + 1):
-        counted = round_of(n, d[-1])
-        d.append(discounts(np.array([0, *sum((np.frombuffer(r.data, np.int64) for r in counted.filter("kind = 'tally'").select("data").collect()), np.zeros(K + 1, np.int64))], float)))
-        counts = counts.unionByName(counted.filter(F.col("kind") == f"counts{n}")) if n > 2 else counted.filter(F.col("kind") == f"counts{n}")
-        weighed = weights(counted, n, d[-1])
-        answers = answers.unionByName(weighed) if n > 2 else weighed
+        answering = lambda group: gram_table(group, n, unigrams, below, n == order)
+        return materialize(known.mapInArrow(asking, ROWS).groupBy("p").applyInArrow(answering, ROWS), f"order-{n}", blobs=True)
 
-    def gather(own: pa.Table, found: pa.Table) -> pa.Table:
-        chunk = Chunk([own, found], unigrams, order)
+    def gather(own: pa.Table, found: pa.Table | None = None) -> pa.Table:
+        chunk = Chunk([opened(own["data"][0]), *([] if found is None else [found])], unigrams, order)
         n, count = len(chunk.held), chunk.levels[0].c[chunk.place]
         base = sums(np.log10((count + 1) / (unigrams.total + unigrams.words + 1)), chunk.row, n)
         return pa.table(
@@ -454,4 +463,16 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "
         )
 
     schema = f"{id_col} {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return known.groupBy("chunk").cogroup(counts.unionByName(answers).groupBy("chunk")).applyInArrow(gather, schema)
+    for n in range(2, order + 1):
+        counted = round_of(n, d[-1])
+        d.append(discounts(np.array([0, *sum((np.frombuffer(r.data, np.int64) for r in counted.filter("kind = 'tally'").select("data").collect()), np.zeros(K + 1, np.int64))], float)))
+        answers = counted.filter(F.col("kind") == f"counts{n}").unionByName(weights(counted, n, d[-1]))
+        met = known.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+        if n == order:
+            return met.applyInArrow(gather, schema)
+        # a chunk takes an order's answers up into its state, and what they were made from goes
+        after = materialize(met.applyInArrow(lambda own, found: closed([opened(own["data"][0]), found]), KNOWN), f"known-{n}", blobs=True)
+        discard(known)
+        discard(counted)
+        known = after
+    return known.groupBy("chunk").applyInArrow(lambda own: gather(own), schema)  # of one argument, else the first were the key

@@ -61,13 +61,25 @@ def scope() -> Iterator[None]:
             discard(df)
 
 
-def materialize(df: DataFrame, name: str, rows: int | None = None, keep: bool = False) -> DataFrame:
+#: How rows of a megabyte are written: sizes are looked at after each row, and nothing is compressed twice.
+BLOBS = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(1 << 24), "parquet.enable.dictionary": "false", "compression": "none"}
+#: What lets the engine delete the shuffle files of a query once it has ended.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None, keep: bool = False, blobs: bool = False, clean: bool = False) -> DataFrame:
     """Writes df once as Parquet in the shared folder and returns the table read back from there.
 
     Where about how many rows there are is known, they are dealt to files of ROWS_PER_FILE; the stages before run in all their tasks.
+    clean: what was shuffled for them is deleted as soon as they are written. blobs: so it is, and rows are large and compressed.
     """
-    path = new_path(df.sparkSession, name)
-    (df if rows is None else df.repartition(blocks(rows, ROWS_PER_FILE))).write.parquet(path)
+    path, spark = new_path(df.sparkSession, name), df.sparkSession
+    before = spark.conf.get(FILE_CLEANUP, "false")
+    spark.conf.set(FILE_CLEANUP, "true" if clean or blobs else before)
+    try:
+        (df if rows is None else df.repartition(blocks(rows, ROWS_PER_FILE))).write.options(**(BLOBS if blobs else {})).parquet(path)
+    finally:
+        spark.conf.set(FILE_CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out if keep else _owned(out)
