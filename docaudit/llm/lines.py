@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.llm.graph import as_edges, components
-from docaudit.llm.storage import free_name, join_apart, materialize
+from docaudit.llm.storage import discard, free_name, join_apart, materialize
 
 #: Edits between near-duplicate lines; lines of fewer than least_chars(edits) characters are compared for equality only.
 MAX_EDITS = 1
+#: Longs that the bits of indexed segments are kept in.
+SIFT_WORDS = 1 << 21
 #: Lines of a hot key in a part that meets other parts in a task of its own.
 LINES_A_PART = 1024
 #: (least characters, edits): edits by the length of the shorter line, one more for every 100 characters, up to 4.
@@ -45,13 +47,13 @@ def length_classes(edits: int | Sequence[tuple[int, int]]) -> list[tuple[int, in
     return [(lo, hi, e) for (lo, e), hi in zip(steps, [*(lo for lo, _ in steps[1:]), 1 << 30], strict=True)]
 
 
-def probe_keys(lines: DataFrame, classes: list[tuple[int, int, int]]) -> DataFrame:
+def probe_keys(lines: DataFrame, classes: list[tuple[int, int, int]], indexed_only: bool = False) -> DataFrame:
     """h, key: hashes of (class, segment, indexed length, substring) of every line. A line probes the classes of all lines that it can
-    be the longer one of a pair with, each only at the lengths of its class."""
+    be the longer one of a pair with, each only at the lengths of its class. indexed_only leaves the line's own segments."""
     length, none, wanted = F.col("chars"), F.array().cast("array<bigint>"), []
     for c, (lo, hi, e) in enumerate(classes):
         keys = []
-        for d, i, shift in probes(e):
+        for d, i, shift in [(0, i, 0) for i in range(e + 1)] if indexed_only else probes(e):
             indexed = length - d
             start, size = segment(indexed, F.lit(i), F.lit(e + 1))
             key = F.xxhash64(F.lit(c), F.lit(i), indexed, F.col("line").substr(start + shift, size))
@@ -62,6 +64,18 @@ def probe_keys(lines: DataFrame, classes: list[tuple[int, int, int]]) -> DataFra
     return own.select("h", F.explode_outer(wanted[0] if len(wanted) == 1 else F.concat(*wanted)).alias("key")).filter("key is not null")
 
 
+def sifted(keyed: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Of keys those that may be an indexed segment's: both lines of a pair have a key that is a segment of the shorter one.
+
+    The indexed keys are kept as bits of SIFT_WORDS longs, a table of that size at most, whatever the corpus, which goes to all tasks. Bits
+    that keys share, more of them the more lines there are, let further keys through, which then meet nobody.
+    """
+    word, bit = F.pmod("key", F.lit(SIFT_WORDS)), F.pmod(F.shiftright("key", 32), F.lit(64)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    table = indexed.groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits"))
+    return keyed.withColumn("word", word).join(F.broadcast(table), "word").filter(F.col("bits").bitwiseAND(one) != 0).select("h", "key")
+
+
 def least_chars(edits: int) -> int:
     return (edits + 1) * (edits + 2)
 
@@ -118,7 +132,7 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     and names it. Empty (or shorter) lines, and lines of null texts, are in no class. Null ids come first; rows that
     repeat with their id share their lines' fate; an empty table gives no rows; other columns are ignored.
 
-    Lines are cut at line feeds. Keys of segments and probes meet in one grouping with partial minima and maxima; only keys
+    Lines are cut at line feeds. Keys that cannot be a segment of any line are sifted out before they are written; the others meet in one grouping with partial minima and maxima; only keys
     under which different lines meet are looked at again. Each line is held against the commonest line of its key, and, where
     that leaves several components under a key, those outside the greatest against the others, in parts within the join itself,
     so that only confirmed links leave it. Joins of all lines are sort-merge joins at every size.
@@ -131,10 +145,12 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     rows = whole.select("id", "th", F.posexplode_outer("parts").alias("line_no", "line")).withColumn("chars", F.char_length("line"))
     lines = rows.filter(F.col("chars") >= (min_chars or 1)).withColumn("h", F.xxhash64("line"))
     occurrences = lines.select("id", "th", "line_no", "h", F.xxhash64(F.lit(1), "line").alias("g"))
-    keyed = probe_keys(lines.filter(F.col("chars") >= least), classes)
+    long = lines.filter(F.col("chars") >= least)
+    keyed = materialize(sifted(probe_keys(long, classes), probe_keys(long, classes, indexed_only=True)), "keys", clean=True)
     shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
     # counted by the complement of the key, so that the join's partitions need not stay whole
-    members = materialize(join_apart(keyed, shared, "key").groupBy(F.bitwise_not(F.col("key")).alias("key"), "h").agg(F.count(F.lit(1)).alias("copies")), "members")
+    members = materialize(join_apart(keyed, shared, "key").groupBy(F.bitwise_not(F.col("key")).alias("key"), "h").agg(F.count(F.lit(1)).alias("copies")), "members", clean=True)
+    discard(keyed)
     nodes = members.select("h").distinct()
     # the first occurrence of each line, by partial minima; then only the lines asked for leave their documents
     firsts = occurrences.groupBy("h", "g").agg(F.min(F.struct("id", "th", "line_no")).alias("at")).join(nodes.hint("merge"), "h")
@@ -142,7 +158,7 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     found = whole.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th")))
     own = F.transform("asked", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"), F.get(F.col("parts"), x["line_no"]).alias("line")))
     texts = found.select(own.alias("own")).select(F.inline_outer("own")).dropDuplicates(["h", "g"])
-    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "lines")  # numbered as they are written
+    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "lines", clean=True)  # numbered as they are written
 
     def close(a: Column, b: Column) -> Column:
         shorter, allowed = F.least(F.char_length(a), F.char_length(b)), F.lit(0)
@@ -154,7 +170,8 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
 
     side = lambda c: texts.select(F.col("h").alias(c), F.col("node").alias(f"n_{c}"), F.col("line").alias(f"l_{c}")).hint("merge")
     reps = members.groupBy("key").agg(F.max(F.struct("copies", "h")).alias("rep"), F.count(F.lit(1)).alias("m")).select("key", "m", F.col("rep.h").alias("rep"))
-    starred = materialize(join_apart(members, reps, "key").select("key", "m", "rep", "h"), "starred")
+    starred = materialize(join_apart(members, reps, "key").select("key", "m", "rep", "h"), "starred", clean=True)
+    discard(members)
     stars = starred.filter("h <> rep").select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct()
     first = stars.join(side("a"), "a").join(side("b"), "b").filter(close(F.col("l_a"), F.col("l_b"))).select(F.col("n_a").alias("u"), F.col("n_b").alias("v"))
     labels = components(first)
@@ -163,7 +180,7 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     counted = several.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     open_keys = counted.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     open_keys = open_keys.select("key", F.col("most.label").alias("main"), F.ceil((F.col("m") - F.col("most.n")) / LINES_A_PART).cast("long").alias("asking"), F.ceil(F.col("m") / LINES_A_PART).cast("long").alias("parts"))
-    several = materialize(join_apart(several, open_keys, "key"), "open")
+    several = materialize(join_apart(several, open_keys, "key"), "open", clean=True)
     # lines outside a key's greatest component against all of the key, in parts that meet in tasks of their own
     place = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n)
     probe = F.col("label") != F.col("main")
@@ -178,7 +195,7 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     named = occurrences.join(final.select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), "label"), ["h", "g"], "left")
     named = named.select("id", "th", "line_no", F.coalesce("label.h", "h").alias("h"), F.coalesce("label.g", "g").alias("g"))
     # stored, so that the join below has an exchange of its own on either side, which the engine can split for a common line
-    heads = materialize(named.groupBy("h", "g").agg(F.min(F.struct("id", "line_no")).alias("head")), "heads")
+    heads = materialize(named.groupBy("h", "g").agg(F.min(F.struct("id", "line_no")).alias("head")), "heads", clean=True)
     out = named.join(heads, ["h", "g"])
     kept = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("line_no") == F.col("head.line_no"))
     return out.select(F.col("id").alias(id_col), "th", "line_no", F.col("head.id").alias("class_id"), F.col("head.line_no").alias("class_line_no"), kept.alias("kept"))
