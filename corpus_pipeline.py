@@ -30,11 +30,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines, and documents that nothing is left of; n_chars follows the text.
 
-    Of near lines the first by id and place stays, null ids first. Documents that lose nothing stay, null and empty texts too; rows
-    that repeat with their id share their fate.
+    Of near lines (up to 4 edits, by length) the first by id and place stays, null ids first. Documents that lose nothing stay, null
+    and empty texts too; rows that repeat with their id share their fate.
     """
     inner, named = shielded(docs, "doc_id", "text", "n_chars")
-    out = lines.drop_repeated_lines(inner)
+    out = lines.drop_repeated_lines(inner, lines.BY_LENGTH)
     out = out.filter((F.col("lines_removed") == 0) | (F.length(F.trim(F.translate("text", "\n\t\r", ""))) > 0))
     return named(out.withColumn("n_chars", F.char_length("text").cast("long")))
 

@@ -884,7 +884,9 @@ def test_pipeline(spark, tmp_path):
 
     texts = [(i, prose(80) + "\n" + prose(40)) for i in range(20)]
     item = prose(25) + "."
-    rows = texts + [(100, texts[0][1]), (101, prose(60) + " " + item + " " + prose(60)), (102, None), (103, "123 456"), (104, ""), (105, texts[1][1].replace("the", "teh", 1))]
+    # 105 is a copy with two edits in one long line, 106 one with a word changed in each line, too many edits for lines but not for shingles
+    changed = "\n".join(" ".join([*line.split()[:-1], "entirelyother"]) for line in texts[2][1].split("\n"))
+    rows = texts + [(100, texts[0][1]), (101, prose(60) + " " + item + " " + prose(60)), (102, None), (103, "123 456"), (104, ""), (105, texts[1][1].replace("the", "teh", 1)), (106, changed)]
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
@@ -893,8 +895,9 @@ def test_pipeline(spark, tmp_path):
         if name != "best_fit_packing":
             assert out.columns == docs.columns
         docs, seen[name] = out, set(ids(out))
-    assert seen["language_id"] == set(range(20)) | {100, 101, 105}
-    assert seen["line_dedup"] == set(range(20)) | {101, 105}
+    assert seen["language_id"] == set(range(20)) | {100, 101, 105, 106}
+    assert seen["line_dedup"] == set(range(20)) | {101, 106}
+    assert seen["minhash_near_dedup"] == set(range(20)) | {101}
     assert seen["benchmark_decontamination"] == seen["minhash_near_dedup"] - {101}
     assert seen["best_fit_packing"] >= set(range(20))
     assert set(ids(corpus_pipeline.run(spark, str(tmp_path)))) == seen["best_fit_packing"]
@@ -916,7 +919,7 @@ def test_query_matches_sql(spark, tmp_path, name):
     own = [(i, x, "en", "s", 1) for i, x in enumerate([*texts, None, "", BASE[0] * 3, BASE[0] + "é" * 80])]
     spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    vectors(spark, [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(120)]).select("vec_id", "embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    vectors(spark, [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(120)]).select("vec_id", "embedding", (F.col("vec_id") % 3).cast("int").alias("label")).write.parquet(str(tmp_path / "embeddings.parquet"))
     for at in [str(tmp_path)] + ["/root/testdata/sf0.001"] * os.path.isdir("/root/testdata/sf0.001"):
         con = duckdb.connect()
         for table in ("documents", "pages", "embeddings"):
