@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docaudit.llm.storage import blocks, stored
+from docaudit.llm.storage import blocks, materialize, stored
 
 N_PIVOTS, SAMPLE = 56, 4096
 QUERIES_PER_BLOCK, CANDIDATES_PER_BLOCK, STEP = 1024, 8192, 256
@@ -114,7 +114,8 @@ def exact_top_k(embeddings: DataFrame, is_query, k: int = 5, id_col: str = "vec_
     candidate, but other rows of its id are; rows that repeat are queries and candidates each. Equal scores go to the smaller
     id; scores beyond the range of long are the nearest long; an empty table gives no rows; other columns are ignored. An accumulator `evaluated` is given the number of evaluations.
     """
-    numbered = quantised(embeddings, id_col, vector_col, factor).withColumn("row", F.monotonically_increasing_id())
+    # written once: a row keeps its number whatever is computed again
+    numbered = materialize(quantised(embeddings, id_col, vector_col, factor).withColumn("row", F.monotonically_increasing_id()), "vectors")
     sample = numbered.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     by_dim: dict[int, list] = {}
     for r in sample:
