@@ -226,7 +226,7 @@ def percent(part: Column, total: Column) -> Column:
 
 def score(part: Column, total: Column) -> Column:
     """Whole score from 0 to 100, half to even; 0 of nothing."""
-    return F.when(total > 0, F.bround(part * 100 / total, 0)).otherwise(0).cast("int")
+    return F.when(total > 0, half_even(part / total * 100, 0)).otherwise(0.0).cast("int")
 
 
 def clamp(c: Column, low: float, high: float) -> Column:

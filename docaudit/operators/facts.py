@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.functions.text import clean_font_name, is_chapter, is_upper, non_blank_lines, numbered_heading, points_to_cm, points_to_mm, strip, token_count, without_number, word_count
+from docaudit.operators.numbering import free_name
 from docaudit.plans.profiles import HEADING_LINE, INTRODUCTION, INTRODUCTION_TEXT, MAIN_PART, TITLE_PAGE, TITLE_WORDS_PAGES, TITLE_WORDS_PARAGRAPHS
 
 PARAGRAPHS = "doc_id string, para_num int, text string, style_name string, runs array<struct<bold:boolean,font_name:string,size_pt:double>>, line_spacing double, first_line_indent_cm double"
@@ -55,7 +56,8 @@ def capture(rows: DataFrame, keys: list[str], position: str, on: Column, off: Co
     """Rows inside captured stretches: `on` switches capture on (its row counts), else `off` switches it off."""
     window = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     state = F.last(F.when(on, True).when(off, False), ignorenulls=True).over(window)
-    return rows.withColumn("__on", state).filter(F.coalesce("__on", F.lit(False))).drop("__on")
+    on_now = free_name(rows, "on_now")
+    return rows.withColumn(on_now, state).filter(F.coalesce(on_now, F.lit(False))).drop(on_now)
 
 
 def introduction_of(text: Column, pattern: str = INTRODUCTION_TEXT, fallback: int = 1000) -> Column:
@@ -108,7 +110,11 @@ def anchored_starts(rows: DataFrame, key: str, value: str, tie: str, threshold:
 
 
 def paragraph_facts(paragraphs: DataFrame, sections: DataFrame) -> DataFrame:
-    """Facts of documents given as paragraphs and sections (DOCX)."""
+    """Facts of documents given as paragraphs and sections (DOCX).
+
+    Documents have as many pages as sections; those without a section have no facts, those without paragraphs empty ones. Blank and
+    null paragraphs count for nothing but their number; paragraphs that repeat with their number count each.
+    """
     key = ["doc_id"]
     rows = paragraphs.withColumn("bare", strip(F.coalesce("text", F.lit("")))).filter("bare <> ''")
     low = F.lower("bare")

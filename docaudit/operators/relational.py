@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docaudit.operators.numbering import numbered
+from docaudit.operators.numbering import free_name, numbered
 
 
 class NotFoundError(LookupError):
@@ -69,8 +69,10 @@ def through_chain(rows: DataFrame, middle: DataFrame, top: DataFrame, to_middle:
 
 
 def with_lookup(rows: DataFrame, table: DataFrame, key: str, value: str, default: Any, name: str) -> DataFrame:
-    """A looked-up value, or the default where there is none."""
-    return rows.join(table.select(key, F.col(value).alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(default)))
+    """A looked-up value, or the default where there is none. Of several values of a key the greatest counts, so no row is doubled; a null
+    key has the default."""
+    own = table.groupBy(key).agg(F.max(value).alias(name))
+    return rows.join(own, key, "left").withColumn(name, F.coalesce(name, F.lit(default)))
 
 
 def with_children(parents: DataFrame, children: DataFrame, key: str, order: str, fields: list[str], name: str) -> DataFrame:
@@ -95,7 +97,8 @@ def insertable(new: DataFrame, old: DataFrame, keys: list[str], bypass: Column |
     free = new.filter(~bypass) if bypass is not None else new
     free = free.join(old.select(*keys).distinct(), null_safe(free, old, keys), "left_anti")
     window = Window.partitionBy(*keys).orderBy(*new.columns)
-    free = free.withColumn("__n", F.row_number().over(window)).filter("__n = 1").drop("__n")
+    place = free_name(free, "place")
+    free = free.withColumn(place, F.row_number().over(window)).filter(F.col(place) == 1).drop(place)
     return free.unionByName(new.filter(bypass)) if bypass is not None else free
 
 
@@ -119,19 +122,28 @@ def get_or_create(table: DataFrame, wanted: DataFrame, key: str, id_col: str) ->
     return table.unionByName(numbered(missing, [key], id_col, after=top or 0), allowMissingColumns=True)
 
 
+def _with_changes(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, str]:
+    """The table with a struct of these columns of its change, and the struct's name. Of several changes of a key the greatest counts, so
+    no row is doubled."""
+    new = free_name(table, "new")
+    return table.join(changes.groupBy(key).agg(F.max(F.struct(*columns)).alias(new)), key, "left"), new
+
+
 def update(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The table with these columns of rows with a change replaced, nulls included."""
-    new = changes.select(key, F.struct(*columns).alias("__new"))
-    joined = table.join(new, key, "left")
-    return joined.withColumns({c: F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)) for c in columns}).select(*table.columns)
+    """The table with these columns of rows with a change replaced, nulls included.
+
+    Rows of the table that repeat a key are all changed; of several changes of a key the greatest counts, and those of keys that the
+    table lacks, or of null, do nothing.
+    """
+    joined, new = _with_changes(table, changes, key, columns)
+    return joined.withColumns({c: F.when(F.col(new).isNotNull(), F.col(f"{new}.{c}")).otherwise(F.col(c)) for c in columns}).select(*table.columns)
 
 
 def update_sparse(table: DataFrame, changes: DataFrame, key: str, columns: list[str], mask: str = "set_columns") -> DataFrame:
     """As update, but of each change only the columns that its array `mask` names: null and not set differ."""
-    new = changes.select(key, F.struct(mask, *columns).alias("__new"))
-    joined = table.join(new, key, "left")
-    chosen = lambda c: F.coalesce(F.array_contains(F.col(f"__new.{mask}"), c), F.lit(False))
-    return joined.withColumns({c: F.when(chosen(c), F.col(f"__new.{c}")).otherwise(F.col(c)) for c in columns}).select(*table.columns)
+    joined, new = _with_changes(table, changes, key, [mask, *columns])
+    chosen = lambda c: F.coalesce(F.array_contains(F.col(f"{new}.{mask}"), c), F.lit(False))
+    return joined.withColumns({c: F.when(chosen(c), F.col(f"{new}.{c}")).otherwise(F.col(c)) for c in columns}).select(*table.columns)
 
 
 def set_where(table: DataFrame, column: str, value: Any, condition: Column) -> DataFrame:

@@ -18,6 +18,7 @@ from docaudit.plans import api
 from docaudit.plans.catalogue import FACTS, REPORT, SQL, paragraphs_of, query, t
 from docaudit.plans.profiles import CHECKED, COMPLIANT, CORPUS, LOADED, RETURNED, STATUSES, TRANSITIONS, UNDER_WAY, Rule
 from docaudit.sources import docx_source
+from docaudit.sources.reports import STARTED
 from docaudit.sources.versions import VersionedTables
 from docaudit.sources.workspace import new_folder
 from docaudit.streaming import checks
@@ -181,7 +182,21 @@ def rule_table_export(spark, sf_dir):
     return rt.exported(rules_of(spark, sf_dir))
 
 
-# Dense keys
+# Dense keys, guarded appends
+
+
+@query(
+    """WITH old AS (SELECT o_orderkey AS document_id, 1 AS kind FROM orders), new AS (SELECT DISTINCT l_orderkey AS document_id, l_linenumber AS kind, l_returnflag = 'A' AS started FROM lineitem)
+SELECT document_id, kind, NULL AS result FROM old UNION ALL SELECT l_orderkey, l_linenumber, '{"status":"analyzing"}' FROM lineitem WHERE l_returnflag = 'A'
+UNION ALL SELECT document_id, kind, 'done' FROM new WHERE NOT started AND NOT (kind = 1 AND document_id IN (SELECT document_id FROM old))"""
+)
+def unique_append_bypass(spark, sf_dir):
+    """Checks under way are let in unchecked; of the others only those whose key is free, once each."""
+    old = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("result"))
+    result = F.when(F.col("l_returnflag") == "A", STARTED).otherwise("done")
+    new = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("kind"), result.alias("result"))
+    return rel.append_unique(old, new, ["document_id", "kind"], bypass=F.col("result") == STARTED)
+
 
 
 @query(

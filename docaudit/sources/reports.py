@@ -22,6 +22,6 @@ def as_json(reports: DataFrame, name: str = "result") -> DataFrame:
     return reports.select("doc_id", F.to_json(F.struct(*[c for c in reports.columns if c != "doc_id"]), {"ignoreNullFields": "false"}).alias(name))
 
 
-def starting_checks(documents: DataFrame, standard_id: int) -> DataFrame:
+def starting_checks(documents: DataFrame, standard_id: int, key: str = "document_id") -> DataFrame:
     """New checks that are under way."""
-    return documents.select("document_id", F.lit(standard_id).alias("standart_id"), F.current_timestamp().alias("checked_at"), F.lit(STARTED).alias("result"))
+    return documents.select(key, F.lit(standard_id).alias("standart_id"), F.current_timestamp().alias("checked_at"), F.lit(STARTED).alias("result"))

@@ -113,6 +113,28 @@ def test_a_check_is_stored_whole(spark, tmp_path):
     assert store.read("mistakes").filter("doc_id = 0").count() == sum(1 for r in json.loads(store.read("evaluations").filter("doc_id = 0").toJSON().first())["results"] if not r["is_passed"] and r["severity"] != "info")
 
 
+def test_a_document_is_checked_again(spark, tmp_path):
+    store, docs = VersionedTables(spark, f"file://{tmp_path}/t"), documents(spark, range(3))
+    for some in (docs, docs.filter("doc_id = 1")):
+        with store.transaction() as t:
+            t.append("checks", checks.starting_checks(some, 1, "doc_id").withColumn("score", F.lit(None).cast("int")))
+            t.overwrite("documents", docs.select("doc_id", F.lit(UNDER_WAY).alias("status"), F.lit(None).cast("int").alias("score")))
+        checks.finish(store, facts(some), CORPUS)
+    rows = store.read("checks").collect()
+    assert len(rows) == 4 and all(json.loads(r.result)["total_checks"] == len(CORPUS) for r in rows)
+    assert store.read("evaluations").count() == 4 and store.read("documents").count() == 3
+
+
+def test_changes_that_repeat_double_no_row(spark):
+    from docaudit.operators import relational as rel
+
+    table = spark.createDataFrame([(1, "a", "n"), (1, "b", "n"), (2, "c", "n"), (None, "d", "n")], "k int, v string, new string")
+    changes = spark.createDataFrame([(1, "x", ["v"]), (1, "y", ["v"]), (9, "z", ["v"]), (None, "w", ["v"])], "k int, v string, set_columns array<string>")
+    for f in (rel.update, rel.update_sparse):
+        assert sorted(map(str, f(table, changes, "k", ["v"]).collect())) == sorted(map(str, spark.createDataFrame([(1, "y", "n"), (1, "y", "n"), (2, "c", "n"), (None, "d", "n")], table.schema).collect()))
+    assert sorted((r.v, r.name) for r in rel.with_lookup(table, changes, "k", "set_columns", [], "name").select("v", F.array_join("name", "").alias("name")).collect()) == [("a", "v"), ("b", "v"), ("c", ""), ("d", "")]
+
+
 def stored(store):
     return {name: sorted(store.read(name).drop("checked_at").toJSON().collect()) for name in ("evaluations", "scores", "mistakes")}
 
