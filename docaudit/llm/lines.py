@@ -50,17 +50,18 @@ def length_classes(edits: int | Sequence[tuple[int, int]]) -> list[tuple[int, in
 def probe_keys(lines: DataFrame, classes: list[tuple[int, int, int]], indexed_only: bool = False) -> DataFrame:
     """h, key: hashes of (class, segment, indexed length, substring) of every line. A line probes the classes of all lines that it can
     be the longer one of a pair with, each only at the lengths of its class. indexed_only leaves the line's own segments."""
-    length, none, wanted = F.col("chars"), F.array().cast("array<bigint>"), []
+    # four bytes a character, so that a substring is found where it is without a look at what stands before it
+    length, wide, none, wanted = F.col("chars"), F.encode("line", "UTF-32"), F.array().cast("array<bigint>"), []
     for c, (lo, hi, e) in enumerate(classes):
         keys = []
         for d, i, shift in [(0, i, 0) for i in range(e + 1)] if indexed_only else probes(e):
             indexed = length - d
             start, size = segment(indexed, F.lit(i), F.lit(e + 1))
-            key = F.xxhash64(F.lit(c), F.lit(i), indexed, F.col("line").substr(start + shift, size))
+            key = F.xxhash64(F.lit(c), F.lit(i), indexed, F.col("wide").substr(4 * (start + (shift - 1)) + 1, 4 * size))
             keys.append(key if len(classes) == 1 else F.when((indexed >= lo) & (indexed < hi), key))
         wanted.append(F.array(*keys) if len(classes) == 1 else F.when((length >= lo) & (length < hi + e), F.array(*keys)).otherwise(none))
     # a single class also probes lengths below its own, which no line has
-    own = lines.filter(length >= classes[0][0])
+    own = lines.filter(length >= classes[0][0]).select("h", "chars", F.inline(F.array(F.struct(wide.alias("wide")))))  # encoded once a line
     return own.select("h", F.explode_outer(wanted[0] if len(wanted) == 1 else F.concat(*wanted)).alias("key")).filter("key is not null")
 
 
@@ -80,6 +81,15 @@ def least_chars(edits: int) -> int:
     return (edits + 1) * (edits + 2)
 
 
+def parity(line: Column) -> Column:
+    """A bit for each of 64 groups of pairs of neighbouring characters: whether the line has an odd number of them. An edit changes four
+    pairs at most."""
+    chars = F.split(line, "")
+    code = lambda c: F.coalesce(F.ascii(c), F.lit(0))
+    groups = F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda x, y: (code(x) * 31 + code(y)) % 64)
+    return F.aggregate(groups, F.lit(0).cast("long"), lambda bits, g: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), g)))
+
+
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """Edit distance of two lines if it is at most edits, else something greater, by bit-parallel columns of 2 * edits + 1 rows.
 
@@ -133,7 +143,7 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     repeat with their id share their lines' fate; an empty table gives no rows; other columns are ignored.
 
     Lines are cut at line feeds. Keys that cannot be a segment of any line are sifted out before they are written; the others meet in one grouping with partial minima and maxima; only keys
-    under which different lines meet are looked at again. Each line is held against the commonest line of its key, and, where
+    under which different lines meet are looked at again. Pairs whose parities of neighbouring characters are too far apart are left at once. Each line is held against the commonest line of its key, and, where
     that leaves several components under a key, those outside the greatest against the others, in parts within the join itself,
     so that only confirmed links leave it. Joins of all lines are sort-merge joins at every size.
     """
@@ -158,24 +168,25 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     found = whole.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th")))
     own = F.transform("asked", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"), F.get(F.col("parts"), x["line_no"]).alias("line")))
     texts = found.select(own.alias("own")).select(F.inline_outer("own")).dropDuplicates(["h", "g"])
-    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "lines", clean=True)  # numbered as they are written
+    texts = materialize(texts.withColumn("parity", parity(F.col("line"))).withColumn("node", F.monotonically_increasing_id()), "lines", clean=True)  # numbered as they are written
 
-    def close(a: Column, b: Column) -> Column:
+    def close(x: str, y: str) -> Column:
+        a, b, p, q = (F.col(c) for c in (f"l_{x}", f"l_{y}", f"p_{x}", f"p_{y}"))
         shorter, allowed = F.least(F.char_length(a), F.char_length(b)), F.lit(0)
         for lo, _, e in classes:
             allowed = F.when(shorter >= lo, e).otherwise(allowed)
         # at twice the edits the built-in only spares far pairs the exact answer, which the banded columns give
         rough = F.levenshtein(a, b, 2 * most) >= 0
-        return (F.abs(F.char_length(a) - F.char_length(b)) <= allowed) & rough & (banded_distance(a, b, most) <= allowed)
+        return (F.abs(F.char_length(a) - F.char_length(b)) <= allowed) & (F.bit_count(p.bitwiseXOR(q)) <= 4 * allowed) & rough & (banded_distance(a, b, most) <= allowed)
 
-    side = lambda c: texts.select(F.col("h").alias(c), F.col("node").alias(f"n_{c}"), F.col("line").alias(f"l_{c}")).hint("merge")
+    side = lambda c: texts.select(F.col("h").alias(c), F.col("node").alias(f"n_{c}"), F.col("line").alias(f"l_{c}"), F.col("parity").alias(f"p_{c}")).hint("merge")
     reps = members.groupBy("key").agg(F.max(F.struct("copies", "h")).alias("rep"), F.count(F.lit(1)).alias("m")).select("key", "m", F.col("rep.h").alias("rep"))
     starred = materialize(join_apart(members, reps, "key").select("key", "m", "rep", "h"), "starred", clean=True)
     discard(members)
     stars = starred.filter("h <> rep").select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct()
-    first = stars.join(side("a"), "a").join(side("b"), "b").filter(close(F.col("l_a"), F.col("l_b"))).select(F.col("n_a").alias("u"), F.col("n_b").alias("v"))
+    first = stars.join(side("a"), "a").join(side("b"), "b").filter(close("a", "b")).select(F.col("n_a").alias("u"), F.col("n_b").alias("v"))
     labels = components(first)
-    label = texts.select("h", "line", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    label = texts.select("h", "line", "parity", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = starred.filter("m > 2").select("key", "h").join(label.hint("merge"), "h")
     counted = several.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     open_keys = counted.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
@@ -184,10 +195,10 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     # lines outside a key's greatest component against all of the key, in parts that meet in tasks of their own
     place = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n)
     probe = F.col("label") != F.col("main")
-    left = several.filter(probe).select("key", place(1, F.col("asking")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), F.col("node").alias("u"), F.col("label").alias("x"), F.col("line").alias("l_a"))
-    right = several.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("i"), place(2, F.col("parts")).alias("j"), F.col("node").alias("v"), F.col("label").alias("y"), F.col("line").alias("l_b"), probe.alias("asks"))
+    left = several.filter(probe).select("key", place(1, F.col("asking")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), F.col("node").alias("u"), F.col("label").alias("x"), F.col("line").alias("l_a"), F.col("parity").alias("p_a"))
+    right = several.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("i"), place(2, F.col("parts")).alias("j"), F.col("node").alias("v"), F.col("label").alias("y"), F.col("line").alias("l_b"), F.col("parity").alias("p_b"), probe.alias("asks"))
     once_each = ~F.col("asks") | (F.col("u") < F.col("v"))
-    second = left.join(right.hint("merge"), ["key", "i", "j"]).filter(once_each & (F.col("x") != F.col("y")) & close(F.col("l_a"), F.col("l_b"))).select("u", "v")
+    second = left.join(right.hint("merge"), ["key", "i", "j"]).filter(once_each & (F.col("x") != F.col("y")) & close("a", "b")).select("u", "v")
     found = components(as_edges(labels).unionByName(second))
     named_as = texts.select("node", F.struct("h", "g").alias("line"))
     final = found.join(named_as.hint("merge"), "node").join(named_as.select(F.col("node").alias("label"), F.col("line").alias("head_line")).hint("merge"), "label")
