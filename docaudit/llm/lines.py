@@ -168,25 +168,25 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     found = whole.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th")))
     own = F.transform("asked", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"), F.get(F.col("parts"), x["line_no"]).alias("line")))
     texts = found.select(own.alias("own")).select(F.inline_outer("own")).dropDuplicates(["h", "g"])
-    texts = materialize(texts.withColumn("parity", parity(F.col("line"))).withColumn("node", F.monotonically_increasing_id()), "lines", clean=True)  # numbered as they are written
+    texts = materialize(texts.withColumns({"parity": parity(F.col("line")), "chars": F.char_length("line")}).withColumn("node", F.monotonically_increasing_id()), "lines", clean=True)  # numbered as they are written
 
     def close(x: str, y: str) -> Column:
-        a, b, p, q = (F.col(c) for c in (f"l_{x}", f"l_{y}", f"p_{x}", f"p_{y}"))
-        shorter, allowed = F.least(F.char_length(a), F.char_length(b)), F.lit(0)
+        a, b, p, q, m, n = (F.col(f"{c}_{side}") for c in ("l", "p", "c") for side in (x, y))
+        shorter, allowed = F.least(m, n), F.lit(0)
         for lo, _, e in classes:
             allowed = F.when(shorter >= lo, e).otherwise(allowed)
         # at twice the edits the built-in only spares far pairs the exact answer, which the banded columns give
         rough = F.levenshtein(a, b, 2 * most) >= 0
-        return (F.abs(F.char_length(a) - F.char_length(b)) <= allowed) & (F.bit_count(p.bitwiseXOR(q)) <= 4 * allowed) & rough & (banded_distance(a, b, most) <= allowed)
+        return (F.abs(m - n) <= allowed) & (F.bit_count(p.bitwiseXOR(q)) <= 4 * allowed) & rough & (banded_distance(a, b, most) <= allowed)
 
-    side = lambda c: texts.select(F.col("h").alias(c), F.col("node").alias(f"n_{c}"), F.col("line").alias(f"l_{c}"), F.col("parity").alias(f"p_{c}")).hint("merge")
+    side = lambda c: texts.select(F.col("h").alias(c), F.col("node").alias(f"n_{c}"), F.col("line").alias(f"l_{c}"), F.col("parity").alias(f"p_{c}"), F.col("chars").alias(f"c_{c}")).hint("merge")
     reps = members.groupBy("key").agg(F.max(F.struct("copies", "h")).alias("rep"), F.count(F.lit(1)).alias("m")).select("key", "m", F.col("rep.h").alias("rep"))
     starred = materialize(join_apart(members, reps, "key").select("key", "m", "rep", "h"), "starred", clean=True)
     discard(members)
     stars = starred.filter("h <> rep").select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct()
     first = stars.join(side("a"), "a").join(side("b"), "b").filter(close("a", "b")).select(F.col("n_a").alias("u"), F.col("n_b").alias("v"))
     labels = components(first)
-    label = texts.select("h", "line", "parity", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    label = texts.select("h", "line", "parity", "chars", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = starred.filter("m > 2").select("key", "h").join(label.hint("merge"), "h")
     counted = several.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     open_keys = counted.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
@@ -195,8 +195,8 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     # lines outside a key's greatest component against all of the key, in parts that meet in tasks of their own
     place = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n)
     probe = F.col("label") != F.col("main")
-    left = several.filter(probe).select("key", place(1, F.col("asking")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), F.col("node").alias("u"), F.col("label").alias("x"), F.col("line").alias("l_a"), F.col("parity").alias("p_a"))
-    right = several.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("i"), place(2, F.col("parts")).alias("j"), F.col("node").alias("v"), F.col("label").alias("y"), F.col("line").alias("l_b"), F.col("parity").alias("p_b"), probe.alias("asks"))
+    left = several.filter(probe).select("key", place(1, F.col("asking")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), F.col("node").alias("u"), F.col("label").alias("x"), F.col("line").alias("l_a"), F.col("parity").alias("p_a"), F.col("chars").alias("c_a"))
+    right = several.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("i"), place(2, F.col("parts")).alias("j"), F.col("node").alias("v"), F.col("label").alias("y"), F.col("line").alias("l_b"), F.col("parity").alias("p_b"), F.col("chars").alias("c_b"), probe.alias("asks"))
     once_each = ~F.col("asks") | (F.col("u") < F.col("v"))
     second = left.join(right.hint("merge"), ["key", "i", "j"]).filter(once_each & (F.col("x") != F.col("y")) & close("a", "b")).select("u", "v")
     found = components(as_edges(labels).unionByName(second))
