@@ -212,4 +212,4 @@ def collocations(docs: DataFrame, max_n: int = 3, min_count: int = 10, top: int
     left = scored.join(longer.hint("merge"), (scored["lang"] == longer["lang"]) & (scored["phrase"] == longer["phrase"]) & (100 * longer["f"] >= share * scored["a"]), "left_anti")
     best = ranked(left, ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], top, "phrase")
     # a row a language, of a language's best only
-    return best.join(totals.hint("merge"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return best.join(totals.hint("merge"), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -188,7 +188,7 @@ scored AS (SELECT c.lang, c.size, c.phrase, c.a, l.f AS l, r.f AS r, CAST(100000
 longer AS (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM candidates WHERE size = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM candidates WHERE size = 3),
 ranked AS (SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored s
   WHERE i = 1 AND NOT EXISTS (SELECT 1 FROM longer x WHERE x.lang = s.lang AND x.phrase = s.phrase AND 100 * x.a >= 50 * s.a))
-SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
 
 
