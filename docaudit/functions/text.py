@@ -128,7 +128,10 @@ def half_even(c: Column, places: int) -> Column:
     size = F.abs(c.cast("double"))
     small, large = size < 2.0**-60, F.isnan(size) | (size >= 2.0**53)
     safe = F.when(small | large | size.isNull(), F.lit(1.0)).otherwise(size)
-    found = F.when(small, F.lit(0.0)).otherwise(_once(safe, rounded))
+    # away from a half the product with a power of ten, which is off by its last place at most, cannot be on the wrong side of it
+    scaled = size * ten
+    plain = (scaled < 2.0**40) & (F.abs(scaled - F.floor(scaled) - 0.5) > 0.001)
+    found = F.when(plain, F.floor(scaled + 0.5).cast("double") / F.lit(float(ten))).when(small, F.lit(0.0)).otherwise(_once(safe, rounded))
     return F.when(large | size.isNull(), c.cast("double")).otherwise(F.when(c < 0, -found).otherwise(found))
 
 
@@ -187,10 +190,10 @@ def number_text(c: Column) -> Column:
     size = F.abs(c.cast("double"))
     usual = (size >= 1e-5) & (size < 2.0**62)
     # whole numbers and what the engine writes with a few digits are the shortest as they are
-    java = F.regexp_replace(size.cast("string"), "^(?!.*E)(.*)$", "$1E0")
+    java = F.when(F.contains(size.cast("string"), F.lit("E")), size.cast("string")).otherwise(F.concat(size.cast("string"), F.lit("E0")))
     long = F.char_length(java) > 16
     exact = F.when(long & usual, _once(F.when(usual, size).otherwise(F.lit(1.0)), shortest)).when(long, fewer(size, java)).otherwise(java)
-    text = _once(exact, written)
+    text = F.when(~long & ~F.contains(size.cast("string"), F.lit("E")), size.cast("string")).otherwise(_once(exact, written))
     sign = F.when((c < 0) | (F.substring(c.cast("string"), 1, 1) == "-"), "-").otherwise("")
     return F.when(F.isnan(c), "nan").when(size == float("inf"), F.concat(sign, F.lit("inf"))).otherwise(F.concat(sign, text))
 
