@@ -466,6 +466,29 @@ def test_edits_grow_with_the_length(spark, tmp_path):
         lines.line_classes(frame(spark, rows), ((0, 1), (8, 2)))
 
 
+def nudged(line, edits):
+    out = list(line)
+    for _ in range(edits):
+        at, kind = rnd.randrange(len(out) + 1), rnd.randrange(3)
+        out[at : at + (kind > 0)] = [] if kind == 1 else [rnd.choice("abé z")]
+    return "".join(out)
+
+
+def test_parities_of_near_lines_are_near(spark):
+    pairs = [(x, nudged(x, e), e) for e in range(5) for x in (prose(12), "é" * 9, "a", "ab" * 30, prose(40))]
+    got = spark.createDataFrame(pairs, "a string, b string, e int").select("e", F.bit_count(lines.parity(F.col("a")).bitwiseXOR(lines.parity(F.col("b")))).alias("n")).collect()
+    assert all(r.n <= 4 * r.e for r in got) and any(r.n > 4 for r in got)
+
+
+def test_line_classes_with_a_full_table_of_bits(spark, monkeypatch):
+    base = [prose(n) for n in (3, 30, 60, 90)]
+    rows = [(i, "\n".join(nudged(x, rnd.randrange(4)) for x in base)) for i in range(12)]
+    found = lambda: sorted(map(tuple, lines.line_classes(frame(spark, rows), lines.BY_LENGTH).select("doc_id", "line_no", "class_id", "class_line_no").collect()))
+    sifted = found()
+    monkeypatch.setattr(lines, "SIFT_WORDS", 1)
+    assert found() == sifted and any(r[0] != r[2] for r in sifted)
+
+
 def test_repeated_lines_go(odd, none):
     got = {r.doc_id: r.text for r in lines.drop_repeated_lines(odd).collect()}
     texts = dict(ODD)
