@@ -68,13 +68,17 @@ def probe_keys(lines: DataFrame, classes: list[tuple[int, int, int]], indexed_on
 def sifted(keyed: DataFrame, indexed: DataFrame) -> DataFrame:
     """Of keys those that may be an indexed segment's: both lines of a pair have a key that is a segment of the shorter one.
 
-    The indexed keys are kept as bits of SIFT_WORDS longs, a table of that size at most, whatever the corpus, which goes to all tasks. Bits
-    that keys share, more of them the more lines there are, let further keys through, which then meet nobody.
+    The indexed keys are kept as bits of SIFT_WORDS longs in rows of 64, a table of that size at most, whatever the corpus, which goes
+    to all tasks. Bits that keys share, more of them the more lines there are, let further keys through, which then meet nobody.
     """
     word, bit = F.pmod("key", F.lit(SIFT_WORDS)), F.pmod(F.shiftright("key", 32), F.lit(64)).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    table = indexed.groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits"))
-    return keyed.withColumn("word", word).join(F.broadcast(table), "word").filter(F.col("bits").bitwiseAND(one) != 0).select("h", "key")
+    words = indexed.groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits"))
+    known = F.map_from_entries(F.collect_list(F.struct(F.pmod("word", F.lit(64)).cast("int").alias("i"), "bits")))
+    rows = words.groupBy(F.shiftright("word", 6).alias("row")).agg(known.alias("known"))
+    table = rows.select("row", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("known", i), F.lit(0).cast("long"))).alias("bits"))
+    joined = keyed.withColumn("row", F.shiftright(word, 6)).join(F.broadcast(table), "row")
+    return joined.filter(F.get("bits", F.pmod(word, F.lit(64)).cast("int")).bitwiseAND(one) != 0).select("h", "key")
 
 
 def least_chars(edits: int) -> int:
