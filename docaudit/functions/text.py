@@ -232,6 +232,14 @@ def score(part: Column, total: Column) -> Column:
     return F.when(total > 0, half_even(part / total * 100, 0)).otherwise(0.0).cast("int")
 
 
+def half_up(c: Column, places: int) -> Column:
+    """A double rounded half away from zero after its product with a power of ten, as SQL engines on doubles do: 29.849999999999998 has the
+    product 298.5 and gives 29.9, where the engine's own round looks at the printed digits. What the product overflows stays as it is."""
+    ten = F.lit(10.0**places)
+    scaled = c.cast("double") * ten
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled, 0) / ten).otherwise(c.cast("double"))
+
+
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 

@@ -378,7 +378,7 @@ def mode_first_seen(spark, sf_dir):
 @query("SELECT l_suppkey, round(avg(m), 4) AS mean FROM (SELECT l_suppkey, l_orderkey, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1, 2) GROUP BY 1")
 def two_level_mean(spark, sf_dir):
     inner = t(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.avg("l_extendedprice").alias("m"))
-    return inner.groupBy("l_suppkey").agg(F.round(F.avg("m"), 4).alias("mean"))
+    return inner.groupBy("l_suppkey").agg(fn.half_up(F.avg("m"), 4).alias("mean"))
 
 
 @query("SELECT l_orderkey, min(l_quantity) FILTER (l_returnflag <> 'N') AS low, max(l_quantity) FILTER (l_returnflag <> 'N') AS high, min(l_discount) AS bottom, max(l_discount) AS top FROM lineitem GROUP BY 1")
@@ -428,7 +428,7 @@ def exported_rules(spark, sf_dir):
 def user_stats(spark, sf_dir):
     own = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("m"))
     joined = t(spark, sf_dir, "customer").join(own, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return joined.select(F.col("c_custkey").alias("user_id"), F.coalesce("n", F.lit(0)).alias("documents_count"), F.round(F.coalesce("m", F.lit(0.0)), 2).alias("total_size"))
+    return joined.select(F.col("c_custkey").alias("user_id"), F.coalesce("n", F.lit(0)).alias("documents_count"), fn.half_up(F.coalesce("m", F.lit(0.0)), 2).alias("total_size"))
 
 
 @query(
@@ -575,7 +575,7 @@ def clean_filename(spark, sf_dir):
 @query("SELECT c_custkey, least(greatest(c_acctbal / 1000, 0), 10) AS score, round(least(greatest(c_acctbal / 1000, 0), 10) * 10, 1) AS percent FROM customer")
 def clamp_score(spark, sf_dir):
     s = fn.clamp(F.col("c_acctbal") / 1000, 0.0, 10.0)
-    return t(spark, sf_dir, "customer").select("c_custkey", s.alias("score"), F.round(s * 10, 1).alias("percent"))
+    return t(spark, sf_dir, "customer").select("c_custkey", s.alias("score"), fn.half_up(s * 10, 1).alias("percent"))
 
 
 @query(f"SELECT c_custkey, CASE WHEN c_acctbal / 1000 >= 8 THEN '{TIERS[0][1]}' WHEN c_acctbal / 1000 >= 5 THEN '{TIERS[1][1]}' ELSE '{LOWEST_TIER}' END AS advice FROM customer")
@@ -777,7 +777,7 @@ def unique_name_lookup(spark, sf_dir):
 @query("SELECT o_custkey AS user_id, count(*) AS documents_count, round(avg(CAST(floor(o_totalprice) AS BIGINT) % 101), 4) AS average_compliance, round(avg(CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 60 END), 4) AS average_time_minutes FROM orders GROUP BY 1")
 def user_averages(spark, sf_dir):
     orders = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), (F.floor("o_totalprice") % 101).alias("score"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey") % 60).alias("analysis_time"))
-    return rel.user_stats(orders).select("user_id", "documents_count", F.round("average_compliance", 4).alias("average_compliance"), F.round("average_time_minutes", 4).alias("average_time_minutes"))
+    return rel.user_stats(orders).select("user_id", "documents_count", fn.half_up(F.col("average_compliance"), 4).alias("average_compliance"), fn.half_up(F.col("average_time_minutes"), 4).alias("average_time_minutes"))
 
 
 @query("SELECT l_orderkey, l_linenumber, o_totalprice, o_orderstatus FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l_orderkey AND o.o_custkey = 11)")

@@ -5,12 +5,13 @@ import random
 import re
 import struct
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from docaudit.functions import text as fn
 from docaudit.operators import stored
-from docaudit.plans import api, flows
+from docaudit.plans import api, catalogue, flows
 
 DATA = "/root/testdata/sf0.001"
 
@@ -45,6 +46,22 @@ def test_doubles_are_rounded_by_their_binary_value(numbers):
         fn.half_even(F.lit(1.0), 4)
 
 
+def test_doubles_are_rounded_half_up_as_sql_rounds_them(spark):
+    con = duckdb.connect()
+    values = [2.985 * 10, 29.85, 1.005, 0.15, -29.849999999999998, 1e308, 0.0, *NUMBERS[len(SPECIAL) : 1000]]
+    for r in spark.createDataFrame([(x,) for x in values], "x double").select("x", *[fn.half_up(F.col("x"), p).alias(f"r{p}") for p in (0, 1, 2, 4)]).collect():
+        assert tuple(r)[1:] == con.execute("SELECT round($1, 0), round($1, 1), round($1, 2), round($1, 4)", [r.x]).fetchone(), r.x
+    odd = spark.createDataFrame([(None,), (math.inf,), (math.nan,)], "x double").select(fn.half_up(F.col("x"), 1).alias("r")).collect()
+    assert odd[0].r is None and odd[1].r == math.inf and math.isnan(odd[2].r)
+
+
+def test_clamped_scores_match_their_sql_where_digits_and_product_part(spark, tmp_path):
+    spark.createDataFrame([(4493, 2985.0), (1, -3.0), (2, 12000.0), (3, None)], "c_custkey long, c_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    assert sorted(map(tuple, catalogue.clamp_score(spark, str(tmp_path)).collect())) == sorted(con.execute(catalogue.SQL["clamp_score"]).fetchall())
+
+
 # Stored results
 
 
