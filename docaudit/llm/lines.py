@@ -13,7 +13,15 @@ from docaudit.llm.storage import discard, free_name, join_apart, materialize
 #: Edits between near-duplicate lines; lines of fewer than least_chars(edits) characters are compared for equality only.
 MAX_EDITS = 1
 #: Longs that the bits of indexed segments are kept in.
-SIFT_WORDS = 1 << 21
+SIFT_WORDS = 1 << 18
+#: Characters that end a chunk: every tenth or so of Latin and Cyrillic prose.
+CHUNK_ENDS = "[bfgkmpvwyz.,бвгжзкмпуыя。、，]"
+#: Lengths in a bucket; lines within as many edits of its end are in the next one as well.
+LENGTHS = 16
+#: Letters whose counts are held against each other before the texts are.
+COUNTED = "etanoris"
+#: Characters from which on the banded columns are cheaper than the built-in distance, which walks over all of both lines.
+BANDED_FROM = 2000
 #: Lines of a hot key in a part that meets other parts in a task of its own.
 LINES_A_PART = 1024
 #: (least characters, edits): edits by the length of the shorter line, one more for every 100 characters, up to 4.
@@ -47,33 +55,58 @@ def length_classes(edits: int | Sequence[tuple[int, int]]) -> list[tuple[int, in
     return [(lo, hi, e) for (lo, e), hi in zip(steps, [*(lo for lo, _ in steps[1:]), 1 << 30], strict=True)]
 
 
-def probe_keys(lines: DataFrame, classes: list[tuple[int, int, int]], indexed_only: bool = False) -> DataFrame:
-    """h, key: hashes of (class, segment, indexed length, substring) of every line. A line probes the classes of all lines that it can
-    be the longer one of a pair with, each only at the lengths of its class. indexed_only leaves the line's own segments."""
-    # four bytes a character, so that a substring is found where it is without a look at what stands before it
-    length, wide, none, wanted = F.col("chars"), F.encode("line", "UTF-32"), F.array().cast("array<bigint>"), []
+def chunk_keys(line: Column) -> Column:
+    """Hashes of a line's distinct chunks, the longest first: it is cut after every character of CHUNK_ENDS. An edit adds or takes away
+    two chunks at most, as it changes, splits or joins its own."""
+    last = F.lit(4095).cast("long")
+    ranked = lambda x: F.shiftleft(last - F.least(F.char_length(x), last), 51).bitwiseOR(F.xxhash64(x).bitwiseAND(F.lit((1 << 51) - 1)))
+    return F.sort_array(F.array_distinct(F.transform(F.split(line, CHUNK_ENDS, -1), ranked)))
+
+
+def line_keys(lines: DataFrame, classes: list[tuple[int, int, int]]) -> DataFrame:
+    """h, key, own: keys of which both lines of a pair have one in common.
+
+    Of two lines within e edits neither has more than 2 * e chunks that the other lacks. So if one has more than that many, the first
+    2 * e + 1 chunks of both, in any common order, have one in common (own is null). They go with the line's length, in buckets that overlap.
+    Lines with fewer chunks, and all of the classes of one edit, have keys of segments too: hashes of (class, segment, indexed length,
+    substring). A line probes the classes of all lines that it can be the longer one of a pair with, each only at the lengths of its
+    class; own says whether the substring is a segment of the line itself.
+    """
+    length, edits, none = F.col("chars"), F.lit(0), F.array().cast("array<struct<key:bigint,own:boolean>>")
+    for i, (lo, _, _) in enumerate(classes):
+        edits = F.when(length >= lo, max(e for _, _, e in classes[: i + 1])).otherwise(edits)
+    keyed = lambda key, own: F.struct(key.alias("key"), own.alias("own"))
+    of_chunks = lambda bucket: F.transform(F.slice("chunks", F.lit(1), 2 * F.col("edits") + 1), lambda x: keyed(F.xxhash64(x, bucket), F.lit(None).cast("boolean")))
+    low, high = F.expr(f"chars div {LENGTHS}"), F.expr(f"(chars + edits) div {LENGTHS}")
+    wanted = [F.when(F.col("edits") < 2, none).when(low == high, of_chunks(low)).otherwise(F.concat(of_chunks(low), of_chunks(high)))]
+    few = F.size("chunks") <= 2 * F.col("edits")
+    cut = F.lit(False)
     for c, (lo, hi, e) in enumerate(classes):
-        keys = []
-        for d, i, shift in [(0, i, 0) for i in range(e + 1)] if indexed_only else probes(e):
+        keys, here = [], (length >= lo) & (length < hi + e)
+        here = here if e == 1 else here & few
+        for d, i, shift in probes(e):
             indexed = length - d
             start, size = segment(indexed, F.lit(i), F.lit(e + 1))
             key = F.xxhash64(F.lit(c), F.lit(i), indexed, F.col("wide").substr(4 * (start + (shift - 1)) + 1, 4 * size))
-            keys.append(key if len(classes) == 1 else F.when((indexed >= lo) & (indexed < hi), key))
-        wanted.append(F.array(*keys) if len(classes) == 1 else F.when((length >= lo) & (length < hi + e), F.array(*keys)).otherwise(none))
-    # a single class also probes lengths below its own, which no line has
-    own = lines.filter(length >= classes[0][0]).select("h", "chars", F.inline(F.array(F.struct(wide.alias("wide")))))  # encoded once a line
-    return own.select("h", F.explode_outer(wanted[0] if len(wanted) == 1 else F.concat(*wanted)).alias("key")).filter("key is not null")
+            keys.append(keyed(F.when((indexed >= lo) & (indexed < hi), key), F.lit(d == shift == 0)))
+        wanted.append(F.when(here, F.array(*keys)).otherwise(none))
+        cut = cut | here
+    # chunks and the encoded line are computed once a line; four bytes a character, so that a substring is found where it is
+    rows = lines.filter(length >= classes[0][0]).select("h", "chars", "line", edits.alias("edits"))
+    rows = rows.select(*rows.columns, F.inline(F.array(F.struct(F.when(F.col("edits") > 1, chunk_keys(F.col("line"))).otherwise(F.array().cast("array<bigint>")).alias("chunks")))))
+    rows = rows.select("h", "chars", "edits", "chunks", F.inline(F.array(F.struct(F.when(cut, F.encode("line", "UTF-32")).alias("wide")))))
+    return rows.select("h", F.inline(F.concat(*wanted))).filter("key is not null")
 
 
-def sifted(keyed: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Of keys those that may be an indexed segment's: both lines of a pair have a key that is a segment of the shorter one.
+def sifted(keyed: DataFrame) -> DataFrame:
+    """Of keys of segments those that may be a line's own segment's: both lines of a pair have a key that is a segment of the shorter one.
 
     The indexed keys are kept as bits of SIFT_WORDS longs in rows of 64, a table of that size at most, whatever the corpus, which goes
     to all tasks. Bits that keys share, more of them the more lines there are, let further keys through, which then meet nobody.
     """
     word, bit = F.pmod("key", F.lit(SIFT_WORDS)), F.pmod(F.shiftright("key", 32), F.lit(64)).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    words = indexed.groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits"))
+    words = keyed.filter("own").groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits"))
     known = F.map_from_entries(F.collect_list(F.struct(F.pmod("word", F.lit(64)).cast("int").alias("i"), "bits")))
     rows = words.groupBy(F.shiftright("word", 6).alias("row")).agg(known.alias("known"))
     table = rows.select("row", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("known", i), F.lit(0).cast("long"))).alias("bits"))
@@ -94,6 +127,24 @@ def parity(line: Column) -> Column:
     return F.aggregate(groups, F.lit(0).cast("long"), lambda bits, g: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), g)))
 
 
+def letter_counts(line: Column) -> Column:
+    """How often the line has each of COUNTED, up to 255, a byte each."""
+    counts = F.lit(0).cast("long")
+    for i, letter in enumerate(COUNTED):
+        n = F.least(F.char_length(line) - F.char_length(F.replace(line, F.lit(letter), F.lit(""))), F.lit(255)).cast("long")
+        counts = counts.bitwiseOR(F.shiftleft(n, 8 * i))
+    return counts
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    """Sum of the differences of two letter_counts: two for an edit at most."""
+    count = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255))
+    out = F.lit(0).cast("long")
+    for i in range(len(COUNTED)):
+        out = out + F.abs(count(a, i) - count(b, i))
+    return out
+
+
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """Edit distance of two lines if it is at most edits, else something greater, by bit-parallel columns of 2 * edits + 1 rows.
 
@@ -146,10 +197,11 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     and names it. Empty (or shorter) lines, and lines of null texts, are in no class. Null ids come first; rows that
     repeat with their id share their lines' fate; an empty table gives no rows; other columns are ignored.
 
-    Lines are cut at line feeds. Keys that cannot be a segment of any line are sifted out before they are written; the others meet in one grouping with partial minima and maxima; only keys
-    under which different lines meet are looked at again. Pairs whose parities of neighbouring characters are too far apart are left at once. Each line is held against the commonest line of its key, and, where
-    that leaves several components under a key, those outside the greatest against the others, in parts within the join itself,
-    so that only confirmed links leave it. Joins of all lines are sort-merge joins at every size.
+    Lines are cut at line feeds. Lines meet under keys of their chunks and segments (line_keys), in one grouping with partial minima and maxima; only keys
+    under which different lines meet are looked at again. Each line is held against the commonest line of its key, and, where
+    that leaves several components under a key, those outside the greatest against the others, in parts within the join itself.
+    Pairs are compared by lengths and counts of letters first; only what these leave gets its texts, and only confirmed links leave
+    the joins. Joins of all lines are sort-merge joins at every size.
     """
     classes = length_classes(edits)
     least, most = classes[0][0], max(e for _, _, e in classes)
@@ -160,11 +212,12 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     lines = rows.filter(F.col("chars") >= (min_chars or 1)).withColumn("h", F.xxhash64("line"))
     occurrences = lines.select("id", "th", "line_no", "h", F.xxhash64(F.lit(1), "line").alias("g"))
     long = lines.filter(F.col("chars") >= least)
-    keyed = materialize(sifted(probe_keys(long, classes), probe_keys(long, classes, indexed_only=True)), "keys", clean=True)
+    keys = materialize(line_keys(long, classes), "keys", clean=True)
+    keyed = keys.filter("own is null").select("h", "key").unionByName(sifted(keys.filter("own is not null")))
     shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
     # counted by the complement of the key, so that the join's partitions need not stay whole
     members = materialize(join_apart(keyed, shared, "key").groupBy(F.bitwise_not(F.col("key")).alias("key"), "h").agg(F.count(F.lit(1)).alias("copies")), "members", clean=True)
-    discard(keyed)
+    discard(keys)
     nodes = members.select("h").distinct()
     # the first occurrence of each line, by partial minima; then only the lines asked for leave their documents
     firsts = occurrences.groupBy("h", "g").agg(F.min(F.struct("id", "th", "line_no")).alias("at")).join(nodes.hint("merge"), "h")
@@ -172,25 +225,37 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     found = whole.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th")))
     own = F.transform("asked", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"), F.get(F.col("parts"), x["line_no"]).alias("line")))
     texts = found.select(own.alias("own")).select(F.inline_outer("own")).dropDuplicates(["h", "g"])
-    texts = materialize(texts.withColumns({"parity": parity(F.col("line")), "chars": F.char_length("line")}).withColumn("node", F.monotonically_increasing_id()), "lines", clean=True)  # numbered as they are written
+    texts = materialize(texts.withColumns({"counts": letter_counts(F.col("line")), "chars": F.char_length("line")}).withColumn("node", F.monotonically_increasing_id()), "lines", clean=True)  # numbered as they are written
+    marks = texts.select("h", "node", "counts", "chars")
 
-    def close(x: str, y: str) -> Column:
-        a, b, p, q, m, n = (F.col(f"{c}_{side}") for c in ("l", "p", "c") for side in (x, y))
-        shorter, allowed = F.least(m, n), F.lit(0)
+    def allowed(m: Column, n: Column) -> Column:
+        out = F.lit(0)
         for lo, _, e in classes:
-            allowed = F.when(shorter >= lo, e).otherwise(allowed)
-        # at twice the edits the built-in only spares far pairs the exact answer, which the banded columns give
-        rough = F.levenshtein(a, b, 2 * most) >= 0
-        return (F.abs(m - n) <= allowed) & (F.bit_count(p.bitwiseXOR(q)) <= 4 * allowed) & rough & (banded_distance(a, b, most) <= allowed)
-
-    side = lambda c: texts.select(F.col("h").alias(c), F.col("node").alias(f"n_{c}"), F.col("line").alias(f"l_{c}"), F.col("parity").alias(f"p_{c}"), F.col("chars").alias(f"c_{c}")).hint("merge")
+            out = F.when(F.least(m, n) >= lo, e).otherwise(out)
+        return out
+
+    def likely(a: str, b: str) -> Column:
+        """Whether the lengths and counts of letters of two lines let them be near."""
+        p, q, m, n = (F.col(f"{c}_{side}") for c in ("p", "c") for side in (a, b))
+        return (F.abs(m - n) <= allowed(m, n)) & (counts_apart(p, q) <= 2 * allowed(m, n))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Of pairs of nodes (u, v) those whose texts are near."""
+        text = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"l_{c}"), F.col("chars").alias(f"c_{c}")).hint("merge")
+        a, b, m, n = F.col("l_u"), F.col("l_v"), F.col("c_u"), F.col("c_v")
+        banded = (F.bit_count(parity(a).bitwiseXOR(parity(b))) <= 4 * allowed(m, n)) & (banded_distance(a, b, most) <= allowed(m, n))
+        plain = F.levenshtein(a, b, most)
+        near = F.when(F.least(m, n) >= BANDED_FROM, banded).otherwise((plain >= 0) & (plain <= allowed(m, n)))
+        return pairs.distinct().join(text("u"), "u").join(text("v"), "v").filter(near).select("u", "v")
+
+    side = lambda c, node: marks.select(F.col("h").alias(c), F.col("node").alias(node), F.col("counts").alias(f"p_{c}"), F.col("chars").alias(f"c_{c}")).hint("merge")
     reps = members.groupBy("key").agg(F.max(F.struct("copies", "h")).alias("rep"), F.count(F.lit(1)).alias("m")).select("key", "m", F.col("rep.h").alias("rep"))
     starred = materialize(join_apart(members, reps, "key").select("key", "m", "rep", "h"), "starred", clean=True)
     discard(members)
     stars = starred.filter("h <> rep").select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b")).distinct()
-    first = stars.join(side("a"), "a").join(side("b"), "b").filter(close("a", "b")).select(F.col("n_a").alias("u"), F.col("n_b").alias("v"))
+    first = confirmed(stars.join(side("a", "u"), "a").join(side("b", "v"), "b").filter(likely("a", "b")).select("u", "v"))
     labels = components(first)
-    label = texts.select("h", "line", "parity", "chars", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    label = marks.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = starred.filter("m > 2").select("key", "h").join(label.hint("merge"), "h")
     counted = several.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     open_keys = counted.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
@@ -199,10 +264,10 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     # lines outside a key's greatest component against all of the key, in parts that meet in tasks of their own
     place = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n)
     probe = F.col("label") != F.col("main")
-    left = several.filter(probe).select("key", place(1, F.col("asking")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), F.col("node").alias("u"), F.col("label").alias("x"), F.col("line").alias("l_a"), F.col("parity").alias("p_a"), F.col("chars").alias("c_a"))
-    right = several.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("i"), place(2, F.col("parts")).alias("j"), F.col("node").alias("v"), F.col("label").alias("y"), F.col("line").alias("l_b"), F.col("parity").alias("p_b"), F.col("chars").alias("c_b"), probe.alias("asks"))
+    left = several.filter(probe).select("key", place(1, F.col("asking")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), F.col("node").alias("u"), F.col("label").alias("x"), F.col("counts").alias("p_a"), F.col("chars").alias("c_a"))
+    right = several.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("i"), place(2, F.col("parts")).alias("j"), F.col("node").alias("v"), F.col("label").alias("y"), F.col("counts").alias("p_b"), F.col("chars").alias("c_b"), probe.alias("asks"))
     once_each = ~F.col("asks") | (F.col("u") < F.col("v"))
-    second = left.join(right.hint("merge"), ["key", "i", "j"]).filter(once_each & (F.col("x") != F.col("y")) & close("a", "b")).select("u", "v")
+    second = confirmed(left.join(right.hint("merge"), ["key", "i", "j"]).filter(once_each & (F.col("x") != F.col("y")) & likely("a", "b")).select("u", "v"))
     found = components(as_edges(labels).unionByName(second))
     named_as = texts.select("node", F.struct("h", "g").alias("line"))
     final = found.join(named_as.hint("merge"), "node").join(named_as.select(F.col("node").alias("label"), F.col("line").alias("head_line")).hint("merge"), "label")

@@ -480,6 +480,29 @@ def test_parities_of_near_lines_are_near(spark):
     assert all(r.n <= 4 * r.e for r in got) and any(r.n > 4 for r in got)
 
 
+def test_near_lines_have_a_key_in_common_and_long_ones_few_keys(spark):
+    classes = lines.length_classes(lines.BY_LENGTH)
+    base = [*(prose(n) for n in (12, 20, 30, 60, 90, 300)), "x" * 99, "x" * 210, "ab" * 150, "b" * 300, "word " * 61]
+    pairs = [(i, x, nudged(x, max(e for lo, e in lines.BY_LENGTH if min(len(x) - 4, 300) >= lo))) for i, x in enumerate(base * 8)]
+    rows = [(2 * i + k, line) for i, *both in pairs for k, line in enumerate(both)]
+    numbered = spark.createDataFrame(rows, "h long, line string").withColumn("chars", F.char_length("line"))
+    keys = collections.defaultdict(set)
+    for r in lines.line_keys(numbered, classes).collect():
+        keys[r.h].add((r.key, r.own is None))
+    assert all(keys[2 * i] & keys[2 * i + 1] for i, x, y in pairs if x != y)
+    long = [h for h, line in rows if len(line) >= 300 and " " in line and len(set(line)) > 10]
+    assert long and all(len(keys[h]) <= 2 * 9 and all(chunk for _, chunk in keys[h]) for h in long)
+
+
+def test_distances_of_the_engine_are_exact_up_to_the_edits(spark):
+    pairs = [(a, edited(a, rnd.randrange(0, 9), alphabet)) for alphabet in ("ab", "aé€c", "ab\U0001f600") for a in ("".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 40))) for _ in range(150))]
+    limits = (1, 2, 3, 4)
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", *[F.levenshtein("a", "b", k).alias(f"d{k}") for k in limits], lines.counts_apart(lines.letter_counts(F.col("a")), lines.letter_counts(F.col("b"))).alias("apart")).collect()
+    for r in got:
+        d = levenshtein(r.a, r.b)
+        assert [r[f"d{k}"] for k in limits] == [d if d <= k else -1 for k in limits] and r.apart <= 2 * d
+
+
 def test_line_classes_with_a_full_table_of_bits(spark, monkeypatch):
     base = [prose(n) for n in (3, 30, 60, 90)]
     rows = [(i, "\n".join(nudged(x, rnd.randrange(4)) for x in base)) for i in range(12)]
