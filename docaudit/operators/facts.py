@@ -322,11 +322,22 @@ def _commonest(entries: Column, kind: str) -> Column:
     return F.aggregate(F.array_sort(entries), start, step, lambda acc: F.when(acc["now"].isNull(), F.lit(None)).otherwise(better(acc["now"], acc["best"])["v"]))
 
 
-def facts_of_page_rows(rows: DataFrame, by_document: bool = False) -> DataFrame:
+#: Rows that a task sorts; of larger tables there are more tasks, not larger ones.
+ROWS_PER_TASK = 1 << 18
+
+
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """n rows dealt out by keys, to the session's shuffle partitions or, where these would get more than ROWS_PER_TASK, to as many as it takes."""
+    tasks = -(-n // ROWS_PER_TASK)
+    return rows.repartition(tasks, *keys) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
+
+
+def facts_of_page_rows(rows: DataFrame, by_document: bool = False, n_rows: int = 0) -> DataFrame:
     """Facts of documents given as rows of pages and glyphs (PAGE_ROWS).
 
     Rows are dealt by page and sorted by the engine, which spills; a task then walks them page by page and leaves a row a page. One
-    grouping gathers a document's pages. With by_document, rows are taken to be dealt by document already and are only sorted.
+    grouping gathers a document's pages. With by_document, rows are taken to be dealt by document already and are only sorted. n_rows says
+    about how many rows there are, if that is known: tasks then stay of one size (see dealt).
     A page's glyphs are in memory at once, never more. A page may come several times: its first row counts. Glyphs of pages that
     have no row, and rows without a document or page number, are left out; documents without pages have no facts; pages
     without glyphs have only their text.
@@ -337,8 +348,8 @@ def facts_of_page_rows(rows: DataFrame, by_document: bool = False) -> DataFrame:
         "doc_id", "page_num", "kind", "char_num", "text", ink.alias("ink"), F.nullif(clean_font_name(F.col("fontname")), F.lit("")).alias("font"), "size", F.nullif(F.bround(F.coalesce("size", F.lit(0.0)), 1), F.lit(0.0)).alias("rounded_size"),
         "x0", "x1", "y0", "y1", F.bround(F.coalesce("y0", F.lit(0.0)), 1).alias("rounded_y0"), "page_text", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"),
     )
-    dealt = glyphs if by_document else glyphs.repartition("doc_id", "page_num")
-    walked = dealt.sortWithinPartitions("doc_id", "page_num", "kind", "char_num").mapInArrow(lambda batches: map(_walk, _whole_pages(batches)), f"doc_id {dict(rows.dtypes)['doc_id']}, {_WALKED}")
+    placed_rows = glyphs if by_document else dealt(glyphs, n_rows, "doc_id", "page_num")
+    walked = placed_rows.sortWithinPartitions("doc_id", "page_num", "kind", "char_num").mapInArrow(lambda batches: map(_walk, _whole_pages(batches)), f"doc_id {dict(rows.dtypes)['doc_id']}, {_WALKED}")
     text = F.coalesce("page_text", F.lit(""))
     lines = F.transform(non_blank_lines(text), lambda x: F.struct(x.alias("line"), F.lower(x).alias("low")))
     heads = F.filter(lines, lambda x: x["low"].rlike(HEADING_LINE) | F.exists(F.col("big"), lambda g: F.contains(x["line"], g)))
@@ -352,7 +363,7 @@ def facts_of_page_rows(rows: DataFrame, by_document: bool = False) -> DataFrame:
         "doc_id", F.struct("page_num", text.alias("t"), F.concat(named, F.coalesce(title, F.array().cast("array<struct<element:string,chapter:boolean>>"))).alias("heads"), placed("fonts").alias("fonts"), placed("sizes").alias("sizes")).alias("page"),
         "page_num", token_count(text).alias("words"), "gap_sum", "gap_n", "first_x", "x0", "x1", "y0", "y1", F.struct("width", "height").alias("paper"),
     )
-    of = pages.groupBy("doc_id").agg(
+    of = (dealt(pages, n_rows, "doc_id") if n_rows else pages).groupBy("doc_id").agg(
         F.sort_array(F.collect_list("page")).alias("pages"), F.count(F.lit(1)).cast("int").alias("page_count"), F.sum("words").cast("int").alias("word_count"), F.min_by("paper", "page_num").alias("paper"),
         (F.sum("gap_sum") / F.nullif(F.sum("gap_n"), F.lit(0))).alias("gap"), F.avg("first_x").alias("first_x"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"),
     )

@@ -664,8 +664,8 @@ CAST(l_suppkey AS DOUBLE) AS x0, l_suppkey + 5.5 AS x1, CAST(l_partkey % 70 * 10
 PAGE_TEXTS = {1: "Курсовая работа\nВведение\nобычная строка\n1. Глава один", 2: "  \nЗаключение\nстудент A R\nСписок литературы"}
 
 
-def glyphs_of(lineitem: DataFrame) -> DataFrame:
-    """Pages and glyphs made of order lines, as rows of one table, dealt by document."""
+def glyphs_of(lineitem: DataFrame, n_lines: int) -> DataFrame:
+    """Pages and glyphs made of that many order lines, as rows of one table, dealt by document."""
     order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
     page = (1 + F.col("l_linenumber") % 2).cast("int")
     font = F.when(F.col("l_partkey") % 3 == 0, "Arial-Bold").when(F.col("l_partkey") % 3 == 1, "Times-Italic").otherwise("Arial")
@@ -675,7 +675,7 @@ def glyphs_of(lineitem: DataFrame) -> DataFrame:
     sheet = [F.lit(0), *[F.lit(None)] * 8, F.when(F.col("page_num") == 1, PAGE_TEXTS[1]).otherwise(PAGE_TEXTS[2]), F.lit(595.0), F.lit(842.0)]
     row = lambda values: F.struct(*[v.cast(kind).alias(name) for v, kind, name in zip(values, kinds, names, strict=True)])
     # a page comes with its first line; both numberings find the rows where the first exchange has put them
-    lines = lineitem.repartition("l_orderkey").withColumn("page_num", page).withColumn("n", F.row_number().over(order)).withColumn("of_page", F.row_number().over(Window.partitionBy("l_orderkey", "page_num").orderBy("l_linenumber", "n")))
+    lines = fx.dealt(lineitem, n_lines, "l_orderkey").withColumn("page_num", page).withColumn("n", F.row_number().over(order)).withColumn("of_page", F.row_number().over(Window.partitionBy("l_orderkey", "page_num").orderBy("l_linenumber", "n")))
     return lines.select(F.col("l_orderkey").alias("doc_id"), "page_num", F.inline(F.when(F.col("of_page") == 1, F.array(row(glyph), row(sheet))).otherwise(F.array(row(glyph)))))
 
 
@@ -703,7 +703,9 @@ greatest(round_even((842 - bx.y1) * 0.3528::DOUBLE, 1), 0) AS top_margin, greate
 FROM (SELECT doc_id, CAST(count(*) AS INTEGER) AS page_count, count(*) FILTER (page_num = 1) AS ones FROM t GROUP BY 1) n LEFT JOIN el USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN z USING (doc_id) LEFT JOIN gp USING (doc_id) LEFT JOIN ind USING (doc_id) LEFT JOIN bx USING (doc_id)"""
 )
 def page_facts(spark, sf_dir):
-    facts = fx.facts_of_page_rows(glyphs_of(t(spark, sf_dir, "lineitem")), by_document=True)
+    lines = t(spark, sf_dir, "lineitem")
+    n = lines.count()
+    facts = fx.facts_of_page_rows(glyphs_of(lines, n), by_document=True, n_rows=n)
     margins = [F.col(f"page_margins.{side}").alias(f"{side}_margin") for side in ("left", "right", "top", "bottom")]
     return facts.select("doc_id", F.array_join("required_elements", "|").alias("elements"), "font_settings.*", *margins, F.col("paragraph_indent").alias("indent"), "page_count", "word_count")
 

@@ -125,3 +125,12 @@ def test_odd_pages(spark):
 def test_the_query_scans_once_and_deals_twice(spark):
     plan = catalogue.page_facts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 2 and plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_larger_tables_are_dealt_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(fx, "ROWS_PER_TASK", 100)
+    rows = spark.range(10)
+    assert fx.dealt(rows, 2_050, "id").rdd.getNumPartitions() == 21
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    plan = catalogue.page_facts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"RepartitionByExpression \[.*?\], (\d+)", plan) == [str(-(-n // 100))] * 2
