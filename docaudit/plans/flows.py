@@ -240,7 +240,9 @@ def uploaded(spark, files, name):
 def docx_facts(spark, sf_dir):
     """Facts of the documents' paragraphs as read from uploaded DOCX files."""
     path = uploaded(spark, docx_files(t(spark, sf_dir, "documents")), "uploads")
-    part = lambda name: spark.read.format("docx_parts").option("part", name).load(f"{path}/files").withColumn("doc_id", F.regexp_extract("doc_id", r"(\d+)\.docx$", 1).cast("long"))
+    at = new_folder(spark, "parsed")  # the facts read paragraphs several times; the files are opened and parsed once
+    spark.read.format("docx_parts").option("part", "documents").load(f"{path}/files").withColumn("doc_id", F.regexp_extract("doc_id", r"(\d+)\.docx$", 1).cast("long")).write.parquet(at)
+    part = lambda name: spark.read.parquet(at).select("doc_id", F.inline(name))
     return fx.paragraph_facts(part("paragraphs"), part("sections"))
 
 

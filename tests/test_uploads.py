@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from docaudit.plans import flows
 from docaudit.sources import docx_source
 from docaudit.sources.documents import parse_docx
 
@@ -130,3 +131,25 @@ def test_a_stream_of_files_goes_on_after_a_restart(session, folder):
     time.sleep(0.05)
     (folder / "in/late.docx").write_bytes(docx_source.docx_bytes(PARAGRAPHS, SECTIONS))
     assert go() == 12
+
+
+def test_paragraphs_and_sections_come_from_one_pass_over_the_files(spark, tmp_path):
+    docx_source.register(spark)
+    run = {"bold": True, "font_name": "Arial", "size_pt": 12.0}
+    for name, n in (("a", 3), ("b", 0), ("c", 70)):
+        rows = [{"text": f"{name} {i}", "style_name": "Normal", "runs": [run], "line_spacing": 1.5, "first_line_indent_cm": None} for i in range(n)]
+        (tmp_path / f"{name}.docx").write_bytes(docx_source.docx_bytes(rows, [{f"{side}_mm": 20.0 for side in ("left", "right", "top", "bottom")}]))
+    (tmp_path / "broken.docx").write_bytes(b"no archive")
+    read = lambda part: spark.read.format("docx_parts").option("part", part).load(str(tmp_path))
+    both = read("documents")
+    assert both.count() == 3
+    for part in ("paragraphs", "sections"):
+        own = read(part)
+        unfolded = both.selectExpr("doc_id", f"inline({part})").select(own.columns)
+        assert unfolded.dtypes == own.dtypes and sorted(map(str, unfolded.collect())) == sorted(map(str, own.collect()))
+
+
+def test_facts_of_uploads_parse_each_file_once(spark):
+    """The facts are computed from a table, not from the files again."""
+    plan = flows.docx_facts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "docx_parts" not in plan and "BatchScan" not in plan
