@@ -15,7 +15,7 @@ MAX_EDITS = 1
 #: Longs that the bits of indexed segments are kept in.
 SIFT_WORDS = 1 << 18
 #: Characters that end a chunk: every tenth or so of Latin and Cyrillic prose.
-CHUNK_ENDS = "[bfgkmpvwyz.,бвгжзкмпуыя。、，]"
+CHUNK_ENDS = "[bfgkmpvwyz.,ф-я、-。]"
 #: Lengths in a bucket; lines within as many edits of its end are in the next one as well.
 LENGTHS = 16
 #: Letters whose counts are held against each other before the texts are.
@@ -145,6 +145,17 @@ def counts_apart(a: Column, b: Column) -> Column:
     return out
 
 
+def with_parities(lines: DataFrame) -> DataFrame:
+    """The numbered lines without their texts, with 128 parities of pairs of neighbouring characters as even and odd: a bit for each group of
+    pairs, whether the line has an odd number of them, in one pass over rows of pairs. An edit changes four pairs at most."""
+    own = [c for c in lines.columns if c != "line"]
+    pairs = lines.select(*own, F.encode("line", "UTF-32").alias("wide")).select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.col("chars") - 1, F.lit(1)))).alias("i"))
+    grouped = pairs.select(*own, F.xxhash64(F.col("wide").substr(4 * F.col("i") - 3, F.lit(8))).alias("group"))
+    bit, odd = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("group", F.lit(64)).cast("int")), F.shiftright("group", 6).bitwiseAND(F.lit(1)) == 1
+    side = lambda mine: F.bit_xor(F.when(mine, bit).otherwise(F.lit(0).cast("long")))
+    return grouped.groupBy(*own).agg(side(~odd).alias("even"), side(odd).alias("odd"))
+
+
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """Edit distance of two lines if it is at most edits, else something greater, by bit-parallel columns of 2 * edits + 1 rows.
 
@@ -200,7 +211,7 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     Lines are cut at line feeds. Lines meet under keys of their chunks and segments (line_keys), in one grouping with partial minima and maxima; only keys
     under which different lines meet are looked at again. Each line is held against the commonest line of its key, and, where
     that leaves several components under a key, those outside the greatest against the others, in parts within the join itself.
-    Pairs are compared by lengths and counts of letters first; only what these leave gets its texts, and only confirmed links leave
+    Pairs are compared by parities, lengths and counts of letters first, within the join; only what these leave gets its texts, and only confirmed links leave
     the joins. Joins of all lines are sort-merge joins at every size.
     """
     classes = length_classes(edits)
@@ -226,7 +237,7 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     own = F.transform("asked", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"), F.get(F.col("parts"), x["line_no"]).alias("line")))
     texts = found.select(own.alias("own")).select(F.inline_outer("own")).dropDuplicates(["h", "g"])
     texts = materialize(texts.withColumns({"counts": letter_counts(F.col("line")), "chars": F.char_length("line")}).withColumn("node", F.monotonically_increasing_id()), "lines", clean=True)  # numbered as they are written
-    marks = texts.select("h", "node", "counts", "chars")
+    marks = materialize(with_parities(texts.drop("g")), "marks", clean=True)
 
     def allowed(m: Column, n: Column) -> Column:
         out = F.lit(0)
@@ -235,9 +246,10 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
         return out
 
     def likely(a: str, b: str) -> Column:
-        """Whether the lengths and counts of letters of two lines let them be near."""
+        """Whether the parities, lengths and counts of letters of two lines let them be near."""
         p, q, m, n = (F.col(f"{c}_{side}") for c in ("p", "c") for side in (a, b))
-        return (F.abs(m - n) <= allowed(m, n)) & (counts_apart(p, q) <= 2 * allowed(m, n))
+        odd = sum(F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in ("even", "odd"))
+        return (odd <= 4 * most) & (odd <= 4 * allowed(m, n)) & (F.abs(m - n) <= allowed(m, n)) & (counts_apart(p, q) <= 2 * allowed(m, n))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs of nodes (u, v) those whose texts are near."""
@@ -248,7 +260,8 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
         near = F.when(F.least(m, n) >= BANDED_FROM, banded).otherwise((plain >= 0) & (plain <= allowed(m, n)))
         return pairs.distinct().join(text("u"), "u").join(text("v"), "v").filter(near).select("u", "v")
 
-    side = lambda c, node: marks.select(F.col("h").alias(c), F.col("node").alias(node), F.col("counts").alias(f"p_{c}"), F.col("chars").alias(f"c_{c}")).hint("merge")
+    known = lambda c: [F.col("counts").alias(f"p_{c}"), F.col("chars").alias(f"c_{c}"), F.col("even").alias(f"even_{c}"), F.col("odd").alias(f"odd_{c}")]
+    side = lambda c, node: marks.select(F.col("h").alias(c), F.col("node").alias(node), *known(c)).hint("merge")
     reps = members.groupBy("key").agg(F.max(F.struct("copies", "h")).alias("rep"), F.count(F.lit(1)).alias("m")).select("key", "m", F.col("rep.h").alias("rep"))
     starred = materialize(join_apart(members, reps, "key").select("key", "m", "rep", "h"), "starred", clean=True)
     discard(members)
@@ -261,13 +274,16 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     open_keys = counted.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     open_keys = open_keys.select("key", F.col("most.label").alias("main"), F.ceil((F.col("m") - F.col("most.n")) / LINES_A_PART).cast("long").alias("asking"), F.ceil(F.col("m") / LINES_A_PART).cast("long").alias("parts"))
     several = materialize(join_apart(several, open_keys, "key"), "open", clean=True)
+    # a pair counts under the least key that both lines have, so that lines with much in common make one row
+    several = several.join(several.groupBy("node").agg(F.collect_list("key").alias("keys")).hint("merge"), "node")
     # lines outside a key's greatest component against all of the key, in parts that meet in tasks of their own
     place = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n)
     probe = F.col("label") != F.col("main")
-    left = several.filter(probe).select("key", place(1, F.col("asking")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), F.col("node").alias("u"), F.col("label").alias("x"), F.col("counts").alias("p_a"), F.col("chars").alias("c_a"))
-    right = several.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("i"), place(2, F.col("parts")).alias("j"), F.col("node").alias("v"), F.col("label").alias("y"), F.col("counts").alias("p_b"), F.col("chars").alias("c_b"), probe.alias("asks"))
+    left = several.filter(probe).select("key", place(1, F.col("asking")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"), F.col("node").alias("u"), F.col("label").alias("x"), F.col("keys").alias("keys_u"), *known("a"))
+    right = several.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("i"), place(2, F.col("parts")).alias("j"), F.col("node").alias("v"), F.col("label").alias("y"), F.col("keys").alias("keys_v"), *known("b"), probe.alias("asks"))
     once_each = ~F.col("asks") | (F.col("u") < F.col("v"))
-    second = confirmed(left.join(right.hint("merge"), ["key", "i", "j"]).filter(once_each & (F.col("x") != F.col("y")) & likely("a", "b")).select("u", "v"))
+    here = F.array_min(F.array_intersect("keys_u", "keys_v")) == F.col("key")
+    second = confirmed(left.join(right.hint("merge"), ["key", "i", "j"]).filter(once_each & (F.col("x") != F.col("y")) & likely("a", "b") & here).select("u", "v"))
     found = components(as_edges(labels).unionByName(second))
     named_as = texts.select("node", F.struct("h", "g").alias("line"))
     final = found.join(named_as.hint("merge"), "node").join(named_as.select(F.col("node").alias("label"), F.col("line").alias("head_line")).hint("merge"), "label")

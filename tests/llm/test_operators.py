@@ -512,6 +512,17 @@ def test_line_classes_with_a_full_table_of_bits(spark, monkeypatch):
     assert found() == sifted and any(r[0] != r[2] for r in sifted)
 
 
+def test_variants_with_other_words_make_few_pairs(spark):
+    base = prose(60).split(" ")
+    swapped = lambda n: " ".join("".join(rnd.choice("hjlqx") for _ in range(7)) if i in at else w for at in [rnd.sample(range(len(base)), n)] for i, w in enumerate(base))
+    rows = [(i, i, line, len(line)) for i, line in enumerate([swapped(4) for _ in range(40)] + [" ".join(base)])]
+    rows += [(100 + i, 100 + i, line, len(line)) for i, line in enumerate(nudged(" ".join(base), 4) for _ in range(9))]
+    bits = {r.node: (r.even, r.odd) for r in lines.with_parities(spark.createDataFrame(rows, "h long, node long, line string, chars int")).collect()}
+    apart = lambda i, j: sum(((x ^ y) & ((1 << 64) - 1)).bit_count() for x, y in zip(bits[i], bits[j], strict=True))
+    assert set(bits) == {r[0] for r in rows} and all(apart(40, 100 + i) <= 16 for i in range(9))
+    assert sum(apart(i, j) <= 16 for i in range(40) for j in range(i)) < 20  # of 780
+
+
 def test_repeated_lines_go(odd, none):
     got = {r.doc_id: r.text for r in lines.drop_repeated_lines(odd).collect()}
     texts = dict(ODD)
