@@ -222,3 +222,18 @@ def test_machine_over_batches_restarts_and_late_rows(spark, tmp_path):
     assert found == brute_machine(rows, 2 * HOUR, passed)
     assert any(r[3] is None for r in found) and any(not r[6] for r in found) and 900 not in {r[2] for r in found}
     assert (9, BEGIN + 4 * HOUR, None, None, UNDER_WAY, FAILED, True) in found  # nothing came for it any more
+
+
+def test_documents_share_the_state_of_their_group(spark, tmp_path):
+    rows = [(f"d{i % 150}", BEGIN + (i * i % 40) * HOUR // 4 + i % 3, i, SIGNALS[(i * i + i // 7) % 5]) for i in range(900)]
+    frame = spark.createDataFrame([(k, e, s, u) for k, u, e, s in rows], "doc string, event long, signal string, at long")
+    for i, part in enumerate((F.col("at") < BEGIN + 5 * HOUR, F.col("at") >= BEGIN + 5 * HOUR)):
+        frame.filter(part).select("doc", F.timestamp_micros("at").alias("ts"), "event", "signal").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("doc string, ts timestamp, event long, signal string").parquet(f"{tmp_path}/in")
+        query = machine.run_machine(stream, "doc", "ts", "event", "signal", 2 * HOUR, "30 minutes", f"{tmp_path}/out", f"{tmp_path}/state", groups=3)
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * 8, i  # not some for each of 150 documents
+    found = sorted((tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()), key=repr)
+    assert found == brute_machine(rows, 2 * HOUR, max(r[1] for r in rows) // 1000 - 30 * 60 * 1000)
+    with pytest.raises(TypeError, match="doc is double"):
+        machine.transitions(stream.withColumn("doc", F.lit(0.5)), "doc", "ts", "event", "signal", HOUR, "1 hour")
