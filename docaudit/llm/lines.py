@@ -59,7 +59,7 @@ def chunk_keys(line: Column) -> Column:
     """Hashes of a line's distinct chunks, the longest first: it is cut after every character of CHUNK_ENDS. An edit adds or takes away
     two chunks at most, as it changes, splits or joins its own."""
     last = F.lit(4095).cast("long")
-    ranked = lambda x: F.shiftleft(last - F.least(F.char_length(x), last), 51).bitwiseOR(F.xxhash64(x).bitwiseAND(F.lit((1 << 51) - 1)))
+    ranked = lambda x: F.shiftleft(last - F.least(F.octet_length(x), last), 51).bitwiseOR(F.xxhash64(x).bitwiseAND(F.lit((1 << 51) - 1)))
     return F.sort_array(F.array_distinct(F.transform(F.split(line, CHUNK_ENDS, -1), ranked)))
 
 
@@ -72,46 +72,58 @@ def line_keys(lines: DataFrame, classes: list[tuple[int, int, int]]) -> DataFram
     substring). A line probes the classes of all lines that it can be the longer one of a pair with, each only at the lengths of its
     class; own says whether the substring is a segment of the line itself.
     """
-    length, edits, none = F.col("chars"), F.lit(0), F.array().cast("array<struct<key:bigint,own:boolean>>")
+    length, edits, cut = F.col("chars"), F.lit(0), F.lit(False)
     for i, (lo, _, _) in enumerate(classes):
         edits = F.when(length >= lo, max(e for _, _, e in classes[: i + 1])).otherwise(edits)
-    keyed = lambda key, own: F.struct(key.alias("key"), own.alias("own"))
-    of_chunks = lambda bucket: F.transform(F.slice("chunks", F.lit(1), 2 * F.col("edits") + 1), lambda x: keyed(F.xxhash64(x, bucket), F.lit(None).cast("boolean")))
-    low, high = F.expr(f"chars div {LENGTHS}"), F.expr(f"(chars + edits) div {LENGTHS}")
-    wanted = [F.when(F.col("edits") < 2, none).when(low == high, of_chunks(low)).otherwise(F.concat(of_chunks(low), of_chunks(high)))]
-    few = F.size("chunks") <= 2 * F.col("edits")
-    cut = F.lit(False)
+    few, none = F.size("chunks") <= 2 * F.col("edits"), F.array().cast("array<bigint>")
+    wanted, probed = [F.slice("chunks", F.lit(1), 2 * F.col("edits") + 1)], []
     for c, (lo, hi, e) in enumerate(classes):
-        keys, here = [], (length >= lo) & (length < hi + e)
+        here = (length >= lo) & (length < hi + e)
         here = here if e == 1 else here & few
-        for d, i, shift in probes(e):
-            indexed = length - d
-            start, size = segment(indexed, F.lit(i), F.lit(e + 1))
-            key = F.xxhash64(F.lit(c), F.lit(i), indexed, F.col("wide").substr(4 * (start + (shift - 1)) + 1, 4 * size))
-            keys.append(keyed(F.when((indexed >= lo) & (indexed < hi), key), F.lit(d == shift == 0)))
-        wanted.append(F.when(here, F.array(*keys)).otherwise(none))
-        cut = cut | here
+        own = [{"c": c, "i": i, "d": d, "shift": shift, "k": e + 1, "lo": lo, "hi": hi} for d, i, shift in probes(e)]
+        wanted.append(F.when(here, F.lit([-1 - len(probed) - n for n in range(len(own))]).cast("array<bigint>")).otherwise(none))
+        cut, probed = cut | here, probed + own
     # chunks and the encoded line are computed once a line; four bytes a character, so that a substring is found where it is
     rows = lines.filter(length >= classes[0][0]).select("h", "chars", "line", edits.alias("edits"))
-    rows = rows.select(*rows.columns, F.inline(F.array(F.struct(F.when(F.col("edits") > 1, chunk_keys(F.col("line"))).otherwise(F.array().cast("array<bigint>")).alias("chunks")))))
-    rows = rows.select("h", "chars", "edits", "chunks", F.inline(F.array(F.struct(F.when(cut, F.encode("line", "UTF-32")).alias("wide")))))
-    return rows.select("h", F.inline(F.concat(*wanted))).filter("key is not null")
+    rows = rows.select(*rows.columns, F.when(F.col("edits") > 1, chunk_keys(F.col("line"))).otherwise(none).alias("chunks"))
+    rows = rows.select("h", "chars", "edits", F.when(cut, F.encode("line", "UTF-32")).alias("wide"), F.concat(*wanted).alias("wanted"))
+    # rows of longs, chunks as they are and probes as negative numbers, so that what comes after is compiled, in methods of a size that is
+    # compiled again; outer, as the engine would else look for empty lists first, and compute the chunks again for that
+    rows = rows.select("h", "chars", "edits", "wide", F.explode_outer("wanted").alias("x"))
+    low, high = F.expr(f"chars div {LENGTHS}"), F.expr(f"(chars + edits) div {LENGTHS}")
+    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in p.items()]) for p in probed])
+    p, chunk = F.col("p"), F.col("x") >= 0
+    rows = rows.select("h", "chars", "wide", "x", F.when(chunk & (low != high), F.array(low, high)).otherwise(F.array(low)).alias("buckets"), F.when(~chunk, F.get(table, (-1 - F.col("x")).cast("int"))).alias("p"))
+    rows = rows.select("h", "wide", "x", "p", (F.col("chars") - p["d"]).alias("indexed"), F.explode("buckets").alias("bucket"))
+    rows = rows.filter(chunk | ((F.col("indexed") >= p["lo"]) & (F.col("indexed") < p["hi"])))
+    start, size = segment(F.col("indexed"), p["i"], p["k"])
+    key = F.xxhash64(p["c"], p["i"], "indexed", F.col("wide").substr(4 * (start + p["shift"] - 1) + 1, 4 * size))
+    return rows.select("h", F.when(chunk, F.xxhash64("x", "bucket")).otherwise(key).alias("key"), F.when(~chunk, (p["d"] == 0) & (p["shift"] == 0)).alias("own"))
+
+
+def bits_of(keys: DataFrame) -> DataFrame:
+    """A column of longs called key as bits of SIFT_WORDS longs in rows of 64, a table of that size at most, whatever the corpus."""
+    known = F.map_from_entries(F.collect_list(F.struct(F.pmod("word", F.lit(64)).cast("int").alias("i"), "bits")))
+    words = keys.groupBy(F.pmod("key", F.lit(SIFT_WORDS)).alias("word")).agg(F.bit_or(bit_of(F.col("key"))).alias("bits"))
+    rows = words.groupBy(F.shiftright("word", 6).alias("row")).agg(known.alias("known"))
+    return rows.select("row", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("known", i), F.lit(0).cast("long"))).alias("bits"))
 
 
-def sifted(keyed: DataFrame) -> DataFrame:
-    """Of keys of segments those that may be a line's own segment's: both lines of a pair have a key that is a segment of the shorter one.
+def bit_of(key: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(key, 32), F.lit(64)).cast("int"))
 
-    The indexed keys are kept as bits of SIFT_WORDS longs in rows of 64, a table of that size at most, whatever the corpus, which goes
-    to all tasks. Bits that keys share, more of them the more lines there are, let further keys through, which then meet nobody.
-    """
-    word, bit = F.pmod("key", F.lit(SIFT_WORDS)), F.pmod(F.shiftright("key", 32), F.lit(64)).cast("int")
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    words = keyed.filter("own").groupBy(word.alias("word")).agg(F.bit_or(one).alias("bits"))
-    known = F.map_from_entries(F.collect_list(F.struct(F.pmod("word", F.lit(64)).cast("int").alias("i"), "bits")))
-    rows = words.groupBy(F.shiftright("word", 6).alias("row")).agg(known.alias("known"))
-    table = rows.select("row", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("known", i), F.lit(0).cast("long"))).alias("bits"))
-    joined = keyed.withColumn("row", F.shiftright(word, 6)).join(F.broadcast(table), "row")
-    return joined.filter(F.get("bits", F.pmod(word, F.lit(64)).cast("int")).bitwiseAND(one) != 0).select("h", "key")
+
+def passing(rows: DataFrame, bits: DataFrame, key: str = "key") -> DataFrame:
+    """The rows whose key may be among those of bits_of, which go to all tasks. Bits that keys share, more of them the more keys there are,
+    let further rows through, which then meet nobody."""
+    word = F.pmod(F.col(key), F.lit(SIFT_WORDS))
+    joined = rows.withColumn("row", F.shiftright(word, 6)).join(F.broadcast(bits), "row")
+    return joined.filter(F.get("bits", F.pmod(word, F.lit(64)).cast("int")).bitwiseAND(bit_of(F.col(key))) != 0).drop("row", "bits")
+
+
+def sifted(keyed: DataFrame) -> DataFrame:
+    """Of keys of segments those that may be a line's own segment's: both lines of a pair have a key that is a segment of the shorter one."""
+    return passing(keyed, bits_of(keyed.filter("own").select("key"))).select("h", "key")
 
 
 def least_chars(edits: int) -> int:
@@ -209,7 +221,7 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     repeat with their id share their lines' fate; an empty table gives no rows; other columns are ignored.
 
     Lines are cut at line feeds. Lines meet under keys of their chunks and segments (line_keys), in one grouping with partial minima and maxima; only keys
-    under which different lines meet are looked at again. Each line is held against the commonest line of its key, and, where
+    under which different lines meet are looked at again, and only lines with such a key leave their documents, as far as tables of bits can tell. Each line is held against the commonest line of its key, and, where
     that leaves several components under a key, those outside the greatest against the others, in parts within the join itself.
     Pairs are compared by parities, lengths and counts of letters first, within the join; only what these leave gets its texts, and only confirmed links leave
     the joins. Joins of all lines are sort-merge joins at every size.
@@ -226,16 +238,16 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     keys = materialize(line_keys(long, classes), "keys", clean=True)
     keyed = keys.filter("own is null").select("h", "key").unionByName(sifted(keys.filter("own is not null")))
     shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key")
+    shared = materialize(shared, "shared", clean=True)
     # counted by the complement of the key, so that the join's partitions need not stay whole
-    members = materialize(join_apart(keyed, shared, "key").groupBy(F.bitwise_not(F.col("key")).alias("key"), "h").agg(F.count(F.lit(1)).alias("copies")), "members", clean=True)
+    members = join_apart(passing(keyed, bits_of(shared)), shared, "key").groupBy(F.bitwise_not(F.col("key")).alias("key"), "h").agg(F.count(F.lit(1)).alias("copies"))
+    members = materialize(members, "members", clean=True)
     discard(keys)
+    discard(shared)
     nodes = members.select("h").distinct()
-    # the first occurrence of each line, by partial minima; then only the lines asked for leave their documents
-    firsts = occurrences.groupBy("h", "g").agg(F.min(F.struct("id", "th", "line_no")).alias("at")).join(nodes.hint("merge"), "h")
-    asked = firsts.groupBy(F.col("at.id").alias("a_id"), F.col("at.th").alias("a_th")).agg(F.collect_list(F.struct("h", "g", "at.line_no")).alias("asked"))
-    found = whole.join(asked.hint("merge"), F.col("id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th")))
-    own = F.transform("asked", lambda x: F.struct(x["h"].alias("h"), x["g"].alias("g"), F.get(F.col("parts"), x["line_no"]).alias("line")))
-    texts = found.select(own.alias("own")).select(F.inline_outer("own")).dropDuplicates(["h", "g"])
+    # only lines that may be asked for leave their documents, once from each task
+    likely_lines = passing(lines.select("h", "line"), bits_of(nodes.select(F.col("h").alias("key"))), "h")
+    texts = likely_lines.select("h", F.xxhash64(F.lit(1), "line").alias("g"), "line").distinct().join(nodes.hint("merge"), "h")
     texts = materialize(texts.withColumns({"counts": letter_counts(F.col("line")), "chars": F.char_length("line")}).withColumn("node", F.monotonically_increasing_id()), "lines", clean=True)  # numbered as they are written
     marks = materialize(with_parities(texts.drop("g")), "marks", clean=True)
 
@@ -257,7 +269,7 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
         a, b, m, n = F.col("l_u"), F.col("l_v"), F.col("c_u"), F.col("c_v")
         banded = (F.bit_count(parity(a).bitwiseXOR(parity(b))) <= 4 * allowed(m, n)) & (banded_distance(a, b, most) <= allowed(m, n))
         plain = F.levenshtein(a, b, most)
-        near = F.when(F.least(m, n) >= BANDED_FROM, banded).otherwise((plain >= 0) & (plain <= allowed(m, n)))
+        near = F.when(F.least(m, n) >= BANDED_FROM, banded).otherwise(F.pmod(plain, F.lit(1 << 30)) <= allowed(m, n))  # asked once; -1 is far
         return pairs.distinct().join(text("u"), "u").join(text("v"), "v").filter(near).select("u", "v")
 
     known = lambda c: [F.col("counts").alias(f"p_{c}"), F.col("chars").alias(f"c_{c}"), F.col("even").alias(f"even_{c}"), F.col("odd").alias(f"odd_{c}")]
@@ -289,7 +301,7 @@ def line_classes(docs: DataFrame, edits: int | Sequence[tuple[int, int]] = MAX_E
     final = found.join(named_as.hint("merge"), "node").join(named_as.select(F.col("node").alias("label"), F.col("line").alias("head_line")).hint("merge"), "label")
     final = final.select(F.col("line").alias("node"), F.col("head_line").alias("label"))
     named = occurrences.join(final.select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), "label"), ["h", "g"], "left")
-    named = named.select("id", "th", "line_no", F.coalesce("label.h", "h").alias("h"), F.coalesce("label.g", "g").alias("g"))
+    named = materialize(named.select("id", "th", "line_no", F.coalesce("label.h", "h").alias("h"), F.coalesce("label.g", "g").alias("g")), "named", clean=True)
     # stored, so that the join below has an exchange of its own on either side, which the engine can split for a common line
     heads = materialize(named.groupBy("h", "g").agg(F.min(F.struct("id", "line_no")).alias("head")), "heads", clean=True)
     out = named.join(heads, ["h", "g"])

@@ -494,6 +494,23 @@ def test_near_lines_have_a_key_in_common_and_long_ones_few_keys(spark):
     assert long and all(len(keys[h]) <= 2 * 9 and all(chunk for _, chunk in keys[h]) for h in long)
 
 
+def test_keys_are_cut_by_one_compiled_expression(spark):
+    numbered = spark.createDataFrame([(1, prose(60))], "h long, line string").withColumn("chars", F.char_length("line"))
+    plan = lines.line_keys(numbered, lines.length_classes(lines.BY_LENGTH))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("xxhash64(") < 10 and plan.count("transform(") == 1  # not one for each of 91 probes, nor the chunks again for a filter
+    assert all("*(" in line for line in plan.split("\n") if "Generate explode" in line)
+
+
+def test_rows_pass_bits_of_their_keys(spark, monkeypatch):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("key"), "id")
+    some = rows.filter("id % 100 = 0").select("key")
+    for words, most in ((1 << 18, 210), (1, 20_000)):
+        monkeypatch.setattr(lines, "SIFT_WORDS", words)
+        found = {r.id for r in lines.passing(rows, lines.bits_of(some)).collect()}
+        assert found >= set(range(0, 20_000, 100)) and len(found) <= most
+    assert not lines.passing(rows, lines.bits_of(some.limit(0))).count()
+
+
 def test_distances_of_the_engine_are_exact_up_to_the_edits(spark):
     pairs = [(a, edited(a, rnd.randrange(0, 9), alphabet)) for alphabet in ("ab", "aé€c", "ab\U0001f600") for a in ("".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 40))) for _ in range(150))]
     limits = (1, 2, 3, 4)
