@@ -375,6 +375,27 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_small_tables_take_few_tasks(spark):
+    """A round over a few edges used to run nine exchanges in all shuffle partitions."""
+    edges = [(n, n + 1) for n in range(40)] + [(1000, n) for n in range(1001, 1400)] + [(None, 3), (3, None)]
+    before, conf = {}, {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        before[k] = spark.conf.get(k)
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("components", "few tasks")
+    try:
+        got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        told = spark.sparkContext.statusTracker()
+        stages = {s for j in told.getJobIdsForGroup("components") for s in told.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for i in map(told.getStageInfo, stages) if i)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(1000, 1400), 1000)}
+    assert tasks < 5 * 61
+
+
 # Lines
 
 
