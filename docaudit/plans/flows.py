@@ -221,10 +221,10 @@ def docx_files(docs):
     ends = sections.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in sections.columns if c != "doc_id"]))).alias("sections"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, docx_source.FILES_PER_BATCH) for b in batches for i in range(0, b.num_rows, docx_source.FILES_PER_BATCH)):
             rows = batch.to_pylist()
             content = [docx_source.docx_bytes(r["paragraphs"] or [], r["sections"]) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f"Document {r['doc_id']}.docx" for r in rows]), pa.array(content, pa.binary())], names=["key", "name", "content"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f"Document {r['doc_id']}.docx" for r in rows], pa.string()), pa.array(content, pa.binary())], names=["key", "name", "content"])
 
     return ends.join(own, "doc_id", "left").mapInArrow(made, "key long, name string, content binary")
 
@@ -241,7 +241,7 @@ def docx_facts(spark, sf_dir):
     """Facts of the documents' paragraphs as read from uploaded DOCX files."""
     path = uploaded(spark, docx_files(t(spark, sf_dir, "documents")), "uploads")
     at = new_folder(spark, "parsed")  # the facts read paragraphs several times; the files are opened and parsed once
-    spark.read.format("docx_parts").option("part", "documents").load(f"{path}/files").withColumn("doc_id", F.regexp_extract("doc_id", r"(\d+)\.docx$", 1).cast("long")).write.parquet(at)
+    spark.read.format("docx_parts").options(part="documents", index="true").load(path).withColumn("doc_id", F.regexp_extract("doc_id", r"(\d+)\.docx$", 1).cast("long")).write.parquet(at)
     part = lambda name: spark.read.parquet(at).select("doc_id", F.inline(name))
     return fx.paragraph_facts(part("paragraphs"), part("sections"))
 

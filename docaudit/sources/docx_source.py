@@ -60,12 +60,44 @@ def dealt(files: list[pafs.FileInfo]) -> list[InputPartition]:
     return [*out, Files(now)] if now else out
 
 
+class Indexed(InputPartition):
+    """Files that one task reads, as row groups of indexes of uploads: (index, row groups) each. The driver holds no file's name."""
+
+    def __init__(self, groups: list[tuple[str, list[int]]]):
+        self.groups = groups
+
+
+def dealt_index(fs: pafs.FileSystem, root: str) -> list[InputPartition]:
+    """The row groups of all indexes in tasks of about BYTES_PER_TASK; sizes are taken for the greatest of their group. Only footers are read."""
+    out, now, total = [], [], 0
+    for f in sorted(fs.get_file_info(pafs.FileSelector(f"{root.rstrip('/')}/index", recursive=True, allow_not_found=True)), key=lambda f: f.path):
+        if not f.is_file or not f.path.endswith(".parquet"):
+            continue
+        with fs.open_input_file(f.path) as opened:
+            meta = pq.read_metadata(opened)
+        sizes = meta.schema.names.index("size")
+        for i in range(meta.num_row_groups):
+            group = meta.row_group(i)
+            said = group.column(sizes).statistics
+            cost = group.num_rows * (4096 + (said.max if said is not None and said.has_min_max else BYTES_PER_TASK))
+            if now and total + cost > BYTES_PER_TASK:
+                out.append(Indexed(now))
+                now, total = [], 0
+            if now and now[-1][0] == f.path:
+                now[-1][1].append(i)
+            else:
+                now.append((f.path, [i]))
+            total += cost
+    return [*out, Indexed(now)] if now else out
+
+
 class Parts:
     """Rows of one kind of part of DOCX files, with the columns that a schema names and no others."""
 
     def __init__(self, schema: T.StructType, options: dict[str, str]):
         self.schema, self.path, self.part = schema, options.get("path", ""), options.get("part", "paragraphs")
         self.strict = options.get("mode", "permissive").lower() == "failfast"
+        self.only: str | None = None
 
     def listed(self) -> list[pafs.FileInfo]:
         fs, path = at(self.path)
@@ -86,10 +118,21 @@ class Parts:
             rows = [{"size": size, "error": error}] if self.part == "files" else parsed[self.part]
         return [{"doc_id": path, **row} for row in rows]
 
-    def batches(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
+    def files_of(self, fs: pafs.FileSystem, partition: Files | Indexed | None) -> Iterator[tuple[str, int]]:
+        if not isinstance(partition, Indexed):
+            yield from partition.files if partition else []  # no partitions come as one without a value
+            return
+        for index, groups in partition.groups:
+            with fs.open_input_file(index) as opened:
+                for batch in pq.ParquetFile(opened).iter_batches(ROWS_PER_BATCH, row_groups=groups, columns=["path", "size"]):
+                    for path, size in zip(*(batch.column(c).to_pylist() for c in ("path", "size")), strict=True):
+                        if path and path.lower().endswith(".docx") and self.only in (None, path):
+                            yield path, size
+
+    def batches(self, partition: Files | Indexed | None) -> Iterator[pa.RecordBatch]:
         fs, _ = at(self.path)
         schema, rows, most = to_arrow_schema(self.schema), [], FILES_PER_BATCH if self.part == "documents" else ROWS_PER_BATCH
-        for path, size in partition.files if partition else []:  # no partitions come as one without a value
+        for path, size in self.files_of(fs, partition):
             with fs.open_input_stream(path) as f:
                 rows += self.rows_of(f.read(), path, size)
             while len(rows) >= most:
@@ -104,11 +147,12 @@ class Parts:
 
 
 class DocxReader(Parts, DataSourceReader):
-    """All files under the path. A filter on doc_id leaves the other files unopened."""
+    """All files under the path, listed by the driver, or with option index those that the indexes of uploads in the path name, which the
+    tasks read. A filter on doc_id leaves the other files unopened."""
 
     def __init__(self, schema: T.StructType, options: dict[str, str]):
         Parts.__init__(self, schema, options)
-        self.only: str | None = None
+        self.indexed = options.get("index", "false").lower() == "true"
 
     def pushFilters(self, filters):  # noqa: N802
         for f in filters:
@@ -118,6 +162,8 @@ class DocxReader(Parts, DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
+        if self.indexed:
+            return dealt_index(*at(self.path))
         return dealt([f for f in self.listed() if self.only is None or f.path == self.only])
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
@@ -155,7 +201,8 @@ class DocxStreamReader(Parts, DataSourceStreamReader):
 
 
 class DocxParts(DataSource):
-    """Parts of DOCX files: option part is paragraphs, sections, files or documents (the first two, as arrays). `schema` may name fewer columns than there are."""
+    """Parts of DOCX files: option part is paragraphs, sections, files or documents (the first two, as arrays); with option
+    index the path is one that uploads went to, and the files are those of its index. `schema` may name fewer columns than there are."""
 
     @classmethod
     def name(cls) -> str:
@@ -185,7 +232,8 @@ class Landed(WriterCommitMessage):
 class UploadWriter(DataSourceArrowWriter):
     """Rows (key, name, content) as files and an index.
 
-    A job's files lie in a folder of their own, under names that do not meet; each task writes the index of its files. The job ends with
+    A job's files lie in a folder of their own, under names that do not meet; each task writes the index of its files, in row groups of
+    about BYTES_PER_TASK of files, which are what readers of the index deal out. The job ends with
     the rename of the folder of indexes: before it nobody who reads the index sees any of the files, after it all. A task that
     fails takes its files with it, and a job that fails its folder.
     """
@@ -198,25 +246,30 @@ class UploadWriter(DataSourceArrowWriter):
         folder, index = f"{root}/files/{self.job}", f"{root}/_staged/{self.job}/{uuid.uuid4().hex}.parquet"
         for d in (folder, f"{root}/_staged/{self.job}"):
             fs.create_dir(d, recursive=True)
-        written, rows = [], []
+        written, rows, total = [], [], 0
         try:
-            for batch in iterator:
-                for key, name, content in zip(*(batch.column(c) for c in ("key", "name", "content")), strict=True):
-                    name, data = name.as_py() or "", content.as_py() or b""
-                    stem, dot, kind = name.rpartition(".")
-                    row = {"key": key.as_py(), "name": name, "saved_name": None, "path": None, "size": len(data), "error": None}
-                    if f"{dot}{kind}".lower() not in ALLOWED:
-                        rows.append(row | {"error": REFUSED})
-                        continue
-                    saved = f"{int(time.time())}_{uuid.uuid4().hex[:8]}_{name.replace('/', '_')}"
-                    written.append(f"{folder}/{saved}")
-                    with fs.open_output_stream(written[-1]) as f:
-                        f.write(data)
-                    rows.append(row | {"saved_name": saved, "path": written[-1]})
-            with fs.open_output_stream(index) as f:
-                pq.write_table(pa.Table.from_pylist(rows, INDEX), f)
+            with fs.open_output_stream(index) as out, pq.ParquetWriter(out, INDEX) as indexed:
+                for batch in iterator:
+                    for key, name, content in zip(*(batch.column(c) for c in ("key", "name", "content")), strict=True):
+                        name, data = name.as_py() or "", content.as_py() or b""
+                        if rows and total + len(data) > BYTES_PER_TASK:
+                            indexed.write_table(pa.Table.from_pylist(rows, INDEX))
+                            rows, total = [], 0
+                        total += len(data) + 4096
+                        stem, dot, kind = name.rpartition(".")
+                        row = {"key": key.as_py(), "name": name, "saved_name": None, "path": None, "size": len(data), "error": None}
+                        if f"{dot}{kind}".lower() not in ALLOWED:
+                            rows.append(row | {"error": REFUSED})
+                            continue
+                        saved = f"{int(time.time())}_{uuid.uuid4().hex[:8]}_{name.replace('/', '_')}"
+                        written.append(f"{folder}/{saved}")
+                        with fs.open_output_stream(written[-1]) as f:
+                            f.write(data)
+                        rows.append(row | {"saved_name": saved, "path": written[-1]})
+                if rows:
+                    indexed.write_table(pa.Table.from_pylist(rows, INDEX))
         except BaseException:
-            for path in written:
+            for path in [*written, index]:
                 if fs.get_file_info(path).is_file:
                     fs.delete_file(path)
             raise
