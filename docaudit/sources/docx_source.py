@@ -235,17 +235,19 @@ class UploadWriter(DataSourceArrowWriter):
     A job's files lie in a folder of their own, under names that do not meet; each task writes the index of its files, in row groups of
     about BYTES_PER_TASK of files, which are what readers of the index deal out. The job ends with
     the rename of the folder of indexes: before it nobody who reads the index sees any of the files, after it all. A task that
-    fails takes its files with it, and a job that fails its folder.
+    fails takes its files with it, and a job that fails its folders: the driver makes them and, on failure, moves them away before they
+    are deleted, so that tasks which are still running find no place to write to.
     """
 
     def __init__(self, options: dict[str, str]):
         self.path, self.job = options["path"].rstrip("/"), uuid.uuid4().hex
+        fs, root = at(self.path)
+        for d in ("files", "_staged"):
+            fs.create_dir(f"{root}/{d}/{self.job}", recursive=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = at(self.path)
         folder, index = f"{root}/files/{self.job}", f"{root}/_staged/{self.job}/{uuid.uuid4().hex}.parquet"
-        for d in (folder, f"{root}/_staged/{self.job}"):
-            fs.create_dir(d, recursive=True)
         written, rows, total = [], [], 0
         try:
             with fs.open_output_stream(index) as out, pq.ParquetWriter(out, INDEX) as indexed:
@@ -288,9 +290,10 @@ class UploadWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, root = at(self.path)
-        for d in (f"{root}/files/{self.job}", f"{root}/_staged/{self.job}"):
-            if fs.get_file_info(d).type != pafs.FileType.NotFound:
-                fs.delete_dir(d)
+        for d in ("files", "_staged"):
+            if fs.get_file_info(f"{root}/{d}/{self.job}").type != pafs.FileType.NotFound:
+                fs.move(f"{root}/{d}/{self.job}", gone := f"{root}/_staged/{self.job}-{d}")
+                fs.delete_dir(gone)
 
 
 class Uploads(DataSource):

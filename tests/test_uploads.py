@@ -187,3 +187,13 @@ def test_facts_of_uploads_go_by_the_index(spark, monkeypatch):
     monkeypatch.setattr(flows, "uploaded", and_a_stray)
     got = flows.docx_facts(spark, "/root/testdata/sf0.001").select("doc_id")
     assert sorted(got.collect()) == sorted(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id").collect())
+
+
+def test_a_task_that_outlives_its_job_leaves_nothing(tmp_path):
+    batch = docx_source.pa.RecordBatch.from_pylist([{"key": 1, "name": "a.txt", "content": b"x"}])
+    writer = docx_source.UploadWriter({"path": f"{tmp_path}/u"})
+    writer.write(iter([batch]))
+    writer.abort([])
+    with pytest.raises(FileNotFoundError):
+        writer.write(iter([batch]))
+    assert left(f"{tmp_path}/u") == []
